@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.config import CHAIN_DEFAULT_ANOMALY, CHAIN_DEFAULT_TEXT
-from verdikt.functions.strict_json import strict_object
+from verdikt.functions.strict_json import strict_object, with_strict_object
 
 JSON_DIALECTS = ("greedy", "greedy_raw", "flat", "repair", "strict")
 REGEX_DIALECTS = ("regex", "loose", "rawline")
@@ -168,10 +168,9 @@ def extract_labels(
 
     # Projection 2: strict parse of the candidate, once.
     if keys:
-        parsed = F.when(F.col("_vk_doc").isNotNull(), strict_object(F.col("_vk_doc"), keys))
+        out = with_strict_object(out, "_vk_doc", keys, "_vk_obj", guard=F.col("_vk_doc").isNotNull())
     else:
-        parsed = F.lit(None)
-    out = out.withColumn("_vk_obj", parsed)
+        out = out.withColumn("_vk_obj", F.lit(None))
 
     # Projection 3: answer text and status.
     if keys:
@@ -196,21 +195,39 @@ def extract_labels(
     )
 
 
-def chain_record(text: Column) -> Column:
-    """First-pass chain answer -> struct(video_description, reasoning, anomaly).
-
-    The fence characters backtick, j, s, o, n are stripped from both ends as
-    a character set, then white space; blank lines become a space; the rest
-    must be one JSON object. Missing members take defaults ('NAN', 'NAN', 0);
-    anything unreadable gives all defaults, so a broken first answer reads as
-    "normal" rather than invalid.
-    """
+def chain_cleaned(text: Column) -> Column:
+    """Fence characters and white space stripped, blank lines made a space."""
     cleaned = F.btrim(F.btrim(text, F.lit("`json")), F.lit(WHITESPACE))
-    cleaned = F.btrim(F.replace(cleaned, F.lit("\n\n"), F.lit(" ")), F.lit(WHITESPACE))
-    obj = strict_object(cleaned, ["video_description", "reasoning", "anomaly"])
+    return F.btrim(F.replace(cleaned, F.lit("\n\n"), F.lit(" ")), F.lit(WHITESPACE))
+
+
+CHAIN_FIELDS = ["video_description", "reasoning", "anomaly"]
+
+
+def _chain_struct(obj: Column) -> Column:
     return F.struct(
         F.coalesce(obj.getField("video_description"), F.lit(CHAIN_DEFAULT_TEXT)).alias("video_description"),
         F.coalesce(obj.getField("reasoning"), F.lit(CHAIN_DEFAULT_TEXT)).alias("reasoning"),
         F.coalesce(obj.getField("anomaly"), F.lit(str(CHAIN_DEFAULT_ANOMALY))).alias("anomaly"),
         obj.isNotNull().alias("parsed"),
     )
+
+
+def chain_record(text: Column) -> Column:
+    """First-pass chain answer -> struct(video_description, reasoning, anomaly, parsed).
+
+    The fence characters backtick, j, s, o, n are stripped from both ends as
+    a character set, then white space; blank lines become a space; the rest
+    must be one JSON object. Missing members take defaults ('NAN', 'NAN', 0);
+    anything unreadable gives all defaults, so a broken first answer reads as
+    "normal" rather than invalid. (Expression form; hot paths use
+    :func:`with_chain_record`.)
+    """
+    return _chain_struct(strict_object(chain_cleaned(text), CHAIN_FIELDS))
+
+
+def with_chain_record(df: DataFrame, text_col: str, out_col: str = "record") -> DataFrame:
+    """E9 as a transform: parse once per row, then apply the defaults."""
+    staged = df.withColumn("_cr_doc", chain_cleaned(F.col(text_col)))
+    staged = with_strict_object(staged, "_cr_doc", CHAIN_FIELDS, "_cr_obj")
+    return staged.withColumn(out_col, _chain_struct(F.col("_cr_obj"))).drop("_cr_doc", "_cr_obj")

@@ -6,11 +6,15 @@
 exposes a second top-level value as a second element, so "exactly one
 element" is the strict test. A struct schema keeps the *last* duplicate key,
 as Python's ``json.loads`` does.
+
+The parse is expensive, so hot paths use :func:`with_strict_object`, which
+parses in one projection and tests the size in the next; the optimizer does
+not merge projections that would duplicate a non-cheap expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STRICT_OPTIONS = {
@@ -27,28 +31,36 @@ def _field_ddl(fields: list[str]) -> str:
     return f"ARRAY<STRUCT<{cols}>>"
 
 
+def strict_array(doc: Column, fields: list[str]) -> Column:
+    """``doc`` parsed as a JSON array body (NULL when it is not valid JSON)."""
+    return F.from_json(F.concat(F.lit("["), doc, F.lit("]")), _field_ddl(fields), _STRICT_OPTIONS)
+
+
+def single(arr: Column) -> Column:
+    """The only element of ``arr``; NULL when it has none or several."""
+    return F.when(F.size(arr) == 1, F.get(arr, 0))
+
+
 def strict_object(doc: Column, fields: list[str]) -> Column:
     """Parse ``doc`` as exactly one JSON value; return a struct of ``fields``.
 
-    The result is NULL when ``doc`` is NULL, is not valid JSON, or holds more
-    than one top-level value. Every field is read as text: numbers come back
-    as their literal text, strings unquoted, nested values as raw JSON.
+    NULL when ``doc`` is NULL, is not valid JSON, or holds more than one
+    top-level value. Every field is read as text: numbers come back as their
+    literal text, strings unquoted, nested values as raw JSON. (Single
+    expression form; see :func:`with_strict_object` for hot paths.)
     """
-    arr = F.from_json(F.concat(F.lit("["), doc, F.lit("]")), _field_ddl(fields), _STRICT_OPTIONS)
-    return F.when(F.size(arr) == 1, F.get(arr, 0))
+    return single(strict_array(doc, fields))
+
+
+def with_strict_object(df: DataFrame, doc_col: str, fields: list[str], out_col: str, guard: Column | None = None) -> DataFrame:
+    """Add ``out_col`` = strict parse of ``doc_col``, parsing once per row."""
+    tmp = f"_sj_{out_col}"
+    arr = strict_array(F.col(doc_col), fields)
+    if guard is not None:
+        arr = F.when(guard, arr)
+    return df.withColumn(tmp, arr).withColumn(out_col, single(F.col(tmp))).drop(tmp)
 
 
 def strict_field(doc: Column, key: str) -> Column:
     """Text of ``doc[key]`` when ``doc`` is one valid JSON object, else NULL."""
     return strict_object(doc, [key]).getField(key)
-
-
-def strict_parse_status(doc: Column, key: str) -> Column:
-    """'ok' / 'no_value' / 'bad_json' for a candidate JSON document."""
-    obj = strict_object(doc, [key])
-    return (
-        F.when(doc.isNull(), F.lit("no_block"))
-        .when(obj.isNull(), F.lit("bad_json"))
-        .when(obj.getField(key).isNull(), F.lit("no_value"))
-        .otherwise(F.lit("ok"))
-    )

@@ -1,0 +1,26 @@
+"""Join helpers with an explicit size check before broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables up to this many rows are broadcast; larger ones go through
+# a shuffle join (with AQE free to re-plan at run time).
+DEFAULT_BROADCAST_ROWS = 500_000
+
+
+def row_count_at_most(df: DataFrame, bound: int) -> bool:
+    """True when ``df`` has at most ``bound`` rows.
+
+    Reads at most ``bound + 1`` rows, so the check stays cheap even when the
+    frame turns out to be large.
+    """
+    return df.limit(bound + 1).count() <= bound
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only behind a proven row bound, else leave it to the planner."""
+    if max_rows > 0 and row_count_at_most(df, max_rows):
+        return F.broadcast(df)
+    return df

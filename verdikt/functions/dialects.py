@@ -48,13 +48,13 @@ def _nonempty(c: Column) -> Column:
 def greedy_block(text: Column) -> Column:
     """Text from the first '{' to the last '}' (NULL when there is none).
 
-    Equal to a dot-all ``\\{.*\\}`` search but linear: two scans, no
-    backtracking on long answers.
+    Equal to a dot-all ``\\{.*\\}`` search but linear without backtracking:
+    the last '}' is found from the end (``substring_index`` with a negative
+    count scans backwards and copies only the tail).
     """
     first = F.instr(text, "{")
-    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    has = (F.instr(text, "{") > 0) & (F.instr(F.reverse(text), "}") > 0) & (last > first)
-    return F.when(has, F.substring(text, first, last - first + 1))
+    last = F.length(text) - F.length(F.substring_index(text, "}", -1))
+    return F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1))
 
 
 def lazy_block(text: Column) -> Column:

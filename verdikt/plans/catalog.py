@@ -64,3 +64,507 @@ def q_sliced_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_output(flagship_scored(spark, sf_dir))
+
+
+# --- W2 leaderboard: every (model, method) run in one job -------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from verdikt.config import METHOD_KEYS, RUN_MATRIX  # noqa: E402
+from verdikt.functions.dialects import extract_labels, with_chain_record  # noqa: E402
+from verdikt.functions.labels import label_int, label_number  # noqa: E402
+from verdikt.operators.metrics import chain_shift, default_slices, majority_vote, parse_quality  # noqa: E402
+from verdikt.plans.evaluate import evaluate_grid, extract_from_lines, latest_answers  # noqa: E402
+
+GRID_RUNS = [(m, me, METHOD_KEYS[me]) for (m, me, _, _, _) in RUN_MATRIX]
+
+
+def _grid_sql_value() -> str:
+    """Per-run dialect as one CASE over (model, method)."""
+    whens = []
+    for m, me, d, _, _ in RUN_MATRIX:
+        whens.append(f"WHEN model = '{m}' AND method = '{me}' THEN {O.dialect_value_sql(d, METHOD_KEYS[me])}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def _grid_policy_sql() -> str:
+    neg = [f"(model = '{m}' AND method = '{me}')" for m, me, _, _, p in RUN_MATRIX if p == "negative"]
+    return "CASE WHEN " + " OR ".join(neg) + " THEN 'negative' ELSE 'wrong' END" if neg else "'wrong'"
+
+
+_LEADERBOARD_SQL = (
+    "WITH "
+    + O.truth_cte()
+    + ",\n"
+    + O.answers_cte(GRID_RUNS)
+    + ",\n"
+    + O.latest_cte(_grid_sql_value())
+    + ",\n"
+    + O.scored_cte(policy_sql=_grid_policy_sql().replace("model", "l.model").replace("method", "l.method"))
+    + ",\n"
+    + O.sliced_metrics_sql("scored")
+    + " WHERE slice = 'all'"
+)
+
+
+@register("leaderboard", _LEADERBOARD_SQL)
+def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = derived_log_lines(derived_answers(spark, sf_dir, GRID_RUNS))
+    scored = evaluate_grid(lines, derived_truth(spark, sf_dir))
+    return sliced_metrics(scored, slices=[s for s in default_slices() if s[0] == "all"])
+
+
+# --- one query per extraction dialect (E1-E8) --------------------------------
+
+DIALECT_QUERIES = {
+    "extract_greedy": ("greedy", "zeroshot"),
+    "extract_greedy_nostrip": ("greedy_raw", "zeroshot"),
+    "extract_regex": ("regex", "cot"),
+    "extract_flat": ("flat", "chain"),
+    "extract_repair": ("repair", "chain"),
+    "extract_rawline": ("rawline", "icl"),
+    "extract_strict": ("strict", "zeroshot"),
+    "extract_loose": ("loose", "fewshot"),
+}
+
+
+def _dialect_runs(method: str):
+    k = METHOD_KEYS[method]
+    return [("model_0", method, k), ("model_1", method, k)]
+
+
+def _make_dialect_query(dialect: str, method: str):
+    runs = _dialect_runs(method)
+    key = METHOD_KEYS[method]
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ans = derived_answers(spark, sf_dir, runs)
+        ex = extract_labels(ans, dialect, key)
+        return ex.select(
+            "model", "method", "video", "attempt",
+            label_int(label_number(F.col("raw_value"))).alias("label"),
+            (F.col("parse_status") == "ok").alias("parsed"),
+        )
+
+    sql = (
+        "WITH " + O.answers_cte(runs) + ",\n"
+        + f"ex AS (SELECT model, method, video, attempt, {O.dialect_value_sql(dialect, key)} AS raw_value,"
+        + (" response IS NOT NULL AND " + (f"{O.regex_value_sql('response', dialect, key)} IS NOT NULL" if dialect in ("regex", "loose") else
+           f"{O.regex_value_sql(O.raw_line_sql('video', 'response'), dialect, key)} IS NOT NULL" if dialect == "rawline" else
+           "TRUE") + " AS rx_ok FROM answers)\n")
+        + f"SELECT model, method, video, attempt, {O.int_sql(O.number_sql('raw_value'))} AS label, "
+        + ("coalesce(rx_ok, FALSE) AS parsed" if dialect in ("regex", "loose", "rawline") else "raw_value IS NOT NULL AS parsed")
+        + " FROM ex"
+    )
+    return build, sql
+
+
+for _name, (_d, _m) in DIALECT_QUERIES.items():
+    _b, _s = _make_dialect_query(_d, _m)
+    register(_name, _s)(_b)
+
+
+# --- J7 + J9: invalid answers read as normal --------------------------------
+
+NEG_RUNS = [("GPT", "chain", "updated_anomaly"), ("GPTmini", "chain", "updated_anomaly")]
+
+
+@register(
+    "negative_policy",
+    "WITH " + O.truth_cte() + ",\n" + O.answers_cte(NEG_RUNS) + ",\n"
+    + O.latest_cte(O.dialect_value_sql("flat", "updated_anomaly")) + ",\n"
+    + O.scored_cte(policy_sql="'negative'") + ",\n" + O.sliced_metrics_sql("scored"),
+)
+def q_negative_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = derived_log_lines(derived_answers(spark, sf_dir, NEG_RUNS))
+    scored = evaluate_lines(lines, derived_truth(spark, sf_dir), dialect="flat", key="updated_anomaly", policy="negative")
+    return sliced_metrics(scored)
+
+
+# --- A10 majority vote over the three flagship runs -------------------------
+
+
+@register(
+    "majority_vote",
+    _FLAGSHIP_BASE_SQL
+    + """,
+votes AS (
+  SELECT method, video_name, count(*) AS voters, CAST(sum(predicted_label) AS BIGINT) AS votes_abnormal,
+         min(true_label) AS true_label
+  FROM scored GROUP BY method, video_name)
+SELECT method, video_name, voters, votes_abnormal, true_label,
+       CASE WHEN votes_abnormal * 2 > voters THEN 1 WHEN votes_abnormal * 2 < voters THEN 0 ELSE 1 END AS vote,
+       CAST((CASE WHEN votes_abnormal * 2 > voters THEN 1 WHEN votes_abnormal * 2 < voters THEN 0 ELSE 1 END) = true_label AS INTEGER) AS accuracy
+FROM votes""",
+)
+def q_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return majority_vote(flagship_scored(spark, sf_dir))
+
+
+# --- A11 parse quality --------------------------------------------------------
+
+_PQ_STATUS_SQL = """CASE WHEN response IS NULL THEN 'null_response'
+      WHEN regexp_extract(response, '(?s)\\{.*\\}', 0) = '' THEN 'no_block'
+      WHEN NOT json_valid(regexp_replace(regexp_extract(response, '(?s)\\{.*\\}', 0), '//[^\\n]*', '', 'g')) THEN 'bad_json'
+      WHEN raw_value IS NULL THEN 'no_value'
+      WHEN """ + O.int_sql(O.number_sql("raw_value")) + """ IS NULL THEN 'bad_value'
+      ELSE 'ok' END"""
+
+
+@register(
+    "parse_quality",
+    "WITH " + O.answers_cte(FLAGSHIP_RUNS) + ",\n"
+    + O.latest_cte(O.dialect_value_sql("greedy", "result"), extra=", response") + "\n"
+    + "SELECT model, method, " + _PQ_STATUS_SQL + " AS parse_status, count(*) AS n FROM latest GROUP BY ALL",
+)
+def q_parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
+    latest = latest_answers(extract_from_lines(lines, "greedy", "result"))
+    valid = label_int(label_number(F.col("raw_value"))).isNotNull()
+    status = F.when((F.col("parse_status") == "ok") & ~valid, F.lit("bad_value")).otherwise(F.col("parse_status"))
+    return parse_quality(latest.withColumn("parse_status", status))
+
+
+# --- E9 + P5 + P6: chain records and the second-pass prompt -------------------
+
+from verdikt.operators import media_plan as MP  # noqa: E402
+from verdikt.operators import profile as NP  # noqa: E402
+from verdikt.operators.dedup import last_wins  # noqa: E402
+from verdikt.operators.inference import keyword_scorer, latency_stats, replay, score_batches  # noqa: E402
+from verdikt.operators.prompts import DEFAULT_RULES, frame_parts, request_json, rules_text, second_pass_prompt, template_table  # noqa: E402
+from verdikt.plans.fixtures import derived_chain_records, table  # noqa: E402
+from verdikt.sources.tables import spread  # noqa: E402
+
+CHAIN_RUNS = [("Flash", "chain", "anomaly"), ("GPT", "chain", "anomaly")]
+
+
+def _p6_sql(desc: str, reason: str, anomaly: str) -> str:
+    from verdikt.operators.prompts import SECOND_PASS_PARTS
+
+    a, b, c, d, e = (O._q(x) for x in SECOND_PASS_PARTS)
+    rules = O._q("\n".join(DEFAULT_RULES))
+    return f"{a} || {desc} || {b} || {reason} || {c} || {anomaly} || {d} || {rules} || {e}"
+
+
+@register(
+    "chain_record",
+    "WITH " + O.chain_records_cte(CHAIN_RUNS) + ",\n"
+    "rec AS (SELECT model, method, video, " + O.chain_fields_sql() + " FROM records)\n"
+    "SELECT model, method, video, video_description, reasoning, anomaly, parsed, "
+    + _p6_sql("video_description", "reasoning", "anomaly") + " AS prompt FROM rec",
+)
+def q_chain_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = with_chain_record(derived_chain_records(spark, sf_dir, CHAIN_RUNS), "response")
+    r = F.col("record")
+    return recs.select(
+        "model", "method", "video",
+        r.getField("video_description").alias("video_description"),
+        r.getField("reasoning").alias("reasoning"),
+        r.getField("anomaly").alias("anomaly"),
+        r.getField("parsed").alias("parsed"),
+        second_pass_prompt(r.getField("video_description"), r.getField("reasoning"), r.getField("anomaly"),
+                           rules_text(DEFAULT_RULES)).alias("prompt"),
+    )
+
+
+# --- A9: how labels moved between the chain's two passes ---------------------
+
+PASS2_RUNS = [("Flash", "chain", "updated_anomaly"), ("GPT", "chain", "updated_anomaly")]
+
+
+@register(
+    "chain_shift",
+    "WITH " + O.chain_records_cte(CHAIN_RUNS) + ",\n"
+    "rec AS (SELECT model, video, " + O.chain_fields_sql() + " FROM records),\n"
+    "p1 AS (SELECT model, video, " + O.int_sql(O.number_sql("anomaly")) + " AS label_1 FROM rec),\n"
+    + O.answers_cte(PASS2_RUNS).replace("(VALUES (0, 'Flash'", "(VALUES (0, 'Flash'").replace(
+        "r.run_idx * 17", "(r.run_idx + 5) * 17") + ",\n"
+    + O.latest_cte(O.dialect_value_sql("greedy", "updated_anomaly")) + ",\n"
+    "p2 AS (SELECT model, video, " + O.int_sql(O.number_sql("raw_value")) + " AS label_2 FROM latest)\n"
+    "SELECT coalesce(p1.model, p2.model) AS model, label_1, label_2, count(*) AS n\n"
+    "FROM p1 FULL OUTER JOIN p2 ON p1.model = p2.model AND p1.video = p2.video GROUP BY ALL",
+)
+def q_chain_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = with_chain_record(derived_chain_records(spark, sf_dir, CHAIN_RUNS), "response")
+    p1 = recs.select("model", "video", label_int(label_number(F.col("record").getField("anomaly"))).alias("label_1"))
+    lines = derived_log_lines(derived_answers(spark, sf_dir, PASS2_RUNS, run_offset=5))
+    latest = latest_answers(extract_from_lines(lines, "greedy", "updated_anomaly"))
+    p2 = latest.select("model", "video", label_int(label_number(F.col("raw_value"))).alias("label_2"))
+    return chain_shift(p1, p2, keys=("model", "video"))
+
+
+# --- J1 last-wins on events ---------------------------------------------------
+
+
+@register(
+    "last_wins",
+    "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, "
+    "arg_max(value, (ts, event_id)) AS value, count(*) AS n_versions FROM events GROUP BY user_id",
+)
+def q_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    ev = ev.withColumn("ord", F.struct("ts", "event_id"))
+    return last_wins(ev, ["user_id"], "ord", ["event_id", "event_type", "value"])
+
+
+# --- M5 missing media ------------------------------------------------------------
+
+
+@register(
+    "missing_media",
+    "SELECT 'vid_' || CAST(d.doc_id AS VARCHAR) AS title, 'raw_video/vid_' || CAST(d.doc_id AS VARCHAR) || '.mp4' AS input_path,"
+    " l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id",
+)
+def q_missing_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vid = lambda c: F.concat(F.lit("vid_"), F.col(c).cast("string"))
+    plan = table(spark, sf_dir, "documents").select(vid("doc_id").alias("title"))
+    plan = plan.withColumn("input_path", F.concat(F.lit("raw_video/"), F.col("title"), F.lit(".mp4")))
+    inventory = table(spark, sf_dir, "labels").select(vid("doc_id").alias("title"))
+    return MP.media_status(plan, inventory)
+
+
+# --- M1-M4 trim plan --------------------------------------------------------------
+
+
+@register(
+    "trim_plan",
+    """WITH t AS (
+  SELECT c_name AS title, CASE WHEN c_nationkey = 0 THEN NULL ELSE CAST(floor(c_acctbal / 100) AS DOUBLE) END AS time,
+         CAST(60 + c_custkey % 60 AS DOUBLE) AS duration FROM customer)
+SELECT title, time, duration,
+       CASE WHEN time > 0 THEN 'end' WHEN time < 0 THEN 'begin' ELSE 'none' END AS trim_kind,
+       CAST(CASE WHEN time < 0 THEN -time ELSE 0.0 END AS DOUBLE) AS start_s,
+       CAST(CASE WHEN time > 0 THEN duration - time ELSE duration END AS DOUBLE) AS end_s,
+       (CASE WHEN time > 0 THEN duration - time ELSE duration END) > (CASE WHEN time < 0 THEN -time ELSE 0.0 END) AS valid,
+       'raw_video/' || title || '.mp4' AS input_path, 'downloads/' || title || '.mp4' AS output_path
+FROM t WHERE time IS NOT NULL""",
+)
+def q_trim_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    trims = c.select(
+        F.col("c_name").alias("title"),
+        F.when(F.col("c_nationkey") == 0, F.lit(None)).otherwise(F.floor(F.col("c_acctbal") / 100)).cast("double").alias("time"),
+        (F.lit(60) + F.col("c_custkey") % 60).cast("double").alias("duration"),
+    )
+    return MP.trim_plan(trims)
+
+
+# --- M6 + M10 uniform frame sample ---------------------------------------------
+
+
+@register(
+    "uniform_sample",
+    """WITH v AS (
+  SELECT 'vid_' || CAST(doc_id AS VARCHAR) AS video, n_chars AS n_frames, greatest(n_chars // 20, 1) AS interval FROM documents),
+s AS (
+  SELECT video, n_frames, interval, unnest(generate_series(0, least(n_frames - 1, interval * 19), interval)) AS frame_idx
+  FROM v WHERE n_frames > 0)
+SELECT video, n_frames, CAST(interval AS BIGINT) AS interval, CAST(frame_idx // interval AS INTEGER) AS sample_rank,
+       CAST(frame_idx AS BIGINT) AS frame_idx, (frame_idx // interval) % 50 = 0 AS in_request FROM s""",
+)
+def q_uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("vid_"), F.col("doc_id").cast("string")).alias("video"), F.col("n_chars").alias("n_frames")
+    )
+    return MP.uniform_sample(d)
+
+
+# --- M7 + M8 + A13 payload cap and resize plan --------------------------------
+
+PAYLOAD_CAP_TEST = 4096
+
+
+def _conversation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select(
+        F.col("conv_id").alias("video"),
+        F.col("turn").alias("frame_idx"),
+        MP.base64_size(F.octet_length(F.col("text"))).alias("payload_bytes"),
+        F.lit(1280).alias("width"),
+        F.lit(720).alias("height"),
+        F.col("text"),
+    )
+
+
+@register(
+    "payload_cap",
+    f"""WITH f AS (
+  SELECT conv_id AS video, turn AS frame_idx, CAST(4 * ceil(octet_length(encode(text)) / 3) AS BIGINT) AS payload_bytes
+  FROM conversations),
+n AS (SELECT video, count(*) AS n_frames FROM f GROUP BY video),
+s AS (
+  SELECT f.*, greatest(n.n_frames // 20, 1) AS iv FROM f JOIN n USING (video)),
+s2 AS (SELECT *, frame_idx // iv AS sample_rank FROM s WHERE frame_idx % iv = 0 AND frame_idx < iv * 20),
+w AS (
+  SELECT *, coalesce(sum(payload_bytes) OVER (PARTITION BY video ORDER BY sample_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM s2),
+k AS (SELECT video, count(*) AS frames_kept, CAST(sum(payload_bytes) AS BIGINT) AS total_bytes FROM w
+      WHERE before <= {PAYLOAD_CAP_TEST} AND sample_rank < 20 GROUP BY video)
+SELECT video, frames_kept, total_bytes, 1280 AS width, 720 AS height, total_bytes > {PAYLOAD_CAP_TEST} AS needs_resize,
+       CASE WHEN total_bytes > {PAYLOAD_CAP_TEST} THEN sqrt({PAYLOAD_CAP_TEST}.0 / CAST(total_bytes AS DOUBLE)) ELSE 1.0 END AS factor,
+       CAST(floor(1280 * CASE WHEN total_bytes > {PAYLOAD_CAP_TEST} THEN sqrt({PAYLOAD_CAP_TEST}.0 / CAST(total_bytes AS DOUBLE)) ELSE 1.0 END) AS INTEGER) AS new_width,
+       CAST(floor(720 * CASE WHEN total_bytes > {PAYLOAD_CAP_TEST} THEN sqrt({PAYLOAD_CAP_TEST}.0 / CAST(total_bytes AS DOUBLE)) ELSE 1.0 END) AS INTEGER) AS new_height
+FROM k""",
+)
+def q_payload_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _conversation_frames(spark, sf_dir).drop("text")
+    sampled = MP.sample_frames(frames)
+    capped = MP.payload_cap(sampled, cap=PAYLOAD_CAP_TEST)
+    return MP.resize_plan(capped, cap=PAYLOAD_CAP_TEST)
+
+
+# --- P1-P7 request packing -----------------------------------------------------
+
+
+def _zeroshot_frames_prompt(spark: SparkSession) -> str:
+    from verdikt.operators.prompts import TEMPLATE_ROWS
+
+    return dict(((m, mo), t) for m, mo, t in TEMPLATE_ROWS)[("zeroshot", "frames")]
+
+
+@register(
+    "request_pack",
+    """WITH f AS (
+  SELECT conv_id, turn, to_base64(encode(text)) AS payload FROM conversations),
+n AS (SELECT conv_id, count(*) AS n FROM f GROUP BY conv_id),
+s AS (SELECT f.*, greatest(n.n // 20, 1) AS iv FROM f JOIN n USING (conv_id)),
+s2 AS (SELECT conv_id, turn // iv AS sample_rank, payload FROM s WHERE turn % iv = 0 AND turn < iv * 20),
+g AS (SELECT conv_id, list(payload ORDER BY sample_rank) AS frames, count(*) AS n_frames FROM s2 GROUP BY conv_id)
+SELECT conv_id, n_frames, to_json({'model': 'frames-model', 'max_tokens': 4096, 'temperature': 0.0,
+  'messages': [{'role': 'user', 'content': list_concat([{'type': 'text', 'text': """
+    + "__PROMPT__"
+    + """, 'data': NULL::VARCHAR}],
+     list_transform(frames, lambda x: {'type': 'image', 'text': NULL::VARCHAR, 'data': x}))}]})::VARCHAR AS request
+FROM g""",
+)
+def q_request_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id"), F.col("turn").alias("frame_idx"), MP.base64_text(F.encode(F.col("text"), "UTF-8")).alias("payload")
+    )
+    sampled = MP.sample_frames(c, video_col="conv_id")
+    packed = frame_parts(sampled, ["conv_id"])
+    prompt = F.lit(_zeroshot_frames_prompt(spark))
+    return packed.select("conv_id", "n_frames", request_json(F.lit("frames-model"), prompt, F.col("frames")).alias("request"))
+
+
+ORACLE["request_pack"] = ORACLE["request_pack"].replace("__PROMPT__", O._q(_zeroshot_frames_prompt(None)))
+
+
+# --- I6 latency statistics --------------------------------------------------------
+
+
+@register(
+    "latency_stats",
+    """SELECT event_type AS model, count(value) AS n, round(avg(value), 6) AS avg_s,
+       round(quantile_cont(value, 0.5), 6) AS p50_s, round(quantile_cont(value, 0.9), 6) AS p90_s, max(value) AS max_s,
+       count(DISTINCT replace(regexp_replace('runs/' || event_type || '/vid_' || CAST(event_id AS VARCHAR) || '.mp4', '^.*/', ''), '.mp4', '')) AS n_videos
+FROM events GROUP BY event_type""",
+)
+def q_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdikt.operators.inference import clean_video_name
+
+    ev = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("model"),
+        F.concat(F.lit("runs/"), F.col("event_type"), F.lit("/vid_"), F.col("event_id").cast("string"), F.lit(".mp4")).alias("video"),
+        F.col("value").alias("latency_s"),
+    )
+    ev = ev.withColumn("video_name", clean_video_name("video"))
+    stats = latency_stats(ev, ["model"])
+    names = ev.groupBy("model").agg(F.count_distinct("video_name").alias("n_videos"))
+    return stats.join(names, "model")
+
+
+# --- N1-N4 dataset statistics ------------------------------------------------------
+
+
+@register(
+    "category_distribution",
+    "WITH " + O.truth_cte() + ",\n"
+    "c AS (SELECT unnest(list_filter(" + "[" + ", ".join(O._q(x) for x in __import__("verdikt.config", fromlist=["CATEGORIES"]).CATEGORIES)
+    + "], lambda x: coalesce(contains(category, x), FALSE))) AS category, label FROM truth)\n"
+    "SELECT category, label, count(*) AS n FROM c GROUP BY ALL",
+)
+def q_category_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NP.label_by_category(derived_truth(spark, sf_dir))
+
+
+@register(
+    "duration_histogram",
+    """SELECT CAST(least(greatest(floor(value / 10.0), 0), 9) AS INTEGER) AS bucket, count(*) AS n,
+       count(*) FILTER (WHERE value < 80.0) AS n_short, min(value) AS min_value, max(value) AS max_value
+FROM events WHERE value IS NOT NULL GROUP BY ALL""",
+)
+def q_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NP.duration_histogram(table(spark, sf_dir, "events").select("value"), "value")
+
+
+@register(
+    "word_counts",
+    """WITH w AS (SELECT lang, CAST(coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS BIGINT) AS words FROM documents)
+SELECT lang, count(*) AS n, CAST(sum(words) AS BIGINT) AS total_words, min(words) AS min_words, max(words) AS max_words,
+       CAST(quantile_cont(words, 0.5) AS DOUBLE) AS median_words FROM w GROUP BY lang""",
+)
+def q_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents").select("lang", "text"))
+    return NP.word_stats(d, "text", ["lang"])
+
+
+@register("source_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def q_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NP.source_counts(table(spark, sf_dir, "documents").select("source"))
+
+
+# --- I7 replay: requests answered from the stored log -------------------------------
+
+
+@register(
+    "replay_score",
+    "WITH " + O.answers_cte(FLAGSHIP_RUNS) + ",\n"
+    + O.latest_cte(O.dialect_value_sql("greedy", "result")) + ",\n"
+    "req AS (SELECT r.model, r.method, v.video FROM (SELECT 'vid_' || CAST(doc_id AS VARCHAR) || '.mp4' AS video FROM documents\n"
+    "        UNION ALL SELECT 'page_' || CAST(page_id AS VARCHAR) || '.mp4' FROM pages) v CROSS JOIN "
+    + O.runs_values(FLAGSHIP_RUNS) + "),\n"
+    "j AS (SELECT req.*, l.video IS NOT NULL AS answered, " + O.int_sql(O.number_sql("l.raw_value")) + " AS label\n"
+    "      FROM req LEFT JOIN latest l ON req.model = l.model AND req.method = l.method AND req.video = l.video)\n"
+    "SELECT model, method, count(*) AS requests, count(*) FILTER (WHERE answered) AS answered,\n"
+    "       count(*) FILTER (WHERE NOT answered) AS pending, count(label) AS valid FROM j GROUP BY ALL",
+)
+def q_replay_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
+    latest = latest_answers(extract_from_lines(lines, "greedy", "result"))
+    vids = table(spark, sf_dir, "documents").select(F.concat(F.lit("vid_"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("video"))
+    vids = vids.unionByName(
+        table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".mp4")).alias("video"))
+    )
+    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(me).alias("method")) for m, me, _ in FLAGSHIP_RUNS])
+    req = vids.select("video", F.inline(runs))
+    r = replay(req, latest, value_cols=("raw_value",))
+    r = r.withColumn("label", label_int(label_number(F.col("raw_value"))))
+    return r.groupBy("model", "method").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.col("answered")).alias("answered"),
+        F.count_if(~F.col("answered")).alias("pending"),
+        F.count("label").alias("valid"),
+    )
+
+
+# --- I1-I5 batched scoring with an offline scorer -------------------------------------
+
+SCORER_WORDS = ["the", "une", "und"]
+
+
+@register(
+    "batched_score",
+    "SELECT 'keyword' AS model, 'zeroshot' AS method, 'vid_' || CAST(doc_id AS VARCHAR) || '.mp4' AS video,\n"
+    "  CASE WHEN text IS NULL THEN NULL ELSE '{\"result\": ' || CASE WHEN ("
+    + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in SCORER_WORDS)
+    + ") >= 3 THEN '1' ELSE '0' END || '}' END AS response, CAST(NULL AS VARCHAR) AS error FROM documents",
+)
+def q_batched_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    req = d.select(
+        F.lit("keyword").alias("model"), F.lit("zeroshot").alias("method"),
+        F.concat(F.lit("vid_"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("video"), F.col("text").alias("prompt"),
+    )
+    out = score_batches(req, keyword_scorer(SCORER_WORDS, threshold=3), batch_size=64)
+    return out.select("model", "method", "video", "response", "error")

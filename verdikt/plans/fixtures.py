@@ -108,10 +108,12 @@ def derived_answers(
     sf_dir: str,
     runs: Sequence[tuple[str, str, str]],
     with_reruns: bool = True,
+    run_offset: int = 0,
 ) -> DataFrame:
     """One row per (run, document, attempt): model, method, video, response.
 
-    ``runs`` lists (model, method, answer key); run ``r`` is its position.
+    ``runs`` lists (model, method, answer key); run ``r`` is its position
+    plus ``run_offset``.
     The run list is small and fixed, so it is expanded with ``explode``
     (a generator in the same stage), not a join.
     """
@@ -124,7 +126,7 @@ def derived_answers(
     base = base.select(d, F.col("text"), truth_bit(d, F.col("quality"), F.col("toxic")).alias("t"))
     run_arr = F.array(
         *[
-            F.struct(F.lit(i).alias("run_idx"), F.lit(m).alias("model"), F.lit(me).alias("method"), F.lit(k).alias("key"))
+            F.struct(F.lit(i + run_offset).alias("run_idx"), F.lit(m).alias("model"), F.lit(me).alias("method"), F.lit(k).alias("key"))
             for i, (m, me, k) in enumerate(runs)
         ]
     )
@@ -167,3 +169,39 @@ def derived_log_lines(answers: DataFrame) -> DataFrame:
 
 
 FLAGSHIP_RUNS = [("model_0", "zeroshot", "result"), ("model_1", "zeroshot", "result"), ("model_2", "zeroshot", "result")]
+
+
+def derived_chain_records(spark: SparkSession, sf_dir: str, runs: Sequence[tuple[str, str, str]], run_offset: int = 0) -> DataFrame:
+    """First-pass chain answers: a JSON record (description = the whole
+    document text, reasoning, anomaly) in five shapes by ``doc_id % 5``:
+    0 plain, 1 fenced, 2 without reasoning, 3 cut short (unreadable), 4 null.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    base = docs.join(lab, "doc_id", "left")
+    d = F.col("doc_id")
+    base = base.select(d, "text", "lang", "source", truth_bit(d, F.col("quality"), F.col("toxic")).alias("t"))
+    run_arr = F.array(
+        *[F.struct(F.lit(i + run_offset).alias("run_idx"), F.lit(m).alias("model"), F.lit(me).alias("method"))
+          for i, (m, me, _) in enumerate(runs)]
+    )
+    x = base.select("doc_id", "text", "lang", "source", "t", F.explode(run_arr).alias("run"))
+    r = F.col("run")
+    p = answer_of(d, r.getField("run_idx"), F.col("t"))
+    reasoning = F.concat(F.lit("seen in "), F.col("lang"), F.lit(" footage from "), F.col("source"))
+    full = F.to_json(F.struct(F.col("text").alias("video_description"), reasoning.alias("reasoning"), p.alias("anomaly")))
+    short = F.to_json(F.struct(F.col("text").alias("video_description"), p.alias("anomaly")))
+    shape = d % 5
+    resp = (
+        F.when(shape == 0, full)
+        .when(shape == 1, F.concat(F.lit("```json" + NL), full, F.lit(NL + "```")))
+        .when(shape == 2, short)
+        .when(shape == 3, F.substring(full, F.lit(1), F.length(full) - F.lit(1)))
+    )
+    return x.select(
+        r.getField("model").alias("model"),
+        r.getField("method").alias("method"),
+        d.alias("doc_id"),
+        F.concat(F.lit("vid_"), d.cast("string"), F.lit(".mp4")).alias("video"),
+        resp.alias("response"),
+    )

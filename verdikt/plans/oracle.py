@@ -134,7 +134,7 @@ def regex_value_sql(src: str, dialect: str, key: str) -> str:
 
 
 def raw_line_sql(video: str, response: str) -> str:
-    return f"json_object({video}, {response})"
+    return f"CAST(json_object({video}, {response}) AS VARCHAR)"
 
 
 def dialect_value_sql(dialect: str, key: str, text: str = "response", video: str = "video") -> str:
@@ -228,3 +228,40 @@ scored AS (
          CASE WHEN policy_v = 'negative' THEN (CASE WHEN pred_number >= 1 THEN 1 ELSE 0 END)
               ELSE coalesce({int_sql('pred_number')}, 1 - true_label) END AS predicted_label
   FROM joined)""".replace("{pint}", pint)
+
+
+def chain_records_cte(runs: Sequence[tuple[str, str, str]], run_offset: int = 0) -> str:
+    """CTE ``records`` (model, method, doc_id, video, response): first-pass chain answers."""
+    vals = ", ".join(f"({i + run_offset}, {_q(m)}, {_q(me)})" for i, (m, me, _) in enumerate(runs))
+    full = "CAST(json_object('video_description', text, 'reasoning', 'seen in ' || lang || ' footage from ' || source, 'anomaly', p) AS VARCHAR)"
+    short = "CAST(json_object('video_description', text, 'anomaly', p) AS VARCHAR)"
+    return f"""cbase AS (
+  SELECT d.doc_id, d.text, d.lang, d.source,
+         CAST(coalesce(CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 1 WHEN l.toxic IS NOT NULL THEN 0 END,
+                       d.doc_id % 2) AS INTEGER) AS t
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+cx AS (
+  SELECT b.*, r.run_idx, r.model, r.method,
+         CAST(CASE WHEN (b.doc_id * 31 + r.run_idx * 17) % 6 = 0 THEN 1 - b.t ELSE b.t END AS INTEGER) AS p
+  FROM cbase b CROSS JOIN (VALUES {vals}) AS r(run_idx, model, method)),
+records AS (
+  SELECT model, method, doc_id, 'vid_' || CAST(doc_id AS VARCHAR) || '.mp4' AS video,
+         CASE doc_id % 5 WHEN 0 THEN {full}
+                         WHEN 1 THEN '```json' || chr(10) || {full} || chr(10) || '```'
+                         WHEN 2 THEN {short}
+                         WHEN 3 THEN substring({full}, 1, length({full}) - 1)
+                         ELSE NULL END AS response
+  FROM cx)"""
+
+
+WS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
+def chain_fields_sql(resp: str = "response") -> str:
+    """Columns video_description, reasoning, anomaly, parsed of a chain record."""
+    c = f"trim(replace(trim(trim({resp}, '`json'), {WS_SQL}), chr(10) || chr(10), ' '), {WS_SQL})"
+    ok = f"(CASE WHEN coalesce(json_valid({c}), FALSE) THEN json_type({c}) = 'OBJECT' ELSE FALSE END)"
+    def f(name, default):
+        return f"CASE WHEN {ok} THEN coalesce(json_extract_string({c}, '$.{name}'), '{default}') ELSE '{default}' END"
+    return (f"{f('video_description', 'NAN')} AS video_description, {f('reasoning', 'NAN')} AS reasoning, "
+            f"{f('anomaly', '0')} AS anomaly, coalesce({ok}, FALSE) AS parsed")

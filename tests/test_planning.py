@@ -1,0 +1,64 @@
+"""Media planning cases (M3, M6, M7, M8, M10) and category membership."""
+
+from pyspark.sql import functions as F
+
+from verdikt.operators import media_plan as MP
+from verdikt.operators.profile import category_names
+
+
+def test_trim_plan(spark):
+    df = spark.createDataFrame(
+        [("a", 20.0, 60.0), ("b", -6.0, 60.0), ("c", 0.0, 60.0), ("d", None, 60.0), ("e", 70.0, 60.0)],
+        "title string, time double, duration double",
+    )
+    got = {r.title: (r.trim_kind, r.start_s, r.end_s, r.valid) for r in MP.trim_plan(df).collect()}
+    assert got == {
+        "a": ("end", 0.0, 40.0, True),
+        "b": ("begin", 6.0, 60.0, True),
+        "c": ("none", 0.0, 60.0, True),
+        "e": ("end", 0.0, -10.0, False),
+    }
+
+
+def test_uniform_sample(spark):
+    df = spark.createDataFrame([(10,), (39,), (40,), (100,), (101,), (0,)], "n_frames long").withColumn("video", F.col("n_frames"))
+    out = MP.uniform_sample(df)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.n_frames, []).append(r.frame_idx)
+    assert sorted(got[10]) == list(range(10))
+    assert sorted(got[39]) == list(range(20))
+    assert sorted(got[40]) == list(range(0, 40, 2))
+    assert sorted(got[100]) == list(range(0, 100, 5))
+    assert sorted(got[101]) == list(range(0, 100, 5))
+    assert 0 not in got
+
+
+def test_request_stride(spark):
+    df = spark.range(120).select(F.lit("v").alias("video"), F.col("id").alias("sample_rank"))
+    assert sorted(r.sample_rank for r in MP.request_stride(df, 50).collect()) == [0, 50, 100]
+    df20 = spark.range(20).select(F.lit("v").alias("video"), F.col("id").alias("sample_rank"))
+    assert [r.sample_rank for r in MP.request_stride(df20, 50).collect()] == [0]
+
+
+def test_payload_cap_and_resize(spark):
+    frames = spark.createDataFrame([("v", i, i, 10, 100, 50) for i in range(4)],
+                                   "video string, frame_idx long, sample_rank long, payload_bytes long, width int, height int")
+    capped = MP.payload_cap(frames, cap=25)
+    kept = sorted(r.frame_idx for r in capped.where("kept").collect())
+    assert kept == [0, 1, 2]
+    plan = MP.resize_plan(capped, cap=25).collect()[0]
+    assert plan.total_bytes == 30 and plan.needs_resize
+    assert round(plan.factor, 4) == 0.9129 and (plan.new_width, plan.new_height) == (91, 45)
+
+
+def test_category_membership(spark):
+    df = spark.createDataFrame([("Security, Pet Monitoring",), ("Other Categories",), (None,)], "c string")
+    got = [sorted(r[0]) for r in df.select(category_names(F.col("c"))).collect()]
+    assert got == [["Pet Monitoring", "Security"], [], []]
+
+
+def test_base64_size(spark):
+    df = spark.createDataFrame([(b"abc",), (b"abcd",), (b"",)], "b binary")
+    out = df.select(MP.base64_size(F.octet_length("b")).alias("n"), F.length(MP.base64_text(F.col("b"))).alias("m")).collect()
+    assert [(r.n, r.m) for r in out] == [(4, 4), (8, 8), (0, 0)]

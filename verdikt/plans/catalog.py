@@ -568,3 +568,29 @@ def q_batched_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = score_batches(req, keyword_scorer(SCORER_WORDS, threshold=3), batch_size=64)
     return out.select("model", "method", "video", "response", "error")
+
+
+# --- T1 + T2: incremental ingest, then the same metrics as the batch flagship ----
+
+
+@register("stream_metrics", ORACLE["sliced_metrics"])
+def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship computed from a file stream: the derived log is dropped
+    into a folder as closed JSONL files (first pass, then reruns), ingested
+    micro-batch by micro-batch with a last-wins upsert, then scored. Equal to
+    ``sliced_metrics`` by construction (stream = batch)."""
+    import uuid
+
+    from verdikt.operators.scoring import attach_truth, score_rows
+    from verdikt.session import checkpoint_path
+    from verdikt.streaming.ingest import ingest, write_log_files
+
+    run = uuid.uuid4().hex
+    folder = checkpoint_path(spark, f"stream-{run}/drop")
+    table_path = checkpoint_path(spark, f"stream-{run}/answers")
+    ckpt = checkpoint_path(spark, f"stream-{run}/checkpoint")
+    lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
+    write_log_files(lines, folder)
+    ingest(spark, folder, table_path, ckpt, dialect="greedy", key="result", max_files_per_trigger=4)
+    latest = spark.read.parquet(table_path).select("model", "method", "video", "raw_value", "parse_status")
+    return sliced_metrics(score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong"))

@@ -45,14 +45,24 @@ def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int =
             meta.getField("file_modification_time").alias("mtime"),
             path.alias("path"),
             meta.getField("file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("line_order"),
+        ).alias("file_order"),
     )
 
 
 def _merge_batch(table_path: str, dialect: str, key: str):
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        # Inside a micro-batch the frame is static: lines of a split are read
+        # in order, so a per-split increasing id completes the file order.
+        batch = batch.select(
+            "model", "method", "line",
+            F.struct(
+                F.col("file_order.mtime").alias("mtime"),
+                F.col("file_order.path").alias("path"),
+                F.col("file_order.block").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias("line_order"),
+        )
         rows = extract_labels(parse_keyed_lines(batch), dialect, key, line_col="line")
         rows = rows.where(F.col("line_status") == "ok").select(*ANSWER_COLS)
         new = last_wins(rows, ["model", "method", "video"], "line_order", ["raw_value", "parse_status", "line_order"])

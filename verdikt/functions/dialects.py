@@ -69,20 +69,38 @@ def strip_line_comments(block: Column) -> Column:
     return F.when(F.instr(block, "//") > 0, F.regexp_replace(block, r"//[^\n]*", "")).otherwise(block)
 
 
-def candidate_document(text: Column, dialect: str) -> Column:
-    """The JSON candidate a JSON dialect hands to the strict parser."""
+GREEDY_DIALECTS = ("greedy", "greedy_raw")
+LAZY_DIALECTS = ("flat", "repair")
+
+
+def block_transform(block: Column, dialect: str) -> Column:
+    """What a JSON dialect does to its block before the strict parse.
+
+    ``flat`` and ``repair`` are defined on the whole answer (flatten the
+    text, or add commas, then cut the first block), but neither step adds,
+    removes or moves a brace relative to the others, so cutting the block
+    from the original text first and transforming only the block gives the
+    same document while touching a few bytes instead of the whole answer.
+    """
     if dialect == "greedy":
-        return strip_line_comments(greedy_block(text))
-    if dialect == "greedy_raw":
-        return greedy_block(text)
-    if dialect == "flat":
-        flat = F.translate(text, "\n\r", " ")
-        block = lazy_block(flat)
-        block = F.replace(block, F.lit("\\n"), F.lit(""))
         return strip_line_comments(block)
+    if dialect in ("greedy_raw", "strict"):
+        return block
+    if dialect == "flat":
+        flat = F.translate(block, "\n\r", " ")
+        return strip_line_comments(F.replace(flat, F.lit("\\n"), F.lit("")))
     if dialect == "repair":
-        repaired = F.regexp_replace(text, r'"(\s*\n)', '",$1')
-        return lazy_block(repaired)
+        return F.regexp_replace(block, r'"(\s*\n)', '",$1')
+    raise ValueError(f"not a JSON dialect: {dialect}")
+
+
+def candidate_document(text: Column, dialect: str) -> Column:
+    """The JSON candidate a JSON dialect hands to the strict parser
+    (expression form; :func:`extract_labels` stages the same steps)."""
+    if dialect in GREEDY_DIALECTS:
+        return block_transform(greedy_block(text), dialect)
+    if dialect in LAZY_DIALECTS:
+        return block_transform(lazy_block(text), dialect)
     if dialect == "strict":
         return text
     raise ValueError(f"not a JSON dialect: {dialect}")
@@ -98,10 +116,25 @@ def _regex_for(dialect: str, key: str) -> str:
     raise ValueError(f"not a regex dialect: {dialect}")
 
 
+# Characters a regex dialect's match may start before the key itself.
+_KEY_LEAD = {"regex": 1, "loose": 1, "rawline": 2}
+
+
 def regex_value(text: Column, line: Column, dialect: str, key: str) -> Column:
-    """First captured digits of a regex dialect, NULL when there is no match."""
+    """First captured digits of a regex dialect, NULL when there is no match.
+
+    Every match contains the key, so the leftmost match starts at most a
+    quote (or an escaped quote) before the key's first occurrence: the
+    search starts there instead of trying every position of the answer.
+    """
     src = line if dialect == "rawline" else text
-    return _nonempty(F.regexp_extract(src, _regex_for(dialect, key), 1))
+    pos = F.instr(src, key)
+    return _key_anchored(src, pos, dialect, key)
+
+
+def _key_anchored(src: Column, pos: Column, dialect: str, key: str) -> Column:
+    tail = F.substring(src, F.greatest(pos - F.lit(_KEY_LEAD[dialect]), F.lit(1)), F.lit(2147483647))
+    return F.when(pos > 0, _nonempty(F.regexp_extract(tail, _regex_for(dialect, key), 1)))
 
 
 def raw_line(video: Column, response: Column) -> Column:
@@ -109,6 +142,15 @@ def raw_line(video: Column, response: Column) -> Column:
     return F.to_json(F.create_map(video, response))
 
 
+def _case(pairs: list[tuple[Column, Column]], default: Column | None = None) -> Column:
+    expr = None
+    for cond, val in pairs:
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    if expr is None:
+        return default if default is not None else F.lit(None)
+    return expr.otherwise(default) if default is not None else expr
+
+
 def extract_labels(
     df: DataFrame,
     dialect: str | Column,
@@ -125,8 +167,11 @@ def extract_labels(
     the latter case ``combos`` lists the (dialect, key) pairs that can occur,
     so every branch is a literal pattern compiled once per task.
 
-    The work is split into three projections so that the candidate block and
-    the parsed object are each computed once per row.
+    The work is staged in projections so that every scan of the (long)
+    answer text happens once per row: brace / key positions, then the block,
+    then the small per-dialect transform of the block, then one strict parse.
+    Spark does not share sub-expressions across conditional branches, so a
+    nested expression would re-scan the text for every reference.
     """
     if isinstance(dialect, str):
         if dialect not in DIALECTS:
@@ -146,39 +191,58 @@ def extract_labels(
     else:
         line = F.lit(None).cast("string")
 
-    json_combos = [(d, k) for d, k in combos if d in JSON_DIALECTS]
+    dialects = sorted({d for d, _ in combos})
+    json_ds = [d for d in dialects if d in JSON_DIALECTS]
+    greedy_ds = [d for d in json_ds if d in GREEDY_DIALECTS]
+    lazy_ds = [d for d in json_ds if d in LAZY_DIALECTS]
     rx_combos = [(d, k) for d, k in combos if d in REGEX_DIALECTS]
-    keys = sorted({k for _, k in json_combos})
-
-    # Projection 1: candidate document (JSON dialects) or matched digits.
-    doc = None
-    for d in sorted({d for d, _ in json_combos}):
-        cond = dcol == F.lit(d)
-        doc = F.when(cond, candidate_document(text, d)) if doc is None else doc.when(cond, candidate_document(text, d))
-    rx = None
-    for d, k in rx_combos:
-        cond = (dcol == F.lit(d)) & (kcol == F.lit(k))
-        v = regex_value(text, line, d, k)
-        rx = F.when(cond, v) if rx is None else rx.when(cond, v)
-    is_json = dcol.isin(*[d for d, _ in json_combos]) if json_combos else F.lit(False)
-
-    out = df.withColumn("_vk_doc", doc if doc is not None else F.lit(None).cast("string"))
-    out = out.withColumn("_vk_rx", rx if rx is not None else F.lit(None).cast("string"))
-    out = out.withColumn("_vk_json", is_json)
-
-    # Projection 2: strict parse of the candidate, once.
+    keys = sorted({k for d, k in combos if d in JSON_DIALECTS})
+
+    def is_in(ds):
+        return dcol.isin(*ds) if ds else F.lit(False)
+
+    # Stage 1: first '{' (block dialects) and first key position (regex dialects).
+    out = df.withColumn("_vk_first", F.when(is_in(greedy_ds + lazy_ds), F.instr(text, "{")))
+    kpos = _case(
+        [
+            ((dcol == F.lit(d)) & (kcol == F.lit(k)), F.instr(line if d == "rawline" else text, k))
+            for d, k in rx_combos
+        ]
+    )
+    out = out.withColumn("_vk_kpos", kpos.cast("int"))
+    # Stage 2: closing brace (greedy: the last one; lazy: the first after '{').
+    first = F.col("_vk_first")
+    last = F.length(text) - F.length(F.substring_index(text, "}", -1))
+    close = F.call_function("locate", F.lit("}"), text, first)
+    end = _case([(is_in(greedy_ds), last), (is_in(lazy_ds), close)])
+    out = out.withColumn("_vk_end", F.when(first > 0, end).cast("int"))
+    # Stage 3: the block (or the whole text for 'strict') and the regex value.
+    endc = F.col("_vk_end")
+    block = F.when((first > 0) & (endc > first), F.substring(text, first, endc - first + 1))
+    doc_src = _case([(is_in(greedy_ds + lazy_ds), block), (dcol == F.lit("strict"), text)])
+    out = out.withColumn("_vk_blk", doc_src.cast("string"))
+    rx = _case(
+        [
+            ((dcol == F.lit(d)) & (kcol == F.lit(k)), _key_anchored(line if d == "rawline" else text, F.col("_vk_kpos"), d, k))
+            for d, k in rx_combos
+        ]
+    )
+    out = out.withColumn("_vk_rx", rx.cast("string"))
+    # Stage 4: per-dialect transform of the (short) block.
+    blk = F.col("_vk_blk")
+    doc = _case([(dcol == F.lit(d), block_transform(blk, d)) for d in json_ds])
+    out = out.withColumn("_vk_doc", doc.cast("string")).withColumn("_vk_json", is_in(json_ds))
+    out = out.drop("_vk_first", "_vk_kpos", "_vk_end", "_vk_blk")
+
+    # Stage 5: strict parse of the candidate, once.
     if keys:
         out = with_strict_object(out, "_vk_doc", keys, "_vk_obj", guard=F.col("_vk_doc").isNotNull())
     else:
         out = out.withColumn("_vk_obj", F.lit(None))
 
-    # Projection 3: answer text and status.
+    # Stage 6: answer text and status.
     if keys:
-        field = None
-        for k in keys:
-            cond = kcol == F.lit(k)
-            v = F.col("_vk_obj").getField(k)
-            field = F.when(cond, v) if field is None else field.when(cond, v)
+        field = _case([(kcol == F.lit(k), F.col("_vk_obj").getField(k)) for k in keys])
     else:
         field = F.lit(None).cast("string")
     value = F.when(F.col("_vk_json"), field).otherwise(F.col("_vk_rx"))

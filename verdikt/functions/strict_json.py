@@ -1,11 +1,15 @@
 """Strict JSON reading with built-in expressions only.
 
 ``from_json`` on its own is lenient: it returns the first object of
-``{..} junk {..}`` and accepts single quotes. Wrapping the candidate in
-``[`` ``]`` and parsing it as an array makes trailing junk a parse error and
-exposes a second top-level value as a second element, so "exactly one
-element" is the strict test. A struct schema keeps the *last* duplicate key,
-as Python's ``json.loads`` does.
+``{..} junk {..}`` and accepts single quotes. The candidate is therefore
+parsed inside an array followed by a sentinel element:
+``[`` doc ``, {"~vk~": 1}]``. Junk after the document becomes a syntax
+error inside the array, a second top-level value becomes an extra element,
+and a document that closes the array early (``{..}] and [{..}``) loses the
+sentinel, since the parser ignores whatever follows the root value. So
+"exactly two elements, the second one the intact sentinel" is the strict
+test. A struct schema keeps the *last* duplicate key, as Python's
+``json.loads`` does.
 
 The parse is expensive, so hot paths use :func:`with_strict_object`, which
 parses in one projection and tests the size in the next; the optimizer does
@@ -26,19 +30,24 @@ _STRICT_OPTIONS = {
 }
 
 
+SENTINEL = "~vk~"
+_TAIL = ', {"' + SENTINEL + '": 1}]'
+
+
 def _field_ddl(fields: list[str]) -> str:
-    cols = ", ".join(f"`{f}`: STRING" for f in fields)
+    cols = ", ".join(f"`{f}`: STRING" for f in [*fields, SENTINEL])
     return f"ARRAY<STRUCT<{cols}>>"
 
 
 def strict_array(doc: Column, fields: list[str]) -> Column:
-    """``doc`` parsed as a JSON array body (NULL when it is not valid JSON)."""
-    return F.from_json(F.concat(F.lit("["), doc, F.lit("]")), _field_ddl(fields), _STRICT_OPTIONS)
+    """``doc`` parsed with the sentinel wrapper (NULL when not valid JSON)."""
+    return F.from_json(F.concat(F.lit("["), doc, F.lit(_TAIL)), _field_ddl(fields), _STRICT_OPTIONS)
 
 
 def single(arr: Column) -> Column:
-    """The only element of ``arr``; NULL when it has none or several."""
-    return F.when(F.size(arr) == 1, F.get(arr, 0))
+    """The document's value when the sentinel came back intact, else NULL."""
+    ok = (F.size(arr) == 2) & (F.get(arr, 1).getField(SENTINEL) == F.lit("1"))
+    return F.when(ok, F.get(arr, 0))
 
 
 def strict_object(doc: Column, fields: list[str]) -> Column:

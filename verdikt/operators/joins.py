@@ -1,4 +1,14 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Join helpers with an explicit size check before broadcasting.
+
+Two ways to broadcast only what is proven small:
+
+* default (``max_rows=None``): no hint. The planner broadcasts a side only
+  when its size estimate (file bytes of the scan, scaled by the projection)
+  is under ``spark.sql.autoBroadcastJoinThreshold``; with AQE the decision
+  is re-checked against the real shuffle sizes at run time. No extra job.
+* ``max_rows=N``: an exact bound. At most N + 1 rows are counted (one small
+  job); the side is broadcast only when it has at most N rows.
+"""
 
 from __future__ import annotations
 
@@ -19,8 +29,9 @@ def row_count_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a proven row bound, else leave it to the planner."""
-    if max_rows > 0 and row_count_at_most(df, max_rows):
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a proven row bound, else leave it to the
+    planner's size check (see module docstring)."""
+    if max_rows is not None and max_rows > 0 and row_count_at_most(df, max_rows):
         return F.broadcast(df)
     return df

@@ -11,21 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions.labels import label_number, predicted_label, strip_media_suffix
-from verdikt.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from verdikt.operators.joins import broadcast_if_small
 
 
 def attach_truth(
     preds: DataFrame,
     truth: DataFrame,
     video_col: str = "video",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """J2 + J5: strip '.mp4' from the video key and inner-join the truth.
 
     Unmatched rows on either side are dropped; a duplicated title multiplies
     rows, as an equi-join does. Rows whose label text is unknown (no
-    ``true_label``) are excluded. The truth side is broadcast only when its
-    row count is proven small; otherwise a shuffle join is planned. Run
+    ``true_label``) are excluded. The truth side is broadcast only behind a
+    size check: the planner's byte estimate by default, or an exact row
+    bound with ``max_broadcast_rows``; otherwise a shuffle join is planned. Run
     after deduplication, the prediction side holds at most one row per
     (run, video), so no video key can be hot on a shuffle join either.
     """

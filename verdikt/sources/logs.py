@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SENTINEL = "~vk~"
+_LINE_TAIL = ', {"' + _SENTINEL + '": 1}]'
 KEYED_LINE_DDL = "ARRAY<MAP<STRING, STRING>>"
-IDPRED_DDL = "ARRAY<STRUCT<id: STRING, truth: STRING, pred: STRING>>"
+IDPRED_DDL = "ARRAY<STRUCT<id: STRING, truth: STRING, pred: STRING, `~vk~`: STRING>>"
 _LINE_OPTIONS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
@@ -56,11 +58,12 @@ def parse_keyed_lines(lines: DataFrame, line_col: str = "line", order_col: str =
     through as its raw JSON text. Bad lines keep one row with NULL video.
     Columns of ``lines`` other than ``line_col`` are carried through.
     """
-    arr = F.from_json(F.concat(F.lit("["), F.col(line_col), F.lit("]")), KEYED_LINE_DDL, _LINE_OPTIONS)
-    # Parse in one projection, test the size in the next: the parse runs once.
-    staged = lines.withColumn("_kl_arr", arr).withColumn(
-        "_kl_map", F.when(F.size(F.col("_kl_arr")) == 1, F.get(F.col("_kl_arr"), 0))
-    )
+    # Same sentinel wrapper as the strict reader: a line must be exactly one
+    # JSON object. Parse in one projection, test in the next: one parse.
+    arr = F.from_json(F.concat(F.lit("["), F.col(line_col), F.lit(_LINE_TAIL)), KEYED_LINE_DDL, _LINE_OPTIONS)
+    a = F.col("_kl_arr")
+    intact = (F.size(a) == 2) & (F.try_element_at(F.get(a, 1), F.lit(_SENTINEL)) == F.lit("1"))
+    staged = lines.withColumn("_kl_arr", arr).withColumn("_kl_map", F.when(intact, F.get(a, 0)))
     # A bad line yields one placeholder entry (NULL key) so it stays
     # countable; JSON object keys are never NULL, so the key tells bad lines
     # apart after the explode. Testing the exploded key (rather than a column
@@ -101,9 +104,11 @@ def parse_idpred_lines(
     ``drop_empty=False``: a missing id becomes 'NAN', a missing pred ''.
     ``drop_empty=True``: rows with an empty id or pred are dropped, not scored.
     """
-    arr = F.from_json(F.concat(F.lit("["), F.col(line_col), F.lit("]")), IDPRED_DDL, _LINE_OPTIONS)
+    arr = F.from_json(F.concat(F.lit("["), F.col(line_col), F.lit(_LINE_TAIL)), IDPRED_DDL, _LINE_OPTIONS)
     df = lines.withColumn("_ip_arr", arr)
-    df = df.withColumn("_ip", F.when(F.size(F.col("_ip_arr")) == 1, F.get(F.col("_ip_arr"), 0))).drop("_ip_arr")
+    a = F.col("_ip_arr")
+    intact = (F.size(a) == 2) & (F.get(a, 1).getField(_SENTINEL) == F.lit("1"))
+    df = df.withColumn("_ip", F.when(intact, F.get(a, 0))).drop("_ip_arr")
     df = df.withColumn("line_status", F.when(F.col("_ip").isNull(), F.lit("bad_line")).otherwise(F.lit("ok")))
     vid = F.col("_ip").getField("id")
     pred = F.col("_ip").getField("pred")

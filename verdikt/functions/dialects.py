@@ -186,10 +186,11 @@ def extract_labels(
 
     text = F.col(text_col)
     needs_line = any(d == "rawline" for d, _ in combos)
-    if needs_line:
-        line = F.col(line_col) if line_col else raw_line(F.col(video_col), text)
-    else:
-        line = F.lit(None).cast("string")
+    if needs_line and not line_col:
+        # Build the JSONL line once, as its own column.
+        df = df.withColumn("_vk_line", raw_line(F.col(video_col), text))
+        line_col = "_vk_line"
+    line = F.col(line_col) if needs_line else F.lit(None).cast("string")
 
     dialects = sorted({d for d, _ in combos})
     json_ds = [d for d in dialects if d in JSON_DIALECTS]
@@ -255,7 +256,7 @@ def extract_labels(
         .otherwise(F.lit("ok"))
     )
     return out.withColumn("raw_value", value).withColumn("parse_status", status).drop(
-        "_vk_doc", "_vk_rx", "_vk_json", "_vk_obj"
+        "_vk_doc", "_vk_rx", "_vk_json", "_vk_obj", "_vk_line"
     )
 
 

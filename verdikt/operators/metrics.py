@@ -129,7 +129,7 @@ def majority_vote(
     agg = scored.groupBy(*group_cols, video_col).agg(
         F.count(F.lit(1)).alias("voters"),
         F.sum("predicted_label").alias("votes_abnormal"),
-        F.first("true_label").alias("true_label"),
+        F.max("true_label").alias("true_label"),  # one truth per video
     )
     vote = (
         F.when(F.col("votes_abnormal") * 2 > F.col("voters"), F.lit(1))

@@ -455,10 +455,17 @@ ORACLE["request_pack"] = ORACLE["request_pack"].replace("__PROMPT__", O._q(_zero
 
 @register(
     "latency_stats",
-    """SELECT event_type AS model, count(value) AS n, round(avg(value), 6) AS avg_s,
-       round(quantile_cont(value, 0.5), 6) AS p50_s, round(quantile_cont(value, 0.9), 6) AS p90_s, max(value) AS max_s,
+    """WITH r AS (
+  SELECT event_type, value, event_id,
+         row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn,
+         count(value) OVER (PARTITION BY event_type) AS cnt
+  FROM events WHERE value IS NOT NULL)
+SELECT event_type AS model, count(value) AS n, round(avg(value), 6) AS avg_s,
+       max(CASE WHEN rn = greatest(ceil(CAST(0.5 AS DOUBLE) * cnt), 1) THEN value END) AS p50_s,
+       max(CASE WHEN rn = greatest(ceil(CAST(0.9 AS DOUBLE) * cnt), 1) THEN value END) AS p90_s,
+       max(value) AS max_s,
        count(DISTINCT replace(regexp_replace('runs/' || event_type || '/vid_' || CAST(event_id AS VARCHAR) || '.mp4', '^.*/', ''), '.mp4', '')) AS n_videos
-FROM events GROUP BY event_type""",
+FROM r GROUP BY event_type""",
 )
 def q_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdikt.operators.inference import clean_video_name

@@ -40,3 +40,18 @@ def test_stream_equals_batch(spark):
     batch = sorted(tuple(r) for r in catalog.QUERIES["sliced_metrics"](spark, SMALL).collect())
     stream = sorted(tuple(r) for r in catalog.QUERIES["stream_metrics"](spark, SMALL).collect())
     assert batch == stream
+
+
+def test_retried_epoch_is_idempotent(spark, tmp_path):
+    from verdikt.streaming.ingest import _merge_batch, latest_table
+
+    batch = spark.createDataFrame(
+        [("m", "z", '{"v1.mp4": "{\\"result\\": 1}"}', 1, "p", 0)],
+        "model string, method string, line string, mtime long, path string, block long",
+    ).select("model", "method", "line", F.struct(F.col("mtime").cast("timestamp").alias("mtime"), "path", "block").alias("file_order"))
+    merge = _merge_batch(str(tmp_path / "t"), "greedy", "result")
+    merge(batch, 0)
+    merge(batch, 0)  # retry of the same epoch
+    stored = spark.read.option("basePath", str(tmp_path / "t")).parquet(str(tmp_path / "t"))
+    assert stored.count() == 1
+    assert [r.raw_value for r in latest_table(spark, str(tmp_path / "t")).collect()] == ["1"]

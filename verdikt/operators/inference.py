@@ -40,7 +40,8 @@ def score_batches(
     """Score requests in batches on the executors.
 
     ``partitions`` caps the concurrency (one batch stream per task);
-    ``batch_size`` is the Arrow batch size handed to the scorer; ``max_rps``
+    ``batch_size`` is the number of requests handed to one scorer call
+    (Arrow batches are cut to that size inside the task); ``max_rps``
     spaces out calls inside each task (I3). A scorer exception marks every
     row of its batch with ``error`` and a NULL ``response``: an error never
     becomes response text (I4). ``latency_s`` is the batch wall time divided
@@ -49,13 +50,16 @@ def score_batches(
     df = requests.select(*key_cols, text_col)
     if partitions:
         df = df.repartition(partitions)
-    spark = requests.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
     keys = list(key_cols)
 
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_size):
+                yield pdf.iloc[start : start + batch_size]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = 0.0
-        for i, pdf in enumerate(batches):
+        for i, pdf in enumerate(chunks(batches)):
             if max_rps:
                 wait = len(pdf) / max_rps - (time.perf_counter() - last)
                 if last and wait > 0:
@@ -69,7 +73,7 @@ def score_batches(
                 err = f"{type(e).__name__}: {e}"
             last = time.perf_counter()
             lat = (last - t0) / max(len(pdf), 1)
-            out = pd.DataFrame({k: pdf[k] for k in keys})
+            out = pd.DataFrame({k: pdf[k].to_numpy() for k in keys})
             for k in ("model", "method", "video"):
                 if k not in out:
                     out[k] = None

@@ -590,7 +590,7 @@ def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from verdikt.operators.scoring import attach_truth, score_rows
     from verdikt.session import checkpoint_path
-    from verdikt.streaming.ingest import ingest, write_log_files
+    from verdikt.streaming.ingest import ingest, latest_table, write_log_files
 
     run = uuid.uuid4().hex
     folder = checkpoint_path(spark, f"stream-{run}/drop")
@@ -599,5 +599,5 @@ def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
     write_log_files(lines, folder)
     ingest(spark, folder, table_path, ckpt, dialect="greedy", key="result", max_files_per_trigger=4)
-    latest = spark.read.parquet(table_path).select("model", "method", "video", "raw_value", "parse_status")
+    latest = latest_table(spark, table_path).select("model", "method", "video", "raw_value", "parse_status")
     return sliced_metrics(score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong"))

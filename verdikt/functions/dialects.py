@@ -45,23 +45,44 @@ def _nonempty(c: Column) -> Column:
     return F.when(c != F.lit(""), c)
 
 
+def _after_first_brace(text: Column) -> Column:
+    """Text after the first '{' (NULL when there is none).
+
+    ``split`` on an escaped single character takes Java's fast path
+    (a plain character search, no regex engine, no per-character counting).
+    """
+    return F.get(F.split(text, r"\{", 2), 1)
+
+
+def _greedy_keep(rest: Column) -> Column:
+    """Characters of ``rest`` up to and including its last '}' (0 if none)."""
+    return F.length(rest) - F.length(F.substring_index(rest, "}", -1))
+
+
+def _lazy_keep(rest: Column) -> Column:
+    """Characters of ``rest`` up to and including its first '}' (0 if none)."""
+    return F.instr(rest, "}")
+
+
+def _block(rest: Column, keep: Column) -> Column:
+    return F.when(keep > 0, F.concat(F.lit("{"), F.substring(rest, F.lit(1), keep)))
+
+
 def greedy_block(text: Column) -> Column:
     """Text from the first '{' to the last '}' (NULL when there is none).
 
-    Equal to a dot-all ``\\{.*\\}`` search but linear without backtracking:
-    the last '}' is found from the end (``substring_index`` with a negative
-    count scans backwards and copies only the tail).
+    Equal to a dot-all ``\\{.*\\}`` search without a regex: split once at the
+    first '{', then drop what follows the last '}' of the remainder
+    (``substring_index`` with a negative count scans from the end).
     """
-    first = F.instr(text, "{")
-    last = F.length(text) - F.length(F.substring_index(text, "}", -1))
-    return F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1))
+    rest = _after_first_brace(text)
+    return _block(rest, _greedy_keep(rest))
 
 
 def lazy_block(text: Column) -> Column:
     """Text from the first '{' to the first '}' after it (NULL when none)."""
-    first = F.instr(text, "{")
-    close = F.call_function("locate", F.lit("}"), text, first)
-    return F.when((first > 0) & (close > first), F.substring(text, first, close - first + 1))
+    rest = _after_first_brace(text)
+    return _block(rest, _lazy_keep(rest))
 
 
 def strip_line_comments(block: Column) -> Column:
@@ -107,34 +128,28 @@ def candidate_document(text: Column, dialect: str) -> Column:
 
 
 def _regex_for(dialect: str, key: str) -> str:
+    """Search patterns of the regex dialects.
+
+    The rules allow an optional quote before the key (``["']?key``). That
+    prefix never changes the captured digits: every match contains the key,
+    the optional quote only moves the match start one character left, and
+    matches at different key occurrences cannot overlap. So the pattern
+    starts with the literal key, which lets Java search it with Boyer-Moore
+    instead of trying a match at every position.
+    """
     if dialect == "regex":
-        return "[\"']?" + key + "[\"']?\\s*:\\s*[\"']?([0-9]+)"
+        return key + "[\"']?\\s*:\\s*[\"']?([0-9]+)"
     if dialect == "loose":
-        return "[\"']?" + key + "[\"']?\\s*:\\s*([0-9]+)"
+        return key + "[\"']?\\s*:\\s*([0-9]+)"
     if dialect == "rawline":
         return r'\\"' + key + r'\\"\s*:\s*([0-9]+)'
     raise ValueError(f"not a regex dialect: {dialect}")
 
 
-# Characters a regex dialect's match may start before the key itself.
-_KEY_LEAD = {"regex": 1, "loose": 1, "rawline": 2}
-
-
 def regex_value(text: Column, line: Column, dialect: str, key: str) -> Column:
-    """First captured digits of a regex dialect, NULL when there is no match.
-
-    Every match contains the key, so the leftmost match starts at most a
-    quote (or an escaped quote) before the key's first occurrence: the
-    search starts there instead of trying every position of the answer.
-    """
+    """First captured digits of a regex dialect, NULL when there is no match."""
     src = line if dialect == "rawline" else text
-    pos = F.instr(src, key)
-    return _key_anchored(src, pos, dialect, key)
-
-
-def _key_anchored(src: Column, pos: Column, dialect: str, key: str) -> Column:
-    tail = F.substring(src, F.greatest(pos - F.lit(_KEY_LEAD[dialect]), F.lit(1)), F.lit(2147483647))
-    return F.when(pos > 0, _nonempty(F.regexp_extract(tail, _regex_for(dialect, key), 1)))
+    return _nonempty(F.regexp_extract(src, _regex_for(dialect, key), 1))
 
 
 def raw_line(video: Column, response: Column) -> Column:
@@ -202,38 +217,26 @@ def extract_labels(
     def is_in(ds):
         return dcol.isin(*ds) if ds else F.lit(False)
 
-    # Stage 1: first '{' (block dialects) and first key position (regex dialects).
-    out = df.withColumn("_vk_first", F.when(is_in(greedy_ds + lazy_ds), F.instr(text, "{")))
-    kpos = _case(
-        [
-            ((dcol == F.lit(d)) & (kcol == F.lit(k)), F.instr(line if d == "rawline" else text, k))
-            for d, k in rx_combos
-        ]
-    )
-    out = out.withColumn("_vk_kpos", kpos.cast("int"))
-    # Stage 2: closing brace (greedy: the last one; lazy: the first after '{').
-    first = F.col("_vk_first")
-    last = F.length(text) - F.length(F.substring_index(text, "}", -1))
-    close = F.call_function("locate", F.lit("}"), text, first)
-    end = _case([(is_in(greedy_ds), last), (is_in(lazy_ds), close)])
-    out = out.withColumn("_vk_end", F.when(first > 0, end).cast("int"))
-    # Stage 3: the block (or the whole text for 'strict') and the regex value.
-    endc = F.col("_vk_end")
-    block = F.when((first > 0) & (endc > first), F.substring(text, first, endc - first + 1))
-    doc_src = _case([(is_in(greedy_ds + lazy_ds), block), (dcol == F.lit("strict"), text)])
-    out = out.withColumn("_vk_blk", doc_src.cast("string"))
+    # Stage 1: the text after the first '{' (block dialects) and the regex
+    # value (regex dialects).
+    out = df.withColumn("_vk_rest", F.when(is_in(greedy_ds + lazy_ds), _after_first_brace(text)))
     rx = _case(
-        [
-            ((dcol == F.lit(d)) & (kcol == F.lit(k)), _key_anchored(line if d == "rawline" else text, F.col("_vk_kpos"), d, k))
-            for d, k in rx_combos
-        ]
+        [((dcol == F.lit(d)) & (kcol == F.lit(k)), regex_value(text, line, d, k)) for d, k in rx_combos]
     )
     out = out.withColumn("_vk_rx", rx.cast("string"))
+    # Stage 2: how much of it the block keeps (greedy: up to the last '}';
+    # lazy: up to the first '}').
+    rest = F.col("_vk_rest")
+    keep = _case([(is_in(greedy_ds), _greedy_keep(rest)), (is_in(lazy_ds), _lazy_keep(rest))])
+    out = out.withColumn("_vk_keep", keep.cast("int"))
+    # Stage 3: the block (or the whole text for 'strict').
+    doc_src = _case([(is_in(greedy_ds + lazy_ds), _block(rest, F.col("_vk_keep"))), (dcol == F.lit("strict"), text)])
+    out = out.withColumn("_vk_blk", doc_src.cast("string"))
     # Stage 4: per-dialect transform of the (short) block.
     blk = F.col("_vk_blk")
     doc = _case([(dcol == F.lit(d), block_transform(blk, d)) for d in json_ds])
     out = out.withColumn("_vk_doc", doc.cast("string")).withColumn("_vk_json", is_in(json_ds))
-    out = out.drop("_vk_first", "_vk_kpos", "_vk_end", "_vk_blk")
+    out = out.drop("_vk_rest", "_vk_keep", "_vk_blk")
 
     # Stage 5: strict parse of the candidate, once.
     if keys:

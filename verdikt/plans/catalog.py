@@ -74,7 +74,9 @@ from verdikt.config import METHOD_KEYS, RUN_MATRIX  # noqa: E402
 from verdikt.functions.dialects import extract_labels, with_chain_record  # noqa: E402
 from verdikt.functions.labels import label_int, label_number  # noqa: E402
 from verdikt.operators.metrics import chain_shift, default_slices, majority_vote, parse_quality  # noqa: E402
+from verdikt.operators.scoring import attach_truth, score_rows  # noqa: E402
 from verdikt.plans.evaluate import evaluate_grid, extract_from_lines, latest_answers  # noqa: E402
+from verdikt.sources.logs import parse_idpred_lines, parse_raw_lines  # noqa: E402
 
 GRID_RUNS = [(m, me, METHOD_KEYS[me]) for (m, me, _, _, _) in RUN_MATRIX]
 
@@ -139,7 +141,14 @@ def _make_dialect_query(dialect: str, method: str):
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         ans = derived_answers(spark, sf_dir, runs)
-        ex = extract_labels(ans, dialect, key)
+        if dialect == "rawline":
+            # S3: the log line is not decoded; its video key comes from a
+            # regex on the raw line, the label from the raw-line dialect.
+            ans = ans.withColumn("line", F.to_json(F.create_map(F.col("video"), F.col("response"))))
+            ans = parse_raw_lines(ans.drop("video")).select("model", "method", "video", "attempt", "response", "line")
+            ex = extract_labels(ans, dialect, key, line_col="line")
+        else:
+            ex = extract_labels(ans, dialect, key)
         return ex.select(
             "model", "method", "video", "attempt",
             label_int(label_number(F.col("raw_value"))).alias("label"),
@@ -231,7 +240,7 @@ from verdikt.operators import media_plan as MP  # noqa: E402
 from verdikt.operators import profile as NP  # noqa: E402
 from verdikt.operators.dedup import last_wins  # noqa: E402
 from verdikt.operators.inference import keyword_scorer, latency_stats, replay, score_batches  # noqa: E402
-from verdikt.operators.prompts import DEFAULT_RULES, frame_parts, request_json, rules_text, second_pass_prompt, template_table  # noqa: E402
+from verdikt.operators.prompts import DEFAULT_RULES, frame_parts, request_json, rules_text, second_pass_prompt, with_prompt  # noqa: E402
 from verdikt.plans.fixtures import derived_chain_records, table  # noqa: E402
 from verdikt.sources.tables import spread  # noqa: E402
 
@@ -443,8 +452,9 @@ def q_request_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sampled = MP.sample_frames(c, video_col="conv_id")
     packed = frame_parts(sampled, ["conv_id"])
-    prompt = F.lit(_zeroshot_frames_prompt(spark))
-    return packed.select("conv_id", "n_frames", request_json(F.lit("frames-model"), prompt, F.col("frames")).alias("request"))
+    # The prompt comes from the (method, modality) template table.
+    packed = with_prompt(packed.withColumn("method", F.lit("zeroshot")).withColumn("modality", F.lit("frames")))
+    return packed.select("conv_id", "n_frames", request_json(F.lit("frames-model"), F.col("prompt"), F.col("frames")).alias("request"))
 
 
 ORACLE["request_pack"] = ORACLE["request_pack"].replace("__PROMPT__", O._q(_zeroshot_frames_prompt(None)))
@@ -601,3 +611,38 @@ def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest(spark, folder, table_path, ckpt, dialect="greedy", key="result", max_files_per_trigger=4)
     latest = latest_table(spark, table_path).select("model", "method", "video", "raw_value", "parse_status")
     return sliced_metrics(score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong"))
+
+
+
+# --- S2 id/pred logs (open-model runs): strict and loose dialects ---------------
+
+IDPRED_RUNS = [("VILA", "zeroshot", "result"), ("VILA", "fewshot", "anomaly")]
+
+
+@register(
+    "idpred_metrics",
+    "WITH " + O.truth_cte() + ",\n" + O.answers_cte(IDPRED_RUNS) + ",\n"
+    "kept AS (SELECT * FROM answers WHERE method = 'zeroshot' OR (response IS NOT NULL AND response <> '')),\n"
+    + O.latest_cte("CASE WHEN method = 'zeroshot' THEN " + O.dialect_value_sql("strict", "result", text="coalesce(response, '')")
+                   + " ELSE " + O.dialect_value_sql("loose", "anomaly") + " END", source="kept") + ",\n"
+    + O.scored_cte() + ",\n" + O.sliced_metrics_sql("scored") + " WHERE slice IN ('all', 'clear', 'vague')",
+)
+def q_idpred_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open-model logs hold one ``{"id", "truth", "pred"}`` object per line.
+    Zero-shot reads ``pred`` as strict JSON (a missing pred is ''); the other
+    methods use the loose regex and drop lines with an empty id or pred."""
+    ans = derived_answers(spark, sf_dir, IDPRED_RUNS)
+    lines = ans.select(
+        "model", "method",
+        F.to_json(F.struct(F.col("video").alias("id"), F.lit(None).cast("int").alias("truth"), F.col("response").alias("pred"))).alias("line"),
+        F.struct(F.col("attempt").alias("pass"), F.col("doc_id").alias("seq")).alias("line_order"),
+    )
+    zs = parse_idpred_lines(lines.where(F.col("method") == "zeroshot"))
+    zs = extract_labels(zs, "strict", "result")
+    fs = parse_idpred_lines(lines.where(F.col("method") == "fewshot"), drop_empty=True)
+    fs = extract_labels(fs, "loose", "anomaly")
+    cols = ["model", "method", "video", "raw_value", "parse_status", "line_order"]
+    rows = zs.where(F.col("line_status") == "ok").select(*cols).unionByName(fs.where(F.col("line_status") == "ok").select(*cols))
+    latest = last_wins(rows, ["model", "method", "video"], "line_order", ["raw_value", "parse_status"])
+    scored = score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong")
+    return sliced_metrics(scored, slices=[s for s in default_slices() if s[0] in ("all", "clear", "vague")])

@@ -105,7 +105,7 @@ def test_chain_record(spark):
         ("blank_lines", "{" + NL + NL + '"video_description": "d", "reasoning": "r", "anomaly": 1}'),
     ]
     df = spark.createDataFrame(rows, "name string, t string")
-    got = {r["name"]: tuple(r["c"][:3]) for r in df.select("name", chain_record(F.col("t")).alias("c")).collect()}
+    got = {r["name"]: tuple(r["c"][:3]) for r in df.select("name", chain_record("t").alias("c")).collect()}
     assert got["plain"] == ("d", "r", "1")
     assert got["fenced"] == ("d", "r", "1")
     assert got["missing"] == ("d", "NAN", "0")

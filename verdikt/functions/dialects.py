@@ -20,6 +20,10 @@ repair      a comma put after every quote that is followed by optional white
 rawline     regex on the still-escaped JSONL line: \\"key\\" : <digits>
 strict      the whole text must be one JSON object
 loose       like regex, but no quote allowed before the digits
+
+The expressions are written as Spark SQL text (see
+:mod:`verdikt.functions.sqltext`) and staged in projections by
+:func:`extract_labels`; public helpers take column names and return Columns.
 """
 
 from __future__ import annotations
@@ -30,71 +34,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.config import CHAIN_DEFAULT_ANOMALY, CHAIN_DEFAULT_TEXT
-from verdikt.functions.strict_json import strict_object, with_strict_object
+from verdikt.functions.sqltext import case, ident, lit
+from verdikt.functions.strict_json import single_sql, strict_array_sql, with_strict_object
 
 JSON_DIALECTS = ("greedy", "greedy_raw", "flat", "repair", "strict")
 REGEX_DIALECTS = ("regex", "loose", "rawline")
 DIALECTS = JSON_DIALECTS + REGEX_DIALECTS
+GREEDY_DIALECTS = ("greedy", "greedy_raw")
+LAZY_DIALECTS = ("flat", "repair")
 
 # ASCII white space stripped by Python's str.strip() (Unicode spaces beyond
 # ASCII are not stripped here; documented difference).
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
-def _nonempty(c: Column) -> Column:
-    return F.when(c != F.lit(""), c)
+# --- SQL text builders ------------------------------------------------------
 
 
-def _after_first_brace(text: Column) -> Column:
+def after_first_brace_sql(text: str) -> str:
     """Text after the first '{' (NULL when there is none).
 
-    ``split`` on an escaped single character takes Java's fast path
-    (a plain character search, no regex engine, no per-character counting).
+    ``split`` on an escaped single character takes Java's fast path (a plain
+    character search: no regex engine, no per-character position counting).
     """
-    return F.get(F.split(text, r"\{", 2), 1)
+    return f"get(split({text}, {lit(chr(92) + '{')}, 2), 1)"
 
 
-def _greedy_keep(rest: Column) -> Column:
-    """Characters of ``rest`` up to and including its last '}' (0 if none)."""
-    return F.length(rest) - F.length(F.substring_index(rest, "}", -1))
+def greedy_keep_sql(rest: str) -> str:
+    """Characters of ``rest`` up to and including its last '}' (0 if none);
+    ``substring_index`` with a negative count scans from the end."""
+    return f"length({rest}) - length(substring_index({rest}, '}}', -1))"
 
 
-def _lazy_keep(rest: Column) -> Column:
+def lazy_keep_sql(rest: str) -> str:
     """Characters of ``rest`` up to and including its first '}' (0 if none)."""
-    return F.instr(rest, "}")
-
-
-def _block(rest: Column, keep: Column) -> Column:
-    return F.when(keep > 0, F.concat(F.lit("{"), F.substring(rest, F.lit(1), keep)))
-
-
-def greedy_block(text: Column) -> Column:
-    """Text from the first '{' to the last '}' (NULL when there is none).
-
-    Equal to a dot-all ``\\{.*\\}`` search without a regex: split once at the
-    first '{', then drop what follows the last '}' of the remainder
-    (``substring_index`` with a negative count scans from the end).
-    """
-    rest = _after_first_brace(text)
-    return _block(rest, _greedy_keep(rest))
+    return f"instr({rest}, '}}')"
 
 
-def lazy_block(text: Column) -> Column:
-    """Text from the first '{' to the first '}' after it (NULL when none)."""
-    rest = _after_first_brace(text)
-    return _block(rest, _lazy_keep(rest))
+def block_sql(rest: str, keep: str) -> str:
+    return f"CASE WHEN {keep} > 0 THEN concat('{{', substring({rest}, 1, {keep})) END"
 
 
-def strip_line_comments(block: Column) -> Column:
+def strip_comments_sql(block: str) -> str:
     """Delete '//' up to the end of each line (also inside strings)."""
-    return F.when(F.instr(block, "//") > 0, F.regexp_replace(block, r"//[^\n]*", "")).otherwise(block)
-
-
-GREEDY_DIALECTS = ("greedy", "greedy_raw")
-LAZY_DIALECTS = ("flat", "repair")
+    pattern = lit("//[^" + chr(92) + "n]*")
+    return f"CASE WHEN instr({block}, '//') > 0 THEN regexp_replace({block}, {pattern}, '') ELSE {block} END"
 
 
-def block_transform(block: Column, dialect: str) -> Column:
+def block_transform_sql(block: str, dialect: str) -> str:
     """What a JSON dialect does to its block before the strict parse.
 
     ``flat`` and ``repair`` are defined on the whole answer (flatten the
@@ -104,30 +91,18 @@ def block_transform(block: Column, dialect: str) -> Column:
     same document while touching a few bytes instead of the whole answer.
     """
     if dialect == "greedy":
-        return strip_line_comments(block)
+        return strip_comments_sql(block)
     if dialect in ("greedy_raw", "strict"):
         return block
     if dialect == "flat":
-        flat = F.translate(block, "\n\r", " ")
-        return strip_line_comments(F.replace(flat, F.lit("\\n"), F.lit("")))
+        flat = f"translate({block}, {lit(chr(10) + chr(13))}, ' ')"
+        return strip_comments_sql(f"replace({flat}, {lit(chr(92) + 'n')}, '')")
     if dialect == "repair":
-        return F.regexp_replace(block, r'"(\s*\n)', '",$1')
+        return f"regexp_replace({block}, {lit(chr(34) + '(' + chr(92) + 's*' + chr(92) + 'n)')}, {lit(chr(34) + ',$1')})"
     raise ValueError(f"not a JSON dialect: {dialect}")
 
 
-def candidate_document(text: Column, dialect: str) -> Column:
-    """The JSON candidate a JSON dialect hands to the strict parser
-    (expression form; :func:`extract_labels` stages the same steps)."""
-    if dialect in GREEDY_DIALECTS:
-        return block_transform(greedy_block(text), dialect)
-    if dialect in LAZY_DIALECTS:
-        return block_transform(lazy_block(text), dialect)
-    if dialect == "strict":
-        return text
-    raise ValueError(f"not a JSON dialect: {dialect}")
-
-
-def _regex_for(dialect: str, key: str) -> str:
+def regex_pattern(dialect: str, key: str) -> str:
     """Search patterns of the regex dialects.
 
     The rules allow an optional quote before the key (``["']?key``). That
@@ -142,14 +117,34 @@ def _regex_for(dialect: str, key: str) -> str:
     if dialect == "loose":
         return key + "[\"']?\\s*:\\s*([0-9]+)"
     if dialect == "rawline":
-        return r'\\"' + key + r'\\"\s*:\s*([0-9]+)'
+        return '\\\\"' + key + '\\\\"\\s*:\\s*([0-9]+)'
     raise ValueError(f"not a regex dialect: {dialect}")
 
 
-def regex_value(text: Column, line: Column, dialect: str, key: str) -> Column:
+def regex_value_sql(src: str, dialect: str, key: str) -> str:
     """First captured digits of a regex dialect, NULL when there is no match."""
-    src = line if dialect == "rawline" else text
-    return _nonempty(F.regexp_extract(src, _regex_for(dialect, key), 1))
+    return f"nullif(regexp_extract({src}, {lit(regex_pattern(dialect, key))}, 1), '')"
+
+
+# --- Column helpers (take column names) ---------------------------------------
+
+
+def greedy_block(text: str) -> Column:
+    """Text from the first '{' to the last '}' (NULL when there is none);
+    equal to a dot-all ``\\{.*\\}`` search, without a regex."""
+    rest = after_first_brace_sql(ident(text))
+    return F.expr(block_sql(rest, greedy_keep_sql(rest)))
+
+
+def lazy_block(text: str) -> Column:
+    """Text from the first '{' to the first '}' after it (NULL when none)."""
+    rest = after_first_brace_sql(ident(text))
+    return F.expr(block_sql(rest, lazy_keep_sql(rest)))
+
+
+def regex_value(text: str, dialect: str, key: str) -> Column:
+    """First captured digits of a regex dialect for column ``text``."""
+    return F.expr(regex_value_sql(ident(text), dialect, key))
 
 
 def raw_line(video: Column, response: Column) -> Column:
@@ -157,13 +152,7 @@ def raw_line(video: Column, response: Column) -> Column:
     return F.to_json(F.create_map(video, response))
 
 
-def _case(pairs: list[tuple[Column, Column]], default: Column | None = None) -> Column:
-    expr = None
-    for cond, val in pairs:
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    if expr is None:
-        return default if default is not None else F.lit(None)
-    return expr.otherwise(default) if default is not None else expr
+# --- the staged extraction ------------------------------------------------------
 
 
 def extract_labels(
@@ -183,29 +172,33 @@ def extract_labels(
     so every branch is a literal pattern compiled once per task.
 
     The work is staged in projections so that every scan of the (long)
-    answer text happens once per row: brace / key positions, then the block,
-    then the small per-dialect transform of the block, then one strict parse.
-    Spark does not share sub-expressions across conditional branches, so a
-    nested expression would re-scan the text for every reference.
+    answer text happens once per row: text after the first brace, how much
+    of it to keep, the block, the small per-dialect transform of the block,
+    then one strict parse. Spark does not share sub-expressions across
+    conditional branches, so a nested expression would re-scan the text for
+    every reference.
     """
     if isinstance(dialect, str):
         if dialect not in DIALECTS:
             raise ValueError(f"unknown dialect {dialect!r}")
         combos = [(dialect, key)]
-        dcol, kcol = F.lit(dialect), F.lit(key)
+        D, K = lit(dialect), lit(key)
     else:
         if combos is None:
             raise ValueError("combos is required when the dialect is a column")
         combos = list(dict.fromkeys(combos))
-        dcol, kcol = dialect, key if isinstance(key, Column) else F.lit(key)
+        df = df.withColumns({"_vk_d": dialect, "_vk_k": key if isinstance(key, Column) else F.lit(key)})
+        D, K = ident("_vk_d"), ident("_vk_k")
 
-    text = F.col(text_col)
+    T = ident(text_col)
     needs_line = any(d == "rawline" for d, _ in combos)
+    temps = ["_vk_d", "_vk_k"] if not isinstance(dialect, str) else []
     if needs_line and not line_col:
         # Build the JSONL line once, as its own column.
-        df = df.withColumn("_vk_line", raw_line(F.col(video_col), text))
+        df = df.withColumn("_vk_line", raw_line(F.col(video_col), F.col(text_col)))
         line_col = "_vk_line"
-    line = F.col(line_col) if needs_line else F.lit(None).cast("string")
+        temps.append("_vk_line")
+    L = ident(line_col) if needs_line else "CAST(NULL AS STRING)"
 
     dialects = sorted({d for d, _ in combos})
     json_ds = [d for d in dialects if d in JSON_DIALECTS]
@@ -215,87 +208,89 @@ def extract_labels(
     keys = sorted({k for d, k in combos if d in JSON_DIALECTS})
 
     def is_in(ds):
-        return dcol.isin(*ds) if ds else F.lit(False)
-
-    # Stage 1: the text after the first '{' (block dialects) and the regex
-    # value (regex dialects).
-    out = df.withColumn("_vk_rest", F.when(is_in(greedy_ds + lazy_ds), _after_first_brace(text)))
-    rx = _case(
-        [((dcol == F.lit(d)) & (kcol == F.lit(k)), regex_value(text, line, d, k)) for d, k in rx_combos]
+        return f"{D} IN ({', '.join(lit(x) for x in ds)})" if ds else "FALSE"
+
+    # Stage 1: text after the first '{' (block dialects) and the regex value.
+    rx = case([(f"{D} = {lit(d)} AND {K} = {lit(k)}", regex_value_sql(L if d == "rawline" else T, d, k)) for d, k in rx_combos])
+    out = df.withColumns(
+        {
+            "_vk_rest": F.expr(f"CASE WHEN {is_in(greedy_ds + lazy_ds)} THEN {after_first_brace_sql(T)} END"),
+            "_vk_rx": F.expr(f"CAST({rx} AS STRING)"),
+        }
     )
-    out = out.withColumn("_vk_rx", rx.cast("string"))
     # Stage 2: how much of it the block keeps (greedy: up to the last '}';
     # lazy: up to the first '}').
-    rest = F.col("_vk_rest")
-    keep = _case([(is_in(greedy_ds), _greedy_keep(rest)), (is_in(lazy_ds), _lazy_keep(rest))])
-    out = out.withColumn("_vk_keep", keep.cast("int"))
+    R = ident("_vk_rest")
+    keep = case([(is_in(greedy_ds), greedy_keep_sql(R)), (is_in(lazy_ds), lazy_keep_sql(R))])
+    out = out.withColumn("_vk_keep", F.expr(f"CAST({keep} AS INT)"))
     # Stage 3: the block (or the whole text for 'strict').
-    doc_src = _case([(is_in(greedy_ds + lazy_ds), _block(rest, F.col("_vk_keep"))), (dcol == F.lit("strict"), text)])
-    out = out.withColumn("_vk_blk", doc_src.cast("string"))
+    blk = case([(is_in(greedy_ds + lazy_ds), block_sql(R, ident("_vk_keep"))), (f"{D} = 'strict'", T)])
+    out = out.withColumn("_vk_blk", F.expr(f"CAST({blk} AS STRING)"))
     # Stage 4: per-dialect transform of the (short) block.
-    blk = F.col("_vk_blk")
-    doc = _case([(dcol == F.lit(d), block_transform(blk, d)) for d in json_ds])
-    out = out.withColumn("_vk_doc", doc.cast("string")).withColumn("_vk_json", is_in(json_ds))
+    B = ident("_vk_blk")
+    doc = case([(f"{D} = {lit(d)}", block_transform_sql(B, d)) for d in json_ds])
+    out = out.withColumns({"_vk_doc": F.expr(f"CAST({doc} AS STRING)"), "_vk_json": F.expr(is_in(json_ds))})
     out = out.drop("_vk_rest", "_vk_keep", "_vk_blk")
 
     # Stage 5: strict parse of the candidate, once.
     if keys:
-        out = with_strict_object(out, "_vk_doc", keys, "_vk_obj", guard=F.col("_vk_doc").isNotNull())
+        out = with_strict_object(out, "_vk_doc", keys, "_vk_obj", guard="`_vk_doc` IS NOT NULL")
+        field = case([(f"{K} = {lit(k)}", f"`_vk_obj`.{ident(k)}") for k in keys])
     else:
         out = out.withColumn("_vk_obj", F.lit(None))
+        field = "CAST(NULL AS STRING)"
 
     # Stage 6: answer text and status.
-    if keys:
-        field = _case([(kcol == F.lit(k), F.col("_vk_obj").getField(k)) for k in keys])
-    else:
-        field = F.lit(None).cast("string")
-    value = F.when(F.col("_vk_json"), field).otherwise(F.col("_vk_rx"))
+    value = f"CASE WHEN `_vk_json` THEN {field} ELSE `_vk_rx` END"
     status = (
-        F.when(text.isNull(), F.lit("null_response"))
-        .when(F.col("_vk_json") & F.col("_vk_doc").isNull(), F.lit("no_block"))
-        .when(F.col("_vk_json") & F.col("_vk_obj").isNull(), F.lit("bad_json"))
-        .when(F.col("_vk_json") & field.isNull(), F.lit("no_value"))
-        .when(~F.col("_vk_json") & F.col("_vk_rx").isNull(), F.lit("no_match"))
-        .otherwise(F.lit("ok"))
+        f"CASE WHEN {T} IS NULL THEN 'null_response'"
+        " WHEN `_vk_json` AND `_vk_doc` IS NULL THEN 'no_block'"
+        " WHEN `_vk_json` AND `_vk_obj` IS NULL THEN 'bad_json'"
+        f" WHEN `_vk_json` AND ({field}) IS NULL THEN 'no_value'"
+        " WHEN NOT `_vk_json` AND `_vk_rx` IS NULL THEN 'no_match'"
+        " ELSE 'ok' END"
     )
-    return out.withColumn("raw_value", value).withColumn("parse_status", status).drop(
-        "_vk_doc", "_vk_rx", "_vk_json", "_vk_obj", "_vk_line"
-    )
-
+    out = out.withColumns({"raw_value": F.expr(value), "parse_status": F.expr(status)})
+    return out.drop("_vk_doc", "_vk_rx", "_vk_json", "_vk_obj", *temps)
 
-def chain_cleaned(text: Column) -> Column:
-    """Fence characters and white space stripped, blank lines made a space."""
-    cleaned = F.btrim(F.btrim(text, F.lit("`json")), F.lit(WHITESPACE))
-    return F.btrim(F.replace(cleaned, F.lit("\n\n"), F.lit(" ")), F.lit(WHITESPACE))
 
+# --- E9 chain records -----------------------------------------------------------
 
 CHAIN_FIELDS = ["video_description", "reasoning", "anomaly"]
 
 
-def _chain_struct(obj: Column) -> Column:
-    return F.struct(
-        F.coalesce(obj.getField("video_description"), F.lit(CHAIN_DEFAULT_TEXT)).alias("video_description"),
-        F.coalesce(obj.getField("reasoning"), F.lit(CHAIN_DEFAULT_TEXT)).alias("reasoning"),
-        F.coalesce(obj.getField("anomaly"), F.lit(str(CHAIN_DEFAULT_ANOMALY))).alias("anomaly"),
-        obj.isNotNull().alias("parsed"),
+def chain_cleaned_sql(text: str) -> str:
+    """Fence characters and white space stripped, blank lines made a space."""
+    ws = lit(WHITESPACE)
+    cleaned = f"btrim(btrim({text}, {lit('`json')}), {ws})"
+    return f"btrim(replace({cleaned}, {lit(chr(10) * 2)}, ' '), {ws})"
+
+
+def _chain_struct_sql(obj: str) -> str:
+    return (
+        f"named_struct('video_description', coalesce({obj}.video_description, {lit(CHAIN_DEFAULT_TEXT)}), "
+        f"'reasoning', coalesce({obj}.reasoning, {lit(CHAIN_DEFAULT_TEXT)}), "
+        f"'anomaly', coalesce({obj}.anomaly, {lit(str(CHAIN_DEFAULT_ANOMALY))}), "
+        f"'parsed', {obj} IS NOT NULL)"
     )
 
 
-def chain_record(text: Column) -> Column:
+def chain_record(text: str) -> Column:
     """First-pass chain answer -> struct(video_description, reasoning, anomaly, parsed).
 
     The fence characters backtick, j, s, o, n are stripped from both ends as
     a character set, then white space; blank lines become a space; the rest
     must be one JSON object. Missing members take defaults ('NAN', 'NAN', 0);
     anything unreadable gives all defaults, so a broken first answer reads as
-    "normal" rather than invalid. (Expression form; hot paths use
-    :func:`with_chain_record`.)
+    "normal" rather than invalid. (Expression form over column ``text``; hot
+    paths use :func:`with_chain_record`.)
     """
-    return _chain_struct(strict_object(chain_cleaned(text), CHAIN_FIELDS))
+    obj = single_sql(strict_array_sql(chain_cleaned_sql(ident(text)), CHAIN_FIELDS))
+    return F.expr(_chain_struct_sql(f"({obj})"))
 
 
 def with_chain_record(df: DataFrame, text_col: str, out_col: str = "record") -> DataFrame:
     """E9 as a transform: parse once per row, then apply the defaults."""
-    staged = df.withColumn("_cr_doc", chain_cleaned(F.col(text_col)))
+    staged = df.withColumn("_cr_doc", F.expr(chain_cleaned_sql(ident(text_col))))
     staged = with_strict_object(staged, "_cr_doc", CHAIN_FIELDS, "_cr_obj")
-    return staged.withColumn(out_col, _chain_struct(F.col("_cr_obj"))).drop("_cr_doc", "_cr_obj")
+    return staged.withColumn(out_col, F.expr(_chain_struct_sql("`_cr_obj`"))).drop("_cr_doc", "_cr_obj")

@@ -20,18 +20,25 @@ from pyspark.sql import functions as F
 from verdikt.config import CATEGORIES, CLEAR_LABELS, VAGUE_LABELS
 
 
-def default_slices(categories: Sequence[str] = CATEGORIES) -> list[tuple[str, Column, bool]]:
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def default_slices(categories: Sequence[str] = CATEGORIES) -> list[tuple[str, str, bool]]:
     """(name, membership predicate, is_category) for all/clear/vague + categories.
 
-    Category membership is a substring test on the category text.
+    Predicates are SQL text over ``label`` / ``category`` (a Column works as
+    well). Category membership is a substring test on the category text.
     """
+    clear = ", ".join(_sql_str(x) for x in CLEAR_LABELS)
+    vague = ", ".join(_sql_str(x) for x in VAGUE_LABELS)
     out = [
-        ("all", F.lit(True), False),
-        ("clear", F.col("label").isin(*CLEAR_LABELS), False),
-        ("vague", F.col("label").isin(*VAGUE_LABELS), False),
+        ("all", "true", False),
+        ("clear", f"label IN ({clear})", False),
+        ("vague", f"label IN ({vague})", False),
     ]
     for c in categories:
-        out.append((c, F.coalesce(F.col("category").contains(c), F.lit(False)), True))
+        out.append((c, f"coalesce(contains(category, {_sql_str(c)}), false)", True))
     return out
 
 
@@ -83,31 +90,30 @@ def sliced_metrics(
     ``category``. Output: group columns, ``slice``, counts and the six ratios.
     """
     slices = slices if slices is not None else default_slices()
-    t, p = F.col(truth_col), F.col(pred_col)
+    t, p = truth_col, pred_col
+    # SQL text per aggregate: one expression object per aggregate instead of
+    # a tree of small Column calls (plan building stays cheap with 60 of them).
     cells = {
-        "tn": (t == 0) & (p == 0),
-        "fp": (t == 0) & (p == 1),
-        "fn": (t == 1) & (p == 0),
-        "tp": (t == 1) & (p == 1),
-        "pos_other": (t == 1) & ~p.isin(0, 1),
-        "neg_other": (t == 0) & ~p.isin(0, 1),
+        "tn": f"{t} = 0 AND {p} = 0",
+        "fp": f"{t} = 0 AND {p} = 1",
+        "fn": f"{t} = 1 AND {p} = 0",
+        "tp": f"{t} = 1 AND {p} = 1",
+        "pos_other": f"{t} = 1 AND {p} NOT IN (0, 1)",
+        "neg_other": f"{t} = 0 AND {p} NOT IN (0, 1)",
     }
     aggs = []
     for i, (_, member, _) in enumerate(slices):
         for cell, cond in cells.items():
-            aggs.append(F.count_if(member & cond).alias(f"s{i}_{cell}"))
+            if isinstance(member, str):
+                aggs.append(F.expr(f"count_if(({member}) AND {cond}) AS s{i}_{cell}"))
+            else:
+                aggs.append(F.count_if(member & F.expr(cond)).alias(f"s{i}_{cell}"))
     wide = scored.groupBy(*group_cols).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("slice"),
-                F.lit(is_cat).alias("is_category"),
-                *[F.col(f"s{i}_{cell}").alias(cell) for cell in cells],
-            )
-            for i, (name, _, is_cat) in enumerate(slices)
-        ]
-    )
-    long = wide.select(*group_cols, F.inline(rows))
+    structs = []
+    for i, (name, _, is_cat) in enumerate(slices):
+        fields = ", ".join(f"'{c}', s{i}_{c}" for c in cells)
+        structs.append(f"named_struct('slice', {_sql_str(name)}, 'is_category', {str(is_cat).lower()}, {fields})")
+    long = wide.select(*group_cols, F.inline(F.expr("array(" + ", ".join(structs) + ")")))
     return metrics_from_counts(long)
 
 

@@ -28,78 +28,96 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.config import CATEGORIES
+from verdikt.functions.sqltext import lit
 from verdikt.sources.tables import read_table, spread
 
 NL = "\n"
 SECOND_CATEGORIES = ["Security", "Wildlife", "Kid Monitoring"]
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
-
-
-def _pick(index: Column, values: Sequence[str]) -> Column:
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(index == i, F.lit(v)) if expr is None else expr.when(index == i, F.lit(v))
-    return expr
-
-
-def category_of(doc_id: Column) -> Column:
-    first = _pick(doc_id % 7, CATEGORIES)
-    second = _pick(doc_id % 3, SECOND_CATEGORIES)
-    return F.when(doc_id % 5 == 0, F.concat(first, F.lit(", "), second)).otherwise(first)
+_TABLES: dict[tuple[int, str, str], DataFrame] = {}
 
 
-def label_text_of(quality: Column, toxic: Column) -> Column:
-    return F.when(toxic == 1, F.lit("Vague Abnormal")).when(quality == 0, F.lit("Abnormal")).otherwise(F.lit("Normal"))
-
-
-def truth_bit(doc_id: Column, quality: Column, toxic: Column) -> Column:
-    known = F.when((toxic == 1) | (quality == 0), F.lit(1)).when(toxic.isNotNull(), F.lit(0))
-    return F.coalesce(known, (doc_id % 2).cast("int"))
-
-
-def answer_of(doc_id: Column, run_idx: Column, t: Column) -> Column:
-    return F.when((doc_id * 31 + run_idx * 17) % 6 == 0, F.lit(1) - t).otherwise(t)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; the DataFrame (a plan, not data) is reused within a
+    session, since the test tables are read-only."""
+    k = (id(spark), sf_dir.rstrip("/"), name)
+    if k not in _TABLES:
+        _TABLES[k] = read_table(spark, sf_dir, name)
+    return _TABLES[k]
+
+
+# The derivation is written as Spark SQL text: one expression per column.
+
+
+def _pick_sql(index: str, values: Sequence[str]) -> str:
+    return "CASE " + " ".join(f"WHEN {index} = {i} THEN {lit(v)}" for i, v in enumerate(values)) + " END"
+
+
+def category_sql(doc: str = "doc_id") -> str:
+    first = _pick_sql(f"{doc} % 7", CATEGORIES)
+    second = _pick_sql(f"{doc} % 3", SECOND_CATEGORIES)
+    return f"CASE WHEN {doc} % 5 = 0 THEN concat({first}, ', ', {second}) ELSE {first} END"
+
+
+LABEL_TEXT_SQL = "CASE WHEN toxic = 1 THEN 'Vague Abnormal' WHEN quality = 0 THEN 'Abnormal' ELSE 'Normal' END"
+TRUTH_SQL = (
+    "coalesce(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL THEN 0 END, CAST(doc_id % 2 AS INT))"
+)
+ANSWER_SQL = "CASE WHEN (doc_id * 31 + run.run_idx * 17) % 6 = 0 THEN 1 - t ELSE t END"
+
+
+def response_sql() -> str:
+    """The answer text from the staged columns ``p``, ``key``, ``shape``,
+    ``attempt`` and ``text``."""
+    obj = "concat('{\"', key, '\": ', CAST(p AS STRING), '}')"
+    kq = "concat('{\"', key, '\": ')"
+    body = (
+        "CASE shape"
+        f" WHEN 0 THEN {obj}"
+        f" WHEN 1 THEN concat({lit('```json' + NL)}, {obj}, {lit(NL + '```')})"
+        f" WHEN 2 THEN concat({kq}, CAST(p AS STRING), {lit(' // note' + NL + '}')})"
+        f" WHEN 3 THEN concat({kq}, '\"', CAST(p AS STRING), '\"}}')"
+        f" WHEN 4 THEN concat({obj}, {lit(NL + 'That is all.')})"
+        " WHEN 5 THEN concat('{\"other\": ', CAST(p AS STRING), '}')"
+        " WHEN 6 THEN 'no answer'"
+        f" WHEN 8 THEN concat({obj}, ' or ', {kq}, CAST(1 - p AS STRING), '}}')"
+        f" WHEN 9 THEN concat({kq}, '\"NAN\"}}')"
+        " END"
+    )
+    fresh = f"CASE WHEN shape = 7 THEN CAST(NULL AS STRING) WHEN shape = 0 THEN {body} ELSE concat(text, {lit(NL)}, {body}) END"
+    stale = f"concat(text, {lit(NL)}, {kq}, CAST(1 - p AS STRING), '}}')"
+    return f"CASE WHEN attempt = 0 THEN {stale} ELSE {fresh} END"
 
 
-def response_body(shape: Column, key: Column, p: Column) -> Column:
-    """The JSON-ish verdict part of an answer, by shape."""
-    ps = p.cast("string")
-    q = F.lit('"')
-    kq = F.concat(F.lit('{"'), key, F.lit('": '))
-    obj = F.concat(kq, ps, F.lit("}"))
-    return (
-        F.when(shape == 0, obj)
-        .when(shape == 1, F.concat(F.lit("```json" + NL), obj, F.lit(NL + "```")))
-        .when(shape == 2, F.concat(kq, ps, F.lit(" // note" + NL + "}")))
-        .when(shape == 3, F.concat(kq, q, ps, q, F.lit("}")))
-        .when(shape == 4, F.concat(obj, F.lit(NL + "That is all.")))
-        .when(shape == 5, F.concat(F.lit('{"other": '), ps, F.lit("}")))
-        .when(shape == 6, F.lit("no answer"))
-        .when(shape == 8, F.concat(obj, F.lit(" or "), kq, (F.lit(1) - p).cast("string"), F.lit("}")))
-        .when(shape == 9, F.concat(kq, F.lit('"NAN"}')))
+def _runs_sql(runs: Sequence[tuple[str, str, str]], run_offset: int) -> str:
+    items = ", ".join(
+        f"named_struct('run_idx', {i + run_offset}, 'model', {lit(m)}, 'method', {lit(me)}, 'key', {lit(k)})"
+        for i, (m, me, k) in enumerate(runs)
     )
+    return f"array({items})"
 
 
-def response_text(shape: Column, prose: Column, body: Column) -> Column:
-    return F.when(shape == 7, F.lit(None).cast("string")).when(shape == 0, body).otherwise(F.concat(prose, F.lit(NL), body))
+def _base(spark: SparkSession, sf_dir: str, doc_cols: Sequence[str]) -> DataFrame:
+    """Documents (spread over the cluster) with their truth bit ``t``."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", *doc_cols))
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    # labels is a dimension of documents (at most one row per doc_id); the
+    # planner broadcasts it when its file-size estimate is small.
+    return docs.join(lab, "doc_id", "left")
 
 
 def derived_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth (title, category, label, true_label) from ``labels``."""
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    d = F.col("doc_id")
-    return lab.select(
-        F.concat(F.lit("vid_"), d.cast("string")).alias("title"),
-        category_of(d).alias("category"),
-        label_text_of(F.col("quality"), F.col("toxic")).alias("label"),
-        truth_bit(d, F.col("quality"), F.col("toxic")).alias("true_label"),
+    return lab.selectExpr(
+        "concat('vid_', CAST(doc_id AS STRING)) AS title",
+        f"{category_sql()} AS category",
+        f"{LABEL_TEXT_SQL} AS label",
+        f"{TRUTH_SQL} AS true_label",
     )
 
 
@@ -113,44 +131,32 @@ def derived_answers(
     """One row per (run, document, attempt): model, method, video, response.
 
     ``runs`` lists (model, method, answer key); run ``r`` is its position
-    plus ``run_offset``.
-    The run list is small and fixed, so it is expanded with ``explode``
-    (a generator in the same stage), not a join.
+    plus ``run_offset``. The run list is small and fixed, so it is expanded
+    with ``explode`` (a generator in the same stage), not a join.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    # labels is a dimension of documents (at most one row per doc_id); the
-    # planner broadcasts it when its file-size estimate is small.
-    base = docs.join(lab, "doc_id", "left")
-    d = F.col("doc_id")
-    base = base.select(d, F.col("text"), truth_bit(d, F.col("quality"), F.col("toxic")).alias("t"))
-    run_arr = F.array(
-        *[
-            F.struct(F.lit(i + run_offset).alias("run_idx"), F.lit(m).alias("model"), F.lit(me).alias("method"), F.lit(k).alias("key"))
-            for i, (m, me, k) in enumerate(runs)
-        ]
+    attempts = "CASE WHEN doc_id % 4 = 0 THEN array(0, 1) ELSE array(1) END" if with_reruns else "array(1)"
+    x = _base(spark, sf_dir, ["text"]).selectExpr(
+        "doc_id", "text", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs, run_offset)}) AS run"
     )
-    x = base.select("doc_id", "text", "t", F.explode(run_arr).alias("run"))
-    attempts = (
-        F.when(d % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-        if with_reruns
-        else F.array(F.lit(1))
+    # Stage the per-row answer, key and shape so the answer expression
+    # refers to them instead of repeating their expressions.
+    x = x.selectExpr(
+        "run.model AS model",
+        "run.method AS method",
+        "doc_id",
+        "text",
+        "run.key AS key",
+        f"CAST({ANSWER_SQL} AS INT) AS p",
+        "CAST(doc_id % 10 AS INT) AS shape",
+        f"explode({attempts}) AS attempt",
     )
-    x = x.select("doc_id", "text", "t", "run", F.explode(attempts).alias("attempt"))
-    r = F.col("run")
-    p = answer_of(d, r.getField("run_idx"), F.col("t"))
-    shape = d % 10
-    body = response_body(shape, r.getField("key"), p)
-    fresh = response_text(shape, F.col("text"), body)
-    stale_body = F.concat(F.lit('{"'), r.getField("key"), F.lit('": '), (F.lit(1) - p).cast("string"), F.lit("}"))
-    stale = F.concat(F.col("text"), F.lit(NL), stale_body)
-    return x.select(
-        r.getField("model").alias("model"),
-        r.getField("method").alias("method"),
-        d.alias("doc_id"),
-        F.concat(F.lit("vid_"), d.cast("string"), F.lit(".mp4")).alias("video"),
-        F.col("attempt"),
-        F.when(F.col("attempt") == 0, stale).otherwise(fresh).alias("response"),
+    return x.selectExpr(
+        "model",
+        "method",
+        "doc_id",
+        "concat('vid_', CAST(doc_id AS STRING), '.mp4') AS video",
+        "attempt",
+        f"{response_sql()} AS response",
     )
 
 
@@ -160,11 +166,11 @@ def derived_log_lines(answers: DataFrame) -> DataFrame:
     ``line_order`` = (attempt, doc_id): reruns are appended after the first
     pass, documents in id order within a pass.
     """
-    return answers.select(
+    return answers.selectExpr(
         "model",
         "method",
-        F.to_json(F.create_map(F.col("video"), F.col("response"))).alias("line"),
-        F.struct(F.col("attempt").alias("pass"), F.col("doc_id").alias("seq")).alias("line_order"),
+        "to_json(map(video, response)) AS line",
+        "named_struct('pass', attempt, 'seq', doc_id) AS line_order",
     )
 
 
@@ -176,32 +182,22 @@ def derived_chain_records(spark: SparkSession, sf_dir: str, runs: Sequence[tuple
     document text, reasoning, anomaly) in five shapes by ``doc_id % 5``:
     0 plain, 1 fenced, 2 without reasoning, 3 cut short (unreadable), 4 null.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    base = docs.join(lab, "doc_id", "left")
-    d = F.col("doc_id")
-    base = base.select(d, "text", "lang", "source", truth_bit(d, F.col("quality"), F.col("toxic")).alias("t"))
-    run_arr = F.array(
-        *[F.struct(F.lit(i + run_offset).alias("run_idx"), F.lit(m).alias("model"), F.lit(me).alias("method"))
-          for i, (m, me, _) in enumerate(runs)]
+    runs3 = [(m, me, "anomaly") for m, me, _ in runs]
+    x = _base(spark, sf_dir, ["text", "lang", "source"]).selectExpr(
+        "doc_id", "text", "lang", "source", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs3, run_offset)}) AS run"
     )
-    x = base.select("doc_id", "text", "lang", "source", "t", F.explode(run_arr).alias("run"))
-    r = F.col("run")
-    p = answer_of(d, r.getField("run_idx"), F.col("t"))
-    reasoning = F.concat(F.lit("seen in "), F.col("lang"), F.lit(" footage from "), F.col("source"))
-    full = F.to_json(F.struct(F.col("text").alias("video_description"), reasoning.alias("reasoning"), p.alias("anomaly")))
-    short = F.to_json(F.struct(F.col("text").alias("video_description"), p.alias("anomaly")))
-    shape = d % 5
-    resp = (
-        F.when(shape == 0, full)
-        .when(shape == 1, F.concat(F.lit("```json" + NL), full, F.lit(NL + "```")))
-        .when(shape == 2, short)
-        .when(shape == 3, F.substring(full, F.lit(1), F.length(full) - F.lit(1)))
+    x = x.selectExpr(
+        "run.model AS model",
+        "run.method AS method",
+        "doc_id",
+        "to_json(named_struct('video_description', text, 'reasoning', concat('seen in ', lang, ' footage from ', source),"
+        f" 'anomaly', {ANSWER_SQL})) AS full",
+        f"to_json(named_struct('video_description', text, 'anomaly', {ANSWER_SQL})) AS short",
     )
-    return x.select(
-        r.getField("model").alias("model"),
-        r.getField("method").alias("method"),
-        d.alias("doc_id"),
-        F.concat(F.lit("vid_"), d.cast("string"), F.lit(".mp4")).alias("video"),
-        resp.alias("response"),
+    resp = (
+        "CASE doc_id % 5 WHEN 0 THEN full"
+        f" WHEN 1 THEN concat({lit('```json' + NL)}, full, {lit(NL + '```')})"
+        " WHEN 2 THEN short"
+        " WHEN 3 THEN substring(full, 1, length(full) - 1) END"
     )
+    return x.selectExpr("model", "method", "doc_id", "concat('vid_', CAST(doc_id AS STRING), '.mp4') AS video", f"{resp} AS response")

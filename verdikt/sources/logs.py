@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdikt.functions.sqltext import ident, lit
+
 _SENTINEL = "~vk~"
 _LINE_TAIL = ', {"' + _SENTINEL + '": 1}]'
 KEYED_LINE_DDL = "ARRAY<MAP<STRING, STRING>>"
@@ -60,34 +62,29 @@ def parse_keyed_lines(lines: DataFrame, line_col: str = "line", order_col: str =
     """
     # Same sentinel wrapper as the strict reader: a line must be exactly one
     # JSON object. Parse in one projection, test in the next: one parse.
-    arr = F.from_json(F.concat(F.lit("["), F.col(line_col), F.lit(_LINE_TAIL)), KEYED_LINE_DDL, _LINE_OPTIONS)
-    a = F.col("_kl_arr")
-    intact = (F.size(a) == 2) & (F.try_element_at(F.get(a, 1), F.lit(_SENTINEL)) == F.lit("1"))
-    staged = lines.withColumn("_kl_arr", arr).withColumn("_kl_map", F.when(intact, F.get(a, 0)))
+    opts = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in _LINE_OPTIONS.items())
+    arr = f"from_json(concat('[', {ident(line_col)}, {lit(_LINE_TAIL)}), {lit(KEYED_LINE_DDL)}, map({opts}))"
+    intact = f"size(`_kl_arr`) = 2 AND try_element_at(get(`_kl_arr`, 1), {lit(_SENTINEL)}) = '1'"
+    staged = lines.withColumn("_kl_arr", F.expr(arr))
+    staged = staged.withColumn("_kl_map", F.expr(f"CASE WHEN {intact} THEN get(`_kl_arr`, 0) END"))
     # A bad line yields one placeholder entry (NULL key) so it stays
     # countable; JSON object keys are never NULL, so the key tells bad lines
     # apart after the explode. Testing the exploded key (rather than a column
     # from before the explode) keeps a later status filter above the
     # generator instead of re-evaluating the parse below it.
-    entries = F.when(
-        F.col("_kl_map").isNull(),
-        F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))),
-    ).otherwise(F.map_entries(F.col("_kl_map")))
-    keep = [c for c in lines.columns if c not in (line_col, order_col)]
-    out = staged.select(
-        *keep,
-        F.col(line_col),
-        F.col(order_col),
-        F.posexplode(entries).alias("_kl_pos", "_kl_entry"),
+    entries = (
+        "CASE WHEN `_kl_map` IS NULL THEN array(named_struct('key', CAST(NULL AS STRING), 'value', CAST(NULL AS STRING)))"
+        " ELSE map_entries(`_kl_map`) END"
     )
-    key = F.col("_kl_entry").getField("key")
-    return out.select(
+    keep = [ident(c) for c in lines.columns if c not in (line_col, order_col)]
+    out = staged.selectExpr(*keep, ident(line_col), ident(order_col), f"posexplode({entries}) AS (`_kl_pos`, `_kl_entry`)")
+    return out.selectExpr(
         *keep,
-        key.alias("video"),
-        F.col("_kl_entry").getField("value").alias("response"),
-        F.col(line_col),
-        F.when(key.isNull(), F.lit("bad_line")).otherwise(F.lit("ok")).alias("line_status"),
-        F.struct(F.col(order_col).alias("line"), F.col("_kl_pos").alias("pos")).alias(order_col),
+        "`_kl_entry`.key AS video",
+        "`_kl_entry`.value AS response",
+        ident(line_col),
+        "CASE WHEN `_kl_entry`.key IS NULL THEN 'bad_line' ELSE 'ok' END AS line_status",
+        f"named_struct('line', {ident(order_col)}, 'pos', `_kl_pos`) AS {ident(order_col)}",
     )
 
 

@@ -607,8 +607,9 @@ def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_path = checkpoint_path(spark, f"stream-{run}/answers")
     ckpt = checkpoint_path(spark, f"stream-{run}/checkpoint")
     lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
-    write_log_files(lines, folder)
-    ingest(spark, folder, table_path, ckpt, dialect="greedy", key="result", max_files_per_trigger=4)
+    write_log_files(lines, folder, n_files_per_run=1)
+    # Two micro-batches: the first pass, then the reruns.
+    ingest(spark, folder, table_path, ckpt, dialect="greedy", key="result", max_files_per_trigger=len(FLAGSHIP_RUNS))
     latest = latest_table(spark, table_path).select("model", "method", "video", "raw_value", "parse_status")
     return sliced_metrics(score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong"))
 
@@ -631,16 +632,17 @@ def q_idpred_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-model logs hold one ``{"id", "truth", "pred"}`` object per line.
     Zero-shot reads ``pred`` as strict JSON (a missing pred is ''); the other
     methods use the loose regex and drop lines with an empty id or pred."""
-    ans = derived_answers(spark, sf_dir, IDPRED_RUNS)
-    lines = ans.select(
-        "model", "method",
-        F.to_json(F.struct(F.col("video").alias("id"), F.lit(None).cast("int").alias("truth"), F.col("response").alias("pred"))).alias("line"),
-        F.struct(F.col("attempt").alias("pass"), F.col("doc_id").alias("seq")).alias("line_order"),
-    )
-    zs = parse_idpred_lines(lines.where(F.col("method") == "zeroshot"))
-    zs = extract_labels(zs, "strict", "result")
-    fs = parse_idpred_lines(lines.where(F.col("method") == "fewshot"), drop_empty=True)
-    fs = extract_labels(fs, "loose", "anomaly")
+    def idpred_lines(run_idx: int):
+        # One run per derivation, so each line set is generated once.
+        ans = derived_answers(spark, sf_dir, [IDPRED_RUNS[run_idx]], run_offset=run_idx)
+        return ans.select(
+            "model", "method",
+            F.to_json(F.struct(F.col("video").alias("id"), F.lit(None).cast("int").alias("truth"), F.col("response").alias("pred"))).alias("line"),
+            F.struct(F.col("attempt").alias("pass"), F.col("doc_id").alias("seq")).alias("line_order"),
+        )
+
+    zs = extract_labels(parse_idpred_lines(idpred_lines(0)), "strict", "result")
+    fs = extract_labels(parse_idpred_lines(idpred_lines(1), drop_empty=True), "loose", "anomaly")
     cols = ["model", "method", "video", "raw_value", "parse_status", "line_order"]
     rows = zs.where(F.col("line_status") == "ok").select(*cols).unionByName(fs.where(F.col("line_status") == "ok").select(*cols))
     latest = last_wins(rows, ["model", "method", "video"], "line_order", ["raw_value", "parse_status"])

@@ -187,17 +187,15 @@ def derived_chain_records(spark: SparkSession, sf_dir: str, runs: Sequence[tuple
         "doc_id", "text", "lang", "source", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs3, run_offset)}) AS run"
     )
     x = x.selectExpr(
-        "run.model AS model",
-        "run.method AS method",
-        "doc_id",
-        "to_json(named_struct('video_description', text, 'reasoning', concat('seen in ', lang, ' footage from ', source),"
-        f" 'anomaly', {ANSWER_SQL})) AS full",
-        f"to_json(named_struct('video_description', text, 'anomaly', {ANSWER_SQL})) AS short",
+        "run.model AS model", "run.method AS method", "doc_id", "text", "lang", "source", f"CAST({ANSWER_SQL} AS INT) AS p"
     )
+    # Each branch serialises the record it needs; only one branch runs per row.
+    full = "to_json(named_struct('video_description', text, 'reasoning', concat('seen in ', lang, ' footage from ', source), 'anomaly', p))"
+    short = "to_json(named_struct('video_description', text, 'anomaly', p))"
     resp = (
-        "CASE doc_id % 5 WHEN 0 THEN full"
-        f" WHEN 1 THEN concat({lit('```json' + NL)}, full, {lit(NL + '```')})"
-        " WHEN 2 THEN short"
-        " WHEN 3 THEN substring(full, 1, length(full) - 1) END"
+        f"CASE doc_id % 5 WHEN 0 THEN {full}"
+        f" WHEN 1 THEN concat({lit('```json' + NL)}, {full}, {lit(NL + '```')})"
+        f" WHEN 2 THEN {short}"
+        f" WHEN 3 THEN substring({full}, 1, length({full}) - 1) END"
     )
     return x.selectExpr("model", "method", "doc_id", "concat('vid_', CAST(doc_id AS STRING), '.mp4') AS video", f"{resp} AS response")

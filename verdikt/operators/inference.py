@@ -21,8 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.operators.joins import broadcast_if_small
-
 SCORED_SCHEMA = "model string, method string, video string, response string, error string, latency_s double, batch_id long"
 
 Scorer = Callable[[pd.DataFrame], Sequence[str | None]]
@@ -149,7 +147,3 @@ def latency_stats(latency: DataFrame, group_cols: Sequence[str] = ("model", "met
         q.alias("_q"),
         F.max(v).alias("max_s"),
     ).select(*group_cols, "n", "avg_s", F.col("_q")[0].alias("p50_s"), F.col("_q")[1].alias("p90_s"), "max_s")
-
-
-def broadcast_small(df: DataFrame) -> DataFrame:
-    return broadcast_if_small(df)

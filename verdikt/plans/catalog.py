@@ -9,12 +9,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from verdikt.operators.metrics import sliced_metrics
-from verdikt.operators.scoring import scored_output
+from pyspark.sql import functions as F
+
+from verdikt.config import METHOD_KEYS, RUN_MATRIX
+from verdikt.functions.dialects import extract_labels, with_chain_record
+from verdikt.functions.labels import label_int, label_number
+from verdikt.operators import media_plan as MP
+from verdikt.operators import profile as NP
+from verdikt.operators.dedup import last_wins
+from verdikt.operators.inference import keyword_scorer, latency_stats, replay, score_batches
+from verdikt.operators.metrics import chain_shift, default_slices, majority_vote, parse_quality, sliced_metrics
+from verdikt.operators.prompts import DEFAULT_RULES, frame_parts, request_json, rules_text, second_pass_prompt, with_prompt
+from verdikt.operators.scoring import attach_truth, score_rows, scored_output
 from verdikt.plans import oracle as O
-from verdikt.plans.evaluate import evaluate_lines
-from verdikt.plans.fixtures import FLAGSHIP_RUNS, derived_answers, derived_log_lines, derived_truth
+from verdikt.plans.evaluate import evaluate_grid, evaluate_lines, extract_from_lines, latest_answers
+from verdikt.plans.fixtures import FLAGSHIP_RUNS, derived_answers, derived_chain_records, derived_log_lines, derived_truth, table
+from verdikt.sources.logs import parse_idpred_lines, parse_raw_lines
+from verdikt.sources.tables import spread
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -68,15 +79,6 @@ def q_scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- W2 leaderboard: every (model, method) run in one job -------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from verdikt.config import METHOD_KEYS, RUN_MATRIX  # noqa: E402
-from verdikt.functions.dialects import extract_labels, with_chain_record  # noqa: E402
-from verdikt.functions.labels import label_int, label_number  # noqa: E402
-from verdikt.operators.metrics import chain_shift, default_slices, majority_vote, parse_quality  # noqa: E402
-from verdikt.operators.scoring import attach_truth, score_rows  # noqa: E402
-from verdikt.plans.evaluate import evaluate_grid, extract_from_lines, latest_answers  # noqa: E402
-from verdikt.sources.logs import parse_idpred_lines, parse_raw_lines  # noqa: E402
 
 GRID_RUNS = [(m, me, METHOD_KEYS[me]) for (m, me, _, _, _) in RUN_MATRIX]
 
@@ -236,13 +238,6 @@ def q_parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- E9 + P5 + P6: chain records and the second-pass prompt -------------------
 
-from verdikt.operators import media_plan as MP  # noqa: E402
-from verdikt.operators import profile as NP  # noqa: E402
-from verdikt.operators.dedup import last_wins  # noqa: E402
-from verdikt.operators.inference import keyword_scorer, latency_stats, replay, score_batches  # noqa: E402
-from verdikt.operators.prompts import DEFAULT_RULES, frame_parts, request_json, rules_text, second_pass_prompt, with_prompt  # noqa: E402
-from verdikt.plans.fixtures import derived_chain_records, table  # noqa: E402
-from verdikt.sources.tables import spread  # noqa: E402
 
 CHAIN_RUNS = [("Flash", "chain", "anomaly"), ("GPT", "chain", "anomaly")]
 
@@ -614,7 +609,6 @@ def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliced_metrics(score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong"))
 
 
-
 # --- S2 id/pred logs (open-model runs): strict and loose dialects ---------------
 
 IDPRED_RUNS = [("VILA", "zeroshot", "result"), ("VILA", "fewshot", "anomaly")]

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.config import RUN_MATRIX, run_matrix
+from verdikt.config import METHOD_KEYS, RUN_MATRIX, run_matrix
 from verdikt.functions.dialects import extract_labels
 from verdikt.operators.dedup import last_wins
 from verdikt.operators.metrics import sliced_metrics
@@ -66,8 +66,6 @@ def evaluate_grid(lines: DataFrame, truth: DataFrame, matrix: DataFrame | None =
     spark = lines.sparkSession
     rows = matrix_rows or RUN_MATRIX
     matrix = matrix if matrix is not None else run_matrix(spark, rows)
-    from verdikt.config import METHOD_KEYS
-
     combos = sorted({(d, METHOD_KEYS[me]) for (_, me, d, _, _) in rows})
     parsed = parse_keyed_lines(lines).join(F.broadcast(matrix.select("model", "method", "dialect", "answer_key", "policy")), ["model", "method"])
     extracted = extract_labels(parsed, F.col("dialect"), F.col("answer_key"), combos=combos, line_col="line")

@@ -642,3 +642,31 @@ def q_idpred_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = last_wins(rows, ["model", "method", "video"], "line_order", ["raw_value", "parse_status"])
     scored = score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong")
     return sliced_metrics(scored, slices=[s for s in default_slices() if s[0] in ("all", "clear", "vague")])
+
+
+# --- S1 from files: the flagship over a log written to disk and read back --------
+
+
+@register("file_log_metrics", ORACLE["sliced_metrics"])
+def q_file_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log is written as JSONL files (K1 layout, first pass then
+    reruns) under the shared checkpoint folder and read back as text: the
+    line order now comes from file metadata (modification time, path, split
+    start, row in split), the run from the folder names. Equal to
+    ``sliced_metrics``."""
+    import uuid
+
+    from verdikt.session import checkpoint_path
+    from verdikt.sources.logs import read_lines, run_from_path
+    from verdikt.streaming.ingest import write_log_files
+
+    folder = checkpoint_path(spark, f"filelog-{uuid.uuid4().hex}")
+    write_log_files(derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS)), folder)
+    lines = read_lines(spark, folder, recursive=True)
+    lines = lines.select(
+        run_from_path(F.col("file_path"), r"model=([^/]+)").alias("model"),
+        run_from_path(F.col("file_path"), r"method=([^/]+)").alias("method"),
+        "line",
+        "line_order",
+    )
+    return sliced_metrics(evaluate_lines(lines, derived_truth(spark, sf_dir), dialect="greedy", key="result"))

@@ -1,6 +1,7 @@
 """Two-pass chain: pass tables in the checkpoint folder, resume scores nothing twice."""
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,16 +9,11 @@ from pyspark.sql import functions as F
 from verdikt.functions.dialects import extract_labels
 from verdikt.plans.chain import two_pass_chain
 
-CALLS = {"first": 0, "second": 0}
-
-
 def first(pdf: pd.DataFrame):
-    CALLS["first"] += len(pdf)
     return [json.dumps({"video_description": p, "reasoning": "r", "anomaly": int("dog" in p)}) for p in pdf["prompt"]]
 
 
 def second(pdf: pd.DataFrame):
-    CALLS["second"] += len(pdf)
     # a rule applies when the first pass saw a cat
     return ['{"Rule_Reasoning": "x", "updated_anomaly": %d}' % (1 if "cat" in p or '"anomaly": 1' in p else 0)
             for p in pdf["prompt"]]
@@ -26,12 +22,13 @@ def second(pdf: pd.DataFrame):
 def test_two_pass_chain(spark):
     rows = [("m", "chain", f"v{i}.mp4", ["a cat", "a dog", "a tree"][i % 3]) for i in range(9)]
     req = spark.createDataFrame(rows, "model string, method string, video string, prompt string")
-    out = two_pass_chain(req, first, second, name="test-chain", batch_size=4)
+    name = f"test-chain-{uuid.uuid4().hex}"
+    out = two_pass_chain(req, first, second, name=name, batch_size=4)
     lab = extract_labels(out, "greedy", "updated_anomaly").select("video", "raw_value").collect()
     got = {r.video: r.raw_value for r in lab}
     assert got == {f"v{i}.mp4": ("0" if i % 3 == 2 else "1") for i in range(9)}
     # A rerun finds every request answered: nothing is appended.
-    again = two_pass_chain(req, first, second, name="test-chain", batch_size=4)
+    again = two_pass_chain(req, first, second, name=name, batch_size=4)
     assert again.count() == 9
-    p1 = spark.read.parquet(spark.conf.get("spark.checkpoint.dir") + "/chain-test-chain/pass1")
+    p1 = spark.read.parquet(spark.conf.get("spark.checkpoint.dir").rstrip("/") + f"/chain-{name}/pass1")
     assert p1.count() == 9

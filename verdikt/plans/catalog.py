@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.config import METHOD_KEYS, RUN_MATRIX
+from verdikt.config import CATEGORIES, METHOD_KEYS, RUN_MATRIX
 from verdikt.functions.dialects import extract_labels, with_chain_record
 from verdikt.functions.labels import label_int, label_number
 from verdikt.operators import media_plan as MP
@@ -492,7 +492,7 @@ def q_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "category_distribution",
     "WITH " + O.truth_cte() + ",\n"
-    "c AS (SELECT unnest(list_filter(" + "[" + ", ".join(O._q(x) for x in __import__("verdikt.config", fromlist=["CATEGORIES"]).CATEGORIES)
+    "c AS (SELECT unnest(list_filter(" + "[" + ", ".join(O._q(x) for x in CATEGORIES)
     + "], lambda x: coalesce(contains(category, x), FALSE))) AS category, label FROM truth)\n"
     "SELECT category, label, count(*) AS n FROM c GROUP BY ALL",
 )

@@ -40,3 +40,13 @@ def test_resume_and_replay(spark):
     assert pending(req, full).count() == 0  # a second run scores nothing
     r = replay(req, log).collect()
     assert sum(x.answered for x in r) == 2
+
+
+def test_rate_limit(spark):
+    import time
+
+    req = _requests(spark, 12).coalesce(1)
+    t0 = time.time()
+    out = score_batches(req, keyword_scorer(["cat"]), batch_size=4, max_rps=8.0).collect()
+    # three batches of four at 8 requests/s: at least two waits of ~0.5 s
+    assert len(out) == 12 and time.time() - t0 >= 1.0

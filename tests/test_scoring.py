@@ -87,3 +87,16 @@ def test_reingest_is_noop(spark):
     once = last_wins(df, ["model", "video"], "ord", ["val"]).drop("n_versions")
     twice = last_wins(df.unionByName(df), ["model", "video"], "ord", ["val"]).drop("n_versions")
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_truth_quality(spark):
+    from verdikt.operators.metrics import truth_quality
+
+    truth = with_truth_label(
+        spark.createDataFrame(
+            [("a", "x", "Normal"), ("a", "x", "Abnormal"), ("b", "x", "Odd"), ("c", "x", "Vague Abnormal")],
+            "title string, category string, label string",
+        )
+    )
+    r = truth_quality(truth).collect()[0]
+    assert (r.rows, r.titles, r.duplicate_titles, r.unlabelled_rows) == (4, 3, 1, 1)

@@ -159,3 +159,19 @@ def chain_shift(
     """
     j = pass1.select(*keys, label1).join(pass2.select(*keys, label2), list(keys), "full_outer")
     return j.groupBy(*[k for k in keys if k != "video"], label1, label2).agg(F.count(F.lit(1)).alias("n"))
+
+
+def truth_quality(truth: DataFrame, title_col: str = "title") -> DataFrame:
+    """A11 for the ground truth: rows, distinct titles, titles that appear more
+    than once (they multiply joined rows) and rows with unknown label text
+    (left out of the metrics). One row; two aggregations, both partial."""
+    per_title = truth.groupBy(title_col).agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.count_if(F.col("true_label").isNull()).alias("unlabelled"),
+    )
+    return per_title.agg(
+        F.sum("copies").alias("rows"),
+        F.count(F.lit(1)).alias("titles"),
+        F.count_if(F.col("copies") > 1).alias("duplicate_titles"),
+        F.sum("unlabelled").alias("unlabelled_rows"),
+    )

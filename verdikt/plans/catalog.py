@@ -670,3 +670,19 @@ def q_file_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line_order",
     )
     return sliced_metrics(evaluate_lines(lines, derived_truth(spark, sf_dir), dialect="greedy", key="result"))
+
+
+# --- A11 for the ground truth -------------------------------------------------------
+
+
+@register(
+    "truth_quality",
+    "WITH " + O.truth_cte() + ",\n"
+    "t AS (SELECT title, count(*) AS copies, count(*) FILTER (WHERE true_label IS NULL) AS unlabelled FROM truth GROUP BY title)\n"
+    "SELECT CAST(sum(copies) AS BIGINT) AS rows, count(*) AS titles, count(*) FILTER (WHERE copies > 1) AS duplicate_titles,\n"
+    "       CAST(sum(unlabelled) AS BIGINT) AS unlabelled_rows FROM t",
+)
+def q_truth_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdikt.operators.metrics import truth_quality
+
+    return truth_quality(derived_truth(spark, sf_dir))

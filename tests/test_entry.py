@@ -32,3 +32,18 @@ def test_query_matches_oracle(spark, con, name):
     if name in E.oracle_sql():
         assert info["cols"] and info["values"], info
     assert info["rows"] >= 0
+
+
+SPARK_TO_DUCK = {
+    "IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+    "BooleanType": "BOOLEAN", "FloatType": "FLOAT",
+}
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_query_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SMALL)
+    st = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    ot = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert st == ot

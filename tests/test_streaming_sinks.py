@@ -55,3 +55,23 @@ def test_retried_epoch_is_idempotent(spark, tmp_path):
     stored = spark.read.option("basePath", str(tmp_path / "t")).parquet(str(tmp_path / "t"))
     assert stored.count() == 1
     assert [r.raw_value for r in latest_table(spark, str(tmp_path / "t")).collect()] == ["1"]
+
+
+def test_compact_keeps_latest(spark, tmp_path):
+    from verdikt.streaming.ingest import _merge_batch, compact, latest_table
+
+    def batch(line, mtime):
+        return spark.createDataFrame(
+            [("m", "z", line, mtime, "p", 0)],
+            "model string, method string, line string, mtime long, path string, block long",
+        ).select("model", "method", "line",
+                 F.struct(F.col("mtime").cast("timestamp").alias("mtime"), "path", "block").alias("file_order"))
+
+    merge = _merge_batch(str(tmp_path / "t"), "greedy", "result")
+    merge(batch('{"v1.mp4": "{\\"result\\": 0}"}', 1), 0)
+    merge(batch('{"v1.mp4": "{\\"result\\": 1}"}', 2), 1)
+    assert [r.raw_value for r in latest_table(spark, str(tmp_path / "t")).collect()] == ["1"]
+    compact(spark, str(tmp_path / "t"), str(tmp_path / "c"))
+    stored = spark.read.option("basePath", str(tmp_path / "c")).parquet(str(tmp_path / "c"))
+    assert stored.count() == 1
+    assert [r.raw_value for r in latest_table(spark, str(tmp_path / "c")).collect()] == ["1"]

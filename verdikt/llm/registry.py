@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from verdikt.llm import dsir, packing, quality_rules, simhash
+from verdikt.llm import dsir, html_template, lcp, license_scan, packing, quality_rules, quotes, sentence_fst, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op2_warc": warc.op2,
+    "op3_license_scan": license_scan.op3,
+    "op4_quote_threads": quotes.op4,
     "op5_best_fit_packing": packing.op5,
+    "op6_sentence_fst": sentence_fst.op6,
+    "op7_fingerprints": lcp.op7,
+    "op8_main_text": html_template.op8,
     "op9_simhash_dedup": simhash.op9,
     "op10_quality_classifier": dsir.op10,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+}

@@ -195,3 +195,44 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(x, bounds, row["lang"], row["source"]).select(
         "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES
     )
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+n AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM r, range(3) t(k) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN n USING (rid)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  n_symbols * 1000000 // greatest(word_chars, 1) AS symbol_rate, n_dup_lines * 1000000 // greatest(n_lines, 1) AS dup_line_rate,
+  n_repeat_words * 1000000 // greatest(n_words, 1) AS repeat_rate, word_chars * 1000 // greatest(n_words, 1) AS word_length FROM c),
+v AS (SELECT lang, source, measure, value, CASE WHEN value < 64 THEN 0 ELSE length(bin(value)) - 6 END AS e FROM (
+  UNPIVOT (SELECT lang, source, symbol_rate, dup_line_rate, repeat_rate, word_length FROM m WHERE NOT base_failed)
+  ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME measure VALUE value)),
+b AS (SELECT lang, source, measure, (value >> e) << e AS low FROM v),
+q AS (SELECT *, count(*) OVER (PARTITION BY lang, source, measure ORDER BY low) AS up, count(*) OVER (PARTITION BY lang, source, measure) AS docs,
+  count(*) OVER (PARTITION BY lang, measure ORDER BY low) AS lang_up, count(*) OVER (PARTITION BY lang, measure) AS lang_docs FROM b),
+own AS (SELECT lang, source, measure, max(docs) AS docs, min(low) FILTER (4 * up >= docs) AS q1, min(low) FILTER (4 * up >= 3 * docs) AS q3 FROM q GROUP BY ALL),
+pool AS (SELECT lang, measure, min(low) FILTER (4 * lang_up >= lang_docs) AS q1, min(low) FILTER (4 * lang_up >= 3 * lang_docs) AS q3 FROM q GROUP BY ALL),
+s AS (SELECT * FROM (VALUES {slacks}) t(measure, up, down)),
+f AS (SELECT own.lang, own.source, own.measure,
+  CAST(floor(CAST(docs * (own.q3 + {spread} * (own.q3 - own.q1) + s.up) + {prior} * (pool.q3 + {spread} * (pool.q3 - pool.q1) + s.up) AS DOUBLE) / (docs + {prior})) AS BIGINT) AS high,
+  CAST(floor(CAST(docs * (own.q1 - {spread} * (own.q3 - own.q1) - s.down) + {prior} * (pool.q1 - {spread} * (pool.q3 - pool.q1) - s.down) AS DOUBLE) / (docs + {prior})) AS BIGINT) AS low
+  FROM own JOIN pool ON own.lang IS NOT DISTINCT FROM pool.lang AND own.measure = pool.measure JOIN s ON s.measure = own.measure),
+t AS (SELECT lang, source, {picks} FROM f GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({inside}, TRUE) AS kept, symbol_rate, dup_line_rate, repeat_rate, word_length
+FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
+""".format(
+    spread=SPREAD,
+    prior=PRIOR,
+    slacks=", ".join(f"('{m}', {up}, {down or 0})" for m, (_, up, down) in MEASURES.items()),
+    picks=", ".join(f"max({b}) FILTER (measure = '{m}') AS {m}_{b}" for m in MEASURES for b in ("high", "low")),
+    inside=" AND ".join(f"{m} <= {m}_high" + (f" AND {m} >= {m}_low" if down else "") for m, (_, _, down) in MEASURES.items()),
+)

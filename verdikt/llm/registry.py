@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
 }

@@ -39,8 +39,8 @@ PRIOR = 200
 # Rates are per million, word length is in thousandths of a code point.
 MEASURES = {
     "symbol_rate": ("n_symbols * 1000000 div greatest(word_chars, 1)", 60000, None),
-    "dup_line_rate": ("n_dup_lines * 1000000 div greatest(n_lines, 1)", 250000, None),
-    "repeat_rate": ("n_repeat_words * 1000000 div greatest(n_words, 1)", 200000, None),
+    "dup_line_rate": ("n_dup_lines * 1000000 div greatest(n_lines, 1)", 400000, None),
+    "repeat_rate": ("n_repeat_words * 1000000 div greatest(n_words, 1)", 450000, None),
     "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 3000, 2000),
 }
 

@@ -1,0 +1,98 @@
+import random
+
+import pytest
+
+from verdikt.llm import quotes as q
+
+CHAT = "conv_id long, turn long, role string, text string, place string, conv string, m string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "x", "x") for r in rows], CHAT)
+
+
+def test_levels_attributions_and_wrapping():
+    text = "Hi Bo,\n\nOn Monday Ann wrote:\n> First sentence that is\n> wrapped here. Short one now follows!\n>\n> Bo wrote:\n>> Deeper words stand here.\n> > And more deep words.\nMy own answer stands here.\n> trailing quote of words"
+    body, said, quoted = q.parse(text)
+    assert body == "Hi Bo,\n\nMy own answer stands here."
+    assert [n for _, n in said] == [5] and [(v, n) for v, _, n in quoted] == [(1, 6), (1, 4), (1, 4), (2, 4), (2, 4)]
+    h = lambda t: q.passages(t)[0]
+    assert (1, *h("first  SENTENCE that is, wrapped here")) in quoted and (2, *h("Deeper words stand here")) in quoted
+    assert q.parse("") == ("", [], []) and q.passages("ok. no") == q.passages("OK no")
+
+
+def conversation(seed, n, conv):
+    """Messages of random trees that quote their parent, whole or in part, at
+    nested levels; (rows, parents)."""
+    r = random.Random(seed)
+    own = [" ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(3, 12))) + "." for _ in range(n)]
+    shown, parent, rows = [], [], []
+    for i in range(n):
+        p = r.randrange(i) if i and r.random() < 0.7 else None
+        text = own[i]
+        if p is not None:
+            lines = shown[p].split("\n")
+            text = f"On day {i} someone wrote:\n" + "\n".join((">" if x.startswith(">") else "> ") + x for x in lines) + "\n" + text
+        shown.append(text)
+        parent.append(p)
+        rows.append((conv, i, "user", text))
+    return rows, parent, own
+
+
+def slow(parent):
+    """(place, root, depth) by walking up from each message."""
+    root, depth = [], []
+    for i, p in enumerate(parent):
+        root.append(i if p is None else root[p])
+        depth.append(0 if p is None else depth[p] + 1)
+    order = sorted(range(len(parent)), key=lambda i: (root[i], i))
+    return {i: (k, root[i], depth[i]) for k, i in enumerate(order)}
+
+
+def test_threads_equal_brute_force(spark):
+    rows, want = [], {}
+    for c in range(12):
+        got, parent, own = conversation(c, 5 + 6 * c, c)
+        rows += got
+        where = slow(parent)
+        want |= {(c, i): (own[i], parent[i], *where[i]) for i in where}
+    found = {(r["conv"], r["turn"]): (r["body"], r["parent"], r["place"], r["root"], r["depth"]) for r in q.link_quotes(frame(spark, rows)).collect()}
+    assert found == want
+
+
+def test_chain_and_popular_passage(spark):
+    """A chain of 100 replies, and one message that everybody quotes."""
+    rows = [(1, 0, "user", "The very first message here.")]
+    rows += [(1, i, "user", f"> {'The very first message here.' if i == 1 else f'Answer number {i - 1} stands here.'}\nAnswer number {i} stands here.") for i in range(1, 100)]
+    rows += [(2, 0, "user", "Everybody quotes this passage.")] + [(2, i, "user", "> Everybody quotes this passage.\nYes, we all agree on that.") for i in range(1, 200)]
+    found = {(r["conv"], r["turn"]): r for r in q.link_quotes(frame(spark, rows)).collect()}
+    assert all(found[1, i]["depth"] == i and found[1, i]["root"] == 0 and found[1, i]["place"] == i for i in range(100))
+    assert all(found[2, i]["parent"] == 0 and found[2, i]["depth"] == 1 for i in range(1, 200))
+
+
+def test_other_conversations_and_later_messages_are_not_originals(spark):
+    rows = [(1, 0, "a", "> A sentence of somebody else.\nfirst words said here"), (1, 1, "a", "A sentence of somebody else."), (2, 0, "a", "> A sentence of somebody else.\nx")]
+    assert all(r["parent"] is None for r in q.link_quotes(frame(spark, rows)).collect())
+
+
+def test_awkward_rows(spark):
+    rows = [(None, 0, "a", "Words in no conversation."), (None, 1, "a", "> Words in no conversation.\nyes"), (3, None, "a", "> Some words said here.\nz"), (3, 1, None, "Some words said here."), (3, 1, None, "Some words said here.")]
+    rows += [(3, 2, "b", None), (3, 3, "b", ""), (3, 4, "b", "> Some words said here."), (4, 0, "a", "long words here " * 30_000), (0, 0, "a", "zero")]
+    df = q.chat_markup(q.link_quotes(frame(spark, rows)))
+    got = df.collect()
+    assert len(got) == len(rows)
+    find = lambda c, t: [r for r in got if r["conv"] == c and r["turn"] == t]
+    assert find(None, 1)[0]["parent"] == 0 and find(3, None)[0]["parent"] is None and find(3, None)[0]["place"] == 0
+    assert sorted(r["place"] for r in got if r["conv"] == 3) == list(range(6)) and find(3, 4)[0]["parent"] == 1
+    assert find(3, 4)[0]["formatted"] == "<|b|>\n\n<|end|>" and find(3, 1)[0]["formatted"].startswith("<|unknown|>")
+    assert q.link_quotes(frame(spark, [])).count() == 0
+
+
+def test_query_keeps_every_message(spark):
+    d = "/root/testdata/sf0.01"
+    x = q.op4(spark, d)
+    rows = x.collect()
+    chat = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{d}/conversations.parquet").collect()}
+    assert {(r["conv_id"], r["turn"]) for r in rows} == set(chat)
+    assert all(r["place"] == r["turn"] for r in rows)
+    assert all(r["formatted"] == f"<|{r['role']}|>\n{chat[r['conv_id'], r['turn']].strip()}\n<|end|>" for r in rows)

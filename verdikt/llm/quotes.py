@@ -45,10 +45,10 @@ ATTRIBUTION = re.compile(r"[^\n]{0,200}\b(?:wrote|writes|said|schrieb|a écrit|e
 WORD = re.compile(r"[^\W_]+")
 
 
-def passages(text: str) -> list[tuple[int, int]]:
-    """(hash, words) of the passages of unwrapped text; short ones only if
-    they are all there is."""
-    parts = [w for w in (WORD.findall(s.lower()) for s in SENTENCE.split(text)) if w]
+def passages(*paragraphs: str) -> list[tuple[int, int]]:
+    """(hash, words) of the passages of unwrapped paragraphs; short ones only
+    if they are all there is."""
+    parts = [w for w in (WORD.findall(s.lower()) for p in paragraphs for s in SENTENCE.split(p)) if w]
     long = [w for w in parts if len(w) >= MIN_WORDS]
     if not long and parts:
         long = [[w for p in parts for w in p]]
@@ -71,13 +71,13 @@ def parse(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int, i
             runs.append((level, []))
         runs[-1][1].append(rest)
     # An attribution quoted one level up introduces a deeper quote.
-    quoted = []
+    paragraphs: dict[int, list[str]] = {}
     for k, (level, lines) in enumerate(runs):
         if level and lines and k + 1 < len(runs) and runs[k + 1][0] > level and ATTRIBUTION.fullmatch(lines[-1]):
             lines = lines[:-1]
-        if level:
-            quoted += [(level, *p) for p in passages(" ".join(lines))]
-    said = [p for level, lines in runs if not level for p in passages(" ".join(lines))]
+        paragraphs.setdefault(level, []).append(" ".join(lines))
+    said = passages(*paragraphs.pop(0, []))
+    quoted = [(level, *p) for level, parts in paragraphs.items() for p in passages(*parts)]
     body = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip()
     return body, said, quoted
 

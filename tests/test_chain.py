@@ -1,34 +1,74 @@
-"""Two-pass chain: pass tables in the checkpoint folder, resume scores nothing twice."""
+"""Two-pass chain: pass tables in the checkpoint folder; failures are tried again, answers are not."""
 
 import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from verdikt.functions.dialects import extract_labels
-from verdikt.plans.chain import two_pass_chain
+from verdikt.plans.chain import first_pass_from_lines, two_pass_chain
+from verdikt.session import checkpoint_path
+
+RULES = ["Rule 1: lamps that are left on.", "Rule 2: a door that stays open."]
+
 
 def first(pdf: pd.DataFrame):
     return [json.dumps({"video_description": p, "reasoning": "r", "anomaly": int("dog" in p)}) for p in pdf["prompt"]]
 
 
+def failing(pdf: pd.DataFrame):
+    if pdf["video"].isin(["v0.mp4", "v4.mp4"]).any():
+        raise TimeoutError("no answer")
+    return first(pdf)
+
+
 def second(pdf: pd.DataFrame):
     # a rule applies when the first pass saw a cat
-    return ['{"Rule_Reasoning": "x", "updated_anomaly": %d}' % (1 if "cat" in p or '"anomaly": 1' in p else 0)
-            for p in pdf["prompt"]]
+    assert all("Rule 2: a door" in p for p in pdf["prompt"])
+    return ['{"Rule_Reasoning": "x", "updated_anomaly": %d}' % (1 if "a cat" in p or '"anomaly": 1' in p else 0) for p in pdf["prompt"]]
+
+
+def requests(spark, n):
+    rows = [("m", "chain", f"v{i}.mp4", ["a cat", "a dog", "a tree"][i % 3]) for i in range(n)]
+    return spark.createDataFrame(rows, "model string, method string, video string, prompt string")
+
+
+def labels(out):
+    return {r.video: r.raw_value for r in extract_labels(out, "greedy", "updated_anomaly").select("video", "raw_value").collect()}
 
 
 def test_two_pass_chain(spark):
-    rows = [("m", "chain", f"v{i}.mp4", ["a cat", "a dog", "a tree"][i % 3]) for i in range(9)]
-    req = spark.createDataFrame(rows, "model string, method string, video string, prompt string")
-    name = f"test-chain-{uuid.uuid4().hex}"
-    out = two_pass_chain(req, first, second, name=name, batch_size=4)
-    lab = extract_labels(out, "greedy", "updated_anomaly").select("video", "raw_value").collect()
-    got = {r.video: r.raw_value for r in lab}
-    assert got == {f"v{i}.mp4": ("0" if i % 3 == 2 else "1") for i in range(9)}
+    req, name = requests(spark, 9), f"test-{uuid.uuid4().hex}"
+    out = two_pass_chain(req, first, second, name, RULES, batch_size=4)
+    assert labels(out) == {f"v{i}.mp4": ("0" if i % 3 == 2 else "1") for i in range(9)}
     # A rerun finds every request answered: nothing is appended.
-    again = two_pass_chain(req, first, second, name=name, batch_size=4)
-    assert again.count() == 9
-    p1 = spark.read.parquet(spark.conf.get("spark.checkpoint.dir").rstrip("/") + f"/chain-{name}/pass1")
-    assert p1.count() == 9
+    assert two_pass_chain(req, first, second, name, RULES, batch_size=4).count() == 9
+    for p in ("pass1", "pass2"):
+        assert spark.read.parquet(checkpoint_path(spark, f"chain-{name}/{p}")).count() == 9
+
+
+def test_failed_requests_are_answered_by_a_healthy_rerun(spark):
+    req, name = requests(spark, 6), f"test-{uuid.uuid4().hex}"
+    out = two_pass_chain(req, failing, second, name, RULES, per_request=True)
+    # No first answer: the default record goes through the second pass.
+    assert labels(out) == {"v0.mp4": "0", "v1.mp4": "1", "v2.mp4": "0", "v3.mp4": "1", "v4.mp4": "0", "v5.mp4": "0"}
+    out = two_pass_chain(req, first, second, name, RULES, per_request=True)
+    assert labels(out) == {f"v{i}.mp4": ("0" if i % 3 == 2 else "1") for i in range(6)}
+    assert out.where("error is null").count() == 6
+    p1 = spark.read.parquet(checkpoint_path(spark, f"chain-{name}/pass1"))
+    assert p1.count() == 8 and p1.where("error is not null").count() == 2
+    assert spark.read.parquet(checkpoint_path(spark, f"chain-{name}/pass2")).count() == 8
+
+
+def test_doubled_first_answers_ask_the_second_pass_once(spark):
+    req, name = requests(spark, 3), f"test-{uuid.uuid4().hex}"
+    two_pass_chain(req, first, second, name, RULES)
+    path = checkpoint_path(spark, f"chain-{name}/pass1")
+    spark.createDataFrame(spark.read.parquet(path).collect(), spark.read.parquet(path).schema).write.mode("append").parquet(path)
+    assert two_pass_chain(req, first, second, name, RULES).count() == 3
+    assert spark.read.parquet(checkpoint_path(spark, f"chain-{name}/pass2")).count() == 3
+
+
+def test_first_pass_from_lines_keeps_the_last(spark):
+    lines = spark.createDataFrame([("m", "chain", '{"v": "old"}', 1), ("m", "chain", '{"v": "new"}', 2), ("m", "chain", '{"v": ', 3)], "model string, method string, line string, line_order long")
+    assert [(r.video, r.response) for r in first_pass_from_lines(lines).collect()] == [("v", "new")]

@@ -3,7 +3,10 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from verdikt.operators.inference import keyword_scorer, pending, replay, score_batches
+import pytest
+
+from verdikt.operators.inference import latency_stats, pending, replay, score_batches
+from verdikt.plans.fixtures import keyword_scorer
 
 
 def _requests(spark, n=25):
@@ -42,11 +45,53 @@ def test_resume_and_replay(spark):
     assert sum(x.answered for x in r) == 2
 
 
-def test_rate_limit(spark):
+def test_rate_limit_holds_over_all_tasks(spark):
     import time
 
-    req = _requests(spark, 12).coalesce(1)
+    req = _requests(spark, 32)
     t0 = time.time()
-    out = score_batches(req, keyword_scorer(["cat"]), batch_size=4, max_rps=8.0).collect()
-    # three batches of four at 8 requests/s: at least two waits of ~0.5 s
-    assert len(out) == 12 and time.time() - t0 >= 1.0
+    out = score_batches(req, keyword_scorer(["cat"]), batch_size=1, partitions=4, max_rps=8.0).collect()
+    # 32 requests at 8 a second: 4 s, less the call each task starts with.
+    assert len(out) == 32 and time.time() - t0 >= 3.0
+    with pytest.raises(ValueError, match="partitions"):
+        score_batches(req, keyword_scorer(["cat"]), max_rps=8.0)
+
+
+def test_failure_policies(spark):
+    def boom(pdf: pd.DataFrame):
+        if (pdf["video"] == "v3.mp4").any():
+            raise RuntimeError("rate limited")
+        return ['{"result": 0}'] * len(pdf)
+
+    req = _requests(spark, 8).coalesce(1)
+    null = {r.video: r for r in score_batches(req, boom, per_request=True).collect()}
+    assert [v for v, r in null.items() if r.error] == ["v3.mp4"] and null["v3.mp4"].response is None
+    text = {r.video: r for r in score_batches(req, boom, per_request=True, on_error="text").collect()}
+    assert text["v3.mp4"].response == text["v3.mp4"].error == "RuntimeError: rate limited"
+    with pytest.raises(Exception, match="rate limited"):
+        score_batches(req, boom, on_error="raise").collect()
+    with pytest.raises(ValueError):
+        score_batches(req, boom, on_error="ignore")
+
+
+def test_latency_is_timed_per_request(spark):
+    import time
+
+    def slow(pdf: pd.DataFrame):
+        time.sleep(0.2 if (pdf["video"] == "v1.mp4").any() else 0.0)
+        return ["x"] * len(pdf)
+
+    got = {r.video: r.latency_s for r in score_batches(_requests(spark, 4).coalesce(1), slow, per_request=True).collect()}
+    assert got["v1.mp4"] >= 0.2 and max(v for k, v in got.items() if k != "v1.mp4") < 0.1
+
+
+def test_latency_quantiles_on_the_grid(spark):
+    rows = [("m", i / 1000.0) for i in range(1, 101)] + [("n", 5.0004)] * 7 + [("o", None)]
+    got = {r.model: r for r in latency_stats(spark.createDataFrame(rows, "model string, latency_s double"), ["model"]).collect()}
+    assert (got["m"].n, got["m"].p50_s, got["m"].p90_s, got["m"].max_s) == (100, 0.05, 0.09, 0.1)
+    assert (got["n"].p50_s, got["n"].p90_s, got["n"].avg_s) == (5.0, 5.0, 5.0004) and "o" not in got
+
+
+def test_failed_calls_are_pending(spark):
+    log = spark.createDataFrame([("m", "zeroshot", "v0.mp4", None, "TimeoutError"), ("m", "zeroshot", "v1.mp4", "x", None)], "model string, method string, video string, response string, error string")
+    assert [r.video for r in pending(_requests(spark, 2), log).collect()] == ["v0.mp4"]

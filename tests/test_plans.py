@@ -33,3 +33,17 @@ def test_leaderboard_one_pass(spark):
     # one scan of the documents for all 29 runs
     assert plan.count("documents.parquet") == 1
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+
+
+def test_idpred_lines_are_parsed_once(spark):
+    plan = _final_plan(catalog.QUERIES["idpred_metrics"](spark, SMALL))
+    # one parse of the line and one of the strict answer
+    assert plan.count("from_json") <= 4
+
+
+def test_frames_are_chosen_before_they_are_encoded(spark):
+    plan = _final_plan(catalog.QUERIES["request_blocks"](spark, SMALL))
+    below = plan.split("Exchange hashpartitioning(video")[1:]
+    assert below and all("base64" not in line for p in below for line in p.split("\n")[0:1])
+    uri = _final_plan(catalog.QUERIES["prompts"](spark, SMALL))
+    assert "Join" not in uri

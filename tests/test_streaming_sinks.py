@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdikt.plans import catalog
 from verdikt.sources.logs import read_keyed_log
-from verdikt.sources.sinks import append_responses, dump_records, export_jsonl, snapshot_json, write_scored
+from verdikt.sources.sinks import append_responses, dump_records, export_jsonl, write_scored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,8 +23,6 @@ def test_sinks_round_trip(spark, tmp_path):
     export_jsonl(df, str(tmp_path / "jsonl"))
     got = {r.video: r.response for r in read_keyed_log(spark, str(tmp_path / "jsonl")).collect()}
     assert got == {"a.mp4": '{"result": 1}', "b.mp4": None, "c.mp4": "x\ny"}
-    snapshot_json(df.select("video", "response"), str(tmp_path / "snap"))
-    assert spark.read.json(str(tmp_path / "snap")).count() == 3
     scored = df.withColumn("accuracy", F.lit(1))
     write_scored(scored, str(tmp_path / "scored"))
     write_scored(scored.where("model = 'm'").withColumn("accuracy", F.lit(0)), str(tmp_path / "scored"))
@@ -42,36 +40,90 @@ def test_stream_equals_batch(spark):
     assert batch == stream
 
 
+def _batch(spark, line, mtime=1):
+    df = spark.createDataFrame([("m", "z", line, mtime, "p", 0)], "model string, method string, line string, mtime long, path string, block long")
+    return df.select("model", "method", "line", F.struct(F.col("mtime").cast("timestamp").alias("mtime"), "path", "block").alias("file_order"))
+
+
+def _line(label):
+    return '{"v1.mp4": "{\\"result\\": %d}"}' % label
+
+
 def test_retried_epoch_is_idempotent(spark, tmp_path):
-    from verdikt.streaming.ingest import _merge_batch, latest_table
+    from verdikt.streaming.ingest import latest_table, merge_batch, quality_table
 
-    batch = spark.createDataFrame(
-        [("m", "z", '{"v1.mp4": "{\\"result\\": 1}"}', 1, "p", 0)],
-        "model string, method string, line string, mtime long, path string, block long",
-    ).select("model", "method", "line", F.struct(F.col("mtime").cast("timestamp").alias("mtime"), "path", "block").alias("file_order"))
-    merge = _merge_batch(str(tmp_path / "t"), "greedy", "result")
-    merge(batch, 0)
-    merge(batch, 0)  # retry of the same epoch
-    stored = spark.read.option("basePath", str(tmp_path / "t")).parquet(str(tmp_path / "t"))
-    assert stored.count() == 1
-    assert [r.raw_value for r in latest_table(spark, str(tmp_path / "t")).collect()] == ["1"]
+    t = str(tmp_path / "t")
+    for _ in range(2):  # a retry of the same epoch
+        merge_batch(_batch(spark, _line(1)), "a-0", t, "greedy", "result")
+    assert spark.read.parquet(f"{t}/answers").count() == 1
+    assert [r.raw_value for r in latest_table(spark, t).collect()] == ["1"]
+    assert [(r.parse_status, r.n) for r in quality_table(spark, t).collect()] == [("ok", 1)]
 
 
 def test_compact_keeps_latest(spark, tmp_path):
-    from verdikt.streaming.ingest import _merge_batch, compact, latest_table
-
-    def batch(line, mtime):
-        return spark.createDataFrame(
-            [("m", "z", line, mtime, "p", 0)],
-            "model string, method string, line string, mtime long, path string, block long",
-        ).select("model", "method", "line",
-                 F.struct(F.col("mtime").cast("timestamp").alias("mtime"), "path", "block").alias("file_order"))
-
-    merge = _merge_batch(str(tmp_path / "t"), "greedy", "result")
-    merge(batch('{"v1.mp4": "{\\"result\\": 0}"}', 1), 0)
-    merge(batch('{"v1.mp4": "{\\"result\\": 1}"}', 2), 1)
-    assert [r.raw_value for r in latest_table(spark, str(tmp_path / "t")).collect()] == ["1"]
-    compact(spark, str(tmp_path / "t"), str(tmp_path / "c"))
-    stored = spark.read.option("basePath", str(tmp_path / "c")).parquet(str(tmp_path / "c"))
-    assert stored.count() == 1
-    assert [r.raw_value for r in latest_table(spark, str(tmp_path / "c")).collect()] == ["1"]
+    from verdikt.streaming.ingest import compact, latest_table, merge_batch
+
+    t = str(tmp_path / "t")
+    for i, label in enumerate((0, 1)):
+        merge_batch(_batch(spark, _line(label), i + 1), f"a-{i}", t, "greedy", "result")
+    merge_batch(_batch(spark, "not json", 3), "a-2", t, "greedy", "result")
+    compact(spark, t)
+    compact(spark, t)
+    assert spark.read.parquet(f"{t}/answers").count() == 1 and len(os.listdir(f"{t}/answers")) == 1
+    assert [r.raw_value for r in latest_table(spark, t).collect()] == ["1"]
+
+
+def _log(spark, folder, labels):
+    rows = [("m", "z", '{"%s": "{\\"result\\": %d}"}' % (v, x)) for v, x in labels.items()]
+    from verdikt.streaming.ingest import write_log_files
+
+    write_log_files(spark.createDataFrame(rows, "model string, method string, line string"), folder)
+
+
+def test_new_checkpoint_keeps_stored_answers(spark, tmp_path):
+    from verdikt.streaming.ingest import ingest, latest_table
+
+    t = str(tmp_path / "t")
+    for n, labels in (("1", {"v1": 1}), ("2", {"v2": 0})):
+        _log(spark, str(tmp_path / f"drop{n}"), labels)
+        ingest(spark, str(tmp_path / f"drop{n}"), t, str(tmp_path / f"ckpt{n}"))
+    assert {r.video: r.raw_value for r in latest_table(spark, t).collect()} == {"v1": "1", "v2": "0"}
+
+
+def test_metrics_after_each_batch(spark, tmp_path):
+    from verdikt.streaming.ingest import ingest, latest_table
+
+    truth = spark.createDataFrame([("v1", "Security", "Abnormal", 1), ("v2", "Wildlife", "Normal", 0)], "title string, category string, label string, true_label int")
+    t, drop = str(tmp_path / "t"), str(tmp_path / "drop")
+    for labels in ({"v1": 0}, {"v2": 0}, {"v1": 1}):
+        _log(spark, drop, labels)
+        ingest(spark, drop, t, str(tmp_path / "ckpt"), truth=truth, compact_every=2)
+    epochs = sorted(os.listdir(f"{t}/metrics"))
+    got = [spark.read.parquet(f"{t}/metrics/{e}").where("slice = 'all'").select("n", "correct").first() for e in epochs if e.startswith("epoch=")]
+    assert [tuple(r) for r in got] == [(1, 0), (2, 1), (2, 2)]
+    assert latest_table(spark, t).count() == 2
+
+
+def test_log_files_come_from_the_input_partitions(spark, tmp_path):
+    from verdikt.streaming.ingest import write_log_files
+
+    lines = spark.range(400).selectExpr("'m' as model", "'z' as method", "cast(id as string) as line").repartition(7)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    write_log_files(lines, str(tmp_path / "log"))
+    files = [f for _, _, names in os.walk(tmp_path / "log") for f in names if f.startswith("part-")]
+    assert len(files) == 7 and plan.count("Exchange") == 1
+
+
+def test_snapshots_are_split_documents(spark, tmp_path):
+    from verdikt.sources.sinks import snapshot_list, snapshot_object
+
+    df = spark.createDataFrame([(f"v{i}", None if i == 3 else f'x"{i}') for i in range(25)], "video string, response string").coalesce(1)
+    snapshot_list(df, str(tmp_path / "list"), rows=10)
+    snapshot_object(df, str(tmp_path / "object"), rows=10)
+    import json
+
+    lists = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "list")).collect()]
+    objects = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "object")).collect()]
+    assert sorted(map(len, lists)) == sorted(map(len, objects)) == [5, 10, 10]
+    want = {r.video: r.response for r in df.collect()}
+    assert {v: x for d in lists for v, x in d} == want and {v: x for d in objects for v, x in d.items()} == want

@@ -42,11 +42,9 @@ MEDIA_SUFFIXES = [".mp4", ".avi", ".mov"]
 # Default values of a chain record when the first-pass answer cannot be read.
 CHAIN_DEFAULT_TEXT = "NAN"
 CHAIN_DEFAULT_ANOMALY = 0
-# --- end of fixed values -----------------------------------------------------
-
-# Slice names produced by the sliced-metrics operator, in order.
-FIXED_SLICES = ["all", "clear", "vague"]
-ALL_SLICES = FIXED_SLICES + CATEGORIES
+# First key of an undecoded log line; the quotes may still be escaped. Part of
+# the log format.
+LINE_KEY_PATTERN = r'^\{\\?"([^"]+)"\\?\s*:'
 
 # Dialects (see verdikt.functions.dialects):
 #   greedy       block first '{' .. last '}', '//' comments removed, strict JSON
@@ -91,6 +89,25 @@ RUN_MATRIX = [
     ("VILA", "cot", "loose", False, "wrong"),
     ("VILA", "icl", "loose", False, "wrong"),
 ]
+# --- end of fixed values -----------------------------------------------------
+
+# Slice names produced by the sliced-metrics operator, in order.
+FIXED_SLICES = ["all", "clear", "vague"]
+ALL_SLICES = FIXED_SLICES + CATEGORIES
+
+# How a run's log lines are read (see verdikt.sources.logs.parse_lines).
+SCANS = ("keyed", "raw", "idpred", "idpred_drop")
+
+
+def default_scan(model: str, method: str, dialect: str) -> str:
+    """Raw-line runs aren't decoded; the open model logs id/pred objects, and
+    all its methods but zero-shot drop lines with an empty id or pred."""
+    if dialect == "rawline":
+        return "raw"
+    if model == "VILA":
+        return "idpred" if method == "zeroshot" else "idpred_drop"
+    return "keyed"
+
 
 RUN_MATRIX_SCHEMA = T.StructType(
     [
@@ -100,16 +117,17 @@ RUN_MATRIX_SCHEMA = T.StructType(
         T.StructField("coerce", T.BooleanType(), False),
         T.StructField("policy", T.StringType(), False),
         T.StructField("answer_key", T.StringType(), False),
+        T.StructField("scan", T.StringType(), False),
     ]
 )
 
 
 def run_matrix(spark: SparkSession, rows=None) -> DataFrame:
-    """The (model, method) -> (dialect, coerce, policy, key) table.
+    """The (model, method) -> (dialect, coerce, policy, key, scan) table.
 
     29 rows by default: a fixed, proven-small dimension that is safe to
     broadcast.
     """
     rows = rows or RUN_MATRIX
-    data = [(m, me, d, c, p, METHOD_KEYS[me]) for (m, me, d, c, p) in rows]
+    data = [(m, me, d, c, p, METHOD_KEYS[me], default_scan(m, me, d)) for (m, me, d, c, p) in rows]
     return spark.createDataFrame(data, RUN_MATRIX_SCHEMA)

@@ -266,12 +266,17 @@ def chain_cleaned_sql(text: str) -> str:
     return f"btrim(replace({cleaned}, {lit(chr(10) * 2)}, ' '), {ws})"
 
 
-def _chain_struct_sql(obj: str) -> str:
+def _chain_struct_sql(obj: str, keys: str) -> str:
+    """``keys``: SQL for the names of the object's members."""
+
+    def member(name: str, default: str) -> str:
+        # A default stands for a missing member; an explicit null stays null.
+        given = f"{obj} IS NOT NULL AND {obj}.{name} IS NULL AND array_contains({keys}, {lit(name)})"
+        return f"'{name}', CASE WHEN {given} THEN CAST(NULL AS STRING) ELSE coalesce({obj}.{name}, {lit(default)}) END"
+
     return (
-        f"named_struct('video_description', coalesce({obj}.video_description, {lit(CHAIN_DEFAULT_TEXT)}), "
-        f"'reasoning', coalesce({obj}.reasoning, {lit(CHAIN_DEFAULT_TEXT)}), "
-        f"'anomaly', coalesce({obj}.anomaly, {lit(str(CHAIN_DEFAULT_ANOMALY))}), "
-        f"'parsed', {obj} IS NOT NULL)"
+        f"named_struct({member('video_description', CHAIN_DEFAULT_TEXT)}, {member('reasoning', CHAIN_DEFAULT_TEXT)}, "
+        f"{member('anomaly', str(CHAIN_DEFAULT_ANOMALY))}, 'parsed', {obj} IS NOT NULL)"
     )
 
 
@@ -280,17 +285,17 @@ def chain_record(text: str) -> Column:
 
     The fence characters backtick, j, s, o, n are stripped from both ends as
     a character set, then white space; blank lines become a space; the rest
-    must be one JSON object. Missing members take defaults ('NAN', 'NAN', 0);
-    anything unreadable gives all defaults, so a broken first answer reads as
+    must be one JSON object. Missing members take defaults ('NAN', 'NAN', 0), an
+    explicit null stays NULL; anything unreadable gives all defaults, so a broken first answer reads as
     "normal" rather than invalid. (Expression form over column ``text``; hot
     paths use :func:`with_chain_record`.)
     """
     obj = single_sql(strict_array_sql(chain_cleaned_sql(ident(text)), CHAIN_FIELDS))
-    return F.expr(_chain_struct_sql(f"({obj})"))
+    return F.expr(_chain_struct_sql(f"({obj})", f"json_object_keys({chain_cleaned_sql(ident(text))})"))
 
 
 def with_chain_record(df: DataFrame, text_col: str, out_col: str = "record") -> DataFrame:
     """E9 as a transform: parse once per row, then apply the defaults."""
     staged = df.withColumn("_cr_doc", F.expr(chain_cleaned_sql(ident(text_col))))
     staged = with_strict_object(staged, "_cr_doc", CHAIN_FIELDS, "_cr_obj")
-    return staged.withColumn(out_col, F.expr(_chain_struct_sql("`_cr_obj`"))).drop("_cr_doc", "_cr_obj")
+    return staged.withColumn(out_col, F.expr(_chain_struct_sql("`_cr_obj`", "json_object_keys(`_cr_doc`)"))).drop("_cr_doc", "_cr_obj")

@@ -16,13 +16,21 @@ from verdikt.config import LABEL_MAP
 NUMERIC_PATTERN = r"^\s*[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$"
 
 
-def label_number(raw: Column) -> Column:
-    """Answer text as a double (NULL when it is not a number or boolean)."""
-    return (
+def label_number(raw: Column, coerce: bool | Column = True) -> Column:
+    """Answer text as a double (NULL when it is not a number or boolean).
+
+    ``coerce`` (J7): read any decimal. Without it only whole numbers are
+    labels, so ``0.9`` is invalid instead of 0.
+    """
+    number = (
         F.when(raw == F.lit("true"), F.lit(1.0))
         .when(raw == F.lit("false"), F.lit(0.0))
         .when(raw.rlike(NUMERIC_PATTERN), raw.try_cast("double"))
     )
+    if coerce is True:
+        return number
+    whole = F.when(number == F.floor(number), number)
+    return whole if coerce is False else F.when(coerce, number).otherwise(whole)
 
 
 def label_int(number: Column) -> Column:
@@ -57,18 +65,6 @@ def predicted_label(number: Column, truth: Column, policy: str | Column) -> Colu
     return F.when(policy == F.lit("negative"), negative).otherwise(wrong)
 
 
-def is_correct(number: Column, truth: Column, policy: str | Column) -> Column:
-    """1 when the answer equals the truth, 0 otherwise (invalid is 0)."""
-    if isinstance(policy, str) and policy == "wrong":
-        return F.coalesce((label_int(number) == truth).cast("int"), F.lit(0))
-    pred = predicted_label(number, truth, policy)
-    wrong_acc = F.coalesce((label_int(number) == truth).cast("int"), F.lit(0))
-    neg_acc = F.coalesce((pred == truth).cast("int"), F.lit(0))
-    if isinstance(policy, str):
-        return neg_acc
-    return F.when(policy == F.lit("negative"), neg_acc).otherwise(wrong_acc)
-
-
 def strip_media_suffix(name: Column, suffix: str = ".mp4") -> Column:
     """Remove a literal suffix text anywhere in the name (not only at the end)."""
     return F.replace(name, F.lit(suffix), F.lit(""))

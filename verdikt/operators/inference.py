@@ -18,13 +18,16 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORED_SCHEMA = "model string, method string, video string, response string, error string, latency_s double, batch_id long"
+SCORED_COLS = "response string, error string, latency_s double, batch_id long, scored_at double"
 
 Scorer = Callable[[pd.DataFrame], Sequence[str | None]]
 
+# I4: what a failed call leaves behind.
+FAILURE_POLICIES = ("null", "raise", "text")
+
 
 def score_batches(
     requests: DataFrame,
@@ -34,78 +37,73 @@ def score_batches(
     max_rps: float | None = None,
     key_cols: Sequence[str] = ("model", "method", "video"),
     text_col: str = "prompt",
+    on_error: str = "null",
+    per_request: bool = False,
 ) -> DataFrame:
     """Score requests in batches on the executors.
 
-    ``partitions`` caps the concurrency (one batch stream per task);
+    Returns the ``key_cols`` (strings), response, error, latency_s, batch_id and
+    scored_at (seconds since the epoch). ``partitions`` caps the concurrency (one batch stream per task);
     ``batch_size`` is the number of requests handed to one scorer call
-    (Arrow batches are cut to that size inside the task); ``max_rps``
-    spaces out calls inside each task (I3). A scorer exception marks every
-    row of its batch with ``error`` and a NULL ``response``: an error never
-    becomes response text (I4). ``latency_s`` is the batch wall time divided
-    over its rows (I5).
+    (Arrow batches are cut to that size inside the task).
+
+    ``max_rps`` (I3) bounds the requests per second of the whole job: each of
+    the ``partitions`` tasks, which must then be given, takes its share and
+    waits before a call that would exceed it.
+
+    ``on_error`` (I4) says what a scorer exception does to its batch: ``null``
+    leaves a NULL ``response`` and the ``error``; ``text`` puts the error's
+    text into ``response`` as well (logs of some runs hold it); ``raise`` fails
+    the task. Only the error column marks a failure.
+
+    ``latency_s`` (I5) is the wall time of the call divided over its batch;
+    with ``per_request`` every request is a call of its own and timed by itself.
     """
+    if on_error not in FAILURE_POLICIES:
+        raise ValueError(f"on_error={on_error!r}")
+    if max_rps and not partitions:
+        raise ValueError("max_rps is shared out over the tasks: give partitions")
     df = requests.select(*key_cols, text_col)
     if partitions:
         df = df.repartition(partitions)
     keys = list(key_cols)
-
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                yield pdf.iloc[start : start + batch_size]
+    step = 1 if per_request else batch_size
+    task_rps = max_rps / partitions if max_rps else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = 0.0
-        for i, pdf in enumerate(chunks(batches)):
-            if max_rps:
-                wait = len(pdf) / max_rps - (time.perf_counter() - last)
-                if last and wait > 0:
-                    time.sleep(wait)
+        free = 0.0  # when the next call may start
+        chunks = (pdf.iloc[k : k + step] for pdf in batches for k in range(0, len(pdf), step))
+        for i, pdf in enumerate(chunks):
+            if task_rps:
+                now = time.monotonic()
+                time.sleep(max(0.0, free - now))
+                free = max(free, now) + len(pdf) / task_rps
             t0 = time.perf_counter()
             err = None
             try:
                 texts = list(scorer(pdf))
-            except Exception as e:  # failure policy: record, do not raise
-                texts = [None] * len(pdf)
+            except Exception as e:
+                if on_error == "raise":
+                    raise
                 err = f"{type(e).__name__}: {e}"
-            last = time.perf_counter()
-            lat = (last - t0) / max(len(pdf), 1)
+                texts = [err if on_error == "text" else None] * len(pdf)
+            lat = (time.perf_counter() - t0) / max(len(pdf), 1)
             out = pd.DataFrame({k: pdf[k].to_numpy() for k in keys})
-            for k in ("model", "method", "video"):
-                if k not in out:
-                    out[k] = None
             out["response"] = texts
             out["error"] = err
             out["latency_s"] = lat
             out["batch_id"] = i
-            yield out[["model", "method", "video", "response", "error", "latency_s", "batch_id"]]
-
-    return df.mapInPandas(run, SCORED_SCHEMA)
-
-
-def keyword_scorer(words: Sequence[str], key: str = "result", threshold: int = 1) -> Scorer:
-    """A deterministic offline scorer: flags a text as anomalous when it
-    contains at least ``threshold`` of ``words`` (whole-text scan)."""
-    ws = [w.lower() for w in words]
-
-    def score(pdf: pd.DataFrame) -> list[str | None]:
-        out = []
-        for t in pdf["prompt"]:
-            if t is None:
-                out.append(None)
-                continue
-            low = t.lower()
-            hits = sum(low.count(w) for w in ws)
-            out.append('{"%s": %d}' % (key, 1 if hits >= threshold else 0))
-        return out
+            out["scored_at"] = time.time()
+            yield out
 
-    return score
+    return df.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", " + SCORED_COLS)
 
 
 def pending(requests: DataFrame, log: DataFrame, keys: Sequence[str] = ("model", "method", "video")) -> DataFrame:
-    """Resume set: requests that have no answer in the log yet."""
-    return requests.join(log.select(*keys).distinct(), list(keys), "left_anti")
+    """Resume set: requests that have no answer in the log yet. Failed calls
+    (rows with an ``error``) are no answers."""
+    done = log.where(F.col("error").isNull()) if "error" in log.columns else log
+    return requests.join(done.select(*keys), list(keys), "left_anti")
 
 
 def replay(requests: DataFrame, latest_log: DataFrame, keys: Sequence[str] = ("model", "method", "video"),
@@ -125,25 +123,33 @@ def clean_video_name(name_col: str = "video") -> F.Column:
     return F.replace(F.substring_index(F.col(name_col), "/", -1), F.lit(".mp4"), F.lit(""))
 
 
-QUANTILE_ACCURACY = 1_000_000
+RESOLUTION_S = 0.001
 
 
 def latency_stats(latency: DataFrame, group_cols: Sequence[str] = ("model", "method"), value_col: str = "latency_s",
-                  accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """Per run count, mean, median / p90 and max of the latency.
-
-    Quantiles come from Spark's mergeable quantile sketch: memory per group
-    is bounded by ``accuracy``, not by the number of rows, so a run holding
-    a third of all calls still aggregates map-side. The result is a value of
-    the column (the smallest one with at least the requested share of
-    values at or below it); its rank is off by at most ``n / accuracy``,
-    i.e. exact for groups up to about ``accuracy`` rows.
+                  resolution: float = RESOLUTION_S, extra: Sequence[Column] = ()) -> DataFrame:
+    """Per run count, mean, median / p90 and max of the latency, in one scan.
+
+    Latencies are counted on a grid of ``resolution`` seconds, and a quantile is
+    the grid value below the smallest latency that has the requested share at
+    or below it. The grid is exact and mergeable at any number of rows: a run
+    holding a third of all calls aggregates map-side to its distinct grid values.
+    ``extra`` are further aggregates of a group that merge by min or max.
     """
     v = F.col(value_col)
-    q = F.percentile_approx(v, [0.5, 0.9], accuracy)
-    return latency.groupBy(*group_cols).agg(
-        F.count(v).alias("n"),
-        F.round(F.avg(v), 6).alias("avg_s"),
-        q.alias("_q"),
-        F.max(v).alias("max_s"),
-    ).select(*group_cols, "n", "avg_s", F.col("_q")[0].alias("p50_s"), F.col("_q")[1].alias("p90_s"), "max_s")
+    step = F.floor(v / F.lit(resolution)).cast("long")
+    names = [f"_x{i}" for i in range(len(extra))]
+    grid = latency.where(v.isNotNull()).groupBy(*group_cols, step.alias("_step")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_sum"), F.max(v).alias("_max"), *[x.alias(n) for x, n in zip(extra, names)]
+    )
+    w = Window.partitionBy(*group_cols)
+    grid = grid.withColumn("_upto", F.sum("_n").over(w.orderBy("_step"))).withColumn("_all", F.sum("_n").over(w))
+    at = lambda share: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(share)), F.col("_step"))) * F.lit(resolution)
+    return grid.groupBy(*group_cols).agg(
+        F.sum("_n").alias("n"),
+        F.round(F.sum("_sum") / F.sum("_n"), 6).alias("avg_s"),
+        F.round(at(0.5), 9).alias("p50_s"),
+        F.round(at(0.9), 9).alias("p90_s"),
+        F.max("_max").alias("max_s"),
+        *[F.struct(F.min(n).alias("low"), F.max(n).alias("high")).alias(n) for n in names],
+    )

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdikt.config import MAX_FRAMES, PAYLOAD_CAP_BYTES, REQUEST_STRIDE
-from verdikt.operators.joins import broadcast_if_small
-
 
 # --- trimming (M1-M4) --------------------------------------------------------
 
@@ -48,10 +46,9 @@ def media_status(plan: DataFrame, inventory: DataFrame, plan_key: str = "title",
     """M5: mark each planned item found / missing in the inventory.
 
     Semi and anti join in one pass: a left join against the distinct
-    inventory keys (broadcast when the key set is proven small).
+    inventory keys (the planner broadcasts them only under its size limit).
     """
     inv = inventory.select(F.col(inv_key).alias("_ms_key")).distinct().withColumn("found", F.lit(True))
-    inv = broadcast_if_small(inv)
     j = plan.join(inv, plan[plan_key] == inv["_ms_key"], "left").drop("_ms_key")
     return j.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
@@ -112,7 +109,7 @@ def sample_frames(frames: DataFrame, counts: DataFrame | None = None, video_col:
     if counts is None:
         counts = frames.groupBy(video_col).agg(F.count(F.lit(1)).alias("n_frames"))
     counts = counts.withColumn("interval", sample_interval(F.col("n_frames"), max_frames))
-    j = frames.join(broadcast_if_small(counts), video_col)
+    j = frames.join(counts, video_col)
     iv = F.col("interval")
     return j.where((F.col(idx_col) % iv == 0) & (F.col(idx_col) < iv * max_frames)).withColumn(
         "sample_rank", (F.col(idx_col) / iv).cast("long")

@@ -18,10 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.config import CATEGORIES, CLEAR_LABELS, VAGUE_LABELS
-
-
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+from verdikt.functions.sqltext import lit
 
 
 def default_slices(categories: Sequence[str] = CATEGORIES) -> list[tuple[str, str, bool]]:
@@ -30,15 +27,15 @@ def default_slices(categories: Sequence[str] = CATEGORIES) -> list[tuple[str, st
     Predicates are SQL text over ``label`` / ``category`` (a Column works as
     well). Category membership is a substring test on the category text.
     """
-    clear = ", ".join(_sql_str(x) for x in CLEAR_LABELS)
-    vague = ", ".join(_sql_str(x) for x in VAGUE_LABELS)
+    clear = ", ".join(lit(x) for x in CLEAR_LABELS)
+    vague = ", ".join(lit(x) for x in VAGUE_LABELS)
     out = [
         ("all", "true", False),
         ("clear", f"label IN ({clear})", False),
         ("vague", f"label IN ({vague})", False),
     ]
     for c in categories:
-        out.append((c, f"coalesce(contains(category, {_sql_str(c)}), false)", True))
+        out.append((c, f"coalesce(contains(category, {lit(c)}), false)", True))
     return out
 
 
@@ -112,7 +109,7 @@ def sliced_metrics(
     structs = []
     for i, (name, _, is_cat) in enumerate(slices):
         fields = ", ".join(f"'{c}', s{i}_{c}" for c in cells)
-        structs.append(f"named_struct('slice', {_sql_str(name)}, 'is_category', {str(is_cat).lower()}, {fields})")
+        structs.append(f"named_struct('slice', {lit(name)}, 'is_category', {str(is_cat).lower()}, {fields})")
     long = wide.select(*group_cols, F.inline(F.expr("array(" + ", ".join(structs) + ")")))
     return metrics_from_counts(long)
 
@@ -128,13 +125,14 @@ def majority_vote(
     video_col: str = "video_name",
     tie: int = 1,
 ) -> DataFrame:
-    """A10: per (method, video) the label most runs predicted.
+    """A10: per (method, video) whether most runs predicted label 1.
 
-    A tie (even number of voters split evenly) resolves to ``tie``.
+    A label outside {0, 1} is a vote, but not one for 1. A tie (even number of
+    voters split evenly) resolves to ``tie``.
     """
     agg = scored.groupBy(*group_cols, video_col).agg(
         F.count(F.lit(1)).alias("voters"),
-        F.sum("predicted_label").alias("votes_abnormal"),
+        F.count_if(F.col("predicted_label") == 1).alias("votes_abnormal"),
         F.max("true_label").alias("true_label"),  # one truth per video
     )
     vote = (

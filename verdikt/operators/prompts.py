@@ -4,18 +4,19 @@ The wording below is this library's own; only the slots follow the
 evaluation protocol: zero-shot asks for ``result``; few-shot, chain of
 thought and in-context ask for ``video_description``, ``reasoning`` and
 ``anomaly``; the second chain pass asks for ``Rule_Reasoning`` and
-``updated_anomaly``. Templates are a small keyed table, so a run picks its
-template with a broadcast lookup rather than code branches.
+``updated_anomaly``. The rules of the second pass and the category guide of the
+in-context prompt come from the caller (a rules file, a guide table).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.config import CATEGORIES
+# Rows of a category guide: it is repeated in every prompt.
+MAX_GUIDE_ROWS = 1000
 
 ZERO_SHOT = (
     "Watch the {media} and decide whether it shows an anomaly a home owner should know about. "
@@ -41,19 +42,6 @@ IN_CONTEXT_HEAD = (
     "You review home camera {media}. Use the category guide below, then answer as JSON with the keys "
     '"video_description", "reasoning" and "anomaly" (0 or 1).'
 )
-SECOND_PASS = (
-    "A first review of a home camera clip gave this result:\n"
-    '{{"video_description": "{description}", "reasoning": "{reasoning}", "anomaly": {anomaly}}}\n'
-    "Check it against the rules below. If a rule applies, name it and update the verdict; otherwise keep it.\n"
-    "Rules:\n{rules}\n"
-    'Answer as JSON with the keys "Rule_Reasoning" and "updated_anomaly" (0 or 1).'
-)
-
-# Our own in-context guide: (category, kind, rule) rows.
-TAXONOMY = [(c, "normal", f"everyday activity typical for {c.lower()}") for c in CATEGORIES] + [
-    (c, "abnormal", f"events in {c.lower()} footage that suggest danger, damage or intrusion") for c in CATEGORIES
-]
-
 TEMPLATE_ROWS = [
     ("zeroshot", "video", ZERO_SHOT.format(media="video")),
     ("zeroshot", "frames", ZERO_SHOT.format(media="frames")),
@@ -66,30 +54,37 @@ TEMPLATE_ROWS = [
 ]
 
 
-def taxonomy_text(rows: Sequence[tuple[str, str, str]] = TAXONOMY) -> str:
-    """The category guide as one block (fixed, small)."""
+def taxonomy_text(taxonomy: DataFrame) -> str:
+    """The category guide as one block, from rows (category, kind, rule).
+    The guide goes whole into each prompt, so the table is a short one: it is
+    collected, at most ``MAX_GUIDE_ROWS`` rows (checked)."""
+    rows = taxonomy.select("category", "kind", "rule").orderBy("category", "kind", "rule").limit(MAX_GUIDE_ROWS + 1).collect()
+    if len(rows) > MAX_GUIDE_ROWS:
+        raise ValueError(f"a category guide of more than {MAX_GUIDE_ROWS} rows")
     lines = []
-    for c in dict.fromkeys(r[0] for r in rows):
-        normal = "; ".join(r[2] for r in rows if r[0] == c and r[1] == "normal")
-        abnormal = "; ".join(r[2] for r in rows if r[0] == c and r[1] == "abnormal")
-        lines.append(f"{c}: normal - {normal}; abnormal - {abnormal}")
+    for c in dict.fromkeys(r["category"] for r in rows):
+        parts = [f"{k} - " + "; ".join(r["rule"] for r in rows if r["category"] == c and r["kind"] == k) for k in dict.fromkeys(r["kind"] for r in rows if r["category"] == c)]
+        lines.append(f"{c}: " + "; ".join(parts))
     return "\n".join(lines)
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    """(method, modality, template) for P1-P4; small and fixed."""
-    rows = list(TEMPLATE_ROWS)
-    for media in ("video", "frames"):
-        rows.append(("icl", media, IN_CONTEXT_HEAD.format(media=media) + "\n" + taxonomy_text()))
-    return spark.createDataFrame(rows, "method string, modality string, template string")
+def template_rows(guide: str = "") -> list[tuple[str, str, str]]:
+    """(method, modality, template) of P1-P4; ``guide`` is the category guide."""
+    return [*TEMPLATE_ROWS, *[("icl", media, IN_CONTEXT_HEAD.format(media=media) + "\n" + guide) for media in ("video", "frames")]]
 
 
-def with_prompt(df: DataFrame, method_col: str = "method", modality_col: str = "modality") -> DataFrame:
-    """Attach the prompt text for each row's (method, modality)."""
-    t = F.broadcast(template_table(df.sparkSession))
-    return df.join(t, [df[method_col] == t["method"], df[modality_col] == t["modality"]], "left").drop(t["method"]).drop(
-        t["modality"]
-    ).withColumnRenamed("template", "prompt")
+def prompt_text(method: str, modality: str, guide: str = "") -> Column:
+    """The prompt of one method and modality as a literal."""
+    return F.lit({(m, mo): t for m, mo, t in template_rows(guide)}[method, modality])
+
+
+def with_prompt(df: DataFrame, method_col: str = "method", modality_col: str = "modality", guide: str = "") -> DataFrame:
+    """Attach the prompt text for each row's (method, modality). The
+    ten templates are literals of the expression, so no join is planned."""
+    prompt = F.lit(None).cast("string")
+    for m, mo, t in template_rows(guide):
+        prompt = F.when((F.col(method_col) == m) & (F.col(modality_col) == mo), F.lit(t)).otherwise(prompt)
+    return df.withColumn("prompt", prompt)
 
 
 def rules_text(rules: Sequence[str]) -> Column:
@@ -107,25 +102,12 @@ SECOND_PASS_PARTS = [
     '\nAnswer as JSON with the keys "Rule_Reasoning" and "updated_anomaly" (0 or 1).',
 ]
 
-# Our own rule list for the second pass (a rules JSON file can replace it).
-DEFAULT_RULES = [
-    "Rule 1: a person acting in a way likely to frighten the household.",
-    "Rule 2: a pet outside with no owner in sight.",
-    "Rule 3: a wild animal close to the house.",
-    "Rule 4: someone trying doors, windows or vehicles that are not theirs.",
-    "Rule 5: fire, flooding, storm damage or another hazard to the property.",
-    "Rule 6: a child outdoors without an adult.",
-    "Rule 7: a pet damaging things or trying to get out.",
-    "Rule 8: objects moving or behaving in ways that are hard to explain.",
-    "Rule 9: a person or object falling in a way that could hurt someone.",
-    "Rule 10: tampering with locks or forcing an entry.",
-]
-
-
 def second_pass_prompt(description: Column, reasoning: Column, anomaly: Column, rules: Column) -> Column:
-    """The second-pass prompt. Values are inserted as they are (no escaping)."""
+    """The second-pass prompt. Values are inserted as they are (no
+    escaping), a NULL value as ``null``."""
     a, b, c, d, e = SECOND_PASS_PARTS
-    return F.concat(F.lit(a), description, F.lit(b), reasoning, F.lit(c), anomaly, F.lit(d), rules, F.lit(e))
+    x, y, z = (F.coalesce(v, F.lit("null")) for v in (description, reasoning, anomaly))
+    return F.concat(F.lit(a), x, F.lit(b), y, F.lit(c), z, F.lit(d), rules, F.lit(e))
 
 
 def frame_parts(frames: DataFrame, group_cols: Sequence[str], rank_col: str = "sample_rank", payload_col: str = "payload") -> DataFrame:
@@ -142,15 +124,39 @@ def frame_parts(frames: DataFrame, group_cols: Sequence[str], rank_col: str = "s
     )
 
 
-def request_json(model: Column, prompt: Column, frames: Column, max_tokens: int = 4096, temperature: float = 0.0,
-                 system: Column | None = None) -> Column:
-    """One request document: text part first, then one image part per frame."""
-    parts = F.concat(
-        F.array(F.struct(F.lit("text").alias("type"), prompt.alias("text"), F.lit(None).cast("string").alias("data"))),
-        F.transform(frames, lambda f: F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), f.alias("data"))),
-    )
-    fields = [model.alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(temperature).alias("temperature")]
+REQUEST_SHAPES = ("uri", "images", "blocks")
+
+
+def request_json(model: Column, prompt: Column, media: Column, max_tokens: int = 4096, temperature: float = 0.0,
+                 system: Column | None = None, shape: str = "images") -> Column:
+    """One request document, in the shape a vendor family takes.
+
+    ``uri``     the text and one file part; ``media`` is the video's address
+    ``images``  the text part first, then one image part per frame
+    ``blocks``  one block with base64 source per frame, then the text block
+
+    ``media`` is the ordered array of encoded frames for the last two.
+    ``system`` adds a system message before the user's.
+    """
+    if shape not in REQUEST_SHAPES:
+        raise ValueError(f"shape={shape!r}")
+    none = F.lit(None).cast("string")
+    if shape == "uri":
+        parts = F.array(
+            F.struct(F.lit("text").alias("type"), prompt.alias("text"), none.alias("uri")),
+            F.struct(F.lit("file").alias("type"), none.alias("text"), media.alias("uri")),
+        )
+    elif shape == "images":
+        text = F.array(F.struct(F.lit("text").alias("type"), prompt.alias("text"), none.alias("data")))
+        parts = F.concat(text, F.transform(media, lambda f: F.struct(F.lit("image").alias("type"), none.alias("text"), f.alias("data"))))
+    else:
+        source = lambda f: F.struct(F.lit("base64").alias("type"), F.lit("image/jpeg").alias("media_type"), f.alias("data"))
+        text = F.array(F.struct(F.lit("text").alias("type"), prompt.alias("text"), F.lit(None).cast("struct<type:string,media_type:string,data:string>").alias("source")))
+        parts = F.concat(F.transform(media, lambda f: F.struct(F.lit("image").alias("type"), none.alias("text"), source(f).alias("source"))), text)
+    user = F.to_json(F.struct(F.lit("user").alias("role"), parts.alias("content")), {"ignoreNullFields": "false"})
+    messages = [user]
     if system is not None:
-        fields.append(system.alias("system"))
-    fields.append(F.array(F.struct(F.lit("user").alias("role"), parts.alias("content"))).alias("messages"))
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        messages.insert(0, F.to_json(F.struct(F.lit("system").alias("role"), system.alias("content"))))
+    head = F.to_json(F.struct(model.alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(temperature).alias("temperature")))
+    # The messages differ in shape, so they are put together as JSON text.
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"messages":['), F.concat_ws(",", *messages), F.lit("]}"))

@@ -11,38 +11,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions.labels import label_number, predicted_label, strip_media_suffix
-from verdikt.operators.joins import broadcast_if_small
 
 
 def attach_truth(
     preds: DataFrame,
     truth: DataFrame,
     video_col: str = "video",
-    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """J2 + J5: strip '.mp4' from the video key and inner-join the truth.
 
     Unmatched rows on either side are dropped; a duplicated title multiplies
     rows, as an equi-join does. Rows whose label text is unknown (no
-    ``true_label``) are excluded. The truth side is broadcast only behind a
-    size check: the planner's byte estimate by default, or an exact row
-    bound with ``max_broadcast_rows``; otherwise a shuffle join is planned. Run
+    ``true_label``) are excluded. No join hint: the planner broadcasts the
+    truth only under ``spark.sql.autoBroadcastJoinThreshold`` (AQE checks the
+    real size again), otherwise a shuffle join is planned. Run
     after deduplication, the prediction side holds at most one row per
     (run, video), so no video key can be hot on a shuffle join either.
     """
     t = truth.select("title", "category", "label", "true_label").where(F.col("true_label").isNotNull())
-    t = broadcast_if_small(t, max_broadcast_rows)
     p = preds.withColumn("video_name", strip_media_suffix(F.col(video_col)))
     return p.join(t, p["video_name"] == t["title"], "inner")
 
 
-def score_rows(joined: DataFrame, policy: str | Column = "wrong", value_col: str = "raw_value") -> DataFrame:
+def score_rows(joined: DataFrame, policy: str | Column = "wrong", value_col: str = "raw_value", coerce: bool | Column = True) -> DataFrame:
     """J6 + J8 / J9: add ``pred_number``, ``predicted_label`` and ``accuracy``.
 
     ``policy`` is 'wrong', 'negative' or a column holding one of them per row
-    (e.g. joined from the run matrix).
+    (e.g. joined from the run matrix). ``coerce`` (J7, a flag or a column)
+    reads fractions as numbers; without it they are invalid.
     """
-    num = label_number(F.col(value_col))
+    num = label_number(F.col(value_col), coerce)
     df = joined.withColumn("pred_number", num)
     pol = policy
     df = df.withColumn("predicted_label", predicted_label(F.col("pred_number"), F.col("true_label"), pol))

@@ -6,32 +6,55 @@ driver tables (or data Spark derives from them); nothing is sampled or cut.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.config import CATEGORIES, METHOD_KEYS, RUN_MATRIX
+from verdikt.config import CATEGORIES, METHOD_KEYS, RUN_MATRIX, default_scan, run_matrix
 from verdikt.functions.dialects import extract_labels, with_chain_record
 from verdikt.functions.labels import label_int, label_number
 from verdikt.operators import media_plan as MP
 from verdikt.operators import profile as NP
 from verdikt.operators.dedup import last_wins
-from verdikt.operators.inference import keyword_scorer, latency_stats, replay, score_batches
-from verdikt.operators.metrics import chain_shift, default_slices, majority_vote, parse_quality, sliced_metrics
-from verdikt.operators.prompts import DEFAULT_RULES, frame_parts, request_json, rules_text, second_pass_prompt, with_prompt
+from verdikt.operators.inference import clean_video_name, latency_stats, replay, score_batches
+from verdikt.operators.metrics import chain_shift, majority_vote, parse_quality, sliced_metrics
+from verdikt.operators.prompts import TEMPLATE_ROWS, frame_parts, request_json, rules_text, second_pass_prompt, taxonomy_text, template_rows, with_prompt
 from verdikt.operators.scoring import attach_truth, score_rows, scored_output
 from verdikt.plans import oracle as O
 from verdikt.plans.evaluate import evaluate_grid, evaluate_lines, extract_from_lines, latest_answers
-from verdikt.plans.fixtures import FLAGSHIP_RUNS, derived_answers, derived_chain_records, derived_log_lines, derived_truth, table
-from verdikt.sources.logs import parse_idpred_lines, parse_raw_lines
+from verdikt.plans.chain import first_pass_from_lines, two_pass_chain
+from verdikt.plans.fixtures import (
+    FLAGSHIP_RUNS,
+    FRAME_CHARS,
+    derived_answers,
+    derived_chain_records,
+    derived_log_lines,
+    derived_truth,
+    document_frames,
+    first_pass_scorer,
+    keyword_scorer,
+    second_pass_scorer,
+    table,
+)
+from verdikt.session import checkpoint_path
+from verdikt.sources import sinks
+from verdikt.sources.logs import parse_raw_lines, read_keyed_log, read_lines, run_from_path
 from verdikt.sources.tables import spread
+from verdikt.sources.truth import load_rules, read_ground_truth, read_trim_list
+from verdikt.streaming.ingest import ingest, latest_table, quality_table, running_metrics, write_log_files
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         QUERIES[name] = fn
@@ -83,39 +106,35 @@ def q_scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID_RUNS = [(m, me, METHOD_KEYS[me]) for (m, me, _, _, _) in RUN_MATRIX]
 
 
-def _grid_sql_value() -> str:
-    """Per-run dialect as one CASE over (model, method)."""
-    whens = []
-    for m, me, d, _, _ in RUN_MATRIX:
-        whens.append(f"WHEN model = '{m}' AND method = '{me}' THEN {O.dialect_value_sql(d, METHOD_KEYS[me])}")
-    return "CASE " + " ".join(whens) + " END"
-
-
-def _grid_policy_sql() -> str:
-    neg = [f"(model = '{m}' AND method = '{me}')" for m, me, _, _, p in RUN_MATRIX if p == "negative"]
-    return "CASE WHEN " + " OR ".join(neg) + " THEN 'negative' ELSE 'wrong' END" if neg else "'wrong'"
-
-
-_LEADERBOARD_SQL = (
-    "WITH "
-    + O.truth_cte()
-    + ",\n"
-    + O.answers_cte(GRID_RUNS)
-    + ",\n"
-    + O.latest_cte(_grid_sql_value())
-    + ",\n"
-    + O.scored_cte(policy_sql=_grid_policy_sql().replace("model", "l.model").replace("method", "l.method"))
-    + ",\n"
-    + O.sliced_metrics_sql("scored")
-    + " WHERE slice = 'all'"
-)
+def grid_sql(runs) -> str:
+    """CTEs up to ``scored`` for runs read by their own scan, dialect, policy
+    and coercion: one CASE over (model, method) each."""
+
+    def pick(value, default: str) -> str:
+        whens = [f"WHEN {{t}}model = '{r[0]}' AND {{t}}method = '{r[1]}' THEN {v}" for r in runs if (v := value(r)) != default]
+        return "CASE " + " ".join(whens) + f" ELSE {default} END" if whens else default
+
+    scan = pick(lambda r: f"'{default_scan(r[0], r[1], r[2])}'", "'keyed'").format(t="")
+    value = "CASE " + " ".join(
+        f"WHEN model = '{m}' AND method = '{me}' THEN "
+        + O.dialect_value_sql(d, METHOD_KEYS[me], text="coalesce(response, '')" if d == "strict" else "response")
+        for m, me, d, _, _ in runs
+    ) + " END"
+    policy = pick(lambda r: f"'{r[4]}'", "'wrong'").format(t="l.")
+    coerce = pick(lambda r: "TRUE" if r[3] else "FALSE", "FALSE").format(t="l.")
+    return (
+        "WITH " + O.truth_cte() + ",\n" + O.answers_cte([(m, me, METHOD_KEYS[me]) for m, me, *_ in runs], with_cut=True) + ",\n"
+        f"scans AS (SELECT *, {scan} AS scan FROM answers),\n"
+        # Cut lines are bad unless they are never decoded.
+        "kept AS (SELECT * FROM scans WHERE scan = 'raw' OR attempt <> 2 AND (scan <> 'idpred_drop' OR coalesce(response, '') <> '')),\n"
+        + O.latest_cte(value, source="kept") + ",\n" + O.scored_cte(policy_sql=policy, coerce_sql=coerce) + ",\n"
+    )
 
 
-@register("leaderboard", _LEADERBOARD_SQL)
+@register("leaderboard", grid_sql(RUN_MATRIX) + O.sliced_metrics_sql("scored"))
 def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derived_log_lines(derived_answers(spark, sf_dir, GRID_RUNS))
-    scored = evaluate_grid(lines, derived_truth(spark, sf_dir))
-    return sliced_metrics(scored, slices=[s for s in default_slices() if s[0] == "all"])
+    lines = derived_log_lines(derived_answers(spark, sf_dir, GRID_RUNS, with_cut=True))
+    return sliced_metrics(evaluate_grid(lines, derived_truth(spark, sf_dir)))
 
 
 # --- one query per extraction dialect (E1-E8) --------------------------------
@@ -147,7 +166,7 @@ def _make_dialect_query(dialect: str, method: str):
             # S3: the log line is not decoded; its video key comes from a
             # regex on the raw line, the label from the raw-line dialect.
             ans = ans.withColumn("line", F.to_json(F.create_map(F.col("video"), F.col("response"))))
-            ans = parse_raw_lines(ans.drop("video")).select("model", "method", "video", "attempt", "response", "line")
+            ans = parse_raw_lines(ans.select("model", "method", "attempt", "line"))
             ex = extract_labels(ans, dialect, key, line_col="line")
         else:
             ex = extract_labels(ans, dialect, key)
@@ -160,9 +179,9 @@ def _make_dialect_query(dialect: str, method: str):
     sql = (
         "WITH " + O.answers_cte(runs) + ",\n"
         + f"ex AS (SELECT model, method, video, attempt, {O.dialect_value_sql(dialect, key)} AS raw_value,"
-        + (" response IS NOT NULL AND " + (f"{O.regex_value_sql('response', dialect, key)} IS NOT NULL" if dialect in ("regex", "loose") else
-           f"{O.regex_value_sql(O.raw_line_sql('video', 'response'), dialect, key)} IS NOT NULL" if dialect == "rawline" else
-           "TRUE") + " AS rx_ok FROM answers)\n")
+        + ((f" response IS NOT NULL AND {O.regex_value_sql('response', dialect, key)} IS NOT NULL" if dialect in ("regex", "loose") else
+           f" {O.regex_value_sql(O.raw_line_sql('video', 'response'), dialect, key)} IS NOT NULL" if dialect == "rawline" else
+           " TRUE") + " AS rx_ok FROM answers)\n")
         + f"SELECT model, method, video, attempt, {O.int_sql(O.number_sql('raw_value'))} AS label, "
         + ("coalesce(rx_ok, FALSE) AS parsed" if dialect in ("regex", "loose", "rawline") else "raw_value IS NOT NULL AS parsed")
         + " FROM ex"
@@ -200,7 +219,7 @@ def q_negative_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     _FLAGSHIP_BASE_SQL
     + """,
 votes AS (
-  SELECT method, video_name, count(*) AS voters, CAST(sum(predicted_label) AS BIGINT) AS votes_abnormal,
+  SELECT method, video_name, count(*) AS voters, count(*) FILTER (WHERE predicted_label = 1) AS votes_abnormal,
          min(true_label) AS true_label
   FROM scored GROUP BY method, video_name)
 SELECT method, video_name, voters, votes_abnormal, true_label,
@@ -224,41 +243,67 @@ _PQ_STATUS_SQL = """CASE WHEN response IS NULL THEN 'null_response'
 
 @register(
     "parse_quality",
-    "WITH " + O.answers_cte(FLAGSHIP_RUNS) + ",\n"
-    + O.latest_cte(O.dialect_value_sql("greedy", "result"), extra=", response") + "\n"
-    + "SELECT model, method, " + _PQ_STATUS_SQL + " AS parse_status, count(*) AS n FROM latest GROUP BY ALL",
+    "WITH " + O.answers_cte(FLAGSHIP_RUNS, with_cut=True) + ",\n"
+    "extracted AS (SELECT *, " + O.dialect_value_sql("greedy", "result") + " AS raw_value FROM answers)\n"
+    "SELECT model, method, CASE WHEN attempt = 2 THEN 'bad_line' ELSE " + _PQ_STATUS_SQL + " END AS parse_status, count(*) AS n"
+    " FROM extracted GROUP BY ALL",
 )
 def q_parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
-    latest = latest_answers(extract_from_lines(lines, "greedy", "result"))
+    """Every line counts: bad lines and answers that later ones replace too."""
+    lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS, with_cut=True))
+    rows = extract_from_lines(lines, "greedy", "result")
     valid = label_int(label_number(F.col("raw_value"))).isNotNull()
-    status = F.when((F.col("parse_status") == "ok") & ~valid, F.lit("bad_value")).otherwise(F.col("parse_status"))
-    return parse_quality(latest.withColumn("parse_status", status))
+    status = F.when(F.col("line_status") != "ok", F.col("line_status")).when((F.col("parse_status") == "ok") & ~valid, F.lit("bad_value"))
+    return parse_quality(rows.withColumn("parse_status", status.otherwise(F.col("parse_status"))))
 
 
 # --- E9 + P5 + P6: chain records and the second-pass prompt -------------------
 
 
-CHAIN_RUNS = [("Flash", "chain", "anomaly"), ("GPT", "chain", "anomaly")]
+CHAIN_MODELS = [m for m, me, *_ in RUN_MATRIX if me == "chain"]
+CHAIN_RUNS = [(m, "chain", "anomaly") for m in CHAIN_MODELS]
+
+# The rules file of the second pass is written from a table: one rule a region.
+_RULE_SQL = "'Rule ' || CAST(r_regionkey + 1 AS VARCHAR) || ': footage filed under ' || r_name || ' needs a second look.'"
+_RULES_BLOCK_SQL = f"(SELECT string_agg({_RULE_SQL}, chr(10) ORDER BY r_regionkey) FROM region)"
+
+
+def _rules_file(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Write the rules document and read it as a caller would."""
+    rule = F.concat(F.lit("Rule "), (F.col("r_regionkey") + 1).cast("string"), F.lit(": footage filed under "), F.col("r_name"), F.lit(" needs a second look."))
+    listed = table(spark, sf_dir, "region").agg(F.sort_array(F.collect_list(F.struct("r_regionkey", rule.alias("rule")))).alias("x"))
+    path = scratch(spark, "rules")
+    listed.select(F.transform("x", lambda r: r["rule"]).alias("rules")).write.json(path)
+    return load_rules(spark, path)
 
 
 def _p6_sql(desc: str, reason: str, anomaly: str) -> str:
     from verdikt.operators.prompts import SECOND_PASS_PARTS
 
     a, b, c, d, e = (O._q(x) for x in SECOND_PASS_PARTS)
-    rules = O._q("\n".join(DEFAULT_RULES))
-    return f"{a} || {desc} || {b} || {reason} || {c} || {anomaly} || {d} || {rules} || {e}"
+    x, y, z = (f"coalesce({v}, 'null')" for v in (desc, reason, anomaly))
+    return f"{a} || {x} || {b} || {y} || {c} || {z} || {d} || {_RULES_BLOCK_SQL} || {e}"
+
+
+_LAST_RECORDS_SQL = "last_records AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY model, method, video ORDER BY attempt DESC) = 1)"
+
+
+def _first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + J1: the derived first-pass log, read from its lines, last answers only."""
+    records = derived_chain_records(spark, sf_dir, CHAIN_RUNS)
+    lines = records.selectExpr("model", "method", "to_json(map(video, response)) AS line", "named_struct('pass', attempt, 'seq', doc_id) AS line_order")
+    return first_pass_from_lines(lines)
 
 
 @register(
     "chain_record",
-    "WITH " + O.chain_records_cte(CHAIN_RUNS) + ",\n"
-    "rec AS (SELECT model, method, video, " + O.chain_fields_sql() + " FROM records)\n"
+    "WITH " + O.chain_records_cte(CHAIN_RUNS) + ",\n" + _LAST_RECORDS_SQL + ",\n"
+    "rec AS (SELECT model, method, video, " + O.chain_fields_sql() + " FROM last_records)\n"
     "SELECT model, method, video, video_description, reasoning, anomaly, parsed, "
     + _p6_sql("video_description", "reasoning", "anomaly") + " AS prompt FROM rec",
 )
 def q_chain_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = with_chain_record(derived_chain_records(spark, sf_dir, CHAIN_RUNS), "response")
+    recs = with_chain_record(_first_pass(spark, sf_dir), "response")
     r = F.col("record")
     return recs.select(
         "model", "method", "video",
@@ -267,36 +312,64 @@ def q_chain_record(spark: SparkSession, sf_dir: str) -> DataFrame:
         r.getField("anomaly").alias("anomaly"),
         r.getField("parsed").alias("parsed"),
         second_pass_prompt(r.getField("video_description"), r.getField("reasoning"), r.getField("anomaly"),
-                           rules_text(DEFAULT_RULES)).alias("prompt"),
+                           rules_text(_rules_file(spark, sf_dir))).alias("prompt"),
     )
 
 
 # --- A9: how labels moved between the chain's two passes ---------------------
 
-PASS2_RUNS = [("Flash", "chain", "updated_anomaly"), ("GPT", "chain", "updated_anomaly")]
+PASS2_RUNS = [(m, "chain", "updated_anomaly") for m in CHAIN_MODELS]
 
 
 @register(
     "chain_shift",
-    "WITH " + O.chain_records_cte(CHAIN_RUNS) + ",\n"
-    "rec AS (SELECT model, video, " + O.chain_fields_sql() + " FROM records),\n"
-    "p1 AS (SELECT model, video, " + O.int_sql(O.number_sql("anomaly")) + " AS label_1 FROM rec),\n"
-    + O.answers_cte(PASS2_RUNS).replace("(VALUES (0, 'Flash'", "(VALUES (0, 'Flash'").replace(
-        "r.run_idx * 17", "(r.run_idx + 5) * 17") + ",\n"
+    "WITH " + O.chain_records_cte(CHAIN_RUNS) + ",\n" + _LAST_RECORDS_SQL + ",\n"
+    "p1 AS (SELECT model, video, " + O.int_sql(O.number_sql("raw_value")) + " AS label_1\n"
+    "       FROM (SELECT model, video, " + O.dialect_value_sql("greedy", "anomaly") + " AS raw_value FROM last_records)),\n"
+    + O.answers_cte(PASS2_RUNS).replace("r.run_idx * 17", "(r.run_idx + 5) * 17") + ",\n"
     + O.latest_cte(O.dialect_value_sql("greedy", "updated_anomaly")) + ",\n"
     "p2 AS (SELECT model, video, " + O.int_sql(O.number_sql("raw_value")) + " AS label_2 FROM latest)\n"
     "SELECT coalesce(p1.model, p2.model) AS model, label_1, label_2, count(*) AS n\n"
     "FROM p1 FULL OUTER JOIN p2 ON p1.model = p2.model AND p1.video = p2.video GROUP BY ALL",
 )
 def q_chain_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = with_chain_record(derived_chain_records(spark, sf_dir, CHAIN_RUNS), "response")
-    p1 = recs.select("model", "video", label_int(label_number(F.col("record").getField("anomaly"))).alias("label_1"))
+    # The first pass is read again for its label, so that an answer that
+    # can't be read is no label instead of the record's default.
+    p1 = extract_labels(_first_pass(spark, sf_dir), "greedy", "anomaly")
+    p1 = p1.select("model", "video", label_int(label_number(F.col("raw_value"))).alias("label_1"))
     lines = derived_log_lines(derived_answers(spark, sf_dir, PASS2_RUNS, run_offset=5))
     latest = latest_answers(extract_from_lines(lines, "greedy", "updated_anomaly"))
     p2 = latest.select("model", "video", label_int(label_number(F.col("raw_value"))).alias("label_2"))
     return chain_shift(p1, p2, keys=("model", "video"))
 
 
+# --- I2 + I4 + I8: the chain itself, with calls that fail and a rerun ------------
+
+
+@register(
+    "two_pass_chain",
+    """SELECT 'chain-model' AS model, 'chain' AS method, 'vid_' || CAST(doc_id AS VARCHAR) || '.mp4' AS video,
+  CAST(CASE WHEN doc_id % 21 = 3 THEN 1 ELSE length(coalesce(text, '')) % 2 END AS INTEGER) AS label, CAST(NULL AS VARCHAR) AS error
+FROM documents""",
+)
+def q_two_pass_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over every document: the first run's scorer fails for some
+    videos, the rerun scores those again and fails for fewer; what never gets
+    a first answer goes through the second pass with the default record."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cot = {(m, mo): t for m, mo, t in TEMPLATE_ROWS}["chain", "video"]
+    req = d.select(
+        F.lit("chain-model").alias("model"), F.lit("chain").alias("method"),
+        F.concat(F.lit("vid_"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("video"),
+        F.concat(F.lit(cot + "\n\n"), F.coalesce("text", F.lit(""))).alias("prompt"),
+    )
+    rules, name = _rules_file(spark, sf_dir), uuid.uuid4().hex
+    two_pass_chain(req, first_pass_scorer(7), second_pass_scorer, name, rules, per_request=True)
+    out = two_pass_chain(req, first_pass_scorer(21), second_pass_scorer, name, rules, per_request=True)
+    out = extract_labels(out, "greedy", "updated_anomaly")
+    return out.select("model", "method", "video", label_int(label_number(F.col("raw_value"))).alias("label"), "error")
+
+
 # --- J1 last-wins on events ---------------------------------------------------
 
 
@@ -375,33 +448,23 @@ def q_uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- M7 + M8 + A13 payload cap and resize plan --------------------------------
 
-PAYLOAD_CAP_TEST = 4096
-
+PAYLOAD_CAP_TEST = 1024
 
-def _conversation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.select(
-        F.col("conv_id").alias("video"),
-        F.col("turn").alias("frame_idx"),
-        MP.base64_size(F.octet_length(F.col("text"))).alias("payload_bytes"),
-        F.lit(1280).alias("width"),
-        F.lit(720).alias("height"),
-        F.col("text"),
-    )
+_FRAMES_SQL = f"""v AS (
+  SELECT 'vid_' || CAST(doc_id AS VARCHAR) AS video, text, CAST(ceil(length(text) / {FRAME_CHARS}.0) AS BIGINT) AS n_frames FROM documents),
+f AS (SELECT video, n_frames, text, unnest(range(n_frames)) AS frame_idx FROM v),
+frames AS (SELECT video, n_frames, frame_idx, encode(substring(text, frame_idx * {FRAME_CHARS} + 1, {FRAME_CHARS})) AS payload FROM f),
+s AS (SELECT *, greatest(n_frames // 20, 1) AS iv FROM frames),
+sampled AS (SELECT video, frame_idx // iv AS sample_rank, payload FROM s WHERE frame_idx % iv = 0 AND frame_idx < iv * 20)"""
 
 
 @register(
     "payload_cap",
-    f"""WITH f AS (
-  SELECT conv_id AS video, turn AS frame_idx, CAST(4 * ceil(octet_length(encode(text)) / 3) AS BIGINT) AS payload_bytes
-  FROM conversations),
-n AS (SELECT video, count(*) AS n_frames FROM f GROUP BY video),
-s AS (
-  SELECT f.*, greatest(n.n_frames // 20, 1) AS iv FROM f JOIN n USING (video)),
-s2 AS (SELECT *, frame_idx // iv AS sample_rank FROM s WHERE frame_idx % iv = 0 AND frame_idx < iv * 20),
+    f"""WITH {_FRAMES_SQL},
+b AS (SELECT video, sample_rank, CAST(4 * ceil(octet_length(payload) / 3) AS BIGINT) AS payload_bytes FROM sampled),
 w AS (
   SELECT *, coalesce(sum(payload_bytes) OVER (PARTITION BY video ORDER BY sample_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM s2),
+  FROM b),
 k AS (SELECT video, count(*) AS frames_kept, CAST(sum(payload_bytes) AS BIGINT) AS total_bytes FROM w
       WHERE before <= {PAYLOAD_CAP_TEST} AND sample_rank < 20 GROUP BY video)
 SELECT video, frames_kept, total_bytes, 1280 AS width, 720 AS height, total_bytes > {PAYLOAD_CAP_TEST} AS needs_resize,
@@ -411,79 +474,173 @@ SELECT video, frames_kept, total_bytes, 1280 AS width, 720 AS height, total_byte
 FROM k""",
 )
 def q_payload_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _conversation_frames(spark, sf_dir).drop("text")
-    sampled = MP.sample_frames(frames)
-    capped = MP.payload_cap(sampled, cap=PAYLOAD_CAP_TEST)
+    frames, inventory = document_frames(spark, sf_dir)
+    sized = frames.select("video", "frame_idx", MP.base64_size(F.octet_length("payload")).alias("payload_bytes"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    capped = MP.payload_cap(MP.sample_frames(sized, inventory), cap=PAYLOAD_CAP_TEST)
     return MP.resize_plan(capped, cap=PAYLOAD_CAP_TEST)
 
 
 # --- P1-P7 request packing -----------------------------------------------------
 
+REQUEST_METHODS = ["zeroshot", "fewshot", "cot", "icl"]
+SYSTEM_TEXT = "You answer in JSON."
+
+# The category guide of the in-context prompt, from the ground truth: how many
+# clips of a category and kind there are, and the first of them.
+_GUIDE_ROWS_SQL = (
+    "guide_rows AS (SELECT x.category, CASE true_label WHEN 1 THEN 'abnormal' ELSE 'normal' END AS kind,\n"
+    "  CAST(count(*) AS VARCHAR) || ' clips such as ' || min(title) AS rule\n"
+    "  FROM truth t JOIN (SELECT unnest([" + ", ".join(O._q(c) for c in CATEGORIES) + "]) AS category) x ON contains(t.category, x.category)\n"
+    "  GROUP BY ALL),\n"
+    "guide AS (SELECT string_agg(category || ': ' || parts, chr(10) ORDER BY category) AS guide FROM (\n"
+    "  SELECT category, string_agg(kind || ' - ' || rule, '; ' ORDER BY kind) AS parts FROM guide_rows GROUP BY category))"
+)
+
+
+def _guide(spark: SparkSession, sf_dir: str) -> str:
+    t = derived_truth(spark, sf_dir)
+    names = F.filter(F.array(*[F.lit(c) for c in CATEGORIES]), lambda c: F.contains(F.col("category"), c))
+    rows = t.select(F.explode(names).alias("category"), F.when(F.col("true_label") == 1, "abnormal").otherwise("normal").alias("kind"), "title")
+    rows = rows.groupBy("category", "kind").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" clips such as "), F.min("title")).alias("rule"))
+    return taxonomy_text(rows)
+
+
+def _prompt_sql(method: str, modality: str) -> str:
+    whens = []
+    for m, mo, t in template_rows("\0"):
+        head, _, tail = t.partition("\0")
+        text = O._q(head) + (f" || (SELECT guide FROM guide) || {O._q(tail)}" if "\0" in t else "")
+        whens.append(f"WHEN {method} = '{m}' AND {modality} = '{mo}' THEN {text}")
+    return "CASE " + " ".join(whens) + " END"
+
 
-def _zeroshot_frames_prompt(spark: SparkSession) -> str:
-    from verdikt.operators.prompts import TEMPLATE_ROWS
+def _method_sql(doc: str) -> str:
+    return f"CASE {doc} % 4 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(REQUEST_METHODS)) + " END"
 
-    return dict(((m, mo), t) for m, mo, t in TEMPLATE_ROWS)[("zeroshot", "frames")]
+
+def _method(doc) -> F.Column:
+    return F.element_at(F.array(*[F.lit(m) for m in REQUEST_METHODS]), (doc % 4 + 1).cast("int"))
+
+
+def _doc_number():
+    return F.substring("video", 5, 20).cast("long")
 
 
 @register(
-    "request_pack",
-    """WITH f AS (
-  SELECT conv_id, turn, to_base64(encode(text)) AS payload FROM conversations),
-n AS (SELECT conv_id, count(*) AS n FROM f GROUP BY conv_id),
-s AS (SELECT f.*, greatest(n.n // 20, 1) AS iv FROM f JOIN n USING (conv_id)),
-s2 AS (SELECT conv_id, turn // iv AS sample_rank, payload FROM s WHERE turn % iv = 0 AND turn < iv * 20),
-g AS (SELECT conv_id, list(payload ORDER BY sample_rank) AS frames, count(*) AS n_frames FROM s2 GROUP BY conv_id)
-SELECT conv_id, n_frames, to_json({'model': 'frames-model', 'max_tokens': 4096, 'temperature': 0.0,
-  'messages': [{'role': 'user', 'content': list_concat([{'type': 'text', 'text': """
-    + "__PROMPT__"
-    + """, 'data': NULL::VARCHAR}],
-     list_transform(frames, lambda x: {'type': 'image', 'text': NULL::VARCHAR, 'data': x}))}]})::VARCHAR AS request
-FROM g""",
+    "prompts",
+    "WITH " + O.truth_cte() + ",\n" + _GUIDE_ROWS_SQL + "\n"
+    "SELECT 'vid_' || CAST(doc_id AS VARCHAR) AS video, method, modality, " + _prompt_sql("method", "modality") + " AS prompt\n"
+    "FROM documents, (VALUES ('zeroshot'), ('fewshot'), ('cot'), ('icl'), ('chain')) a(method), (VALUES ('video'), ('frames')) b(modality)",
 )
-def q_request_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id"), F.col("turn").alias("frame_idx"), MP.base64_text(F.encode(F.col("text"), "UTF-8")).alias("payload")
+def q_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every method and modality for every video."""
+    runs = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(mo).alias("modality")) for m in [*REQUEST_METHODS, "chain"] for mo in ("video", "frames")])
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("vid_"), F.col("doc_id").cast("string")).alias("video"), F.inline(runs))
+    return with_prompt(d, guide=_guide(spark, sf_dir))
+
+
+def _request_sql(parts: str, system: str | None = None, head: str = "vendor-model") -> str:
+    first = "" if system is None else O._q('{"role":"system","content":"' + system + '"},') + " || "
+    return (
+        O._q('{"model":"' + head + '","max_tokens":4096,"temperature":0.0,"messages":[') + " || " + first
+        + O._q('{"role":"user","content":[') + " || " + parts + " || ']}]}'"
     )
-    sampled = MP.sample_frames(c, video_col="conv_id")
-    packed = frame_parts(sampled, ["conv_id"])
-    # The prompt comes from the (method, modality) template table.
-    packed = with_prompt(packed.withColumn("method", F.lit("zeroshot")).withColumn("modality", F.lit("frames")))
-    return packed.select("conv_id", "n_frames", request_json(F.lit("frames-model"), F.col("prompt"), F.col("frames")).alias("request"))
 
 
-ORACLE["request_pack"] = ORACLE["request_pack"].replace("__PROMPT__", O._q(_zeroshot_frames_prompt(None)))
+_TEXT_SQL = "CAST(to_json({p}) AS VARCHAR)"
+
+
+@register(
+    "request_uri",
+    "WITH " + O.truth_cte() + ",\n" + _GUIDE_ROWS_SQL + ",\n"
+    "r AS (SELECT 'vid_' || CAST(doc_id AS VARCHAR) AS video, " + _method_sql("doc_id") + " AS method FROM documents),\n"
+    "q AS (SELECT *, " + _prompt_sql("method", "'video'") + " AS prompt FROM r)\n"
+    "SELECT video, method, " + _request_sql(
+        "'{\"type\":\"text\",\"text\":' || " + _TEXT_SQL.format(p="prompt") + " || ',\"uri\":null},{\"type\":\"file\",\"text\":null,\"uri\":\"media/' || video || '.mp4\"}'"
+    ) + " AS request FROM q",
+)
+def q_request_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 for video inputs: the text and the video's address."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("vid_"), F.col("doc_id").cast("string")).alias("video"), _method(F.col("doc_id")).alias("method"))
+    d = with_prompt(d.withColumn("modality", F.lit("video")), guide=_guide(spark, sf_dir))
+    uri = F.concat(F.lit("media/"), F.col("video"), F.lit(".mp4"))
+    return d.select("video", "method", request_json(F.lit("vendor-model"), F.col("prompt"), uri, shape="uri").alias("request"))
+
+
+def _packed_requests(spark: SparkSession, sf_dir: str, frames: DataFrame, shape: str, system: str | None) -> DataFrame:
+    """Requests of chosen frames (video, sample_rank, payload): payloads are
+    encoded here, after the choice."""
+    chosen = frames.select("video", "sample_rank", MP.base64_text(F.col("payload")).alias("payload"))
+    packed = frame_parts(chosen, ["video"]).withColumn("method", _method(_doc_number())).withColumn("modality", F.lit("frames"))
+    packed = with_prompt(packed, guide=_guide(spark, sf_dir))
+    request = request_json(F.lit("vendor-model"), F.col("prompt"), F.col("frames"), shape=shape, system=None if system is None else F.lit(system))
+    return packed.select("video", "method", "n_frames", request.alias("request"))
+
+
+_IMAGES_SQL = (
+    "'{\"type\":\"text\",\"text\":' || " + _TEXT_SQL.format(p="prompt") + " || ',\"data\":null}' || string_agg("
+    "',{\"type\":\"image\",\"text\":null,\"data\":\"' || to_base64(payload) || '\"}', '' ORDER BY sample_rank)"
+)
+_BLOCKS_SQL = (
+    "string_agg('{\"type\":\"image\",\"text\":null,\"source\":{\"type\":\"base64\",\"media_type\":\"image/jpeg\",\"data\":\"'"
+    " || to_base64(payload) || '\"}},', '' ORDER BY sample_rank) || '{\"type\":\"text\",\"text\":' || " + _TEXT_SQL.format(p="prompt") + " || ',\"source\":null}'"
+)
+
+
+def _packed_sql(source: str, parts: str, system: str | None = None) -> str:
+    return (
+        "WITH " + O.truth_cte() + ",\n" + _GUIDE_ROWS_SQL + ",\n" + _FRAMES_SQL + f",\nc AS ({source}),\n"
+        "m AS (SELECT *, " + _method_sql("CAST(substring(video, 5) AS BIGINT)") + " AS method FROM c),\n"
+        "q AS (SELECT *, " + _prompt_sql("method", "'frames'") + " AS prompt FROM m)\n"
+        "SELECT video, method, count(*) AS n_frames, " + _request_sql(parts, system) + " AS request FROM q GROUP BY video, method, prompt"
+    )
+
+
+@register("request_pack", _packed_sql("SELECT video, frame_idx AS sample_rank, payload FROM frames WHERE frame_idx % 50 = 0", _IMAGES_SQL))
+def q_request_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 + M10 + P7: all frames kept, every 50th goes into the request (the
+    stride comes before frames are gathered and encoded)."""
+    frames, _ = document_frames(spark, sf_dir)
+    return _packed_requests(spark, sf_dir, MP.request_stride(MP.keep_all_frames(frames)), "images", None)
+
+
+@register("request_blocks", _packed_sql("SELECT * FROM sampled", _BLOCKS_SQL, SYSTEM_TEXT))
+def q_request_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 + M11 + P7: 20 sampled frames as base64 blocks, with a system role.
+    Frames are chosen without their payloads, which are joined back and encoded
+    for the chosen ones only."""
+    frames, inventory = document_frames(spark, sf_dir)
+    chosen = MP.sample_frames(frames.select("video", "frame_idx"), inventory).select("video", "frame_idx", "sample_rank")
+    return _packed_requests(spark, sf_dir, frames.join(chosen, ["video", "frame_idx"]), "blocks", SYSTEM_TEXT)
 
 
 # --- I6 latency statistics --------------------------------------------------------
 
 
+_CLEAN_SQL = "replace(regexp_replace('runs/' || event_type || '/vid_' || CAST(event_id AS VARCHAR) || '.mp4', '^.*/', ''), '.mp4', '')"
+
+
 @register(
     "latency_stats",
-    """WITH r AS (
-  SELECT event_type, value, event_id,
+    f"""WITH r AS (
+  SELECT event_type, value, CAST(floor(value / CAST(0.001 AS DOUBLE)) AS BIGINT) AS step, {_CLEAN_SQL} AS name,
          row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn,
          count(value) OVER (PARTITION BY event_type) AS cnt
   FROM events WHERE value IS NOT NULL)
 SELECT event_type AS model, count(value) AS n, round(avg(value), 6) AS avg_s,
-       max(CASE WHEN rn = greatest(ceil(CAST(0.5 AS DOUBLE) * cnt), 1) THEN value END) AS p50_s,
-       max(CASE WHEN rn = greatest(ceil(CAST(0.9 AS DOUBLE) * cnt), 1) THEN value END) AS p90_s,
-       max(value) AS max_s,
-       count(DISTINCT replace(regexp_replace('runs/' || event_type || '/vid_' || CAST(event_id AS VARCHAR) || '.mp4', '^.*/', ''), '.mp4', '')) AS n_videos
+       round(max(CASE WHEN rn = greatest(ceil(CAST(0.5 AS DOUBLE) * cnt), 1) THEN step END) * CAST(0.001 AS DOUBLE), 9) AS p50_s,
+       round(max(CASE WHEN rn = greatest(ceil(CAST(0.9 AS DOUBLE) * cnt), 1) THEN step END) * CAST(0.001 AS DOUBLE), 9) AS p90_s,
+       max(value) AS max_s, min(name) AS first_name
 FROM r GROUP BY event_type""",
 )
 def q_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from verdikt.operators.inference import clean_video_name
-
     ev = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("model"),
         F.concat(F.lit("runs/"), F.col("event_type"), F.lit("/vid_"), F.col("event_id").cast("string"), F.lit(".mp4")).alias("video"),
         F.col("value").alias("latency_s"),
     )
-    ev = ev.withColumn("video_name", clean_video_name("video"))
-    stats = latency_stats(ev, ["model"])
-    names = ev.groupBy("model").agg(F.count_distinct("video_name").alias("n_videos"))
-    return stats.join(names, "model")
+    stats = latency_stats(ev, ["model"], extra=[F.min(clean_video_name("video"))])
+    return stats.withColumn("first_name", F.col("_x0.low")).drop("_x0")
 
 
 # --- N1-N4 dataset statistics ------------------------------------------------------
@@ -585,63 +742,52 @@ def q_batched_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- T1 + T2: incremental ingest, then the same metrics as the batch flagship ----
 
 
+def _passes(spark: SparkSession, sf_dir: str, with_cut: bool = False) -> list[DataFrame]:
+    """The derived log as it was written: first answers, then reruns."""
+    lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS, with_cut=with_cut))
+    return [lines.where(F.col("line_order.pass") == p) for p in range(3 if with_cut else 2)]
+
+
 @register("stream_metrics", ORACLE["sliced_metrics"])
 def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship computed from a file stream: the derived log is dropped
-    into a folder as closed JSONL files (first pass, then reruns), ingested
-    micro-batch by micro-batch with a last-wins upsert, then scored. Equal to
-    ``sliced_metrics`` by construction (stream = batch)."""
-    import uuid
-
-    from verdikt.operators.scoring import attach_truth, score_rows
-    from verdikt.session import checkpoint_path
-    from verdikt.streaming.ingest import ingest, latest_table, write_log_files
-
-    run = uuid.uuid4().hex
-    folder = checkpoint_path(spark, f"stream-{run}/drop")
-    table_path = checkpoint_path(spark, f"stream-{run}/answers")
-    ckpt = checkpoint_path(spark, f"stream-{run}/checkpoint")
-    lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
-    write_log_files(lines, folder, n_files_per_run=1)
-    # Two micro-batches: the first pass, then the reruns.
-    ingest(spark, folder, table_path, ckpt, dialect="greedy", key="result", max_files_per_trigger=len(FLAGSHIP_RUNS))
-    latest = latest_table(spark, table_path).select("model", "method", "video", "raw_value", "parse_status")
-    return sliced_metrics(score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong"))
+    """The flagship computed from a file stream: the first answers are dropped
+    into a folder and ingested, then the reruns are dropped and the stream goes
+    on from its checkpoint. Equal to ``sliced_metrics`` (stream = batch)."""
+    base = scratch(spark, "stream")
+    for p in _passes(spark, sf_dir):
+        write_log_files(p, f"{base}/drop")
+        ingest(spark, f"{base}/drop", f"{base}/table", f"{base}/checkpoint", dialect="greedy", key="result")
+    return running_metrics(spark, f"{base}/table", derived_truth(spark, sf_dir))
+
+
+@register(
+    "stream_quality",
+    "WITH " + O.answers_cte(FLAGSHIP_RUNS, with_cut=True) + ",\n"
+    "extracted AS (SELECT *, " + O.dialect_value_sql("greedy", "result") + " AS raw_value FROM answers),\n"
+    "s AS (SELECT model, method, CASE WHEN attempt = 2 THEN 'bad_line' ELSE " + _PQ_STATUS_SQL + " END AS st FROM extracted)\n"
+    "SELECT model, method, CASE WHEN st = 'bad_value' THEN 'ok' ELSE st END AS parse_status, count(*) AS n FROM s GROUP BY ALL",
+)
+def q_stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 of the stream: lines per status over all epochs, bad lines included."""
+    base = scratch(spark, "stream")
+    for p in _passes(spark, sf_dir, with_cut=True):
+        write_log_files(p, f"{base}/drop")
+    ingest(spark, f"{base}/drop", f"{base}/table", f"{base}/checkpoint", dialect="greedy", key="result")
+    return quality_table(spark, f"{base}/table")
 
 
 # --- S2 id/pred logs (open-model runs): strict and loose dialects ---------------
 
-IDPRED_RUNS = [("VILA", "zeroshot", "result"), ("VILA", "fewshot", "anomaly")]
+IDPRED_MATRIX = [r for r in RUN_MATRIX if r[0] == "VILA"]
 
 
-@register(
-    "idpred_metrics",
-    "WITH " + O.truth_cte() + ",\n" + O.answers_cte(IDPRED_RUNS) + ",\n"
-    "kept AS (SELECT * FROM answers WHERE method = 'zeroshot' OR (response IS NOT NULL AND response <> '')),\n"
-    + O.latest_cte("CASE WHEN method = 'zeroshot' THEN " + O.dialect_value_sql("strict", "result", text="coalesce(response, '')")
-                   + " ELSE " + O.dialect_value_sql("loose", "anomaly") + " END", source="kept") + ",\n"
-    + O.scored_cte() + ",\n" + O.sliced_metrics_sql("scored") + " WHERE slice IN ('all', 'clear', 'vague')",
-)
+@register("idpred_metrics", grid_sql(IDPRED_MATRIX) + O.sliced_metrics_sql("scored"))
 def q_idpred_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-model logs hold one ``{"id", "truth", "pred"}`` object per line.
     Zero-shot reads ``pred`` as strict JSON (a missing pred is ''); the other
     methods use the loose regex and drop lines with an empty id or pred."""
-    def idpred_lines(run_idx: int):
-        # One run per derivation, so each line set is generated once.
-        ans = derived_answers(spark, sf_dir, [IDPRED_RUNS[run_idx]], run_offset=run_idx)
-        return ans.select(
-            "model", "method",
-            F.to_json(F.struct(F.col("video").alias("id"), F.lit(None).cast("int").alias("truth"), F.col("response").alias("pred"))).alias("line"),
-            F.struct(F.col("attempt").alias("pass"), F.col("doc_id").alias("seq")).alias("line_order"),
-        )
-
-    zs = extract_labels(parse_idpred_lines(idpred_lines(0)), "strict", "result")
-    fs = extract_labels(parse_idpred_lines(idpred_lines(1), drop_empty=True), "loose", "anomaly")
-    cols = ["model", "method", "video", "raw_value", "parse_status", "line_order"]
-    rows = zs.where(F.col("line_status") == "ok").select(*cols).unionByName(fs.where(F.col("line_status") == "ok").select(*cols))
-    latest = last_wins(rows, ["model", "method", "video"], "line_order", ["raw_value", "parse_status"])
-    scored = score_rows(attach_truth(latest, derived_truth(spark, sf_dir)), "wrong")
-    return sliced_metrics(scored, slices=[s for s in default_slices() if s[0] in ("all", "clear", "vague")])
+    lines = derived_log_lines(derived_answers(spark, sf_dir, [(m, me, METHOD_KEYS[me]) for m, me, *_ in IDPRED_MATRIX], with_cut=True))
+    return sliced_metrics(evaluate_grid(lines, derived_truth(spark, sf_dir), run_matrix(spark, IDPRED_MATRIX)))
 
 
 # --- S1 from files: the flagship over a log written to disk and read back --------
@@ -654,14 +800,9 @@ def q_file_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     line order now comes from file metadata (modification time, path, split
     start, row in split), the run from the folder names. Equal to
     ``sliced_metrics``."""
-    import uuid
-
-    from verdikt.session import checkpoint_path
-    from verdikt.sources.logs import read_lines, run_from_path
-    from verdikt.streaming.ingest import write_log_files
-
-    folder = checkpoint_path(spark, f"filelog-{uuid.uuid4().hex}")
-    write_log_files(derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS)), folder)
+    folder = scratch(spark, "filelog")
+    for p in _passes(spark, sf_dir):
+        write_log_files(p, folder)
     lines = read_lines(spark, folder, recursive=True)
     lines = lines.select(
         run_from_path(F.col("file_path"), r"model=([^/]+)").alias("model"),
@@ -672,6 +813,94 @@ def q_file_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliced_metrics(evaluate_lines(lines, derived_truth(spark, sf_dir), dialect="greedy", key="result"))
 
 
+# --- K1-K5, K7, S4, S6: what the sinks write and the file scans read ---------------
+
+SINK_RUN = FLAGSHIP_RUNS[:1]
+_SINK_SQL = "WITH " + O.answers_cte(SINK_RUN, with_reruns=False) + "\n"
+
+
+def _sink_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_answers(spark, sf_dir, SINK_RUN, with_reruns=False).select("model", "method", "video", "response")
+
+
+@register("sink_responses", _SINK_SQL + "SELECT model, method, video, sha256(response) AS response_sha FROM answers")
+def q_sink_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 / K4: responses appended as Parquet by run, read back."""
+    path = scratch(spark, "responses")
+    sinks.append_responses(_sink_answers(spark, sf_dir), path)
+    return spark.read.parquet(path).select("model", "method", "video", F.sha2("response", 256).alias("response_sha"))
+
+
+@register("sink_jsonl", _SINK_SQL + "SELECT video, sha256(response) AS response_sha FROM answers")
+def q_sink_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 as JSONL: written and read back by the keyed scan."""
+    path = scratch(spark, "jsonl")
+    sinks.export_jsonl(_sink_answers(spark, sf_dir), path)
+    return read_keyed_log(spark, path).select("video", F.sha2("response", 256).alias("response_sha"))
+
+
+@register(
+    "sink_snapshots",
+    _SINK_SQL + "SELECT form, video, sha256(response) AS response_sha FROM answers, (VALUES ('list'), ('object')) f(form)",
+)
+def q_sink_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 + K3: list and flat-object snapshots, read back."""
+    base, a = scratch(spark, "snapshot"), _sink_answers(spark, sf_dir)
+    sinks.snapshot_list(a, f"{base}/list")
+    sinks.snapshot_object(a, f"{base}/object")
+    pairs = spark.read.text(f"{base}/list").select(F.explode(F.from_json("value", "array<array<string>>")).alias("p"))
+    members = spark.read.text(f"{base}/object").select(F.explode(F.from_json("value", "map<string,string>")).alias("video", "response"))
+    listed = pairs.select(F.lit("list").alias("form"), F.get("p", F.lit(0)).alias("video"), F.get("p", F.lit(1)).alias("response"))
+    both = listed.unionByName(members.select(F.lit("object").alias("form"), "video", "response"))
+    return both.select("form", "video", F.sha2("response", 256).alias("response_sha"))
+
+
+@register("sink_scored", ORACLE["scored_rows"])
+def q_sink_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: scored rows as partitioned CSV, read back."""
+    path, rows = scratch(spark, "scored"), scored_output(flagship_scored(spark, sf_dir))
+    sinks.write_scored(rows, path, fmt="csv")
+    return spark.read.schema(rows.schema).option("header", "true").csv(path).select(*rows.columns)
+
+
+@register(
+    "sink_records",
+    "WITH " + O.chain_records_cte(CHAIN_RUNS[:1]) + ",\n" + _LAST_RECORDS_SQL + ",\n"
+    "rec AS (SELECT video, " + O.chain_fields_sql() + " FROM last_records)\n"
+    "SELECT video, CAST(length(video_description) AS INTEGER) AS description_chars, reasoning, anomaly FROM rec",
+)
+def q_sink_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: chain records as CSV, read back."""
+    path, first = scratch(spark, "records"), CHAIN_RUNS[0][0]
+    recs = with_chain_record(_first_pass(spark, sf_dir).where(F.col("model") == first), "response")
+    rows = recs.select("video", F.length("record.video_description").alias("description_chars"), "record.reasoning", "record.anomaly")
+    sinks.dump_records(rows, path, rows.columns)
+    return spark.read.schema(rows.schema).option("header", "true").csv(path).select(*rows.columns)
+
+
+@register("truth_file", "WITH " + O.truth_cte() + "\nSELECT title, category, label, true_label FROM truth")
+def q_truth_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + J3: the annotated CSV, written and read by the ground-truth scan."""
+    path = scratch(spark, "truth")
+    t = derived_truth(spark, sf_dir).select(F.col("title").alias("Title"), F.col("category").alias("Category"), F.col("label").alias("Label"))
+    t.write.option("header", "true").csv(path)
+    return read_ground_truth(spark, path)
+
+
+@register(
+    "trim_file",
+    "SELECT c_custkey AS no, c_name AS title, CAST(CASE WHEN c_nationkey <> 0 THEN floor(c_acctbal / 100) END AS DOUBLE) AS time FROM customer",
+)
+def q_trim_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trim list, written and read by its scan."""
+    path = scratch(spark, "trims")
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("No."), F.col("c_name").alias("Title"), F.when(F.col("c_nationkey") != 0, F.floor(F.col("c_acctbal") / 100)).alias("Time")
+    )
+    c.write.option("header", "true").csv(path)
+    return read_trim_list(spark, path).withColumn("no", F.col("no").cast("long"))
+
+
 # --- A11 for the ground truth -------------------------------------------------------
 
 

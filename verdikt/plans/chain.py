@@ -1,40 +1,68 @@
 """I8: the two-pass rule-review chain as a resumable Spark job.
 
 Pass 1 scores the requests (chain-of-thought prompt), pass 2 re-scores each
-answer's record against the rule block. The passes are separated by a table
+answer's record against the rule block. The passes are separated by tables
 written to the shared checkpoint folder (``spark.checkpoint.dir``): model
 calls are the expensive, non-repeatable part, so the lineage is cut there
-and a lost executor never re-runs a finished pass. A rerun of the same chain
-only scores the requests that have no answer yet (``pending``), and the
-answers of a retried task are deduplicated last-wins by the evaluation.
+and a lost executor never re-runs a finished pass.
+
+A rerun of the same chain scores what has no answer yet: requests never tried,
+requests whose call failed, and second-pass requests whose prompt has changed
+because the first pass has a new answer. A request that still has no first
+answer goes on with the default record, like one whose answer can't be read;
+its pass-2 answer is replaced once a rerun brings a first answer. Answers of a
+retried task are reduced last-wins, before pass 2 as well as after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from verdikt.functions.dialects import with_chain_record
+from verdikt.operators.dedup import last_wins
 from verdikt.operators.inference import Scorer, pending, score_batches
-from verdikt.operators.prompts import DEFAULT_RULES, rules_text, second_pass_prompt
-from verdikt.session import checkpoint_path
+from verdikt.operators.prompts import rules_text, second_pass_prompt
+from verdikt.session import checkpoint_path, path_exists
+from verdikt.sources.logs import parse_keyed_lines
 
 KEYS = ["model", "method", "video"]
+ANSWER = ["response", "error", "latency_s"]
+
+
+def _answers(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """One row per key of a pass table: the last answer, or the last failure
+    where there is no answer."""
+    order = F.struct(F.col("error").isNull().alias("answered"), F.col("scored_at").alias("at"))
+    stored = spark.read.parquet(path).withColumn("_order", order)
+    return last_wins(stored, keys, "_order", ANSWER).drop("n_versions")
 
 
-def _score_into(requests: DataFrame, scorer: Scorer, path: str, batch_size: int, partitions: int | None) -> DataFrame:
-    """Score the requests that ``path`` does not answer yet and append them."""
+def _score_into(requests: DataFrame, scorer: Scorer, path: str, keys: Sequence[str], **options) -> DataFrame:
+    """Score the requests that ``path`` does not answer yet and append them;
+    one row per key."""
     spark = requests.sparkSession
-    try:
-        done = spark.read.parquet(path)
-        todo = pending(requests, done, KEYS)
-    except AnalysisException:  # nothing written yet
-        todo = requests
-    score_batches(todo, scorer, batch_size=batch_size, partitions=partitions).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    todo = pending(requests, _answers(spark, path, keys), keys) if path_exists(spark, path) else requests
+    scored = score_batches(todo, scorer, key_cols=keys, **options)
+    scored.drop("batch_id").write.mode("append").parquet(path)
+    return _answers(spark, path, keys)
+
+
+def first_pass_from_lines(lines: DataFrame) -> DataFrame:
+    """S9 + J1: a first-pass log as chain input, one row per (run, video)."""
+    rows = parse_keyed_lines(lines).where(F.col("line_status") == "ok")
+    return last_wins(rows, KEYS, "line_order", ["response"]).drop("n_versions")
+
+
+def second_pass_requests(first: DataFrame, rules: Sequence[str]) -> DataFrame:
+    """E9 + P5 + P6: pass-2 requests (keys, prompt, prompt_id) from pass-1 answers."""
+    recs = with_chain_record(first, "response")
+    r = F.col("record")
+    prompt = second_pass_prompt(r.getField("video_description"), r.getField("reasoning"), r.getField("anomaly"), rules_text(rules))
+    out = recs.select(*KEYS, prompt.alias("prompt"))
+    return out.withColumn("prompt_id", F.sha2("prompt", 256))
 
 
 def two_pass_chain(
@@ -42,24 +70,22 @@ def two_pass_chain(
     first_pass: Scorer,
     second_pass: Scorer,
     name: str,
-    rules: Sequence[str] = DEFAULT_RULES,
+    rules: Sequence[str],
     batch_size: int = 10,
     partitions: int | None = None,
+    per_request: bool = False,
 ) -> DataFrame:
-    """Run both passes; returns the pass-2 answers (model, method, video, response, ...).
+    """Run both passes; one row per request (model, method, video, response,
+    error, latency_s).
 
     ``requests`` holds (model, method, video, prompt). ``name`` names the
     chain's folder under the checkpoint directory, so a rerun resumes.
     """
     spark = requests.sparkSession
     base = checkpoint_path(spark, f"chain-{name}")
-    p1 = _score_into(requests.select(*KEYS, "prompt"), first_pass, f"{base}/pass1", batch_size, partitions)
-    recs = with_chain_record(p1.where(F.col("error").isNull()), "response")
-    r = F.col("record")
-    req2 = recs.select(
-        *KEYS,
-        second_pass_prompt(
-            r.getField("video_description"), r.getField("reasoning"), r.getField("anomaly"), rules_text(rules)
-        ).alias("prompt"),
-    )
-    return _score_into(req2, second_pass, f"{base}/pass2", batch_size, partitions)
+    options = {"batch_size": batch_size, "partitions": partitions, "per_request": per_request}
+    p1 = _score_into(requests.select(*KEYS, "prompt"), first_pass, f"{base}/pass1", KEYS, **options)
+    second = second_pass_requests(p1, rules)
+    p2 = _score_into(second, second_pass, f"{base}/pass2", [*KEYS, "prompt_id"], **options)
+    # Answers to prompts of an earlier first answer are stale.
+    return second.select(*KEYS, "prompt_id").join(p2, [*KEYS, "prompt_id"]).drop("prompt_id")

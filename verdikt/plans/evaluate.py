@@ -19,12 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.config import METHOD_KEYS, RUN_MATRIX, run_matrix
+from verdikt.config import run_matrix
 from verdikt.functions.dialects import extract_labels
 from verdikt.operators.dedup import last_wins
 from verdikt.operators.metrics import sliced_metrics
 from verdikt.operators.scoring import attach_truth, score_rows
-from verdikt.sources.logs import parse_keyed_lines
+from verdikt.sources.logs import parse_keyed_lines, parse_lines
 
 RUN_COLS = ("model", "method")
 
@@ -50,27 +50,60 @@ def evaluate_lines(
     key: str = "result",
     policy: str = "wrong",
     run_cols: Sequence[str] = RUN_COLS,
+    coerce: bool = True,
 ) -> DataFrame:
     """Scored rows for logs that share one dialect (one prompting method)."""
     latest = latest_answers(extract_from_lines(lines, dialect, key, run_cols), run_cols)
-    return score_rows(attach_truth(latest, truth), policy)
+    return score_rows(attach_truth(latest, truth), policy, coerce=coerce)
 
 
-def evaluate_grid(lines: DataFrame, truth: DataFrame, matrix: DataFrame | None = None, matrix_rows=None) -> DataFrame:
-    """Every (model, method) run in one job, dialect per run.
+MAX_RUNS = 10_000
 
-    The run matrix is a fixed, tiny dimension (one row per run) and is
-    broadcast; the (dialect, key) branches are literal so each pattern is
-    compiled once per task.
+
+def extract_grid(lines: DataFrame, matrix: DataFrame | None = None, unknown: str = "raise") -> DataFrame:
+    """Lines of many runs -> (run, video, raw_value, ...), each run read by its
+    own scan, dialect and key from ``matrix``.
+
+    The matrix is collected (at most ``MAX_RUNS`` rows, checked) so the scans,
+    dialects and keys that occur become literal branches, and is then
+    broadcast. Lines of runs that it doesn't list fail the job
+    (``unknown='raise'``) or come out with ``line_status = 'unknown_run'``
+    (``unknown='report'``); see :func:`unknown_runs`.
     """
+    if unknown not in ("raise", "report"):
+        raise ValueError(f"unknown={unknown!r}")
     spark = lines.sparkSession
-    rows = matrix_rows or RUN_MATRIX
-    matrix = matrix if matrix is not None else run_matrix(spark, rows)
-    combos = sorted({(d, METHOD_KEYS[me]) for (_, me, d, _, _) in rows})
-    parsed = parse_keyed_lines(lines).join(F.broadcast(matrix.select("model", "method", "dialect", "answer_key", "policy")), ["model", "method"])
-    extracted = extract_labels(parsed, F.col("dialect"), F.col("answer_key"), combos=combos, line_col="line")
-    latest = latest_answers(extracted, RUN_COLS, extra=["policy"])
-    return score_rows(attach_truth(latest, truth), F.col("policy"))
+    known = (run_matrix(spark) if matrix is None else matrix).select("model", "method", "dialect", "coerce", "policy", "answer_key", "scan")
+    rows = known.limit(MAX_RUNS + 1).collect()
+    if len(rows) > MAX_RUNS:
+        raise ValueError(f"a run matrix of more than {MAX_RUNS} rows")
+    known = spark.createDataFrame(rows, known.schema).withColumn("_known", F.lit(True))
+    joined = lines.join(F.broadcast(known), ["model", "method"], "left")
+    if unknown == "raise":
+        told = F.raise_error(F.concat(F.lit("run not in the matrix: "), F.coalesce("model", F.lit("null")), F.lit(" / "), F.coalesce("method", F.lit("null"))))
+        # Part of the scan column, which every later step needs.
+        joined = joined.withColumn("scan", F.when(F.col("_known"), F.col("scan")).otherwise(told.cast("string")))
+        parsed = parse_lines(joined.drop("_known"), F.col("scan"), sorted({r["scan"] for r in rows}))
+    else:
+        joined = joined.withColumn("scan", F.coalesce("scan", F.lit("raw")))
+        parsed = parse_lines(joined, F.col("scan"), sorted({r["scan"] for r in rows} | {"raw"}))
+        parsed = parsed.withColumn("line_status", F.when(F.col("_known"), F.col("line_status")).otherwise(F.lit("unknown_run"))).drop("_known")
+    combos = sorted({(r["dialect"], r["answer_key"]) for r in rows})
+    return extract_labels(parsed, F.col("dialect"), F.col("answer_key"), combos=combos, line_col="line")
+
+
+def unknown_runs(lines: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
+    """(model, method, lines) of the runs that the matrix doesn't list."""
+    known = run_matrix(lines.sparkSession) if matrix is None else matrix
+    seen = lines.groupBy("model", "method").agg(F.count(F.lit(1)).alias("lines"))
+    return seen.join(known.select("model", "method"), ["model", "method"], "left_anti")
+
+
+def evaluate_grid(lines: DataFrame, truth: DataFrame, matrix: DataFrame | None = None, unknown: str = "raise") -> DataFrame:
+    """Scored rows of every (model, method) run in one job."""
+    extracted = extract_grid(lines, matrix, unknown)
+    latest = latest_answers(extracted, RUN_COLS, extra=["policy", "coerce"])
+    return score_rows(attach_truth(latest, truth), F.col("policy"), coerce=F.col("coerce"))
 
 
 def evaluate_metrics(scored: DataFrame, run_cols: Sequence[str] = RUN_COLS) -> DataFrame:

@@ -17,15 +17,21 @@ Derivation (all integer arithmetic on ``doc_id``):
 * category: one of 7 names by ``doc_id % 7``; when ``doc_id % 5 = 0`` a
   second name (Security / Wildlife / Kid Monitoring by ``doc_id % 3``)
 * answer ``p`` of run ``r``: ``1 - t`` when ``(doc_id * 31 + r * 17) % 6 = 0``
-* answer shape by ``doc_id % 10`` (0 bare JSON, 1 fenced, 2 '// note', 3
+* answer shape by ``doc_id % 17`` (0 bare JSON, 1 fenced, 2 '// note', 3
   quoted value, 4 trailing prose, 5 other key, 6 no answer, 7 null, 8 two
-  objects, 9 "NAN"); all shapes but 0 and 7 are preceded by the document text
+  objects, 9 "NAN", 10 a missing comma after a quote and newline, 11 a URL in a
+  string, 12 a nested object, 13 a literal backslash-n and a carriage return, 14
+  label 2, 15 an explicit null, 16 the fraction 0.9); all shapes but 0 and 7 are
+  preceded by the document text
 * reruns: documents with ``doc_id % 4 = 0`` were answered twice; the first
   (stale) answer says ``1 - p`` and must lose to the second (last wins)
+* cut lines (where asked for): documents with ``doc_id % 9 = 0`` have a third
+  line that says ``1 - p`` and lost its last character when it was written
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +42,14 @@ from verdikt.functions.sqltext import lit
 from verdikt.sources.tables import read_table, spread
 
 NL = "\n"
+SHAPES = 17
+QB, QU, QN = '"a": "b"', '"a": "http://x"', '"a": {"b": 2}'
 SECOND_CATEGORIES = ["Security", "Wildlife", "Kid Monitoring"]
 
-_TABLES: dict[tuple[int, str, str], DataFrame] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the DataFrame (a plan, not data) is reused within a
-    session, since the test tables are read-only."""
-    k = (id(spark), sf_dir.rstrip("/"), name)
-    if k not in _TABLES:
-        _TABLES[k] = read_table(spark, sf_dir, name)
-    return _TABLES[k]
+    """A driver table."""
+    return read_table(spark, sf_dir, name)
 
 
 # The derivation is written as Spark SQL text: one expression per column.
@@ -86,11 +88,18 @@ def response_sql() -> str:
         " WHEN 6 THEN 'no answer'"
         f" WHEN 8 THEN concat({obj}, ' or ', {kq}, CAST(1 - p AS STRING), '}}')"
         f" WHEN 9 THEN concat({kq}, '\"NAN\"}}')"
+        f" WHEN 10 THEN concat({lit('{' + QB + NL + chr(34))}, key, '\": ', CAST(p AS STRING), {lit(NL + '}')})"
+        f" WHEN 11 THEN concat({lit('{' + QU + ',' + NL + chr(34))}, key, '\": ', CAST(p AS STRING), '}}')"
+        f" WHEN 12 THEN concat({lit('{' + QN + ', ' + chr(34))}, key, '\": ', CAST(p AS STRING), '}}')"
+        f" WHEN 13 THEN concat({kq}, CAST(p AS STRING), {lit(chr(92) + 'n' + chr(13) + NL + '}')})"
+        f" WHEN 14 THEN concat({kq}, '2}}')"
+        f" WHEN 15 THEN concat({kq}, 'null}}')"
+        f" WHEN 16 THEN concat({kq}, '0.9}}')"
         " END"
     )
     fresh = f"CASE WHEN shape = 7 THEN CAST(NULL AS STRING) WHEN shape = 0 THEN {body} ELSE concat(text, {lit(NL)}, {body}) END"
     stale = f"concat(text, {lit(NL)}, {kq}, CAST(1 - p AS STRING), '}}')"
-    return f"CASE WHEN attempt = 0 THEN {stale} ELSE {fresh} END"
+    return f"CASE WHEN attempt <> 1 THEN {stale} ELSE {fresh} END"
 
 
 def _runs_sql(runs: Sequence[tuple[str, str, str]], run_offset: int) -> str:
@@ -127,14 +136,18 @@ def derived_answers(
     runs: Sequence[tuple[str, str, str]],
     with_reruns: bool = True,
     run_offset: int = 0,
+    with_cut: bool = False,
 ) -> DataFrame:
     """One row per (run, document, attempt): model, method, video, response.
+    ``with_cut`` adds attempt 2, whose line :func:`derived_log_lines` cuts.
 
     ``runs`` lists (model, method, answer key); run ``r`` is its position
     plus ``run_offset``. The run list is small and fixed, so it is expanded
     with ``explode`` (a generator in the same stage), not a join.
     """
     attempts = "CASE WHEN doc_id % 4 = 0 THEN array(0, 1) ELSE array(1) END" if with_reruns else "array(1)"
+    if with_cut:
+        attempts = f"concat({attempts}, CASE WHEN doc_id % 9 = 0 THEN array(2) ELSE CAST(array() AS ARRAY<INT>) END)"
     x = _base(spark, sf_dir, ["text"]).selectExpr(
         "doc_id", "text", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs, run_offset)}) AS run"
     )
@@ -147,7 +160,7 @@ def derived_answers(
         "text",
         "run.key AS key",
         f"CAST({ANSWER_SQL} AS INT) AS p",
-        "CAST(doc_id % 10 AS INT) AS shape",
+        f"CAST(doc_id % {SHAPES} AS INT) AS shape",
         f"explode({attempts}) AS attempt",
     )
     return x.selectExpr(
@@ -164,14 +177,19 @@ def derived_log_lines(answers: DataFrame) -> DataFrame:
     """The JSONL lines a run would have appended, with their write order.
 
     ``line_order`` = (attempt, doc_id): reruns are appended after the first
-    pass, documents in id order within a pass.
+    pass, documents in id order within a pass. The open model logs
+    id/pred objects.
     """
-    return answers.selectExpr(
+    lines = answers.selectExpr(
         "model",
         "method",
-        "to_json(map(video, response)) AS line",
+        "attempt",
+        "CASE WHEN model = 'VILA' THEN to_json(named_struct('id', video, 'truth', CAST(NULL AS INT), 'pred', response))"
+        " ELSE to_json(map(video, response)) END AS line",
         "named_struct('pass', attempt, 'seq', doc_id) AS line_order",
     )
+    cut = "CASE WHEN attempt = 2 THEN substring(line, 1, length(line) - 1) ELSE line END AS line"
+    return lines.selectExpr("model", "method", cut, "line_order")
 
 
 FLAGSHIP_RUNS = [("model_0", "zeroshot", "result"), ("model_1", "zeroshot", "result"), ("model_2", "zeroshot", "result")]
@@ -179,23 +197,84 @@ FLAGSHIP_RUNS = [("model_0", "zeroshot", "result"), ("model_1", "zeroshot", "res
 
 def derived_chain_records(spark: SparkSession, sf_dir: str, runs: Sequence[tuple[str, str, str]], run_offset: int = 0) -> DataFrame:
     """First-pass chain answers: a JSON record (description = the whole
-    document text, reasoning, anomaly) in five shapes by ``doc_id % 5``:
-    0 plain, 1 fenced, 2 without reasoning, 3 cut short (unreadable), 4 null.
+    document text, reasoning, anomaly) in six shapes by ``doc_id % 6``: 0 plain,
+    1 fenced, 2 without reasoning, 3 cut short (unreadable), 4 null, 5 with an
+    explicit null as anomaly. Documents with ``doc_id % 4 = 0`` have a stale
+    answer (attempt 0) before it, a plain record that says ``1 - p``.
     """
     runs3 = [(m, me, "anomaly") for m, me, _ in runs]
     x = _base(spark, sf_dir, ["text", "lang", "source"]).selectExpr(
         "doc_id", "text", "lang", "source", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs3, run_offset)}) AS run"
     )
     x = x.selectExpr(
-        "run.model AS model", "run.method AS method", "doc_id", "text", "lang", "source", f"CAST({ANSWER_SQL} AS INT) AS p"
+        "run.model AS model", "run.method AS method", "doc_id", "text", "lang", "source", f"CAST({ANSWER_SQL} AS INT) AS p",
+        "explode(CASE WHEN doc_id % 4 = 0 THEN array(0, 1) ELSE array(1) END) AS attempt",
     )
     # Each branch serialises the record it needs; only one branch runs per row.
-    full = "to_json(named_struct('video_description', text, 'reasoning', concat('seen in ', lang, ' footage from ', source), 'anomaly', p))"
+    seen = "'reasoning', concat('seen in ', lang, ' footage from ', source)"
+    full = "to_json(named_struct('video_description', text, " + seen + ", 'anomaly', {p}), map('ignoreNullFields', 'false'))"
     short = "to_json(named_struct('video_description', text, 'anomaly', p))"
+    plain = full.format(p="p")
     resp = (
-        f"CASE doc_id % 5 WHEN 0 THEN {full}"
-        f" WHEN 1 THEN concat({lit('```json' + NL)}, {full}, {lit(NL + '```')})"
+        f"CASE WHEN attempt = 0 THEN {full.format(p='1 - p')} ELSE"
+        f" CASE doc_id % 6 WHEN 0 THEN {plain}"
+        f" WHEN 1 THEN concat({lit('```json' + NL)}, {plain}, {lit(NL + '```')})"
         f" WHEN 2 THEN {short}"
-        f" WHEN 3 THEN substring({full}, 1, length({full}) - 1) END"
+        f" WHEN 3 THEN substring({plain}, 1, length({plain}) - 1)"
+        f" WHEN 5 THEN {full.format(p='CAST(NULL AS INT)')} END END"
     )
-    return x.selectExpr("model", "method", "doc_id", "concat('vid_', CAST(doc_id AS STRING), '.mp4') AS video", f"{resp} AS response")
+    return x.selectExpr("model", "method", "doc_id", "attempt", "concat('vid_', CAST(doc_id AS STRING), '.mp4') AS video", f"{resp} AS response")
+
+
+FRAME_CHARS = 64
+
+
+def document_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(frames, inventory): every document is a video whose frames are the
+    slices of ``FRAME_CHARS`` characters of its text. The inventory has the
+    number of frames, so nothing has to count them."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = d.selectExpr("concat('vid_', CAST(doc_id AS STRING)) AS video", "text", f"CAST(ceil(length(text) / {FRAME_CHARS}) AS BIGINT) AS n_frames")
+    frames = d.where("n_frames > 0").selectExpr("video", "text", "explode(sequence(0L, n_frames - 1)) AS frame_idx")
+    frames = frames.selectExpr("video", "frame_idx", f"encode(substring(text, CAST(frame_idx * {FRAME_CHARS} + 1 AS INT), {FRAME_CHARS}), 'UTF-8') AS payload")
+    return frames, d.select("video", "n_frames")
+
+
+# --- offline scorers: stand-ins for a model ------------------------------------
+
+
+def keyword_scorer(words: Sequence[str], key: str = "result", threshold: int = 1):
+    """A deterministic scorer: flags a text as anomalous when it contains at
+    least ``threshold`` of ``words`` (whole-text scan)."""
+    ws = [w.lower() for w in words]
+
+    def score(pdf):
+        hits = [None if t is None else sum(t.lower().count(w) for w in ws) for t in pdf["prompt"]]
+        return [None if h is None else '{"%s": %d}' % (key, h >= threshold) for h in hits]
+
+    return score
+
+
+def first_pass_scorer(fails_every: int):
+    """First chain pass: a record with the length of the text it was shown; the
+    anomaly is whether that length is odd. Calls for videos whose number leaves
+    3 when divided by ``fails_every`` fail."""
+
+    def score(pdf):
+        out = []
+        for video, prompt in zip(pdf["video"], pdf["prompt"]):
+            if int(video.removeprefix("vid_").removesuffix(".mp4")) % fails_every == 3:
+                raise TimeoutError("no answer")
+            n = len(prompt.partition("\n\n")[2])
+            out.append(json.dumps({"video_description": f"a text of {n} characters", "reasoning": "counted", "anomaly": n % 2}))
+        return out
+
+    return score
+
+
+def second_pass_scorer(pdf):
+    """Second chain pass: keeps the verdict shown, but a record that could not
+    be read is an anomaly."""
+    unread = pdf["prompt"].str.contains('"video_description": "NAN"', regex=False)
+    given = pdf["prompt"].str.contains('"anomaly": 1}', regex=False)
+    return ['{"Rule_Reasoning": "none", "updated_anomaly": %d}' % (u or g) for u, g in zip(unread, given)]

@@ -44,10 +44,11 @@ def runs_values(runs: Sequence[tuple[str, str, str]]) -> str:
     return f"(VALUES {vals}) AS r(run_idx, model, method, key)"
 
 
-def answers_cte(runs: Sequence[tuple[str, str, str]], with_reruns: bool = True) -> str:
+def answers_cte(runs: Sequence[tuple[str, str, str]], with_reruns: bool = True, with_cut: bool = False) -> str:
     """CTEs ``base``, ``x`` and ``answers`` (model, method, doc_id, video, attempt, response)."""
     nl = "chr(10)"
-    rerun_filter = "a.attempt = 1 OR b.doc_id % 4 = 0" if with_reruns else "a.attempt = 1"
+    rerun_filter = "a.attempt = 1" + (" OR a.attempt = 0 AND b.doc_id % 4 = 0" if with_reruns else "") + (
+        " OR a.attempt = 2 AND b.doc_id % 9 = 0" if with_cut else "")
     obj = "'{\"' || key || '\": ' || CAST(p AS VARCHAR) || '}'"
     kq = "'{\"' || key || '\": '"
     body = f"""CASE shape
@@ -60,6 +61,13 @@ def answers_cte(runs: Sequence[tuple[str, str, str]], with_reruns: bool = True)
         WHEN 6 THEN 'no answer'
         WHEN 8 THEN {obj} || ' or ' || {kq} || CAST(1 - p AS VARCHAR) || '}}'
         WHEN 9 THEN {kq} || '"NAN"}}'
+        WHEN 10 THEN '{{"a": "b"' || {nl} || '"' || key || '": ' || CAST(p AS VARCHAR) || {nl} || '}}'
+        WHEN 11 THEN '{{"a": "http://x",' || {nl} || '"' || key || '": ' || CAST(p AS VARCHAR) || '}}'
+        WHEN 12 THEN '{{"a": {{"b": 2}}, "' || key || '": ' || CAST(p AS VARCHAR) || '}}'
+        WHEN 13 THEN {kq} || CAST(p AS VARCHAR) || chr(92) || 'n' || chr(13) || {nl} || '}}'
+        WHEN 14 THEN {kq} || '2}}'
+        WHEN 15 THEN {kq} || 'null}}'
+        WHEN 16 THEN {kq} || '0.9}}'
       END"""
     body = body.replace("}}", "}").replace("{{", "{")
     return f"""base AS (
@@ -70,12 +78,12 @@ def answers_cte(runs: Sequence[tuple[str, str, str]], with_reruns: bool = True)
 x AS (
   SELECT b.doc_id, b.text, r.run_idx, r.model, r.method, r.key, a.attempt,
          CAST(CASE WHEN (b.doc_id * 31 + r.run_idx * 17) % 6 = 0 THEN 1 - b.t ELSE b.t END AS INTEGER) AS p,
-         b.doc_id % 10 AS shape
-  FROM base b CROSS JOIN {runs_values(runs)} CROSS JOIN (VALUES (0), (1)) AS a(attempt)
+         b.doc_id % 17 AS shape
+  FROM base b CROSS JOIN {runs_values(runs)} CROSS JOIN (VALUES (0), (1), (2)) AS a(attempt)
   WHERE {rerun_filter}),
 answers AS (
   SELECT model, method, doc_id, 'vid_' || CAST(doc_id AS VARCHAR) || '.mp4' AS video, attempt, run_idx, key,
-         CASE WHEN attempt = 0 THEN text || {nl} || {kq} || CAST(1 - p AS VARCHAR) || '}}'
+         CASE WHEN attempt <> 1 THEN text || {nl} || {kq} || CAST(1 - p AS VARCHAR) || '}}'
               WHEN shape = 7 THEN NULL
               WHEN shape = 0 THEN {body}
               ELSE text || {nl} || {body} END AS response
@@ -217,8 +225,10 @@ def latest_cte(value_sql: str, name: str = "latest", source: str = "answers", ex
   QUALIFY row_number() OVER (PARTITION BY model, method, video ORDER BY attempt DESC, doc_id DESC) = 1)"""
 
 
-def scored_cte(latest: str = "latest", policy_sql: str = "'wrong'") -> str:
+def scored_cte(latest: str = "latest", policy_sql: str = "'wrong'", coerce_sql: str = "TRUE") -> str:
+    """``coerce_sql``: whether fractions are numbers for a row."""
     num = number_sql("l.raw_value")
+    num = f"(CASE WHEN {coerce_sql} OR {num} = floor({num}) THEN {num} END)"
     pint = int_sql(num)
     return f"""joined AS (
   SELECT l.*, {num} AS pred_number, t.title, t.category, t.label, t.true_label, {policy_sql} AS policy_v
@@ -231,9 +241,12 @@ scored AS (
 
 
 def chain_records_cte(runs: Sequence[tuple[str, str, str]], run_offset: int = 0) -> str:
-    """CTE ``records`` (model, method, doc_id, video, response): first-pass chain answers."""
+    """CTE ``records`` (model, method, doc_id, attempt, video, response): first-pass chain answers."""
     vals = ", ".join(f"({i + run_offset}, {_q(m)}, {_q(me)})" for i, (m, me, _) in enumerate(runs))
-    full = "CAST(json_object('video_description', text, 'reasoning', 'seen in ' || lang || ' footage from ' || source, 'anomaly', p) AS VARCHAR)"
+
+    def full(p):
+        return f"CAST(json_object('video_description', text, 'reasoning', 'seen in ' || lang || ' footage from ' || source, 'anomaly', {p}) AS VARCHAR)"
+
     short = "CAST(json_object('video_description', text, 'anomaly', p) AS VARCHAR)"
     return f"""cbase AS (
   SELECT d.doc_id, d.text, d.lang, d.source,
@@ -241,16 +254,19 @@ def chain_records_cte(runs: Sequence[tuple[str, str, str]], run_offset: int = 0)
                        d.doc_id % 2) AS INTEGER) AS t
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 cx AS (
-  SELECT b.*, r.run_idx, r.model, r.method,
+  SELECT b.*, r.run_idx, r.model, r.method, a.attempt,
          CAST(CASE WHEN (b.doc_id * 31 + r.run_idx * 17) % 6 = 0 THEN 1 - b.t ELSE b.t END AS INTEGER) AS p
-  FROM cbase b CROSS JOIN (VALUES {vals}) AS r(run_idx, model, method)),
+  FROM cbase b CROSS JOIN (VALUES {vals}) AS r(run_idx, model, method) CROSS JOIN (VALUES (0), (1)) AS a(attempt)
+  WHERE a.attempt = 1 OR b.doc_id % 4 = 0),
 records AS (
-  SELECT model, method, doc_id, 'vid_' || CAST(doc_id AS VARCHAR) || '.mp4' AS video,
-         CASE doc_id % 5 WHEN 0 THEN {full}
-                         WHEN 1 THEN '```json' || chr(10) || {full} || chr(10) || '```'
+  SELECT model, method, doc_id, attempt, 'vid_' || CAST(doc_id AS VARCHAR) || '.mp4' AS video,
+         CASE WHEN attempt = 0 THEN {full('1 - p')} ELSE
+         CASE doc_id % 6 WHEN 0 THEN {full('p')}
+                         WHEN 1 THEN '```json' || chr(10) || {full('p')} || chr(10) || '```'
                          WHEN 2 THEN {short}
-                         WHEN 3 THEN substring({full}, 1, length({full}) - 1)
-                         ELSE NULL END AS response
+                         WHEN 3 THEN substring({full('p')}, 1, length({full('p')}) - 1)
+                         WHEN 5 THEN {full('CAST(NULL AS INTEGER)')}
+                         ELSE NULL END END AS response
   FROM cx)"""
 
 
@@ -262,6 +278,8 @@ def chain_fields_sql(resp: str = "response") -> str:
     c = f"trim(replace(trim(trim({resp}, '`json'), {WS_SQL}), chr(10) || chr(10), ' '), {WS_SQL})"
     ok = f"(CASE WHEN coalesce(json_valid({c}), FALSE) THEN json_type({c}) = 'OBJECT' ELSE FALSE END)"
     def f(name, default):
-        return f"CASE WHEN {ok} THEN coalesce(json_extract_string({c}, '$.{name}'), '{default}') ELSE '{default}' END"
+        # An explicit null stays null, a missing member takes the default.
+        given = f"{ok} AND json_type({c}, '$.{name}') = 'NULL'"
+        return f"CASE WHEN {given} THEN NULL WHEN {ok} THEN coalesce(json_extract_string({c}, '$.{name}'), '{default}') ELSE '{default}' END"
     return (f"{f('video_description', 'NAN')} AS video_description, {f('reasoning', 'NAN')} AS reasoning, "
             f"{f('anomaly', '0')} AS anomaly, coalesce({ok}, FALSE) AS parsed")

@@ -8,10 +8,15 @@ directory, AQE thresholds) always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+# Optional setting: into how many partitions derived inputs are dealt before
+# heavy per-row work. Unset (the default on a cluster), scans stay as they are.
+SCAN_PARTITIONS = "spark.verdikt.scanPartitions"
+
 # Defaults applied only where the session leaves them unset.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,7 +26,7 @@ _DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "verdikt") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "verdikt", scan_partitions: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks (UI off, AQE on)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -31,6 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("VERDIKT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(SCAN_PARTITIONS, str(scan_partitions or shuffle_partitions))
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
@@ -51,17 +57,38 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster this setting points at shared storage and is used as is; it
+    is an error to leave it unset there. Only a local master, whose tasks share
+    the driver's disk, gets a fresh scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="verdikt-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does a folder or file exist, in whatever store the path names?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.isDirectory())
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -12,11 +12,16 @@ split rows are read in order, splits of one file are ordered by their start.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdikt.config import LINE_KEY_PATTERN, SCANS
 from verdikt.functions.sqltext import ident, lit
 
+MISSING_ID = "NAN"
+
 _SENTINEL = "~vk~"
 _LINE_TAIL = ', {"' + _SENTINEL + '": 1}]'
 KEYED_LINE_DDL = "ARRAY<MAP<STRING, STRING>>"
@@ -51,82 +56,113 @@ def run_from_path(path: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(path, pattern, group)
 
 
-def parse_keyed_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_order") -> DataFrame:
-    """Every (key, value) pair of a keyed JSONL line becomes a row.
-
-    Output adds ``video``, ``response``, ``line_status`` ('ok' / 'bad_line')
-    and replaces ``order_col`` by a struct that also holds the pair's
-    position inside its line. A line value that is a list or number comes
-    through as its raw JSON text. Bad lines keep one row with NULL video.
-    Columns of ``lines`` other than ``line_col`` are carried through.
+def _entries_sql(scan: str, line: str) -> str:
+    """The (key, value, claimed) entries of one parsed line, as SQL over the
+    staged columns ``_kl_map`` and ``_kl_ip``."""
+    entry = "named_struct('key', {k}, 'value', {v}, 'claimed', {t}, 'status', {s})"
+    none = "CAST(NULL AS STRING)"
+    one = lambda k, v, t=none, s="'ok'": "array(" + entry.format(k=k, v=v, t=t, s=s) + ")"
+    bad = one(none, none, s="'bad_line'")
+    if scan == "raw":
+        return one(raw_line_key_sql(line), line)
+    if scan == "keyed":
+        return (
+            f"CASE WHEN `_kl_map` IS NULL THEN {bad} ELSE transform(map_entries(`_kl_map`), e -> "
+            + entry.format(k="e.key", v="e.value", t=none, s="'ok'")
+            + ") END"
+        )
+    i, p, t = "`_kl_ip`.id", "`_kl_ip`.pred", "`_kl_ip`.truth"
+    if scan == "idpred":
+        return f"CASE WHEN `_kl_ip` IS NULL THEN {bad} ELSE {one(f"coalesce({i}, {lit(MISSING_ID)})", f"coalesce({p}, '')", t)} END"
+    if scan == "idpred_drop":
+        empty = f"coalesce({i}, '') = '' OR coalesce({p}, '') = ''"
+        return f"CASE WHEN `_kl_ip` IS NULL THEN {bad} WHEN {empty} THEN array() ELSE {one(i, p, t)} END"
+    raise ValueError(f"unknown scan {scan!r}")
+
+
+def parse_lines(lines: DataFrame, scan: str | Column = "keyed", scans: Sequence[str] | None = None,
+                line_col: str = "line", order_col: str = "line_order") -> DataFrame:
+    """Log lines -> one row per answer.
+
+    ``scan`` is one of :data:`verdikt.config.SCANS`, or a column holding one
+    per row (``scans`` then lists those that occur):
+
+    ``keyed``        every (key, value) pair of a JSON object; a list or
+                     number comes through as its raw JSON text
+    ``idpred``       one object with ``id``, ``pred`` and an unused ``truth``;
+                     a missing id becomes 'NAN', a missing pred ''
+    ``idpred_drop``  the same, but rows with an empty id or pred are dropped
+    ``raw``          no decoding: the key is the line's first key ('unknown'
+                     if it has none), the value is the line
+
+    Adds ``video``, ``response``, ``line_status`` ('ok' / 'bad_line') and
+    ``claimed_truth``, and extends ``order_col`` by the entry's position in its
+    line. A line that is no JSON object keeps one row with a NULL video. Other
+    columns are carried through. Each line is parsed once: the parse feeds a
+    generator, and filters on its output stay above it.
     """
-    # Same sentinel wrapper as the strict reader: a line must be exactly one
-    # JSON object. Parse in one projection, test in the next: one parse.
+    if order_col not in lines.columns:
+        lines = lines.withColumn(order_col, F.lit(None).cast("long"))
+    many = not isinstance(scan, str)
+    found = tuple(scans or SCANS) if many else (scan,)
+    if many:
+        lines = lines.withColumn("_kl_scan", scan)
+    L = ident(line_col)
+    when = lambda *names: " OR ".join(f"`_kl_scan` = {lit(n)}" for n in names) if many else "TRUE"
     opts = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in _LINE_OPTIONS.items())
-    arr = f"from_json(concat('[', {ident(line_col)}, {lit(_LINE_TAIL)}), {lit(KEYED_LINE_DDL)}, map({opts}))"
-    intact = f"size(`_kl_arr`) = 2 AND try_element_at(get(`_kl_arr`, 1), {lit(_SENTINEL)}) = '1'"
-    staged = lines.withColumn("_kl_arr", F.expr(arr))
-    staged = staged.withColumn("_kl_map", F.expr(f"CASE WHEN {intact} THEN get(`_kl_arr`, 0) END"))
-    # A bad line yields one placeholder entry (NULL key) so it stays
-    # countable; JSON object keys are never NULL, so the key tells bad lines
-    # apart after the explode. Testing the exploded key (rather than a column
-    # from before the explode) keeps a later status filter above the
-    # generator instead of re-evaluating the parse below it.
-    entries = (
-        "CASE WHEN `_kl_map` IS NULL THEN array(named_struct('key', CAST(NULL AS STRING), 'value', CAST(NULL AS STRING)))"
-        " ELSE map_entries(`_kl_map`) END"
+    # Same sentinel wrapper as the strict reader: a line must be exactly one
+    # JSON object.
+    parse = lambda ddl, *names: (
+        f"CASE WHEN {when(*names)} THEN from_json(concat('[', {L}, {lit(_LINE_TAIL)}), {lit(ddl)}, map({opts})) END"
     )
-    keep = [ident(c) for c in lines.columns if c not in (line_col, order_col)]
-    out = staged.selectExpr(*keep, ident(line_col), ident(order_col), f"posexplode({entries}) AS (`_kl_pos`, `_kl_entry`)")
+    keyed, idpred = [n for n in found if n == "keyed"], [n for n in found if n.startswith("idpred")]
+    staged = lines
+    if keyed:
+        staged = staged.withColumn("_kl_arr", F.expr(parse(KEYED_LINE_DDL, *keyed)))
+        intact = f"size(`_kl_arr`) = 2 AND try_element_at(get(`_kl_arr`, 1), {lit(_SENTINEL)}) = '1'"
+        staged = staged.withColumn("_kl_map", F.expr(f"CASE WHEN {intact} THEN get(`_kl_arr`, 0) END"))
+    if idpred:
+        staged = staged.withColumn("_kl_iparr", F.expr(parse(IDPRED_DDL, *idpred)))
+        intact = f"size(`_kl_iparr`) = 2 AND get(`_kl_iparr`, 1).{ident(_SENTINEL)} = '1'"
+        staged = staged.withColumn("_kl_ip", F.expr(f"CASE WHEN {intact} THEN get(`_kl_iparr`, 0) END"))
+    entries = "CASE " + " ".join(f"WHEN {when(n)} THEN {_entries_sql(n, L)}" for n in found) + " END"
+    keep = [ident(c) for c in lines.columns if c not in (line_col, order_col, "_kl_scan")]
+    out = staged.selectExpr(*keep, L, ident(order_col), f"posexplode({entries}) AS (`_kl_pos`, `_kl_entry`)")
     return out.selectExpr(
         *keep,
         "`_kl_entry`.key AS video",
         "`_kl_entry`.value AS response",
-        ident(line_col),
-        "CASE WHEN `_kl_entry`.key IS NULL THEN 'bad_line' ELSE 'ok' END AS line_status",
+        "TRY_CAST(`_kl_entry`.claimed AS INT) AS claimed_truth",
+        L,
+        "`_kl_entry`.status AS line_status",
         f"named_struct('line', {ident(order_col)}, 'pos', `_kl_pos`) AS {ident(order_col)}",
     )
 
 
+def parse_keyed_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_order") -> DataFrame:
+    """Every (key, value) pair of a keyed JSONL line becomes a row."""
+    return parse_lines(lines, "keyed", line_col=line_col, order_col=order_col).drop("claimed_truth")
+
+
 def read_keyed_log(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """S1 end to end: files -> (video, response, line, line_status, line_order)."""
     return parse_keyed_lines(read_lines(spark, paths, recursive))
 
 
-def parse_idpred_lines(
-    lines: DataFrame, line_col: str = "line", drop_empty: bool = False
-) -> DataFrame:
-    """One object per line with ``id`` and ``pred`` (and an unused ``truth``).
-
-    ``drop_empty=False``: a missing id becomes 'NAN', a missing pred ''.
-    ``drop_empty=True``: rows with an empty id or pred are dropped, not scored.
-    """
-    arr = F.from_json(F.concat(F.lit("["), F.col(line_col), F.lit(_LINE_TAIL)), IDPRED_DDL, _LINE_OPTIONS)
-    df = lines.withColumn("_ip_arr", arr)
-    a = F.col("_ip_arr")
-    intact = (F.size(a) == 2) & (F.get(a, 1).getField(_SENTINEL) == F.lit("1"))
-    df = df.withColumn("_ip", F.when(intact, F.get(a, 0))).drop("_ip_arr")
-    df = df.withColumn("line_status", F.when(F.col("_ip").isNull(), F.lit("bad_line")).otherwise(F.lit("ok")))
-    vid = F.col("_ip").getField("id")
-    pred = F.col("_ip").getField("pred")
+def parse_idpred_lines(lines: DataFrame, line_col: str = "line", drop_empty: bool = False, order_col: str = "line_order") -> DataFrame:
+    """One object per line with ``id`` and ``pred`` (and an unused
+    ``truth``). ``drop_empty`` leaves out rows with an empty id or pred, and bad
+    lines with them; :func:`parse_lines` keeps those countable."""
     if drop_empty:
-        df = df.where(F.coalesce(vid, F.lit("")) != F.lit("")).where(F.coalesce(pred, F.lit("")) != F.lit(""))
-        df = df.withColumn("video", vid).withColumn("response", pred)
-    else:
-        df = df.withColumn("video", F.when(F.col("_ip").isNotNull(), F.coalesce(vid, F.lit("NAN"))))
-        df = df.withColumn("response", F.when(F.col("_ip").isNotNull(), F.coalesce(pred, F.lit(""))))
-    return df.withColumn("claimed_truth", F.col("_ip").getField("truth").try_cast("int")).drop("_ip")
-
-
-VIDEO_KEY_PATTERN = r'^\{\\?"([^"]+)"\\?\s*:'
+        return parse_lines(lines, "idpred_drop", line_col=line_col, order_col=order_col).where(F.col("line_status") == "ok")
+    return parse_lines(lines, "idpred", line_col=line_col, order_col=order_col)
 
 
-def raw_line_key(line: Column) -> Column:
-    """S3: the first key of an undecoded line, 'unknown' when there is none."""
-    k = F.regexp_extract(line, VIDEO_KEY_PATTERN, 1)
-    return F.coalesce(F.when(k != F.lit(""), k), F.lit("unknown"))
+def raw_line_key_sql(line: str) -> str:
+    return f"coalesce(nullif(regexp_extract({line}, {lit(LINE_KEY_PATTERN)}, 1), ''), 'unknown')"
 
 
-def parse_raw_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """S3: no JSON decoding; the video key comes from a regex on the line."""
-    return lines.withColumn("video", raw_line_key(F.col(line_col)))
+def parse_raw_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_order") -> DataFrame:
+    """S3: no JSON decoding; the video key comes from a regex on the line, and
+    the line itself is the answer text."""
+    return parse_lines(lines, "raw", line_col=line_col, order_col=order_col).drop("claimed_truth")

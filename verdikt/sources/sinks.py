@@ -25,9 +25,27 @@ def export_jsonl(df: DataFrame, path: str, key_col: str = "video", value_col: st
     df.select(F.to_json(F.create_map(F.col(key_col), F.col(value_col))).alias("value")).write.mode("append").text(path)
 
 
-def snapshot_json(df: DataFrame, path: str) -> None:
-    """K2 / K3: a snapshot of (video, response) rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+ROWS_PER_DOCUMENT = 1000
+
+
+def snapshot_list(df: DataFrame, path: str, rows: int = ROWS_PER_DOCUMENT) -> None:
+    """K2: a snapshot as JSON arrays of [video, response] pairs, one array of
+    at most ``rows`` pairs a line, so no document gathers all rows."""
+    docs = _chunks(df, rows).agg(F.collect_list(F.array("video", "response")).alias("pairs"))
+    docs.select(F.to_json("pairs", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def snapshot_object(df: DataFrame, path: str, rows: int = ROWS_PER_DOCUMENT) -> None:
+    """K3: a snapshot as flat JSON objects ``{video: response, ...}`` of at
+    most ``rows`` members a line. ``df`` holds one row per video."""
+    docs = _chunks(df, rows).agg(F.map_from_entries(F.collect_list(F.struct("video", "response"))).alias("members"))
+    docs.select(F.to_json("members", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def _chunks(df: DataFrame, rows: int):
+    n = F.monotonically_increasing_id()
+    # Partition and place in it: a chunk never crosses partitions.
+    return df.select("video", "response", F.floor(n / F.lit(rows)).alias("_chunk")).groupBy("_chunk")
 
 
 def write_scored(df: DataFrame, path: str, partition_cols: Sequence[str] = ("model", "method"), fmt: str = "parquet") -> None:

@@ -34,6 +34,18 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.coalesce(F.col("rules"), F.array().cast("array<string>")).alias("rules"))
 
 
+MAX_RULES = 1000
+
+
+def load_rules(spark: SparkSession, path: str) -> list[str]:
+    """S5 for P5: the rules of one document as a list (at most ``MAX_RULES``:
+    they are repeated whole in every second-pass prompt)."""
+    rows = read_rules(spark, path).select(F.explode("rules")).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [r[0] for r in rows]
+
+
 def rules_block(rules: DataFrame) -> DataFrame:
     """P5: the rules joined by newlines, one row."""
     return rules.select(F.array_join(F.col("rules"), "\n").alias("rules_text"))

@@ -4,36 +4,53 @@ running metrics (T2).
 Logs grow while a run is under way. Closed log files dropped into a folder
 are read by the file stream source; each micro-batch is parsed, its answers
 extracted (S1 + E*) and reduced last-wins within the batch, and the small
-extracted rows (never the answer text) are written to the answer table under
-``epoch=<batch id>``, partitioned by run. A retried micro-batch overwrites
-its own epoch folder, so the sink is exactly-once per epoch, and every batch
-writes only its own rows (no rewrite of stored partitions, whose cost would
-grow with the table). Reading the table applies last-wins across epochs
-(:func:`latest_table`), the same reduction the batch path uses, so the
-result equals a batch run over all files. ``compact`` folds old epochs into
-one when the version count grows. Two chained stateful aggregations are not
-possible in one streaming query, hence ``foreachBatch``. Table and stream
-checkpoint live under the shared checkpoint folder, so a restart resumes.
+extracted rows (never the answer text) are written to the answer table as one
+epoch, partitioned by run. How many lines ended in which status, bad lines
+included, is counted per epoch beside it.
+
+An epoch's folder is named by the query's id and the batch number. The id
+belongs to the stream's checkpoint: a retried micro-batch overwrites its own
+epoch (exactly once per epoch), while a new checkpoint, which counts from 0
+again, writes beside what is stored, never over it. Every batch writes only its
+own rows. Reading the table applies last-wins across epochs
+(:func:`latest_table`), the same reduction the batch path uses, so the result
+equals a batch run over all files.
+
+With ``truth`` given, sliced metrics of all answers so far are written after
+every micro-batch; ``compact_every`` folds the stored epochs into one each so
+many batches, which bounds what those metrics have to read. Two chained
+stateful aggregations are not possible in one streaming query, hence
+``foreachBatch``. Table and stream checkpoint live under the shared checkpoint
+folder, so a restart resumes.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.functions.dialects import extract_labels
 from verdikt.operators.dedup import last_wins
+from verdikt.operators.metrics import sliced_metrics
+from verdikt.operators.scoring import attach_truth, score_rows
+from verdikt.session import child_folders, delete_path, path_exists
 from verdikt.sources.logs import parse_keyed_lines
 
-ANSWER_COLS = ["model", "method", "video", "raw_value", "parse_status", "line_order"]
+KEYS = ["model", "method", "video"]
+VALUES = ["raw_value", "parse_status", "line_order"]
+MAX_BYTES = 1 << 30
 
 
-def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int = 1) -> DataFrame:
+def stream_lines(spark: SparkSession, folder: str, max_bytes_per_trigger: int = MAX_BYTES) -> DataFrame:
     """A streaming frame of log lines with file order and run attributes
-    read from the folder layout ``model=<m>/method=<me>/*.jsonl``."""
+    read from the folder layout ``model=<m>/method=<me>/*``. A micro-batch
+    takes files up to ``max_bytes_per_trigger``, whatever their number."""
     df = (
         spark.readStream.format("text")
-        .option("maxFilesPerTrigger", str(max_files_per_trigger))
+        .option("maxBytesPerTrigger", str(max_bytes_per_trigger))
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
@@ -51,44 +68,62 @@ def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int =
     )
 
 
-def _merge_batch(table_path: str, dialect: str, key: str):
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        # Inside a micro-batch the frame is static: lines of a split are read
-        # in order, so a per-split increasing id completes the file order.
-        batch = batch.select(
-            "model", "method", "line",
-            F.struct(
-                F.col("file_order.mtime").alias("mtime"),
-                F.col("file_order.path").alias("path"),
-                F.col("file_order.block").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("line_order"),
-        )
-        rows = extract_labels(parse_keyed_lines(batch), dialect, key, line_col="line")
-        rows = rows.where(F.col("line_status") == "ok").select(*ANSWER_COLS)
-        new = last_wins(rows, ["model", "method", "video"], "line_order", ["raw_value", "parse_status", "line_order"])
-        (
-            new.drop("n_versions")
-            .write.mode("overwrite")
-            .partitionBy("model", "method")
-            .parquet(f"{table_path}/epoch={epoch_id}")
-        )
-
-    return merge
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a stream's checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def merge_batch(batch: DataFrame, epoch: str, table_path: str, dialect: str, key: str) -> None:
+    """Write one micro-batch as the epoch named ``epoch``."""
+    # Inside a micro-batch the frame is static: lines of a split are read
+    # in order, so a per-split increasing id completes the file order.
+    batch = batch.select(
+        "model", "method", "line",
+        F.struct(
+            F.col("file_order.mtime").alias("mtime"),
+            F.col("file_order.path").alias("path"),
+            F.col("file_order.block").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("line_order"),
+    )
+    rows = extract_labels(parse_keyed_lines(batch), dialect, key, line_col="line")
+    status = F.when(F.col("line_status") == "ok", F.col("parse_status")).otherwise(F.col("line_status"))
+    rows = rows.select("model", "method", "video", "raw_value", "line_order", "line_status", status.alias("parse_status"))
+    new = last_wins(rows.where(F.col("line_status") == "ok"), KEYS, "line_order", VALUES)
+    new.drop("n_versions").write.mode("overwrite").partitionBy("model", "method").parquet(f"{table_path}/answers/epoch={epoch}")
+    counts = rows.groupBy("model", "method", "parse_status").agg(F.count(F.lit(1)).alias("n"))
+    counts.write.mode("overwrite").parquet(f"{table_path}/quality/epoch={epoch}")
 
 
 def latest_table(spark: SparkSession, table_path: str) -> DataFrame:
     """T2 read side: the last answer per (run, video) across all epochs."""
-    stored = spark.read.option("basePath", table_path).parquet(table_path)
-    return last_wins(
-        stored, ["model", "method", "video"], "line_order", ["raw_value", "parse_status", "line_order"]
-    ).drop("n_versions")
+    stored = spark.read.option("basePath", f"{table_path}/answers").parquet(f"{table_path}/answers")
+    return last_wins(stored, KEYS, "line_order", VALUES).drop("n_versions")
+
 
+def quality_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """A11 of the stream: lines per run and status, bad lines included."""
+    stored = spark.read.option("basePath", f"{table_path}/quality").parquet(f"{table_path}/quality")
+    return stored.groupBy("model", "method", "parse_status").agg(F.sum("n").alias("n"))
 
-def compact(spark: SparkSession, table_path: str, out_path: str) -> None:
-    """Fold all epochs into one deduplicated table (written to ``out_path``,
-    e.g. the next version folder under the checkpoint directory)."""
-    latest_table(spark, table_path).write.mode("overwrite").partitionBy("model", "method").parquet(f"{out_path}/epoch=0")
+
+def running_metrics(spark: SparkSession, table_path: str, truth: DataFrame) -> DataFrame:
+    """Sliced metrics of all answers stored so far."""
+    latest = latest_table(spark, table_path).select(*KEYS, "raw_value", "parse_status")
+    return sliced_metrics(score_rows(attach_truth(latest, truth), "wrong"))
+
+
+def compact(spark: SparkSession, table_path: str) -> None:
+    """Fold the stored epochs of answers into one. The folded epoch is written
+    first and the old ones are deleted after it: readers that see both still
+    read the same last answers, and a crash in between loses nothing."""
+    answers = f"{table_path}/answers"
+    old = child_folders(spark, answers) if path_exists(spark, answers) else []
+    if len(old) < 2:
+        return
+    latest_table(spark, table_path).write.partitionBy("model", "method").parquet(f"{answers}/epoch=folded-{uuid.uuid4().hex}")
+    for name in old:
+        delete_path(spark, f"{answers}/{name}")
 
 
 def ingest(
@@ -98,12 +133,26 @@ def ingest(
     checkpoint: str,
     dialect: str = "greedy",
     key: str = "result",
-    max_files_per_trigger: int = 1,
+    max_bytes_per_trigger: int = MAX_BYTES,
+    truth: DataFrame | None = None,
+    compact_every: int | None = None,
 ):
-    """Run the ingest until all present files are processed."""
+    """Run the ingest until all present files are processed.
+
+    Metrics after batch ``n`` are written to ``<table_path>/metrics/epoch=<id>-<n>``.
+    """
+
+    def merge(batch: DataFrame, n: int) -> None:
+        epoch = f"{query_id(spark, checkpoint)}-{n:09d}"
+        merge_batch(batch, epoch, table_path, dialect, key)
+        if truth is not None:
+            running_metrics(spark, table_path, truth).write.mode("overwrite").parquet(f"{table_path}/metrics/epoch={epoch}")
+        if compact_every and n % compact_every == compact_every - 1:
+            compact(spark, table_path)
+
     q = (
-        stream_lines(spark, folder, max_files_per_trigger)
-        .writeStream.foreachBatch(_merge_batch(table_path, dialect, key))
+        stream_lines(spark, folder, max_bytes_per_trigger)
+        .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -112,17 +161,10 @@ def ingest(
     return q
 
 
-def write_log_files(lines: DataFrame, folder: str, n_files_per_run: int = 2) -> None:
-    """Drop derived log lines into ``folder`` as closed JSONL files, laid out
-    by run, one pass (first answers, then reruns) after the other so file
-    order is write order."""
-    for p in (0, 1):
-        part = lines.where(F.col("line_order").getField("pass") == p)
-        (
-            part.repartition(n_files_per_run, "model", "method")
-            .sortWithinPartitions(F.col("line_order").getField("seq"))
-            .select("model", "method", F.col("line").alias("value"))
-            .write.mode("append")
-            .partitionBy("model", "method")
-            .text(f"{folder}/pass={p}")
-        )
+def write_log_files(lines: DataFrame, folder: str, mode: str = "append") -> None:
+    """Drop log lines into ``folder`` as closed text files, laid out by run,
+    from the partitions the lines are in: no shuffle and no sort, since each
+    (run, video) occurs once in what is written by one call. Later calls write
+    later files, which win."""
+    out = lines.select("model", "method", F.col("line").alias("value"))
+    out.write.mode(mode).partitionBy("model", "method").text(folder)

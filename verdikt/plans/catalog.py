@@ -400,6 +400,29 @@ def q_missing_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MP.media_status(plan, inventory)
 
 
+@register(
+    "present_media",
+    "SELECT DISTINCT 'vid_' || CAST(d.doc_id AS VARCHAR) AS title FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
+)
+def q_present_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 work list: planned videos that exist (semi join)."""
+    return MP.present(*_planned_and_there(spark, sf_dir))
+
+
+@register(
+    "absent_media",
+    "SELECT 'vid_' || CAST(doc_id AS VARCHAR) AS title FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+)
+def q_absent_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 report: planned videos that do not exist (anti join)."""
+    return MP.missing(*_planned_and_there(spark, sf_dir))
+
+
+def _planned_and_there(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    title = F.concat(F.lit("vid_"), F.col("doc_id").cast("string")).alias("title")
+    return table(spark, sf_dir, "documents").select(title), table(spark, sf_dir, "labels").select(title)
+
+
 # --- M1-M4 trim plan --------------------------------------------------------------
 
 

@@ -1,7 +1,5 @@
 """Source scans on small files written to a temp folder."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from verdikt.functions.dialects import extract_labels

@@ -21,7 +21,7 @@ from verdikt.operators.dedup import last_wins
 from verdikt.operators.inference import clean_video_name, latency_stats, replay, score_batches
 from verdikt.operators.metrics import chain_shift, majority_vote, parse_quality, sliced_metrics
 from verdikt.operators.prompts import TEMPLATE_ROWS, frame_parts, request_json, rules_text, second_pass_prompt, taxonomy_text, template_rows, with_prompt
-from verdikt.operators.scoring import attach_truth, score_rows, scored_output
+from verdikt.operators.scoring import scored_output
 from verdikt.plans import oracle as O
 from verdikt.plans.evaluate import evaluate_grid, evaluate_lines, extract_from_lines, latest_answers
 from verdikt.plans.chain import first_pass_from_lines, two_pass_chain
@@ -43,7 +43,7 @@ from verdikt.sources import sinks
 from verdikt.sources.logs import parse_raw_lines, read_keyed_log, read_lines, run_from_path
 from verdikt.sources.tables import spread
 from verdikt.sources.truth import load_rules, read_ground_truth, read_trim_list
-from verdikt.streaming.ingest import ingest, latest_table, quality_table, running_metrics, write_log_files
+from verdikt.streaming.ingest import ingest, quality_table, running_metrics, write_log_files
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}

@@ -62,6 +62,13 @@ def utf8(a: pa.Array) -> list[bytes | None]:
     return a.cast(pa.large_binary() if pa.types.is_large_string(a.type) else pa.binary()).to_pylist()
 
 
+def arrow_udf(fn, kind):
+    """An Arrow UDF that is evaluated once a row. The optimiser may repeat a
+    deterministic UDF for every field and filter that refers to its result."""
+    fn.__annotations__ = {**{n: pa.Array for n in fn.__code__.co_varnames[: fn.__code__.co_argcount]}, "return": pa.Array}
+    return F.arrow_udf(fn, kind).asNondeterministic()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdikt.llm.common import col, packed, prepare, saved, table, utf8
+from verdikt.llm.common import arrow_udf, col, packed, prepare, saved, table, utf8
 
 BITS = 18
 LABEL_ROWS = 20_000
@@ -178,8 +178,7 @@ def weight_udf(spark: SparkSession, model: np.ndarray, bits: int = BITS):
             out[first : first + len(run)] = total
         return pa.array(out, pa.float64(), from_pandas=True)
 
-    weights.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(weights, T.DoubleType())
+    return arrow_udf(weights, T.DoubleType())
 
 
 def gumbel(id_col: Column) -> Column:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import col, prepare, salted_lookup, saved, table, utf8
+from verdikt.llm.common import arrow_udf, col, prepare, salted_lookup, saved, table, utf8
 
 SUPPORT = 0.5
 LEAST_PAGES = 4
@@ -255,8 +255,7 @@ def text_udf():
             out.append(main_text((page or b"").decode("utf-8", "replace"), main, known.setdefault(key, set(key))))
         return pa.array(out, pa.string())
 
-    extract.__annotations__ = {"pages": pa.Array, "mains": pa.Array, "texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(extract, "string")
+    return arrow_udf(extract, "string")
 
 
 def host_of(url) -> F.Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdikt.llm.common import prepare, table, utf8
+from verdikt.llm.common import arrow_udf, prepare, table, utf8
 
 COVERAGE = 0.8
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -186,8 +186,7 @@ def finds_udf(templates: dict[str, str] | None = None, coverage: float = COVERAG
     def finds(texts: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(names, f)) for f in scanner.scan(x)] for x in utf8(texts)], kind)
 
-    finds.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(finds, FINDS)
+    return arrow_udf(finds, FINDS)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

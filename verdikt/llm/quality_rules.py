@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdikt.llm.common import col, packed, prepare, saved, table, utf8
+from verdikt.llm.common import arrow_udf, col, packed, prepare, saved, table, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -95,8 +95,7 @@ def counts_udf():
         cols = list(zip(*rows)) or [[]] * len(COUNTS.names)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=list(kind))
 
-    counts.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(counts, COUNTS)
+    return arrow_udf(counts, COUNTS)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:

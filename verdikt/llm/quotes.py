@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdikt.llm.common import col, prepare, salted_lookup, saved, table
+from verdikt.llm.common import arrow_udf, col, prepare, salted_lookup, saved, table
 
 MIN_WORDS = 3
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
@@ -105,8 +105,7 @@ def parse_udf():
             names=["body", "said", "quoted"],
         )
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, PARSED)
+    return arrow_udf(run, PARSED)
 
 
 def parents(parsed: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import col, packed, partitions, prepare, salted_lookup, saved, table, unpacked, utf8
+from verdikt.llm.common import arrow_udf, col, packed, partitions, prepare, salted_lookup, saved, table, unpacked, utf8
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 TILE = 4096
@@ -63,8 +63,7 @@ def fingerprint_udf(shingle: int = SHINGLE):
     def prints(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x, shingle) for x in utf8(texts)], np.uint64).view(np.int64))
 
-    prints.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(prints, "long")
+    return arrow_udf(prints, "long")
 
 
 def stars(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -14,8 +14,10 @@ A model file is compiled to three transducers:
 
 Composing a text with them is a lattice over its characters, and the encoding
 is the shortest path in the tropical semiring (weights add along a path, the
-least weight wins). For a byte-pair model every prefix of a text has one
-encoding, so one state a place is enough.
+least weight wins). In a unigram model it is found place by place. In a
+byte-pair model any path of finite weight is the shortest, so the lattice is
+searched depth first, longest arcs first; every prefix of a text has one
+encoding, so a place that leads nowhere is visited once.
 
 Where no piece can cross a place (before a space symbol that follows another
 character, or beside a line break that is in no piece) the composition falls
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdikt.llm.common import col, prepare, table
+from verdikt.llm.common import arrow_udf, col, prepare, table
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -98,18 +100,27 @@ class Transducer:
             raise NotImplementedError("only unigram and byte-pair models")
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         self.score = {p: self.pieces[i][1] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
         self.lowest = min(self.score.values(), default=0.0)
-        # Places no piece crosses.
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        line = any("\n" in p for p in self.ids)
-        self.units = re.compile(r".+" if inner else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if line else rf"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+", re.S)
+        self.units = self._units()
+        # The lengths of the pieces that start with the same three characters, longest first.
+        lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                lengths.setdefault(p[:3], set()).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.follows: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.outputs = [self._output(p, kind) for p, _, kind in self.pieces]
 
+    def _units(self) -> re.Pattern:
+        """A pattern that cuts a text at places no piece crosses."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return re.compile(r".+", re.S)
+        line = "" if any("\n" in p for p in self.ids) else "\n"
+        return re.compile((r"\n+|" if line else "") + rf"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+")
+
     def _output(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
@@ -150,31 +161,60 @@ class Transducer:
         return found
 
     def shortest(self, unit: str) -> list[str]:
-        """The arcs of the shortest path through the lattice of a unit."""
+        """The arcs of the shortest path through the lattice of a unit. A
+        character outside the pieces is an arc as well (the fallback)."""
+        return self._search(unit) if self.kind == BPE else self._lightest(unit)
+
+    def _arcs(self, unit: str, at: int) -> list[str]:
+        """The pieces at a place, longest first; the last is its character."""
+        out = []
+        for n in self.lengths.get(unit[at : at + 3], ()):
+            piece = unit[at : at + n]
+            if piece in self.score:
+                out.append(piece)
+        if unit[at : at + 2] in self.score and at + 2 <= len(unit):
+            out.append(unit[at : at + 2])
+        out.append(unit[at])
+        return out
+
+    def _search(self, unit: str) -> list[str]:
+        """The one path whose steps all weigh 0."""
+        end, at, follows = len(unit), 0, self.follows
+        path: list[str] = []
+        open_arcs = [iter(self._arcs(unit, 0))]
+        dead: set[int] = set()
+        while at < end:
+            for piece in open_arcs[-1]:
+                if at + len(piece) in dead:
+                    continue
+                if path:
+                    passes = follows.get((path[-1], piece))
+                    if passes is None:
+                        passes = self.may_follow(path[-1], piece)
+                    if not passes:
+                        continue
+                path.append(piece)
+                at += len(piece)
+                if at < end:
+                    open_arcs.append(iter(self._arcs(unit, at)))
+                break
+            else:
+                dead.add(at)
+                open_arcs.pop()
+                at -= len(path.pop())
+        return path
+
+    def _lightest(self, unit: str) -> list[str]:
         n = len(unit)
         weight = [0.0] + [math.inf] * n
         arc = [""] * (n + 1)
         fallback = 10.0 - self.lowest
-        scores, follows = self.score, self.follows
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = unit[start:end]
-                score = scores.get(piece)
-                if score is None and start < end - 1:
-                    continue
-                if self.kind == BPE:
-                    # 0 or infinity; a character outside the pieces is an arc as well.
-                    pair = arc[start], piece
-                    passes = not start or follows.get(pair)
-                    if passes is None:
-                        passes = self.may_follow(*pair)
-                    step = 0.0 if passes else math.inf
-                else:
-                    step = fallback if score is None else -score
-                if weight[start] + step < weight[end]:
-                    weight[end], arc[end] = weight[start] + step, piece
-                    if self.kind == BPE:
-                        break
+        for start in range(n):
+            for piece in self._arcs(unit, start):
+                score = self.score.get(piece)
+                w = weight[start] + (fallback if score is None else -score)
+                if w < weight[start + len(piece)]:
+                    weight[start + len(piece)], arc[start + len(piece)] = w, piece
         path = []
         while n:
             path.append(arc[n])
@@ -241,8 +281,7 @@ def encode_udf(spark: SparkSession, model: str = MODEL):
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
-    encode.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
+    return arrow_udf(encode, T.ArrayType(T.IntegerType()))
 
 
 def decode_udf(spark: SparkSession, model: str = MODEL):
@@ -253,8 +292,7 @@ def decode_udf(spark: SparkSession, model: str = MODEL):
         t = compiled(sent.value)
         return pa.array([t.decode(np.array(x.values if x.is_valid else [], "<i4").tobytes()) for x in ids], pa.string())
 
-    decode.__annotations__ = {"ids": pa.Array, "return": pa.Array}
-    return F.arrow_udf(decode, "string")
+    return arrow_udf(decode, "string")
 
 
 def op6(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
@@ -276,7 +314,6 @@ def op6(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
         cols = list(zip(*rows)) or [[]] * 5
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind)], fields=list(kind))
 
-    digest.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     out = T.StructType().add("n_ids", "long").add("n_bytes", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.arrow_udf(digest, out)(col("text")).alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", arrow_udf(digest, out)(col("text")).alias("d")).select("doc_id", "d.*")

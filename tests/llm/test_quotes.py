@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from verdikt.llm import quotes as q
 
 CHAT = "conv_id long, turn long, role string, text string, place string, conv string, m string"

@@ -65,10 +65,18 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("tile", [s.TILE, 4])
-def test_components_equal_all_pairs(spark, tile, monkeypatch):
-    monkeypatch.setattr(s, "TILE", tile)
-    monkeypatch.setattr(s.fingerprint_links, "__defaults__", (3, tile))
+def test_masks_keep_every_close_pair():
+    r = random.Random(4)
+    for blocks in (4, 5, 6):
+        masks = s.block_masks(3, blocks)
+        for _ in range(300):
+            x, flips = r.getrandbits(64), sum(1 << b for b in r.sample(range(64), 3))
+            assert any((x & m) == ((x ^ flips) & m) for m in masks)
+
+
+@pytest.mark.parametrize("tile, blocks", [(s.TILE, s.BLOCKS), (4, 5), (4, 4), (64, 6)])
+def test_components_equal_all_pairs(spark, tile, blocks, monkeypatch):
+    monkeypatch.setattr(s.fingerprint_links, "__defaults__", (3, tile, blocks))
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r["id"], r["fp"] % 2**64, r["component_id"]) for r in s.simhash_components(df).collect())

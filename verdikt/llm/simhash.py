@@ -6,11 +6,13 @@ text's word shingles. Two fingerprints link when they differ in at most
 
 1. Equal fingerprints collapse to one row (grouped, so a text copied a
    million times costs one row per map task).
-2. The 64 bits are cut into RADIUS + 1 blocks: a linking pair agrees on one
-   whole block, so only fingerprints with an equal block are compared. This is
-   exact, there are no caps. A block value holding more than ``TILE``
-   fingerprints is dealt into tiles and every pair of tiles is a task group of
-   its own; the sizes that decide it are a table of at most 4 * 2**16 rows.
+2. The 64 bits are cut into ``BLOCKS`` blocks. A linking pair differs in at most
+   RADIUS of them, so it agrees on some BLOCKS - RADIUS whole blocks, and only
+   fingerprints that agree on such a choice are compared. This is exact, there
+   are no caps. With 5 blocks a choice fixes 25 or 26 bits: 10 copies of each
+   fingerprint are moved and the pairs compared are 10 of 2**25.6. A value
+   shared by more than ``TILE`` fingerprints is dealt into tiles and every pair
+   of tiles is a task group of its own.
 3. Inside a group rows are ordered by population count and compared tile by
    tile with numpy exclusive-or and bit counts; tiles whose population counts
    differ by more than the radius are skipped. A group gives a spanning star
@@ -28,6 +30,7 @@ component. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from verdikt.llm.common import arrow_udf, col, packed, partitions, prepare, salted_lookup, saved, table, unpacked, utf8
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
+BLOCKS = 5
 TILE = 4096
 STRIP = 512
 
@@ -154,16 +158,23 @@ def tile_links(radius: int):
     return run
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def block_masks(radius: int, blocks: int) -> list[int]:
+    """A mask for each choice of ``blocks - radius`` of the blocks, as signed longs."""
+    edge = [round(64 * k / blocks) for k in range(blocks + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(edge, edge[1:])]
+    masks = [sum(c) for c in combinations(block, blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int = BLOCKS) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints ``fp`` within the
     radius of each other (directly or through stars of a tile)."""
     spark = nodes.sparkSession
-    blocks, width = radius + 1, 64 // (radius + 1)
-    block = F.array(*[F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1)).alias(str(k)) for k in range(blocks)])
-    x = nodes.select("fp", F.posexplode(block).alias("k", "v"))
-    sizes = x.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    # Only block values with more than a tile: at most blocks * 2**width rows, whatever the input.
-    x = x.join(F.broadcast(sizes), ["k", "v"], "left")
+    values = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(radius, blocks)])
+    x = nodes.select("fp", F.posexplode(values).alias("k", "v"))
+    # Written, so that the planner knows how large it is: as a rule it is empty.
+    sizes = saved(x.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > tile), "sizes")
+    x = x.join(sizes, ["k", "v"], "left")
     parts = F.coalesce(F.ceil(F.col("n") / F.lit(tile)), F.lit(1)).cast("long")
     x = x.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

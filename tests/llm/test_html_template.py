@@ -17,6 +17,7 @@ CASES = [
     (page("<article><header><h1>Kept</h1></header><p>3 < 4 &lt;b&gt; &#233;&eacute; a<!-- no <p>no</p> -->b</p><script>no</script></article>"), "Kept\n\n3 < 4 <b> éé ab"),
     (page("<article><table><tr><td>1<td>2<tr><td>3</table><pre>a\n  b</pre>tail"), "1\n\n2\n\n3\n\na b\n\ntail"),
     (page("<header>top</header><p>no article</p><p hidden>gone</p><div role=navigation>menu</div>"), "no article"),
+    (page("<article class='post share-enabled'><p>kept</p><div class='alert'>gone</div></article><article class='teaser'><p>other</p></article>"), "kept"),
     ("plain words only", "plain words only"),
     ("<p>open <!-- never closed <p>x", "open"),
     ("<article><p>a<script>never closed", "a"),

@@ -67,9 +67,11 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 LEFT_OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "template", "svg", "canvas", "object", "fieldset", "search", "audio", "video", "math"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar", "note"}
 NAMES = set(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies share sharing sidebar social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "ad ads adbox adslot adunit advert adverts advertisement advertising adsense alert alerts announcement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pagination pager popup promo promoted promotion related replies share sharing sidebar social sponsor sponsored subscribe subscription taboola teaser toast toolbar widget widgets".split()
 )
 
+OTHER_ARTICLES = set("ad ads advert adverts advertisement comment comments promo promoted related replies sponsor sponsored teaser".split())
+
 
 def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest.strip() else {}
@@ -86,7 +88,8 @@ def left_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in ("html", "body", "main"):
         return False
     words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
-    return any(w in NAMES for w in words)
+    # An article is an article unless it is named as somebody else's.
+    return any(w in (OTHER_ARTICLES if tag == "article" else NAMES) for w in words)
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:

@@ -77,6 +77,19 @@ def test_article_text_that_repeats_is_kept(spark):
     assert got == {i: f"Same head\n\nReleased under a license.\n\nown {i}" for i in range(10)}
 
 
+def test_template_decides_on_pages_with_articles(spark):
+    """The host's text lies in div.story; its article is a teaser, elsewhere."""
+    rows = [(i, url, html.replace("<div class=end>", f"<article><h2>Offer {i}</h2><p>Now cheaper</p></article><div class=end>")) for i, url, html in template_host(12)]
+    got = {r["_row"]["page_id"]: r["text"] for r in h.extract_text(plain(spark, rows)).collect()}
+    assert got == {i: "\n\n".join(f"Story {i} part {k} with some words of its own." for k in range(3 + i % 3)) for i in range(12)}
+    # Around or inside the main container the article gives its bounds.
+    body = "/html/body"
+    html = page("<article><h1>Head</h1><div class=story><p>Text</p></div></article><article><p>next</p></article><p>end</p>")
+    assert h.main_text(html, f"{body}/article/div.story", set()) == "Head\n\nText\n\nnext"
+    assert h.main_text(html, body, set()) == "Head\n\nText\n\nnext"
+    assert h.main_text(html, f"{body}/div.gone", set()) == "Head\n\nText\n\nnext"
+
+
 def test_awkward_rows_and_empty_table(spark):
     rows = [(1, None, None), (1, None, None), (None, "", ""), (2, "not a url", "<p>x"), (3, "http://u@h.example:80/p", "<p>" + "long words " * 50_000), (4, "http://h.example", "\x00<p>\x00")]
     df = plain(spark, rows)

@@ -14,13 +14,16 @@ make the host's template; what the template leaves open are its slots. Frequent
 tokens of a host are few (their occurrences fill half its pages), so its
 template is built in one small group.
 
-A page's main text are the blocks of its ``article`` or ``main`` element. If
-it has none, it is the slots in the template's container that holds most of
-the host's slot text, and without such a template all blocks of the page.
+The template's main container, the one that holds most of the host's slot text,
+decides where a page's main text is. An ``article`` or ``main`` element is a hint
+for its bounds: one that lies in that container or around it is the main text as a
+whole (repeated passages in it are prose), one elsewhere is not. Without such an
+element the main text is the slots in the container. A page that lacks the container
+has the blocks of its ``article`` or ``main``, or else its slots; a host without a
+template has no template texts, so there that is all blocks.
 Menus, headers, footers, sidebars, notices, adverts, forms, comments by
 readers, scripts and styles are left out by element, role and class name
-(a header inside the article belongs to it). Template text is left out only
-where there is no ``article`` or ``main``: inside one, repeated passages are text.
+(a header inside the article belongs to it).
 
 Text is decoded and its white space made single; blocks are joined by an empty
 line in page order.
@@ -37,6 +40,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -77,34 +81,41 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest.strip() else {}
 
 
-def left_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Is this element no part of the main text? ``inside``: within the article."""
+def left_out(tag: str, attrs: dict[str, str], inside: bool) -> str:
+    """"out" if this element is no part of the main text, else "". ``inside``: within the article."""
     if tag in LEFT_OUT or (tag == "header" and not inside):
-        return True
+        return "out"
     if not attrs:
-        return False
+        return ""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+        return "out"
     if tag in ("html", "body", "main"):
-        return False
+        return ""
     words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
     # An article is an article unless it is named as somebody else's.
-    return any(w in (OTHER_ARTICLES if tag == "article" else NAMES) for w in words)
+    return "out" if any(w in (OTHER_ARTICLES if tag == "article" else NAMES) for w in words) else ""
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(path of containers, text, left out, inside an article or main) of the
-    page's blocks, in page order; containers come as blocks without text."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, left out, inside
+class Block(NamedTuple):
+    path: str  # of its containers
+    text: str  # empty: a container
+    out: bool  # left out
+    article: str | None  # path of the article or main it is in
+
+
+def blocks(page: str) -> Iterator[Block]:
+    """The page's blocks, in page order; containers come as blocks without text."""
+    stack: list[tuple] = []  # tag, then path, out, article
     text: list[str] = []
-    path, out, inside = "", False, False
+    top = ("", False, None)
+    path, out, article = top
 
-    def closed() -> Iterator[tuple[str, str, bool, bool]]:
+    def closed() -> Iterator[Block]:
         if text:
             s = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if s:
-                yield path, s, out, inside
+                yield Block(path, s, out, article)
 
     at = 0
     while True:
@@ -125,7 +136,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             if any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
-                _, path, out, inside = stack[-1] if stack else ("", "", False, False)
+                path, out, article = stack[-1][1:] if stack else top
             continue
         if tag == "br":
             text.append(" ")
@@ -150,14 +161,16 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 if stack[i][0] in CLOSES[tag]:
                     del stack[i:]
                     break
-        _, path, out, inside = stack[-1] if stack else ("", "", False, False)
+        path, out, article = stack[-1][1:] if stack else top
         attrs = attributes(m["rest"] or m["rest2"] or "")
-        out = out or left_out(tag, attrs, inside)
-        inside = inside or (tag in ("article", "main") or attrs.get("role") == "main") and not out
+        out = out or left_out(tag, attrs, article is not None) == "out"
         if tag not in LEAVES:
             path = f"{path}/{tag}" + (f".{attrs['class']}" if attrs.get("class") else "")
-            yield path, "", out, inside
-        stack.append((tag, path, out, inside))
+        if article is None and (tag in ("article", "main") or attrs.get("role") == "main") and not out:
+            article = path
+        if tag not in LEAVES:
+            yield Block(path, "", out, article)
+        stack.append((tag, path, out, article))
 
 
 def text_token(path: str, text: str) -> str:
@@ -193,6 +206,12 @@ def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduce(tokens: list[tuple[str, int, int, float, int]]) -> tuple[str | None, list[str]]:
     """(main container, template texts) from a host's frequent tokens: (token,
     vector hash, pages, mean place, characters)."""
+    valid = valid_tokens(tokens)
+    return main_container(tokens, valid), sorted(t for t in valid if "#" in t)
+
+
+def valid_tokens(tokens: list[tuple[str, int, int, float, int]]) -> set[str]:
+    """The tokens of the valid classes."""
     classes: dict[tuple[int, int], list] = defaultdict(list)
     for t in sorted(tokens, key=lambda t: (t[3], t[0])):
         classes[t[1], t[2]].append(t)
@@ -203,7 +222,10 @@ def deduce(tokens: list[tuple[str, int, int, float, int]]) -> tuple[str | None,
         parents = [p.rpartition("/")[0] for p in own] + [t[0].partition("#")[0] for t in members if "#" in t[0]]
         if all(p == "" or p in own or p in valid for p in parents):
             valid |= {t[0] for t in members}
-    texts = sorted(t for t in valid if "#" in t)
+    return valid
+
+
+def main_container(tokens: list[tuple[str, int, int, float, int]], valid: set[str]) -> str | None:
     containers = {t[0]: t[4] for t in tokens if t[0] in valid and "#" not in t[0]}
     # Characters below a container's path, itself included.
     below: Counter = Counter()
@@ -213,7 +235,7 @@ def deduce(tokens: list[tuple[str, int, int, float, int]]) -> tuple[str | None,
                 below[q] += n
     total = sum(containers.values())
     good = [p for p in containers if total and below[p] >= MAIN_SHARE * total]
-    return max(good, key=lambda p: (p.count("/"), p), default=None), texts
+    return max(good, key=lambda p: (p.count("/"), p), default=None)
 
 
 def host_template(group: pd.DataFrame) -> pd.DataFrame:
@@ -239,23 +261,24 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, main: str | None, texts: set[str]) -> str:
-    found = [b for b in blocks(page) if b[1] and not b[2]]
-    if any(b[3] for b in found):
-        kept = [b[1] for b in found if b[3]]
-    else:
-        slots = [b for b in found if text_token(b[0], b[1]) not in texts]
-        own = [b for b in slots if main is not None and (b[0] == main or b[0].startswith(main + "/"))]
-        kept = [b[1] for b in own or slots]
-    return "\n\n".join(kept)
+    found = [b for b in blocks(page) if b.text and not b.out]
+    within = lambda a, b: a == b or a.startswith(b + "/")
+    slots = [b for b in found if text_token(b.path, b.text) not in texts]
+    kept = []
+    if main is not None:
+        kept = [b for b in found if b.article is not None and (within(b.article, main) or within(main, b.article))]
+        kept = kept or [b for b in slots if within(b.path, main)]
+    kept = kept or [b for b in found if b.article is not None] or slots
+    return "\n\n".join(b.text for b in kept)
 
 
 def text_udf():
     def extract(pages: pa.Array, mains: pa.Array, texts: pa.Array) -> pa.Array:
         known: dict[tuple, set[str]] = {}
+        as_set = lambda x: known.setdefault(tuple(x), set(x))
         out = []
         for page, main, t in zip(utf8(pages), mains.to_pylist(), texts.to_pylist()):
-            key = tuple(t or ())
-            out.append(main_text((page or b"").decode("utf-8", "replace"), main, known.setdefault(key, set(key))))
+            out.append(main_text((page or b"").decode("utf-8", "replace"), main, as_set(t or [])))
         return pa.array(out, pa.string())
 
     return arrow_udf(extract, "string")

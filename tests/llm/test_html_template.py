@@ -90,6 +90,31 @@ def test_template_decides_on_pages_with_articles(spark):
     assert h.main_text(html, f"{body}/div.gone", set()) == "Head\n\nText\n\nnext"
 
 
+SUBJECTS = [
+    ('<section id="related-work"><h2 id="notice">Related</h2><p>Others did</p></section>', "Related\n\nOthers did"),
+    ('<h2 id="social-history">Social history</h2><p id="copyright-law">The law</p>', "Social history\n\nThe law"),
+    ('<div class="menu-recipes"><p>Soup first</p></div><div class="share-price">12</div>', "Soup first\n\n12"),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", "Let x=1 be"),
+]
+
+
+@pytest.mark.parametrize("html, want", SUBJECTS)
+def test_names_of_subjects_in_an_article_are_no_boilerplate(html, want):
+    html = page(f"<article><p>a</p>{html}</article>")
+    for frames in (None, {"/html/body/article"}):
+        assert h.main_text(html, "/html/body/article", set(), frames) == f"a\n\n{want}"
+
+
+def test_repetition_confirms_boilerplate_in_an_article(spark):
+    def story(i):
+        once = "<div class=notice><p>On page 3 the ministry gave notice.</p></div><aside>A side remark.</aside>" * (i == 3)
+        return f"<article><h1>Story {i}</h1><div class=share>Send {i}</div><div class=social-links><p>Follow us</p></div><p>Own text {i}.</p>{once}<p class=copyright>All rights reserved</p></article>"
+
+    rows = [(i, f"http://a.example/{i}", page(story(i))) for i in range(8)]
+    got = {r["_row"]["page_id"]: r["text"] for r in h.extract_text(plain(spark, rows)).collect()}
+    assert got == {i: f"Story {i}\n\nOwn text {i}." + "\n\nOn page 3 the ministry gave notice.\n\nA side remark." * (i == 3) for i in range(8)}
+
+
 def test_awkward_rows_and_empty_table(spark):
     rows = [(1, None, None), (1, None, None), (None, "", ""), (2, "not a url", "<p>x"), (3, "http://u@h.example:80/p", "<p>" + "long words " * 50_000), (4, "http://h.example", "\x00<p>\x00")]
     df = plain(spark, rows)

@@ -23,7 +23,8 @@ has the blocks of its ``article`` or ``main``, or else its slots; a host without
 template has no template texts, so there that is all blocks.
 Menus, headers, footers, sidebars, notices, adverts, forms, comments by
 readers, scripts and styles are left out by element, role and class name
-(a header inside the article belongs to it).
+(a header inside the article belongs to it). Inside an article names and ``aside``
+are only a suspicion: see ``left_out``.
 
 Text is decoded and its white space made single; blocks are joined by an empty
 line in page order.
@@ -68,13 +69,14 @@ LEAVES = {"p", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th",
 # Elements that another start of the same kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-LEFT_OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "template", "svg", "canvas", "object", "fieldset", "search", "audio", "video", "math"}
+LEFT_OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "template", "svg", "canvas", "object", "fieldset", "search", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar", "note"}
 NAMES = set(
     "ad ads adbox adslot adunit advert adverts advertisement advertising adsense alert alerts announcement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pagination pager popup promo promoted promotion related replies share sharing sidebar social sponsor sponsored subscribe subscription taboola teaser toast toolbar widget widgets".split()
 )
 
 OTHER_ARTICLES = set("ad ads advert adverts advertisement comment comments promo promoted related replies sponsor sponsored teaser".split())
+READERS = {"comment", "comments", "replies"}
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -82,18 +84,30 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def left_out(tag: str, attrs: dict[str, str], inside: bool) -> str:
-    """"out" if this element is no part of the main text, else "". ``inside``: within the article."""
-    if tag in LEFT_OUT or (tag == "header" and not inside):
+    """Is this element no part of the main text? "" (it may be), "out", or a
+    suspicion for elements inside the article: "named" (``aside``, ``fieldset``, or a
+    whole class or id is a known name) is left out unless the host's template
+    shows that it doesn't repeat; "like" (a word of a class is one) is left out
+    only if its text belongs to the template."""
+    if tag in LEFT_OUT and not (inside and tag in ("aside", "fieldset")) or (tag == "header" and not inside):
         return "out"
-    if not attrs:
-        return ""
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
+    if attrs and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES):
         return "out"
-    if tag in ("html", "body", "main"):
+    if tag in LEFT_OUT:
+        return "named"
+    if not attrs or tag in ("html", "body", "main"):
         return ""
-    words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
     # An article is an article unless it is named as somebody else's.
-    return "out" if any(w in (OTHER_ARTICLES if tag == "article" else NAMES) for w in words) else ""
+    names = OTHER_ARTICLES if tag == "article" else NAMES
+    words = lambda x: re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())
+    classes, own = attrs.get("class", ""), attrs.get("id", "")
+    if not inside:
+        return "out" if any(w in names for w in words(f"{classes} {own}")) else ""
+    # Ids of headings, paragraphs and sections name their subject.
+    known = READERS if tag == "section" else set() if tag in LEAVES else names
+    if names.intersection(classes.lower().split()) or own.lower() in known:
+        return "named"
+    return "like" if any(w in names for w in words(classes)) else ""
 
 
 class Block(NamedTuple):
@@ -101,21 +115,22 @@ class Block(NamedTuple):
     text: str  # empty: a container
     out: bool  # left out
     article: str | None  # path of the article or main it is in
+    doubt: tuple[str, str] | None  # (path, suspicion) of the outermost suspect element inside the article
 
 
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks, in page order; containers come as blocks without text."""
-    stack: list[tuple] = []  # tag, then path, out, article
+    stack: list[tuple] = []  # tag, then path, out, article, doubt
     text: list[str] = []
-    top = ("", False, None)
-    path, out, article = top
+    top = ("", False, None, None)
+    path, out, article, doubt = top
 
     def closed() -> Iterator[Block]:
         if text:
             s = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if s:
-                yield Block(path, s, out, article)
+                yield Block(path, s, out, article, doubt)
 
     at = 0
     while True:
@@ -136,7 +151,7 @@ def blocks(page: str) -> Iterator[Block]:
             if any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
-                path, out, article = stack[-1][1:] if stack else top
+                path, out, article, doubt = stack[-1][1:] if stack else top
             continue
         if tag == "br":
             text.append(" ")
@@ -161,16 +176,19 @@ def blocks(page: str) -> Iterator[Block]:
                 if stack[i][0] in CLOSES[tag]:
                     del stack[i:]
                     break
-        path, out, article = stack[-1][1:] if stack else top
+        path, out, article, doubt = stack[-1][1:] if stack else top
         attrs = attributes(m["rest"] or m["rest2"] or "")
-        out = out or left_out(tag, attrs, article is not None) == "out"
+        verdict = left_out(tag, attrs, article is not None)
+        out = out or verdict == "out"
         if tag not in LEAVES:
             path = f"{path}/{tag}" + (f".{attrs['class']}" if attrs.get("class") else "")
+        if verdict in ("named", "like") and (doubt is None or doubt[1] == "like" and verdict == "named"):
+            doubt = (path if tag not in LEAVES else "", verdict)
         if article is None and (tag in ("article", "main") or attrs.get("role") == "main") and not out:
             article = path
         if tag not in LEAVES:
-            yield Block(path, "", out, article)
-        stack.append((tag, path, out, article))
+            yield Block(path, "", out, article, doubt)
+        stack.append((tag, path, out, article, doubt))
 
 
 def text_token(path: str, text: str) -> str:
@@ -180,10 +198,10 @@ def text_token(path: str, text: str) -> str:
 def page_tokens(page: str) -> dict[str, list]:
     """token -> [count, first place, characters of the text below a container]."""
     found: dict[str, list] = {}
-    for place, (path, text, out, _) in enumerate(blocks(page)):
+    for place, (path, text, out, _, doubt) in enumerate(blocks(page)):
         token = text_token(path, text) if text else path
         found.setdefault(token, [0, place, 0])[0] += 1
-        if text and not out and path in found:
+        if text and not out and not doubt and path in found:
             found[path][2] += len(text)
     return found
 
@@ -241,11 +259,13 @@ def main_container(tokens: list[tuple[str, int, int, float, int]], valid: set[st
 def host_template(group: pd.DataFrame) -> pd.DataFrame:
     rows = list(group[["token", "vector", "pages", "place", "chars"]].itertuples(index=False, name=None))
     main, texts = deduce(rows)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "main": [main], "texts": [texts]})
+    frames = sorted(t for t in valid_tokens(rows) if "#" not in t)
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "main": [main], "texts": [texts], "frames": [frames]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, texts) per host, from rows (host, html)."""
+    """(host, main, texts, frames) per host, from rows (host, html); frames are
+    the containers of the template."""
     distinct = pages.where("html != ''").select("host", F.xxhash64("html").alias("page"), "html")
     tokens = saved(distinct.mapInArrow(token_rows, TOKENS), "tokens")
     # Equal pages count once: their rows are equal too.
@@ -257,11 +277,23 @@ def templates(pages: DataFrame) -> DataFrame:
     whole = tokens.where("place = 0").groupBy("host", "page").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("whole"))
     seen = seen.where(F.col("pages") >= LEAST_PAGES)
     frequent = seen.join(whole, "host").where(F.col("pages") >= F.col("whole") * SUPPORT)
-    return frequent.groupBy("host").applyInPandas(host_template, "host string, main string, texts array<string>")
+    return frequent.groupBy("host").applyInPandas(host_template, "host string, main string, texts array<string>, frames array<string>")
+
+
+def dropped(b: Block, texts: set[str], frames: set[str] | None) -> bool:
+    """Is a block left out? A suspicion inside the article needs a template
+    that confirms it; a host without one has only the whole names."""
+    if b.out or not b.doubt:
+        return b.out
+    path, kind = b.doubt
+    if frames is None:
+        return kind == "named"
+    return text_token(b.path, b.text) in texts or (kind == "named" and path in frames)
 
 
-def main_text(page: str, main: str | None, texts: set[str]) -> str:
-    found = [b for b in blocks(page) if b.text and not b.out]
+def main_text(page: str, main: str | None, texts: set[str], frames: set[str] | None = None) -> str:
+    """``frames`` is None for a host without a template."""
+    found = [b for b in blocks(page) if b.text and not dropped(b, texts, frames)]
     within = lambda a, b: a == b or a.startswith(b + "/")
     slots = [b for b in found if text_token(b.path, b.text) not in texts]
     kept = []
@@ -273,12 +305,12 @@ def main_text(page: str, main: str | None, texts: set[str]) -> str:
 
 
 def text_udf():
-    def extract(pages: pa.Array, mains: pa.Array, texts: pa.Array) -> pa.Array:
+    def extract(pages: pa.Array, mains: pa.Array, texts: pa.Array, frames: pa.Array) -> pa.Array:
         known: dict[tuple, set[str]] = {}
-        as_set = lambda x: known.setdefault(tuple(x), set(x))
+        as_set = lambda x: x if x is None else known.setdefault(tuple(x), set(x))
         out = []
-        for page, main, t in zip(utf8(pages), mains.to_pylist(), texts.to_pylist()):
-            out.append(main_text((page or b"").decode("utf-8", "replace"), main, as_set(t or [])))
+        for page, main, t, f in zip(utf8(pages), mains.to_pylist(), texts.to_pylist(), frames.to_pylist()):
+            out.append(main_text((page or b"").decode("utf-8", "replace"), main, as_set(t or []), as_set(f or None)))
         return pa.array(out, pa.string())
 
     return arrow_udf(extract, "string")
@@ -296,7 +328,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     rows = pages.select(F.struct(*[col(c) for c in pages.columns]).alias("_row"), host_of(col(url)).alias("host"), plain.alias("html"))
     # A small template table is broadcast by the planner's size check, a large one joined with salts.
     x = salted_lookup(rows, known, ["host"])
-    return x.select("_row", text_udf()("html", "main", "texts").alias("text"))
+    return x.select("_row", text_udf()("html", "main", "texts", "frames").alias("text"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

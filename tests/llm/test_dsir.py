@@ -87,6 +87,38 @@ def test_held_out_labels(spark):
     assert x[0] > 0.93 and x[1] < 0.1 and x[2] < 0.5, x
 
 
+def test_held_out_toxic_texts_are_caught(spark):
+    """As above with closer bounds: k has no room beside the good share."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(8)
+    got = d.importance_resample(docs, labels.where("doc_id % 2 = 0")).select("_row.doc_id", "kept")
+    x = got.join(labels.where("doc_id % 2 = 1"), "doc_id").agg(
+        F.avg(F.when(F.expr("quality = 1 and toxic = 0"), F.col("kept").cast("int"))),
+        F.avg(F.when(F.expr("toxic = 1"), F.col("kept").cast("int"))),
+    ).first()
+    assert x[0] > 0.94 and x[1] < 0.2, x
+
+
+@pytest.mark.parametrize("words", [50, 500, 5000])
+def test_a_long_text_does_not_dilute_a_passage(words):
+    clean, vile = prose(words, 1).encode(), b" you vile rotten things"
+    model = np.zeros(2 << d.BITS)
+    bad = d.ngrams([vile])[0]
+    model[bad[bad < 1 << d.BITS]] = -4.0
+    a, b = d.log_weights([clean, clean[: len(clean) // 2] + vile + clean[len(clean) // 2 :]], model)
+    assert d.STRENGTH * (a - b) > 40
+
+
+def test_worst_passage_equals_definition():
+    r = random.Random(3)
+    texts = [[r.uniform(-3, 2) for _ in range(n)] for n in (0, 1, 7, 8, 9, 40, 0, 3)]
+    ratio, owner = np.array([x for t in texts for x in t]), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    want = [min((sum(t[max(0, i + 1 - d.PASSAGE) : i + 1]) / d.PASSAGE for i in range(len(t))), default=0.0) for t in texts]
+    assert np.allclose(d.worst_passage(ratio, owner, len(texts)), want)
+    assert d.worst_passage(np.zeros(0), np.zeros(0, int), 2).tolist() == [0, 0]
+
+
 def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = d.importance_resample(frame(spark, awkward()), none).collect()

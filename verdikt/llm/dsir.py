@@ -4,14 +4,15 @@ Texts are bags of hashed n-grams: tokens (runs of letters and digits, runs of
 punctuation) and pairs of neighbours, in ``2**BITS`` buckets an order. Two
 generative models are fitted for each order: p over the target (labelled good
 texts) and q over all texts. A text's log importance weight is the mean of
-log p - log q over its tokens plus ``PAIRS`` times that over its pairs, times
-``STRENGTH`` (the text is weighed as if it were that long, so that length alone
-decides nothing). Adding Gumbel noise to the log weights and taking the k
+log p - log q over its tokens plus ``PAIRS`` times that over its pairs plus
+``WORST`` times that of its worst passage of ``PASSAGE`` tokens (which a long text
+doesn't dilute), times ``STRENGTH`` (the text is weighed as if it were that long,
+so that length alone decides nothing). Adding Gumbel noise to the log weights and taking the k
 largest draws k texts without replacement in proportion to their weights.
 
 * q counts every n-gram of every text. The target is a documented bounded
   sample of the labelled good rows: at most ``LABEL_ROWS``, by hash order.
-* k is the share of good rows among those labels, plus ``MARGIN``, of all texts.
+* k is the share of good rows among those labels of all texts (``MARGIN`` more: none).
 * The k-th largest value is found by counting in ever finer ranges (at most
   ``FAN`` counts come to the driver each time); no sort and no collected rows.
 
@@ -38,7 +39,9 @@ LABEL_ROWS = 20_000
 STRENGTH = 400.0
 SMOOTH = 1.0
 PAIRS = 0.15
-MARGIN = 0.02
+PASSAGE = 8
+WORST = 0.1
+MARGIN = 0.0
 SEED = 20240607
 FAN = 4096
 SCALE = 1 << 20
@@ -162,20 +165,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, bits: int =
     return model, 1.0 if share is None else min(1.0, float(share) + MARGIN)
 
 
+def worst_passage(ratio: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """The least sum of ``PASSAGE`` neighbouring tokens' log ratios over PASSAGE
+    (passages at a text's start are shorter); 0 without tokens. Tokens come by text."""
+    total = np.cumsum(np.r_[0.0, ratio])
+    count = np.bincount(owner, minlength=texts)
+    first = np.cumsum(count) - count
+    end = np.arange(1, len(ratio) + 1)
+    passage = (total[end] - total[np.maximum(first[owner], end - PASSAGE)]) / PASSAGE
+    out, some = np.zeros(texts), np.flatnonzero(count)
+    if len(some):
+        out[some] = np.minimum.reduceat(passage, first[some])
+    return out
+
+
+def log_weights(texts: list[bytes | None], model: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The log importance weights before ``STRENGTH``, nan without n-grams."""
+    g, o = ngrams(texts, bits)
+    total, pairs = np.zeros(len(texts)), g >= 1 << bits
+    for order, factor in ((~pairs, 1.0), (pairs, PAIRS)):
+        n = np.bincount(o[order], minlength=len(texts))
+        total += factor * np.bincount(o[order], weights=model[g[order]], minlength=len(texts)) / np.maximum(n, 1)
+    total += WORST * worst_passage(model[g[~pairs]], o[~pairs], len(texts))
+    total[np.bincount(o, minlength=len(texts)) == 0] = np.nan
+    return total
+
+
 def weight_udf(spark: SparkSession, model: np.ndarray, bits: int = BITS):
-    """text -> mean log ratio, null without n-grams."""
+    """text -> log weight, null without n-grams."""
     sent = spark.sparkContext.broadcast(model.astype(np.float32))
 
     def weights(texts: pa.Array) -> pa.Array:
         out = np.full(len(texts), np.nan)
         for first, run in pieces(utf8(texts)):
-            g, o = ngrams(run, bits)
-            total, pairs = np.zeros(len(run)), g >= 1 << bits
-            for order, factor in ((~pairs, 1.0), (pairs, PAIRS)):
-                n = np.bincount(o[order], minlength=len(run))
-                total += factor * np.bincount(o[order], weights=sent.value[g[order]], minlength=len(run)) / np.maximum(n, 1)
-            total[np.bincount(o, minlength=len(run)) == 0] = np.nan
-            out[first : first + len(run)] = total
+            out[first : first + len(run)] = log_weights(run, sent.value, bits)
         return pa.array(out, pa.float64(), from_pandas=True)
 
     return arrow_udf(weights, T.DoubleType())

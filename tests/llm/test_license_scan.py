@@ -37,6 +37,33 @@ def test_copies_edits_and_near_misses():
     assert found[0][1] == found[1][1] == 1 and 0.8 <= found[2][1] < 0.95
 
 
+DUAL = [
+    ("Licensed under the MIT License or licensed under the Apache License, Version 2.0", "Apache-2.0 notice"),
+    ("Licensed under CC BY 4.0. Licensed under the Apache License, Version 2.0", "Apache-2.0 notice"),
+    ("Licensed under the Apache License, Version 2.0. Licensed under CC BY 4.0", "CC-BY-4.0 notice"),
+    ("Released under the MIT License. Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0 notice"),
+]
+
+
+@pytest.mark.parametrize("offset", range(16))
+@pytest.mark.parametrize("line, name", DUAL)
+def test_both_licenses_of_a_line_are_found(line, name, offset):
+    whole = s.words_of(s.TEMPLATES[name].encode())
+    text = ("x " * offset + line + " y" * 9).encode()
+    words = s.words_of(text)
+    found = SCAN.scan(text)
+    assert any(f[0] == name and f[3] == 1 and words[f[1] : f[2]] == whole for f in found) and len(found) == 2
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0 notice", "CC-BY-4.0 notice", "MIT notice", "GPL-3.0 header"])
+@pytest.mark.parametrize("copies", [2, 3, 5])
+def test_adjacent_copies_are_found_at_every_offset(name, copies):
+    size = len(s.words_of(s.TEMPLATES[name].encode()))
+    for offset in range(size if size < 20 else 4):
+        found = SCAN.scan(("x " * offset + f"{s.TEMPLATES[name]}. " * copies).encode())
+        assert found == [(name, offset + k * size, offset + (k + 1) * size, 1.0) for k in range(copies)]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_alignment_against_longest_common_subsequence(seed):
     r = random.Random(seed)

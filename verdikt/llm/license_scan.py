@@ -4,14 +4,18 @@ A text window is aligned to a license template like patience diff does: words
 that occur once in both are anchors, the longest increasing subsequence of
 their places is kept, and the gaps between anchors are aligned the same way.
 A gap without anchors is cut in the middle of its text side and the better of
-the two halves is taken, so that two copies side by side don't hide each other.
+the two halves is taken, of equals the one next to an anchor.
 Coverage is the share of the template's words that are matched.
 
 A text of any length is scanned in windows of 2.5 template lengths, one
 template length apart, so every place of up to 1.5 template lengths lies whole
-in some window. Windows (and whole texts) are skipped only where too few words
-of the template occur to reach ``COVERAGE``, which is exact. Of overlapping
-finds the one that matches the most words stays.
+in some window. A window is aligned again on both sides of a find. Where it gives
+less than the whole template, it is also aligned from each of its words that the
+template has, 1.5 template lengths on, so that copies side by side, whose words
+are unique nowhere in the window, don't hide each other. Windows (and whole
+texts) are skipped only where too few words of the template occur to reach
+``COVERAGE``, which is exact. Of overlapping finds the one that matches the most
+words stays.
 
 Templates are a parameter; the default ones are short notices and the
 customary notice paragraphs of well-known licenses.
@@ -98,8 +102,9 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list[bytes], a0: int, a1: int, b: list[bytes], b0: int, b1: int) -> list[tuple[int, int]]:
-    """Pairs (place in text a, place in template b) of matched words, both rising."""
+def align(a: list[bytes], a0: int, a1: int, b: list[bytes], b0: int, b1: int, late: bool = False) -> list[tuple[int, int]]:
+    """Pairs (place in text a, place in template b) of matched words, both rising.
+    ``late``: of equal halves of the text the second is taken (it is next to an anchor)."""
     if a0 >= a1 or b0 >= b1:
         return []
     in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -111,13 +116,13 @@ def align(a: list[bytes], a0: int, a1: int, b: list[bytes], b0: int, b1: int) ->
         if a1 - a0 == 1:
             return [(a0, b.index(a[a0], b0, b1))]
         middle = (a0 + a1) // 2
-        first, second = align(a, a0, middle, b, b0, b1), align(a, middle, a1, b, b0, b1)
-        return second if len(second) > len(first) else first
+        first, second = align(a, a0, middle, b, b0, b1, late), align(a, middle, a1, b, b0, b1, late)
+        return second if len(second) + late > len(first) else first
     kept = [anchors[k] for k in increasing([j for _, j in anchors])]
     out = []
     i0, j0 = a0, b0
     for i, j in [*kept, (a1, b1)]:
-        out += align(a, i0, i, b, j0, j)
+        out += align(a, i0, i, b, j0, j, i < a1)
         if i < a1:
             out.append((i, j))
         i0, j0 = i + 1, j + 1
@@ -162,17 +167,35 @@ class Scanner:
 
     def finds(self, words: list[bytes], template: list[bytes], count: Counter) -> list[tuple[int, int, float]]:
         size = len(template)
-        width, least = -(-5 * size // 2), self.coverage * size
+        width, span, least = -(-5 * size // 2), -(-3 * size // 2), self.coverage * size
         hits = [i for i, w in enumerate(words) if w in count]
-        out: list[tuple[int, int, float]] = []
-        for start in sorted({max(0, h // size - k) * size for h in hits for k in range(3)}):
-            low, high = bisect_left(hits, start), bisect_left(hits, start + width)
-            if high - low < least:
-                continue
-            pairs = densest(align(words, start, min(start + width, len(words)), template, 0, size), -(-3 * size // 2))
+        out: set[tuple[int, int, float]] = set()
+
+        def enough(start: int, end: int) -> bool:
+            """Can the words there reach the coverage?"""
+            own = hits[bisect_left(hits, start) : bisect_left(hits, end)]
+            return len(own) >= least and (Counter(words[i] for i in own) & count).total() >= least
+
+        def best(start: int, end: int) -> list[tuple[int, int]]:
+            pairs = densest(align(words, start, end, template, 0, size), span)
             if pairs and len(pairs) >= least:
-                out.append((pairs[0][0], pairs[-1][0] + 1, len(pairs) / size))
-        return sorted(set(out))
+                out.add((pairs[0][0], pairs[-1][0] + 1, len(pairs) / size))
+                return pairs
+            return []
+
+        rest = [(s, min(s + width, len(words))) for s in sorted({max(0, h // size - k) * size for h in hits for k in range(3)})]
+        while rest:
+            start, end = rest.pop()
+            if not enough(start, end):
+                continue
+            pairs = best(start, end)
+            if len(pairs) < size:
+                for h in hits[bisect_left(hits, start) : bisect_left(hits, end)]:
+                    if enough(h, min(h + span, end)):
+                        best(h, min(h + span, end))
+            if pairs:
+                rest += [(start, pairs[0][0]), (pairs[-1][0] + 1, end)]
+        return sorted(out)
 
 
 FINDS = T.ArrayType(T.StructType().add("license", "string").add("first_word", "long").add("end_word", "long").add("coverage", "double"))

@@ -126,6 +126,34 @@ def test_likeness():
     assert lcp.likeness(s(a), s(near)) > 0.7 > lcp.likeness(s(a), s(lcp.edited(a, b))) > lcp.likeness(s(a), s(b))
 
 
+def test_a_word_changed_in_a_long_text_shows():
+    text = prose(20_000, 1, 3000)
+    words = text.split(" ")
+    whole = lcp.sketches([text])[0]
+    for k in range(1000, 20_000, 1500):
+        other = lcp.sketches([" ".join([*words[:k], "changed", *words[k + 1 :]])])[0]
+        assert lcp.as_text(whole) != lcp.as_text(other) and 0.98 < lcp.likeness(whole, other) < 1
+
+
+def test_a_shared_passage_shows_in_long_texts():
+    """The names that two texts share through 100 words of 10,000, beside those they share anyway."""
+    found = 0
+    for seed in range(10):
+        a, b = prose(10_000, 100 + seed, 3000), prose(10_000, 200 + seed, 2000)
+        shared = prose(100, 300 + seed, 2500)
+        x, y, z = lcp.sketches([a + shared + a[::-1], b[::-1] + shared + b, b[::-1] + b])
+        found += any(len(np.setdiff1d(np.intersect1d(p, q), r)) for p, q, r in zip(x[1:], y[1:], z[1:]))
+    assert found >= 8
+
+
+def test_names_follow_the_length_and_tell_texts_apart():
+    texts = [prose(n, 7, 3000) for n in (100, 1000, 10_000)]
+    count = [sum(map(len, x)) for x in lcp.sketches(texts)]
+    assert count[1] > 2 * count[0] and count[2] > 7 * count[1]
+    short = ["a", "aa", "aaa", "ab", "ba", "abab", "ababab", "b"]
+    assert len({lcp.as_text(x) for x in lcp.sketches(short)}) == len(short)
+
+
 def test_one_row_and_empty_table(spark):
     r = lcp.fingerprints(frame(spark, [(4, "abcdef", "en", "a", 1)])).collect()
     assert len(r) == 1 and r[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and r[0]["near_next"] == 1

@@ -9,9 +9,13 @@ A phrase's name is a hash of its symbols and becomes a symbol of the next
 level. A phrase depends only on a bounded neighbourhood, so equal substrings
 get the same names inside, whatever their offset.
 
-The fingerprint keeps, for each level of ``LEVELS``, the ``KEEP`` smallest
-distinct 32-bit names; likeness is the Jaccard estimate of these bottom
-sketches, averaged over the levels that either text reaches.
+A text is parsed up to the level where it is one phrase. The fingerprint keeps
+names in proportion to the text's length: for each level of ``LEVELS`` all
+distinct 32-bit names in the lowest 1 / ``RATES`` of their range (the ``KEEP``
+smallest at least), all names from level ``UPPER`` on, and the 64-bit name of the
+whole text, which tells texts apart. Likeness is the mean of two estimated
+Jaccard shares, that of the names of the first level and that of the second
+level's and all upper names (1 only if no upper name differs).
 
 Several texts are parsed together in numpy.
 
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 from verdikt.llm.common import col, partitions, prepare, saved, table
 
 LEVELS = (2, 4)
+RATES = (32, 4)
 KEEP = 16
+UPPER = 7
 IDS_PER_SHARD = 1024
 CHUNK = 1 << 20  # code points held at once
 TOGETHER = 1 << 16  # code points parsed at once
@@ -142,18 +148,46 @@ def level_up(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parse(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(names, places of texts' first names) at each of ``LEVELS`` for texts that aren't empty."""
+    """(names, places of texts' first names) of each level up to the last of ``LEVELS`` for texts that aren't empty."""
     points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     first = np.cumsum([0, *(len(p) for p in points)])[:-1]
     x = np.concatenate(points)  # runs are named above all code points
     found = []
-    for level in range(1, max(LEVELS) + 1):
+    for _ in range(max(LEVELS)):
         x, first = level_up(x, first)
-        if level in LEVELS:
-            found.append((x, first))
+        found.append((x, first))
     return found
 
 
+def sizes(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.diff(first, append=len(x))
+
+
+def upper(x: np.ndarray, first: np.ndarray, roots: np.ndarray) -> list[np.ndarray]:
+    """The distinct 32-bit names from ``UPPER`` on for texts parsed up to the
+    last of ``LEVELS``. ``roots`` has the names of texts that are one phrase, or 0;
+    the others' are written to it."""
+    n, own = len(first), np.flatnonzero(roots == 0)
+    # Texts that are one phrase are parsed no further.
+    going = np.repeat(roots == 0, sizes(x, first))
+    size = sizes(x, first)[own]
+    x, first = x[going], np.cumsum(size) - size
+    level, found = max(LEVELS), [np.zeros(0, U)]
+    while len(own):
+        x, first = level_up(x, first)
+        level += 1
+        size = sizes(x, first)
+        if level >= UPPER:
+            found.append(np.repeat(own, size).astype(U) << U(32) | x >> U(32))
+        whole = size == 1
+        if whole.any():
+            roots[own[whole]] = x[first[whole]]
+            x, own, size = x[~np.repeat(whole, size)], own[~whole], size[~whole]
+            first = np.cumsum(size) - size
+    both = np.unique(np.concatenate(found))
+    return np.split(both.astype(np.uint32), np.searchsorted(both, np.arange(1, n).astype(U) << U(32)))
+
+
 def groups(texts: list[str]) -> Iterator[list[int]]:
     """Places of texts to parse together: small arrays stay in the CPU's cache."""
     part, size = [], 0
@@ -169,32 +203,65 @@ def groups(texts: list[str]) -> Iterator[list[int]]:
 
 
 def sketches(texts: list[str]) -> list[list[np.ndarray]]:
-    """For each text, its bottom sketch per level."""
-    none = [np.zeros(0, np.uint32) for _ in LEVELS]
+    """For each text, its names kept: one array per level of ``LEVELS``, the upper names, the whole text's."""
+    none = [np.zeros(0, np.uint32) for _ in range(len(LEVELS) + 1)] + [np.zeros(0, U)]
     out = [none for _ in texts]
+    places: list[int] = []
+    last: list[np.ndarray] = []
+    length: list[np.ndarray] = []
+    roots: list[np.ndarray] = []
     for part in groups(texts):
+        levels = parse([texts[i] for i in part])
         kept: list[list[np.ndarray]] = [[] for _ in part]
-        for names, first in parse([texts[i] for i in part]):
+        root = np.zeros(len(part), U)
+        for level, (names, first) in enumerate(levels, 1):
+            one = (sizes(names, first) == 1) & (root == 0)
+            root[one] = names[first[one]]
+            if level not in LEVELS:
+                continue
+            rate = RATES[LEVELS.index(level)]
             short = (names >> U(32)).astype(np.uint32)
             for k, (a, b) in enumerate(zip(first, [*first[1:], len(short)])):
-                kept[k].append(np.unique(short[a:b])[:KEEP])
+                own = np.unique(short[a:b])
+                kept[k].append(own[: max(KEEP, int(np.searchsorted(own, (1 << 32) // rate)))])
         for i, sketch in zip(part, kept):
             out[i] = sketch
+        places += part
+        last.append(levels[-1][0])
+        length.append(sizes(*levels[-1]))
+        roots.append(root)
+    if places:
+        # Few names are left, so all groups go on together.
+        size, root = np.concatenate(length), np.concatenate(roots)
+        for i, names, r in zip(places, upper(np.concatenate(last), np.cumsum(size) - size, root), root[:, None]):
+            out[i] += [names, r]
     return out
 
 
 def as_text(sketch: list[np.ndarray]) -> str:
-    return "-".join(s.astype(">u4").tobytes().hex() for s in sketch)
+    return "-".join(s.astype(s.dtype.newbyteorder(">")).tobytes().hex() for s in sketch) if len(sketch[-1]) else "-"
+
+
+def shares(x: np.ndarray, y: np.ndarray, rate: int) -> tuple[float, float]:
+    """Estimated numbers of names in both sketches of a level and in either."""
+    union = np.union1d(x, y)
+    below = int(np.searchsorted(union, (1 << 32) // rate))
+    # Both sketches are complete up to there.
+    low = union[: max(KEEP, below)]
+    scale = rate if below >= KEEP else (1 << 32) / (int(low[-1]) + 1) if len(union) > KEEP else 1.0
+    both = np.isin(low, np.intersect1d(x, y, assume_unique=True)).sum()
+    return float(both * scale), float(len(low) * scale)
 
 
 def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> float:
-    """Mean over the levels of the share of the union's smallest names that both hold."""
-    shares = []
-    for x, y in zip(a, b):
-        if len(x) or len(y):
-            low = np.union1d(x, y)[:KEEP]
-            shares.append(np.isin(low, np.intersect1d(x, y, assume_unique=True)).mean())
-    return float(np.mean(shares)) if shares else 1.0
+    """Mean of the shares of names that both hold, at the first level and above it."""
+    if not len(a[-1]) and not len(b[-1]):
+        return 1.0
+    fine, coarse = (shares(x, y, r) for x, y, r in zip(a, b, RATES))
+    x, y = a[len(LEVELS)], b[len(LEVELS)]
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    coarse = coarse[0] + both, coarse[1] + len(x) + len(y) - both
+    return (fine[0] / fine[1] + coarse[0] / coarse[1]) / 2
 
 
 def edited(text: str, following: str) -> str:

@@ -117,6 +117,14 @@ def test_one_of_each_group_stays(spark):
     assert all(n == 1 for d, n in ids.items() if d is not None) and ids[None] == 2
 
 
+def test_an_id_may_stand_for_several_texts(spark):
+    one, two, three = (prose(90, 900 + i) for i in range(3))
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, prose(90, 950)), (8, three), (None, one)]
+    kept = s.near_dedup(frame(spark, [(d, t, "en", "a", 0) for d, t in rows])).collect()
+    want = [(1, one), (5, two), (7, three), (7, prose(90, 950)), (None, one)]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+
+
 def test_empty_table(spark):
     assert s.simhash_components(frame(spark, [])).count() == 0
     assert s.near_dedup(frame(spark, [])).count() == 0

@@ -35,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm.common import arrow_udf, col, packed, partitions, prepare, salted_lookup, saved, table, unpacked, utf8
@@ -213,30 +213,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) for every row of ``docs``."""
+def row_components(docs: DataFrame, id_col: str, text: str, shingle: int, radius: int, more: list[Column] = []) -> DataFrame:
+    """(id, *more, fp, root, component_id) for every row of ``docs``; root is the
+    component's smallest fingerprint."""
     prepare(docs.sparkSession)
-    fps = saved(docs.select(col(id_col).alias("id"), fingerprint_udf(shingle)(col(text)).alias("fp")), "prints")
+    fps = saved(docs.select(col(id_col).alias("id"), *more, fingerprint_udf(shingle)(col(text)).alias("fp")), "prints")
     nodes = saved(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = components(fingerprint_links(nodes, radius))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = saved(linked.select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     names = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = saved(salted_lookup(linked, names, ["root"]).select("fp", "component_id"), "named")
-    return fps.join(named, "fp", "left").select("id", "fp", "component_id")
+    named = saved(salted_lookup(linked, names, ["root"]).select("fp", "root", "component_id"), "named")
+    return fps.join(named, "fp", "left")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id, fp, component_id) for every row of ``docs``."""
+    return row_components(docs, id_col, text, shingle, radius).select("id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id names their component: one document of each group.
-    An id stands for one document: of rows that repeat it the one with the
-    smallest text hash stays. Rows without an id can't be named and all stay."""
-    lost = simhash_components(docs, id_col, text).where("id is not null and id != component_id").select(F.col("id").alias("_id"))
-    rows = packed(docs)
-    rows = rows.withColumns({"_id": F.col("_row").getField(id_col), "_text": F.xxhash64(F.col("_row").getField(text))})
-    # An id that is lost in one group may name another one only if it is repeated with other texts.
-    named = rows.where("_id is not null").join(lost.distinct(), "_id", "left_anti")
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).where("_n = 1")
-    return unpacked(first.select("_row").unionByName(rows.where("_id is null").select("_row")))
+    """One row of each component: the one with the smallest id, of rows that
+    repeat it the one with the smallest text hash. Rows without an id can't be
+    named and all stay. Rows are told apart by a written key, so an id may stand
+    for several texts."""
+    rows = saved(packed(docs).withColumn("_key", F.monotonically_increasing_id()), "rows")
+    own = rows.select("_key", F.col("_row").getField(id_col).alias("_id"), F.col("_row").getField(text).alias("_text"))
+    found = row_components(own, "_id", "_text", SHINGLE, RADIUS, [F.col("_key"), F.xxhash64("_text").alias("_hash")])
+    best = found.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "_hash", "_key")).alias("_best"))
+    first = rows.join(saved(best.select("_best._key"), "best"), "_key", "left_semi")
+    return unpacked(first.select("_row").unionByName(rows.where(F.col("_row").getField(id_col).isNull()).select("_row")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

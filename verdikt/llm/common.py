@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.session import apply_defaults, checkpoint_path
+from verdikt.session import apply_defaults, checkpoint_path, delete_path
 
 # Rows per Arrow batch sent to Python workers: whole texts travel in these
 # batches, so the row count is kept low enough for long documents.
@@ -28,13 +28,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return checkpoint_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
 
 
+# Remove a job's shuffle files when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a
     lost executor costs no recomputation of what lies before. Digests and
-    fingerprints are hexadecimal text, which zstd halves."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fingerprints are hexadecimal text, which zstd halves. A written table needs
+    its shuffle files no more, so they go with the job."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``saved`` that no later plan reads."""
+    for t in tables:
+        delete_path(t.sparkSession, t._saved_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdikt.llm import dsir, html_template, lcp, license_scan, packing, passages, quality_rules, quotes, sentence_fst, simhash, spelling, warc
+from verdikt.llm import dsir, html_template, lcp, license_scan, packing, passages, quality_rules, quotes, repair, sentence_fst, simhash, spelling, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_main_text": html_template.op8,
     "op9_simhash_dedup": simhash.op9,
     "op10_quality_classifier": dsir.op10,
+    "op11_conversation_repair": repair.op11,
     "op12_spelling_groups": spelling.op12,
     "op13_substring_dedup": passages.op13,
 }

@@ -49,6 +49,7 @@ from verdikt.llm.common import arrow_udf, col, discard, partitions, prepare, sal
 WINDOW, GRAM = 20, 8
 HOT = 100_000
 SHARD_WORDS = 200_000
+RUN_STEP = 1 << 32
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LATE = np.uint64(1 << 63)
@@ -182,31 +183,31 @@ class Shard:
         """(key, place, hits, firsts) for each run: the offsets of its repeated
         windows, and of those that at ``place`` are the first occurrence."""
         code: dict[bytes, int] = {}
+        # In the order of places, so that what comes first is met first.
+        runs = sorted(self.runs, key=lambda r: r[2])
         # One character a word, past the surrogates: equal strings, equal words.
-        text = ["".join([chr(i + 0x800 * (i >= 0xD800)) for i in [code.setdefault(w, len(code)) for w in words]]) for words, *_ in self.runs]
-        count: dict[str, int] = {}
-        first: dict[str, tuple] = {}
+        text = ["".join([chr(i + 0x800 * (i >= 0xD800)) for i in [code.setdefault(w, len(code)) for w in words]]) for words, *_ in runs]
         k = self.window
-        for t, (_, n, place, _) in zip(text, self.runs):
+        first: dict[str, int] = {}  # window -> run * RUN_STEP + offset
+        repeated = set()
+        for r, (t, run) in enumerate(zip(text, runs)):
+            base, copies = r * RUN_STEP, run[1] > 1
             for i in range(len(t) - k + 1):
                 w = t[i : i + k]
-                count[w] = count.get(w, 0) + n
-                at = (*place[:-1], place[-1] + i)
-                if w not in first or at < first[w]:
-                    first[w] = at
-        automaton = ahocorasick.Automaton()
-        for w, n in count.items():
-            if n > 1:
-                automaton.add_word(w, first[w])
-        if not len(automaton):
+                if first.setdefault(w, base + i) != base + i or copies:
+                    repeated.add(w)
+        if not repeated:
             return
+        automaton = ahocorasick.Automaton()
+        for w in repeated:
+            automaton.add_word(w, first[w])
         automaton.make_automaton()
-        for t, (_, _, place, key) in zip(text, self.runs):
+        for r, (t, (_, _, place, key)) in enumerate(zip(text, runs)):
             hits, firsts = [], []
             for end, at in automaton.iter(t):
                 i = end - k + 1
                 hits.append(i)
-                if at == (*place[:-1], place[-1] + i):
+                if at == r * RUN_STEP + i:
                     firsts.append(i)
             if hits:
                 yield key, place, hits, firsts
@@ -240,29 +241,39 @@ def locate(window: int, shard_words: int):
     return run
 
 
-def _covered(places: list, n: int, window: int) -> np.ndarray:
-    """Which of n words to remove, from (start, offsets, is_first) of windows."""
-    hit, spare = np.zeros(n, bool), np.zeros(n, bool)
-    for p in places:
-        (spare if p["first"] else hit)[p["start"] + np.array(p["offsets"], np.int64)] = True
-    at = np.flatnonzero(hit & ~spare)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
-    return np.cumsum(edge[:n]) > 0
-
-
 def removal(window: int):
     """(text, places) -> spans of removed words, their number, SHA-256 of the rest."""
     kind = "spans array<struct<from: long, to: long>>, n_removed long, kept_sha256 string"
 
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        words = _split(texts)
+        base = np.r_[0, np.cumsum([len(w) for w in words])]
+        # All windows of the batch at once, numbered by the word they start at.
+        flat = places.flatten()
+        start, offsets, is_first = (flat.field(c) for c in ("start", "offsets", "first"))
+        rows = np.repeat(np.arange(len(words)), places.value_lengths().to_numpy(zero_copy_only=False))
+        n = offsets.value_lengths().to_numpy(zero_copy_only=False)
+        at = np.repeat(base[rows] + start.to_numpy(zero_copy_only=False), n) + offsets.flatten().to_numpy(zero_copy_only=False)
+        hit, spare = np.zeros(base[-1], bool), np.zeros(base[-1], bool)
+        own = np.repeat(is_first.to_numpy(zero_copy_only=False), n).astype(bool)
+        hit[at[~own]] = True
+        spare[at[own]] = True
+        at = np.flatnonzero(hit & ~spare)
+        edge = np.zeros(base[-1] + 1, np.int64)  # no window reaches past its text
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
+        gone = np.cumsum(edge[:-1]) > 0
         out = []
-        for words, p in zip(_split(texts), places.to_pylist()):
-            gone = _covered(p or [], len(words), window)
-            edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-            out.append({"spans": [{"from": a, "to": b} for a, b in edge.reshape(-1, 2).tolist()], "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+        for w, a, b in zip(words, base, base[1:]):
+            mine = gone[a:b]
+            edges = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).tolist()
+            ranges = list(zip(edges[::2], edges[1::2]))
+            kept, last = [], 0
+            for x, y in ranges:
+                kept += w[last:x]
+                last = y
+            kept += w[last:]
+            out.append({"spans": [{"from": x, "to": y} for x, y in ranges], "n_removed": len(w) - len(kept), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest()})
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         return pa.array(out, pa.struct([("spans", span), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled to three transducers:
+A model file is compiled to one automaton of characters, composed of three:
 
 * the normaliser: white-space rules of the model and the space symbol;
-* the pieces: an arc per piece, from text to id. In a unigram model an arc
+* the pieces: a path per piece, from text to id. In a unigram model an arc
   weighs the piece's negative score. In a byte-pair model pieces weigh nothing
   but two pieces may only follow each other if merging their joined text by the
   model's priorities gives just these two, else the step weighs infinity; a
@@ -103,16 +103,32 @@ class Transducer:
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
         self.lowest = min(self.score.values(), default=0.0)
         self.units = self._units()
-        # The lengths of the pieces that start with the same three characters, longest first.
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 2:
-                lengths.setdefault(p[:3], set()).add(len(p))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.text = {i: p for p, i in self.ids.items()}
+        self.size = [len(p) for p, _, _ in self.pieces]
+        self.root = self._compile()
+        self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.outputs = [self._output(p, kind) for p, _, kind in self.pieces]
 
+    def _compile(self) -> dict:
+        """The pieces as one automaton: a state is a dict of its arcs by
+        character, and under the empty text the piece that ends there. The
+        normaliser is composed in: a space takes the arc of the space symbol."""
+        root: dict = {}
+        for piece, i in self.ids.items():
+            state = root
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[""] = i
+        if self.escape and SPACE in root:
+            todo = [root]
+            while todo:
+                state = todo.pop()
+                if SPACE in state:
+                    state.setdefault(" ", state[SPACE])
+                todo += [v for k, v in state.items() if k and k != " "]
+        return root
+
     def _units(self) -> re.Pattern:
         """A pattern that cuts a text at places no piece crosses."""
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -153,81 +169,86 @@ class Transducer:
                 ranks[i] = self.score.get(parts[i] + parts[i + 1], none)
         return parts
 
-    def may_follow(self, a: str, b: str) -> bool:
+    def may_follow(self, a: int, b: int) -> bool:
+        """Does the step from piece ``a`` to ``b`` weigh 0?"""
         if len(self.follows) >= 4 * REMEMBER:
             self.follows.clear()
-        found = self.follows[a, b] = self.merged(a + b) == [a, b]
+        x, y = (self.text[i] if i >= 0 else chr(-1 - i) for i in (a, b))
+        found = self.follows[a << 32 ^ b] = self.merged(x + y) == [x, y]
         return found
 
-    def shortest(self, unit: str) -> list[str]:
-        """The arcs of the shortest path through the lattice of a unit. A
-        character outside the pieces is an arc as well (the fallback)."""
+    def shortest(self, unit: str) -> list[int]:
+        """The arcs of the shortest path through the lattice of a unit: pieces,
+        or -1 - code point for a character outside them (the fallback)."""
         return self._search(unit) if self.kind == BPE else self._lightest(unit)
 
-    def _arcs(self, unit: str, at: int) -> list[str]:
-        """The pieces at a place, longest first; the last is its character."""
-        out = []
-        for n in self.lengths.get(unit[at : at + 3], ()):
-            piece = unit[at : at + n]
-            if piece in self.score:
-                out.append(piece)
-        if unit[at : at + 2] in self.score and at + 2 <= len(unit):
-            out.append(unit[at : at + 2])
-        out.append(unit[at])
+    def _arcs(self, unit: str, at: int) -> list[int]:
+        """The composed arcs that leave a place, longest last."""
+        state, out = self.root.get(unit[at]), []
+        if state is None or "" not in state:
+            out.append(-1 - ord(unit[at]))
+        while state is not None:
+            if "" in state:
+                out.append(state[""])
+            at += 1
+            if at == len(unit):
+                break
+            state = state.get(unit[at])
         return out
 
-    def _search(self, unit: str) -> list[str]:
-        """The one path whose steps all weigh 0."""
-        end, at, follows = len(unit), 0, self.follows
-        path: list[str] = []
-        open_arcs = [iter(self._arcs(unit, 0))]
+    def _search(self, unit: str) -> list[int]:
+        """The one path whose steps all weigh 0, depth first."""
+        end, at, last = len(unit), 0, None
+        size, follows = self.size, self.follows
+        path: list[int] = []
+        left: list[tuple[int, list[int]]] = []  # places passed, with the arcs not yet tried
         dead: set[int] = set()
-        while at < end:
-            for piece in open_arcs[-1]:
-                if at + len(piece) in dead:
+        arcs = self._arcs(unit, 0)
+        while True:
+            while arcs:
+                i = arcs.pop()
+                to = at + (size[i] if i >= 0 else 1)
+                if to in dead:
                     continue
-                if path:
-                    passes = follows.get((path[-1], piece))
-                    if passes is None:
-                        passes = self.may_follow(path[-1], piece)
-                    if not passes:
+                if last is not None:
+                    passes = follows.get(last << 32 ^ i)
+                    if not (self.may_follow(last, i) if passes is None else passes):
                         continue
-                path.append(piece)
-                at += len(piece)
-                if at < end:
-                    open_arcs.append(iter(self._arcs(unit, at)))
-                break
-            else:
-                dead.add(at)
-                open_arcs.pop()
-                at -= len(path.pop())
-        return path
-
-    def _lightest(self, unit: str) -> list[str]:
+                path.append(i)
+                if to == end:
+                    return path
+                left.append((at, arcs))
+                at, last, arcs = to, i, self._arcs(unit, to)
+            dead.add(at)
+            path.pop()
+            at, arcs = left.pop()
+            last = path[-1] if path else None
+
+    def _lightest(self, unit: str) -> list[int]:
+        """The path of least weight, place by place."""
         n = len(unit)
         weight = [0.0] + [math.inf] * n
-        arc = [""] * (n + 1)
+        arc = [0] * (n + 1)
         fallback = 10.0 - self.lowest
         for start in range(n):
-            for piece in self._arcs(unit, start):
-                score = self.score.get(piece)
-                w = weight[start] + (fallback if score is None else -score)
-                if w < weight[start + len(piece)]:
-                    weight[start + len(piece)], arc[start + len(piece)] = w, piece
+            for i in self._arcs(unit, start):
+                to = start + (self.size[i] if i >= 0 else 1)
+                w = weight[start] + (-self.pieces[i][1] if i >= 0 else fallback)
+                if w < weight[to]:
+                    weight[to], arc[to] = w, i
         path = []
         while n:
             path.append(arc[n])
-            n -= len(arc[n])
+            n -= self.size[arc[n]] if arc[n] >= 0 else 1
         return path[::-1]
 
     def unit_ids(self, unit: str) -> bytes:
         ids: list[int] = []
-        for piece in self.shortest(unit):
-            i = self.ids.get(piece)
-            if i is not None:
+        for i in self.shortest(unit):
+            if i >= 0:
                 ids.append(i)
             elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
+                ids += [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "replace")]
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
         return np.array(ids, "<i4").tobytes()

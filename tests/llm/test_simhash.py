@@ -114,17 +114,31 @@ def test_one_of_each_group_stays(spark):
     ids = Counter(r["doc_id"] for r in kept.collect())
     want = {d for d, _, c in slow_components([(r[0], r[1]) for r in rows]) if d is not None and d == c}
     assert {d for d in ids if d is not None} == want
-    assert all(n == 1 for d, n in ids.items() if d is not None) and ids[None] == 2
+    # Rows without an id: one of two equal ones, and no other row is near them.
+    assert all(n == 1 for n in ids.values()) and ids[None] == 1
 
 
 def test_an_id_may_stand_for_several_texts(spark):
     one, two, three = (prose(90, 900 + i) for i in range(3))
     rows = [(1, one), (5, one), (5, two), (7, three), (7, prose(90, 950)), (8, three), (None, one)]
     kept = s.near_dedup(frame(spark, [(d, t, "en", "a", 0) for d, t in rows])).collect()
-    want = [(1, one), (5, two), (7, three), (7, prose(90, 950)), (None, one)]
+    want = [(1, one), (5, two), (7, three), (7, prose(90, 950))]
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
 
 
+def test_near_dedup_of_files_moves_no_text(spark, tmp_path):
+    rows = [(i % 40 if i % 9 else None, prose(60 + i % 40, i % 50), "en", "a", 0) for i in range(400)]
+    path = str(tmp_path / "docs")
+    frame(spark, rows).repartition(7).write.parquet(path)
+    docs = spark.read.parquet(path)
+    kept = s.near_dedup(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+    assert kept.columns == docs.columns
+    roots = {c for *_, c in slow_components([(n, r[1]) for n, r in enumerate(rows)])}
+    assert kept.count() == len(roots) and {r["text"] for r in kept.collect()} <= {r[1] for r in rows}
+
+
 def test_empty_table(spark):
     assert s.simhash_components(frame(spark, [])).count() == 0
     assert s.near_dedup(frame(spark, [])).count() == 0

@@ -34,16 +34,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import arrow_udf, col, packed, partitions, prepare, salted_lookup, saved, table, unpacked, utf8
+from verdikt.llm.common import arrow_udf, col, discard, partitions, prepare, salted_lookup, saved, scratch, table, unpacked, utf8
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCKS = 5
 TILE = 4096
 STRIP = 512
+BITMAP = 32_768  # bits of one of Spark's bitmaps
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -186,16 +190,15 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE,
     return x.mapInArrow(tile_links(radius), "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest
     node of its component. Alternating large-star and small-star on written
-    tables; a hub's edges are spread by salts."""
+    tables until nothing changes (a round shortens every path, so it ends); a
+    hub's edges are spread by salts."""
     state = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     e = saved(edges.where("a != b").distinct(), "edges")
-    seen = state(e)
-    for _ in range(max_rounds):
-        if not seen["n"]:
-            break
+    now, seen = state(e), None
+    while now["n"] and now != seen:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = salted_lookup(both, low, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -203,13 +206,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_lookup(large, low, ["a"])
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = saved(small.where("a != b").distinct(), "edges")
-        now = state(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components: not settled")
+        before, e = e, saved(small.where("a != b").distinct(), "edges")
+        discard(before)
+        seen, now = now, state(e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -222,8 +221,10 @@ def row_components(docs: DataFrame, id_col: str, text: str, shingle: int, radius
     roots = components(fingerprint_links(nodes, radius))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = saved(linked.select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    discard(nodes)
     names = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = saved(salted_lookup(linked, names, ["root"]).select("fp", "root", "component_id"), "named")
+    discard(linked)
     return fps.join(named, "fp", "left")
 
 
@@ -232,17 +233,66 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return row_components(docs, id_col, text, shingle, radius).select("id", "fp", "component_id")
 
 
+def _file_rows(docs: DataFrame) -> DataFrame:
+    """(_row, _file, _at): every row with its file and its place there. A plain
+    scan has both; what is computed is written first."""
+    place = [F.md5(F.col("_metadata.file_path").cast("binary")).alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    row = F.struct(*[col(c) for c in docs.columns]).alias("_row")
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(row, *place)
+        except AnalysisException:
+            pass
+    return saved(docs.select(row), "rows").select("_row", *place)
+
+
+def _kept_udf(folder: str):
+    """(file, place) -> is the place in the file's bitmaps? A task reads those of
+    its own files: one bit a row, in the shared folder."""
+    held: dict[str, np.ndarray] = {}
+
+    def bits(file: str) -> np.ndarray:
+        if file not in held:
+            held.clear()
+            fs, root = pafs.FileSystem.from_uri(folder)
+            found = np.zeros(0, np.uint8)
+            if fs.get_file_info(f"{root}/file={file}").type == pafs.FileType.Directory:
+                t = pq.ParquetDataset(f"{root}/file={file}", filesystem=fs, partitioning=None).read()
+                maps = dict(zip(t["bucket"].to_pylist(), t["bits"].to_pylist()))
+                found = np.zeros(BITMAP * max(maps, default=0), np.uint8)
+                for k, m in maps.items():
+                    found[(k - 1) * BITMAP :][:BITMAP] = np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")
+            held[file] = found
+        return held[file]
+
+    def kept(files: pa.Array, places: pa.Array) -> pa.Array:
+        names = files.dictionary_encode()
+        at = places.to_numpy(zero_copy_only=False)
+        code = names.indices.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(at), bool)
+        for c, name in enumerate(names.dictionary.to_pylist()):
+            own, b = code == c, bits(name)
+            inside = own & (at < len(b))
+            out[inside] = b[at[inside]] == 1
+        return pa.array(out)
+
+    return arrow_udf(kept, "boolean")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id, of rows that
-    repeat it the one with the smallest text hash. Rows without an id can't be
-    named and all stay. Rows are told apart by a written key, so an id may stand
-    for several texts."""
-    rows = saved(packed(docs).withColumn("_key", F.monotonically_increasing_id()), "rows")
-    own = rows.select("_key", F.col("_row").getField(id_col).alias("_id"), F.col("_row").getField(text).alias("_text"))
-    found = row_components(own, "_id", "_text", SHINGLE, RADIUS, [F.col("_key"), F.xxhash64("_text").alias("_hash")])
-    best = found.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "_hash", "_key")).alias("_best"))
-    first = rows.join(saved(best.select("_best._key"), "best"), "_key", "left_semi")
-    return unpacked(first.select("_row").unionByName(rows.where(F.col("_row").getField(id_col).isNull()).select("_row")))
+    """One row of each component: the one with the smallest id (a row without an
+    id only if no other has one), of rows that repeat it the one with the
+    smallest text hash, of equal rows the first. What is decided goes back as a
+    bitmap a file, so no text is shuffled, and none is written if ``docs`` is a
+    scan of files."""
+    rows = _file_rows(docs)
+    own = rows.select("_file", "_at", F.col("_row").getField(id_col).alias("_id"), F.col("_row").getField(text).alias("_text"))
+    found = row_components(own, "_id", "_text", SHINGLE, RADIUS, [F.col("_file"), F.col("_at"), F.xxhash64("_text").alias("_hash")])
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_hash", "_file", "_at")).alias("_best")).select("_best.*")
+    bitmaps = best.groupBy(F.col("_file").alias("file"), F.bitmap_bucket_number(F.col("_at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_at") + 1)).alias("bits"))
+    folder = scratch(docs.sparkSession, "kept")
+    bitmaps.repartition(partitions(docs.sparkSession), "file").write.partitionBy("file").parquet(folder)
+    return unpacked(rows.where(_kept_udf(folder)(F.col("_file"), F.col("_at"))).select("_row"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

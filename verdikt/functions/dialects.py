@@ -155,6 +155,10 @@ def raw_line(video: Column, response: Column) -> Column:
 # --- the staged extraction ------------------------------------------------------
 
 
+# What became of an answer.
+STATUSES = ("ok", "null_response", "no_block", "bad_json", "no_value", "no_match")
+
+
 def extract_labels(
     df: DataFrame,
     dialect: str | Column,

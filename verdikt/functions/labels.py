@@ -22,11 +22,20 @@ def label_number(raw: Column, coerce: bool | Column = True) -> Column:
     ``coerce`` (J7): read any decimal. Without it only whole numbers are
     labels, so ``0.9`` is invalid instead of 0.
     """
-    number = (
+    return coerced(answer_number(raw), coerce)
+
+
+def answer_number(raw: Column) -> Column:
+    """Answer text as a double, fractions included."""
+    return (
         F.when(raw == F.lit("true"), F.lit(1.0))
         .when(raw == F.lit("false"), F.lit(0.0))
         .when(raw.rlike(NUMERIC_PATTERN), raw.try_cast("double"))
     )
+
+
+def coerced(number: Column, coerce: bool | Column) -> Column:
+    """J7 on a number: without ``coerce`` a fraction is no label."""
     if coerce is True:
         return number
     whole = F.when(number == F.floor(number), number)

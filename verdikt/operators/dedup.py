@@ -5,6 +5,9 @@ counts. ``max_by`` over an ordering struct is a declarative aggregate: Spark
 runs it partially on the map side, so a key that holds a large share of all
 rows is reduced to one row per partition before the shuffle (no hot task).
 Only the small extracted columns go into the aggregate buffer, not the text.
+
+With values of fixed width and a 64-bit order the buffer is updated in place:
+Spark plans a hash aggregate, without the sort that strings or structs need.
 """
 
 from __future__ import annotations
@@ -13,10 +16,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, TimestampType
+
+
+def _fixed(t: DataType) -> bool:
+    return isinstance(t, (NumericType, BooleanType, DateType, TimestampType))
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str]) -> DataFrame:
-    """One row per ``keys``: the values of the row with the greatest ``order_col``."""
+    """One row per ``keys``: the values of the row with the greatest ``order_col``
+    (rows of a key that share it must be equal)."""
+    if all(_fixed(df.schema[c].dataType) for c in (order_col, *value_cols)):
+        last = [F.max_by(c, order_col).alias(c) for c in value_cols]
+        return df.groupBy(*keys).agg(*last, F.count(F.lit(1)).alias("n_versions"))
     packed = F.struct(*[F.col(c) for c in value_cols])
     agg = df.groupBy(*keys).agg(F.max_by(packed, F.col(order_col)).alias("_lw"), F.count(F.lit(1)).alias("n_versions"))
     return agg.select(*keys, *[F.col("_lw").getField(c).alias(c) for c in value_cols], "n_versions")

@@ -39,6 +39,8 @@ def score_batches(
     text_col: str = "prompt",
     on_error: str = "null",
     per_request: bool = False,
+    isolate: bool = False,
+    clock: Callable[[], float] = time.perf_counter,
 ) -> DataFrame:
     """Score requests in batches on the executors.
 
@@ -58,6 +60,8 @@ def score_batches(
 
     ``latency_s`` (I5) is the wall time of the call divided over its batch;
     with ``per_request`` every request is a call of its own and timed by itself.
+    ``clock`` gives the seconds. ``isolate`` calls the requests of a failed batch
+    again one by one, so that only those that fail by themselves are failures.
     """
     if on_error not in FAILURE_POLICIES:
         raise ValueError(f"on_error={on_error!r}")
@@ -70,31 +74,41 @@ def score_batches(
     step = 1 if per_request else batch_size
     task_rps = max_rps / partitions if max_rps else None
 
+    def call(pdf: pd.DataFrame) -> tuple[list, str | None, float]:
+        """Answers, error and time of one call; a failed call has no answers."""
+        t0 = clock()
+        try:
+            return list(scorer(pdf)), None, clock() - t0
+        except Exception as e:
+            if on_error == "raise" and not (isolate and len(pdf) > 1):
+                raise
+            return [], f"{type(e).__name__}: {e}", clock() - t0
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free = 0.0  # when the next call may start
-        chunks = (pdf.iloc[k : k + step] for pdf in batches for k in range(0, len(pdf), step))
-        for i, pdf in enumerate(chunks):
-            if task_rps:
-                now = time.monotonic()
-                time.sleep(max(0.0, free - now))
-                free = max(free, now) + len(pdf) / task_rps
-            t0 = time.perf_counter()
-            err = None
-            try:
-                texts = list(scorer(pdf))
-            except Exception as e:
-                if on_error == "raise":
-                    raise
-                err = f"{type(e).__name__}: {e}"
-                texts = [err if on_error == "text" else None] * len(pdf)
-            lat = (time.perf_counter() - t0) / max(len(pdf), 1)
-            out = pd.DataFrame({k: pdf[k].to_numpy() for k in keys})
-            out["response"] = texts
-            out["error"] = err
-            out["latency_s"] = lat
-            out["batch_id"] = i
-            out["scored_at"] = time.time()
-            yield out
+        number = 0
+        for whole in batches:
+            # One frame out for each that came in; calls fill its columns.
+            out = {c: [] for c in ("response", "error", "latency_s", "batch_id", "scored_at")}
+            todo = [(k, min(k + step, len(whole))) for k in range(0, len(whole), step)][::-1]
+            while todo:
+                a, b = todo.pop()
+                n = b - a
+                if task_rps:
+                    now = time.monotonic()
+                    time.sleep(max(0.0, free - now))
+                    free = max(free, now) + n / task_rps
+                texts, err, took = call(whole.iloc[a:b])
+                if err is not None and isolate and n > 1:
+                    todo += [(k, k + 1) for k in range(a, b)][::-1]
+                    continue
+                out["response"] += texts if err is None else [err if on_error == "text" else None] * n
+                out["error"] += [err] * n
+                out["latency_s"] += [took / n] * n
+                out["batch_id"] += [number] * n
+                out["scored_at"] += [time.time()] * n
+                number += 1
+            yield pd.DataFrame({k: whole[k].to_numpy() for k in keys} | out)
 
     return df.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", " + SCORED_COLS)
 

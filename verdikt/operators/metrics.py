@@ -1,13 +1,13 @@
 """Binary classification metrics over overlapping slices (A1-A8) and the
 aggregates around them (A9 chain shift, A10 majority vote, A11 parse quality).
 
-Sliced metrics run as ONE aggregation: per slice six conditional counts
-(tn, fp, fn, tp and the two "other class" counts) are summed in a single
-grouped aggregate, then the per-slice columns are unpivoted with ``inline``.
-Every slice therefore appears for every run, with zero counts when it is
-empty, without a join against a slice dimension. Slices overlap (a video can
-be in several categories), which rules out GROUPING SETS. Partial
-aggregation makes the shuffle carry one row per run and map partition.
+Slices overlap (a video can be in several categories), which rules out
+GROUPING SETS. Membership is a property of the truth row, so it is decided
+once there, as a bit mask (``with_slice_masks``). Metrics are two aggregations:
+a histogram by run, mask, truth and prediction (all of fixed width, one row a
+combination and map partition in the shuffle), and per-slice sums over its few
+rows, unpivoted with ``inline``. Every slice therefore appears for every run,
+with zero counts when it is empty, without a join against a slice dimension.
 """
 
 from __future__ import annotations
@@ -39,6 +39,34 @@ def default_slices(categories: Sequence[str] = CATEGORIES) -> list[tuple[str, st
     return out
 
 
+MASK_BITS = 62
+
+
+def mask_col(k: int) -> str:
+    return f"slice_mask_{k}"
+
+
+def mask_cols(slices: Sequence) -> list[str]:
+    """Mask columns of as many slices: one for each ``MASK_BITS``."""
+    return [mask_col(k) for k in range(-(-len(slices) // MASK_BITS))]
+
+
+def with_slice_masks(df: DataFrame, slices: list[tuple[str, Column, bool]] | None = None) -> DataFrame:
+    """Add the slices that a row is in, as bits of 64-bit masks."""
+    slices = slices if slices is not None else default_slices()
+    out = {}
+    for k, name in enumerate(mask_cols(slices)):
+        bits = []
+        for i, (_, member, _) in enumerate(slices[k * MASK_BITS : (k + 1) * MASK_BITS]):
+            member = F.expr(member) if isinstance(member, str) else member
+            bits.append(F.when(member, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        mask = bits[0]
+        for b in bits[1:]:
+            mask = mask.bitwiseOR(b)
+        out[name] = mask
+    return df.withColumns(out)
+
+
 def _ratio(num: Column, den: Column, empty: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(empty)
 
@@ -83,32 +111,43 @@ def sliced_metrics(
 ) -> DataFrame:
     """Metrics for every (run, slice) in one aggregation.
 
-    ``scored`` needs ``true_label``, ``predicted_label``, ``label`` and
-    ``category``. Output: group columns, ``slice``, counts and the six ratios.
+    ``scored`` needs ``true_label``, ``predicted_label`` and either the slice
+    masks of :func:`with_slice_masks` or ``label`` and ``category``. Output:
+    group columns, ``slice``, counts and the six ratios.
     """
+    if slices is not None or mask_col(0) not in scored.columns:
+        scored = with_slice_masks(scored, slices)
+    slices = slices if slices is not None else default_slices()
+    masks = mask_cols(slices)
+    hist = scored.groupBy(*group_cols, *masks, F.col(truth_col).alias("_t"), F.col(pred_col).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    return metrics_from_histogram(hist, group_cols, slices)
+
+
+CELLS = {
+    "tn": "_t = 0 AND _p = 0",
+    "fp": "_t = 0 AND _p = 1",
+    "fn": "_t = 1 AND _p = 0",
+    "tp": "_t = 1 AND _p = 1",
+    "pos_other": "_t = 1 AND _p NOT IN (0, 1)",
+    "neg_other": "_t = 0 AND _p NOT IN (0, 1)",
+}
+
+
+def metrics_from_histogram(hist: DataFrame, group_cols: Sequence[str], slices: list[tuple[str, Column, bool]] | None = None) -> DataFrame:
+    """Metrics from rows (group columns, masks, ``_t``, ``_p``, ``_n``): per
+    combination of slices, truth and prediction how many answers there are."""
     slices = slices if slices is not None else default_slices()
-    t, p = truth_col, pred_col
     # SQL text per aggregate: one expression object per aggregate instead of
     # a tree of small Column calls (plan building stays cheap with 60 of them).
-    cells = {
-        "tn": f"{t} = 0 AND {p} = 0",
-        "fp": f"{t} = 0 AND {p} = 1",
-        "fn": f"{t} = 1 AND {p} = 0",
-        "tp": f"{t} = 1 AND {p} = 1",
-        "pos_other": f"{t} = 1 AND {p} NOT IN (0, 1)",
-        "neg_other": f"{t} = 0 AND {p} NOT IN (0, 1)",
-    }
     aggs = []
-    for i, (_, member, _) in enumerate(slices):
-        for cell, cond in cells.items():
-            if isinstance(member, str):
-                aggs.append(F.expr(f"count_if(({member}) AND {cond}) AS s{i}_{cell}"))
-            else:
-                aggs.append(F.count_if(member & F.expr(cond)).alias(f"s{i}_{cell}"))
-    wide = scored.groupBy(*group_cols).agg(*aggs)
+    for i in range(len(slices)):
+        inside = f"{mask_col(i // MASK_BITS)} & {1 << i % MASK_BITS}L <> 0"
+        for cell, cond in CELLS.items():
+            aggs.append(F.expr(f"coalesce(sum(CASE WHEN {inside} AND {cond} THEN _n END), 0L) AS s{i}_{cell}"))
+    wide = hist.groupBy(*group_cols).agg(*aggs)
     structs = []
     for i, (name, _, is_cat) in enumerate(slices):
-        fields = ", ".join(f"'{c}', s{i}_{c}" for c in cells)
+        fields = ", ".join(f"'{c}', s{i}_{c}" for c in CELLS)
         structs.append(f"named_struct('slice', {lit(name)}, 'is_category', {str(is_cat).lower()}, {fields})")
     long = wide.select(*group_cols, F.inline(F.expr("array(" + ", ".join(structs) + ")")))
     return metrics_from_counts(long)

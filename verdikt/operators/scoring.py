@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.functions.labels import label_number, predicted_label, strip_media_suffix
+from verdikt.functions.labels import coerced, label_number, predicted_label, strip_media_suffix
+from verdikt.operators.metrics import with_slice_masks
 
 
 def attach_truth(
@@ -29,6 +30,8 @@ def attach_truth(
     (run, video), so no video key can be hot on a shuffle join either.
     """
     t = truth.select("title", "category", "label", "true_label").where(F.col("true_label").isNotNull())
+    # Which slices a video is in depends on its truth row alone.
+    t = with_slice_masks(t)
     p = preds.withColumn("video_name", strip_media_suffix(F.col(video_col)))
     return p.join(t, p["video_name"] == t["title"], "inner")
 
@@ -38,9 +41,11 @@ def score_rows(joined: DataFrame, policy: str | Column = "wrong", value_col: str
 
     ``policy`` is 'wrong', 'negative' or a column holding one of them per row
     (e.g. joined from the run matrix). ``coerce`` (J7, a flag or a column)
-    reads fractions as numbers; without it they are invalid.
+    reads fractions as numbers; without it they are invalid. Rows of
+    :func:`verdikt.plans.evaluate.latest_labels` hold the number instead of
+    the text.
     """
-    num = label_number(F.col(value_col), coerce)
+    num = label_number(F.col(value_col), coerce) if value_col in joined.columns else coerced(F.col("number"), coerce)
     df = joined.withColumn("pred_number", num)
     pol = policy
     df = df.withColumn("predicted_label", predicted_label(F.col("pred_number"), F.col("true_label"), pol))

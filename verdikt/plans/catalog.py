@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +24,13 @@ from verdikt.operators.metrics import chain_shift, majority_vote, parse_quality,
 from verdikt.operators.prompts import TEMPLATE_ROWS, frame_parts, request_json, rules_text, second_pass_prompt, taxonomy_text, template_rows, with_prompt
 from verdikt.operators.scoring import scored_output
 from verdikt.plans import oracle as O
-from verdikt.plans.evaluate import evaluate_grid, evaluate_lines, extract_from_lines, latest_answers
+from verdikt.plans.evaluate import evaluate_grid, evaluate_lines, extract_from_lines, latest_labels
 from verdikt.plans.chain import first_pass_from_lines, two_pass_chain
 from verdikt.plans.fixtures import (
     FLAGSHIP_RUNS,
+    TimedScorer,
     FRAME_CHARS,
+    PASS_SHIFT,
     derived_answers,
     derived_chain_records,
     derived_log_lines,
@@ -37,13 +40,16 @@ from verdikt.plans.fixtures import (
     keyword_scorer,
     second_pass_scorer,
     table,
+    write_media_files,
 )
 from verdikt.session import checkpoint_path
 from verdikt.sources import sinks
+from verdikt.sources.media import walk_media
 from verdikt.sources.logs import parse_raw_lines, read_keyed_log, read_lines, run_from_path
 from verdikt.sources.tables import spread
 from verdikt.sources.truth import load_rules, read_ground_truth, read_trim_list
 from verdikt.streaming.ingest import ingest, quality_table, running_metrics, write_log_files
+from verdikt.streaming.running import ingest_running, metrics_after
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -338,8 +344,8 @@ def q_chain_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     p1 = extract_labels(_first_pass(spark, sf_dir), "greedy", "anomaly")
     p1 = p1.select("model", "video", label_int(label_number(F.col("raw_value"))).alias("label_1"))
     lines = derived_log_lines(derived_answers(spark, sf_dir, PASS2_RUNS, run_offset=5))
-    latest = latest_answers(extract_from_lines(lines, "greedy", "updated_anomaly"))
-    p2 = latest.select("model", "video", label_int(label_number(F.col("raw_value"))).alias("label_2"))
+    latest = latest_labels(extract_from_lines(lines, "greedy", "updated_anomaly"))
+    p2 = latest.select("model", "video", label_int(F.col("number")).alias("label_2"))
     return chain_shift(p1, p2, keys=("model", "video"))
 
 
@@ -364,8 +370,8 @@ def q_two_pass_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(cot + "\n\n"), F.coalesce("text", F.lit(""))).alias("prompt"),
     )
     rules, name = _rules_file(spark, sf_dir), uuid.uuid4().hex
-    two_pass_chain(req, first_pass_scorer(7), second_pass_scorer, name, rules, per_request=True)
-    out = two_pass_chain(req, first_pass_scorer(21), second_pass_scorer, name, rules, per_request=True)
+    two_pass_chain(req, first_pass_scorer(7), second_pass_scorer, name, rules)
+    out = two_pass_chain(req, first_pass_scorer(21), second_pass_scorer, name, rules)
     out = extract_labels(out, "greedy", "updated_anomaly")
     return out.select("model", "method", "video", label_int(label_number(F.col("raw_value"))).alias("label"), "error")
 
@@ -423,6 +429,30 @@ def _planned_and_there(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return table(spark, sf_dir, "documents").select(title), table(spark, sf_dir, "labels").select(title)
 
 
+@register(
+    "media_inventory",
+    """WITH f AS (
+  SELECT s_suppkey AS n, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'nation_' || s_nationkey || '/day ' || s_suppkey % 3 || '/' END AS folder
+  FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0),
+l AS (SELECT mode, folder || 'vid_' || n || '.mp4' AS rel_path, n AS length, 'vid_' || n AS title FROM f, (VALUES ('flat'), ('recursive')) m(mode)
+      WHERE mode = 'recursive' OR folder = ''),
+p AS (SELECT mode, 'vid_' || s_suppkey AS title FROM supplier, (VALUES ('flat'), ('recursive')) m(mode))
+SELECT p.mode, p.title, l.rel_path, l.length, l.title IS NOT NULL AS found FROM p LEFT JOIN l ON p.mode = l.mode AND p.title = l.title""",
+)
+def q_media_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + S8 + M5: a media folder is written, listed flat and with all its
+    folders (by tasks, contents unread), and held against the planned videos."""
+    root = scratch(spark, "media")
+    write_media_files(spark, sf_dir, root)
+    plan = table(spark, sf_dir, "supplier").select(F.concat(F.lit("vid_"), F.col("s_suppkey").cast("string")).alias("title"))
+    out = []
+    for mode in ("flat", "recursive"):
+        there = walk_media(spark, root, recursive=mode == "recursive").select(F.replace("name", F.lit(".mp4"), F.lit("")).alias("title"), "rel_path", "length")
+        status = MP.media_status(plan, there.select("title"))
+        out.append(status.join(there, "title", "left").select(F.lit(mode).alias("mode"), "title", "rel_path", "length", "found"))
+    return out[0].unionByName(out[1])
+
+
 # --- M1-M4 trim plan --------------------------------------------------------------
 
 
@@ -723,15 +753,15 @@ def q_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_replay_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS))
-    latest = latest_answers(extract_from_lines(lines, "greedy", "result"))
+    latest = latest_labels(extract_from_lines(lines, "greedy", "result"))
     vids = table(spark, sf_dir, "documents").select(F.concat(F.lit("vid_"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("video"))
     vids = vids.unionByName(
         table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".mp4")).alias("video"))
     )
     runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(me).alias("method")) for m, me, _ in FLAGSHIP_RUNS])
     req = vids.select("video", F.inline(runs))
-    r = replay(req, latest, value_cols=("raw_value",))
-    r = r.withColumn("label", label_int(label_number(F.col("raw_value"))))
+    r = replay(req, latest, value_cols=("number",))
+    r = r.withColumn("label", label_int(F.col("number")))
     return r.groupBy("model", "method").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("answered")).alias("answered"),
@@ -762,13 +792,73 @@ def q_batched_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "method", "video", "response", "error")
 
 
+# Every seventh video's call fails, whatever batch it is in.
+_FAILS = "doc_id % 7 = 3"
+
+
+@register(
+    "score_policies",
+    f"""WITH a AS (
+  SELECT policy, {_FAILS} AS failed,
+         CASE WHEN NOT {_FAILS} THEN length(coalesce(text, '')) % 2 END AS label
+  FROM documents, (VALUES ('null'), ('text')) p(policy))
+SELECT policy, count(*) AS requests, count(*) FILTER (WHERE failed) AS errors,
+       count(*) FILTER (WHERE NOT failed OR policy = 'text') AS responses, count(label) AS labels, CAST(sum(label) AS BIGINT) AS abnormal
+FROM a GROUP BY policy
+UNION ALL SELECT 'raise', count(*), count(*) FILTER (WHERE {_FAILS}), 0, 0, NULL FROM documents""",
+)
+def q_score_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I2 + I4: batches of ten with calls that fail, under each policy. Error
+    texts are answers that E1 finds no label in; under ``raise`` the job fails
+    and leaves nothing."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    req = d.select(
+        F.lit("m").alias("model"), F.lit("zeroshot").alias("method"), F.concat(F.lit("vid_"), F.col("doc_id").cast("string")).alias("video"),
+        F.concat(F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("prompt"),
+    )
+    out = []
+    for policy in ("null", "text"):
+        rows = extract_labels(score_batches(req, first_pass_scorer(7), on_error=policy, isolate=True), "greedy", "anomaly")
+        label = label_int(label_number(F.col("raw_value")))
+        counts = [F.count(F.lit(1)).alias("requests"), F.count("error").alias("errors"), F.count("response").alias("responses"), F.count(label).alias("labels"), F.sum(label).alias("abnormal")]
+        out.append(rows.agg(*counts).select(F.lit(policy).alias("policy"), "*"))
+    try:
+        done = score_batches(req, first_pass_scorer(7), on_error="raise").count() - req.count()
+    except PythonException:
+        done = 0
+    failing = F.count_if(F.col("doc_id") % 7 == 3).alias("errors")
+    out.append(d.agg(F.count(F.lit(1)).alias("requests"), failing).selectExpr("'raise' AS policy", "requests", "errors", f"{done}L AS responses", "0L AS labels", "CAST(NULL AS BIGINT) AS abnormal"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register(
+    "scored_latency",
+    """WITH r AS (
+  SELECT lang, (1 + length(coalesce(text, '')) % 997) AS ms, row_number() OVER w AS rn, count(*) OVER (PARTITION BY lang) AS cnt
+  FROM documents WINDOW w AS (PARTITION BY lang ORDER BY length(coalesce(text, '')) % 997))
+SELECT lang AS model, count(*) AS n, round(avg(ms / CAST(1024 AS DOUBLE)), 6) AS avg_s,
+       round(max(CASE WHEN rn = greatest(ceil(CAST(0.5 AS DOUBLE) * cnt), 1) THEN ms END) / CAST(1024 AS DOUBLE), 9) AS p50_s,
+       round(max(CASE WHEN rn = greatest(ceil(CAST(0.9 AS DOUBLE) * cnt), 1) THEN ms END) / CAST(1024 AS DOUBLE), 9) AS p90_s,
+       max(ms / CAST(1024 AS DOUBLE)) AS max_s
+FROM r GROUP BY lang""",
+)
+def q_scored_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I5 + I6: a scorer whose calls take as long as its clock says, timed a
+    request at a time, through to the latency table."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    req = d.select(F.col("lang").alias("model"), F.col("doc_id").cast("string").alias("video"), F.coalesce("text", F.lit("")).alias("prompt"))
+    timed = TimedScorer(997, 1 / 1024)
+    out = score_batches(req, timed, key_cols=["model", "video"], per_request=True, clock=timed.now)
+    return latency_stats(out, ["model"], resolution=1 / 1024)
+
+
 # --- T1 + T2: incremental ingest, then the same metrics as the batch flagship ----
 
 
 def _passes(spark: SparkSession, sf_dir: str, with_cut: bool = False) -> list[DataFrame]:
     """The derived log as it was written: first answers, then reruns."""
     lines = derived_log_lines(derived_answers(spark, sf_dir, FLAGSHIP_RUNS, with_cut=with_cut))
-    return [lines.where(F.col("line_order.pass") == p) for p in range(3 if with_cut else 2)]
+    return [lines.where(F.shiftright("line_order", PASS_SHIFT) == p) for p in range(3 if with_cut else 2)]
 
 
 @register("stream_metrics", ORACLE["sliced_metrics"])
@@ -783,6 +873,28 @@ def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_metrics(spark, f"{base}/table", derived_truth(spark, sf_dir))
 
 
+def _running_sql() -> str:
+    """Metrics of the first answers alone, then of all."""
+    after = [
+        "SELECT * FROM (WITH " + O.truth_cte() + ",\n" + O.answers_cte(FLAGSHIP_RUNS) + f",\nkept AS (SELECT * FROM answers{only}),\n"
+        + O.latest_cte(O.dialect_value_sql("greedy", "result"), source="kept") + ",\n" + O.scored_cte() + ",\n" + O.sliced_metrics_sql("scored") + ")"
+        for only in (" WHERE attempt = 0", "")
+    ]
+    return f"SELECT 0 AS after_drop, * FROM ({after[0]}) UNION ALL SELECT 1 AS after_drop, * FROM ({after[1]})"
+
+
+@register("stream_running", _running_sql())
+def q_stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 by retraction: metrics after the first answers were dropped and taken
+    in, and again after the reruns, which take the answers they replace out."""
+    base, truth, after = scratch(spark, "running"), derived_truth(spark, sf_dir), []
+    for i, p in enumerate(_passes(spark, sf_dir)):
+        write_log_files(p, f"{base}/drop")
+        ingest_running(spark, f"{base}/drop", f"{base}/table", f"{base}/checkpoint", truth)
+        after.append(metrics_after(spark, f"{base}/table", f"{base}/checkpoint").select(F.lit(i).alias("after_drop"), "*"))
+    return after[0].unionByName(after[1])
+
+
 @register(
     "stream_quality",
     "WITH " + O.answers_cte(FLAGSHIP_RUNS, with_cut=True) + ",\n"
@@ -888,17 +1000,29 @@ def q_sink_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "sink_records",
-    "WITH " + O.chain_records_cte(CHAIN_RUNS[:1]) + ",\n" + _LAST_RECORDS_SQL + ",\n"
-    "rec AS (SELECT video, " + O.chain_fields_sql() + " FROM last_records)\n"
-    "SELECT video, CAST(length(video_description) AS INTEGER) AS description_chars, reasoning, anomaly FROM rec",
+    "WITH " + O.chain_records_cte(CHAIN_RUNS) + ",\n" + _LAST_RECORDS_SQL + ",\n"
+    "rec AS (SELECT model, video, " + O.chain_fields_sql() + " FROM last_records)\n"
+    "SELECT model, video, video_description, reasoning, anomaly FROM rec",
 )
 def q_sink_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: chain records as CSV, read back."""
-    path, first = scratch(spark, "records"), CHAIN_RUNS[0][0]
-    recs = with_chain_record(_first_pass(spark, sf_dir).where(F.col("model") == first), "response")
-    rows = recs.select("video", F.length("record.video_description").alias("description_chars"), "record.reasoning", "record.anomaly")
+    """K7: the records of all chain runs as CSV, whole texts, read back."""
+    path = scratch(spark, "records")
+    recs = with_chain_record(_first_pass(spark, sf_dir), "response")
+    rows = recs.select("model", "video", "record.video_description", "record.reasoning", "record.anomaly")
     sinks.dump_records(rows, path, rows.columns)
-    return spark.read.schema(rows.schema).option("header", "true").csv(path).select(*rows.columns)
+    return sinks.read_records(spark, path, rows.schema)
+
+
+@register("sink_append", "WITH " + O.answers_cte(FLAGSHIP_RUNS, with_reruns=False) + "\nSELECT model, method, video, sha256(response) AS response_sha FROM answers")
+def q_sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 / K4 exactly once: every run appends its responses, then the whole job
+    is run again, as after a crash of the driver."""
+    path = scratch(spark, "appended")
+    rows = derived_answers(spark, sf_dir, FLAGSHIP_RUNS, with_reruns=False).select("model", "method", "video", "response")
+    for _ in range(2):
+        for model, method, _ in FLAGSHIP_RUNS:
+            sinks.append_once(rows.where((F.col("model") == model) & (F.col("method") == method)), path, f"{model}/{method}")
+    return sinks.read_appended(spark, path, rows.schema).select("model", "method", "video", F.sha2("response", 256).alias("response_sha"))
 
 
 @register("truth_file", "WITH " + O.truth_cte() + "\nSELECT title, category, label, true_label FROM truth")

@@ -74,16 +74,18 @@ def two_pass_chain(
     batch_size: int = 10,
     partitions: int | None = None,
     per_request: bool = False,
+    isolate: bool = True,
 ) -> DataFrame:
     """Run both passes; one row per request (model, method, video, response,
     error, latency_s).
 
     ``requests`` holds (model, method, video, prompt). ``name`` names the
-    chain's folder under the checkpoint directory, so a rerun resumes.
+    chain's folder under the checkpoint directory, so a rerun resumes. Calls
+    take ``batch_size`` requests; those of a failed call are tried one by one.
     """
     spark = requests.sparkSession
     base = checkpoint_path(spark, f"chain-{name}")
-    options = {"batch_size": batch_size, "partitions": partitions, "per_request": per_request}
+    options = {"batch_size": batch_size, "partitions": partitions, "per_request": per_request, "isolate": isolate}
     p1 = _score_into(requests.select(*KEYS, "prompt"), first_pass, f"{base}/pass1", KEYS, **options)
     second = second_pass_requests(p1, rules)
     p2 = _score_into(second, second_pass, f"{base}/pass2", [*KEYS, "prompt_id"], **options)

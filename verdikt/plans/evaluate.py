@@ -4,12 +4,13 @@ Plan shape (one job, two shuffles):
 
     text lines --from_json/explode--> (run, video, response)
                --dialect projection--> (run, video, raw_value, status)   [map side]
-               --max_by last-wins----> one row per (run, video)          [shuffle 1, partial agg]
-               --broadcast join------> + truth                           [no shuffle when truth is small]
-               --conditional counts--> one row per (run, slice)          [shuffle 2, partial agg]
+               --max_by last-wins----> one row per (run, video)          [shuffle 1, partial hash agg]
+               --broadcast join------> + truth and its slice mask        [no shuffle when truth is small]
+               --histogram-----------> (run, mask, truth, prediction)    [shuffle 2, partial hash agg]
+               --sums----------------> one row per (run, slice)          [a few rows]
 
 The response text never enters a shuffle: extraction runs before the
-deduplication, so only the extracted answer (a few bytes) is carried.
+deduplication, so only the answer's number and status code are carried.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.config import run_matrix
-from verdikt.functions.dialects import extract_labels
+from verdikt.functions.dialects import STATUSES, extract_labels
+from verdikt.functions.labels import answer_number
 from verdikt.operators.dedup import last_wins
-from verdikt.operators.metrics import sliced_metrics
 from verdikt.operators.scoring import attach_truth, score_rows
 from verdikt.sources.logs import parse_keyed_lines, parse_lines
 
@@ -30,7 +31,7 @@ RUN_COLS = ("model", "method")
 
 
 def extract_from_lines(
-    lines: DataFrame, dialect: str = "greedy", key: str = "result", run_cols: Sequence[str] = RUN_COLS
+    lines: DataFrame, dialect: str = "greedy", key: str = "result"
 ) -> DataFrame:
     """S1 + E*: keyed lines -> one row per (run, video, line) with the answer."""
     rows = parse_keyed_lines(lines)
@@ -43,6 +44,18 @@ def latest_answers(extracted: DataFrame, run_cols: Sequence[str] = RUN_COLS, ext
     return last_wins(ok, [*run_cols, "video"], "line_order", ["raw_value", "parse_status", *extra])
 
 
+def latest_labels(extracted: DataFrame, run_cols: Sequence[str] = RUN_COLS, run_values: Sequence[str] = ()) -> DataFrame:
+    """J1 for labels: (run, video, number, parse_status) of the last answer, at
+    fixed width all the way. ``run_values`` are columns that a run determines."""
+    ok = extracted.where(F.col("line_status") == F.lit("ok"))
+    known = F.array(*[F.lit(s) for s in STATUSES])
+    keys = [*run_cols, *run_values, "video"]
+    code = F.array_position(known, F.col("parse_status")).cast("byte")
+    rows = ok.select(*keys, "line_order", answer_number(F.col("raw_value")).alias("number"), code.alias("_code"))
+    last = last_wins(rows, keys, "line_order", ["number", "_code"])
+    return last.select(*keys, "number", F.element_at(known, F.col("_code").cast("int")).alias("parse_status"), "n_versions")
+
+
 def evaluate_lines(
     lines: DataFrame,
     truth: DataFrame,
@@ -53,7 +66,7 @@ def evaluate_lines(
     coerce: bool = True,
 ) -> DataFrame:
     """Scored rows for logs that share one dialect (one prompting method)."""
-    latest = latest_answers(extract_from_lines(lines, dialect, key, run_cols), run_cols)
+    latest = latest_labels(extract_from_lines(lines, dialect, key), run_cols)
     return score_rows(attach_truth(latest, truth), policy, coerce=coerce)
 
 
@@ -102,9 +115,5 @@ def unknown_runs(lines: DataFrame, matrix: DataFrame | None = None) -> DataFrame
 def evaluate_grid(lines: DataFrame, truth: DataFrame, matrix: DataFrame | None = None, unknown: str = "raise") -> DataFrame:
     """Scored rows of every (model, method) run in one job."""
     extracted = extract_grid(lines, matrix, unknown)
-    latest = latest_answers(extracted, RUN_COLS, extra=["policy", "coerce"])
+    latest = latest_labels(extracted, RUN_COLS, run_values=["policy", "coerce"])
     return score_rows(attach_truth(latest, truth), F.col("policy"), coerce=F.col("coerce"))
-
-
-def evaluate_metrics(scored: DataFrame, run_cols: Sequence[str] = RUN_COLS) -> DataFrame:
-    return sliced_metrics(scored, run_cols)

@@ -176,9 +176,9 @@ def derived_answers(
 def derived_log_lines(answers: DataFrame) -> DataFrame:
     """The JSONL lines a run would have appended, with their write order.
 
-    ``line_order`` = (attempt, doc_id): reruns are appended after the first
-    pass, documents in id order within a pass. The open model logs
-    id/pred objects.
+    ``line_order`` = attempt, then doc_id, in 64 bits: reruns are appended
+    after the first pass, documents in id order within a pass. The open model
+    logs id/pred objects.
     """
     lines = answers.selectExpr(
         "model",
@@ -186,12 +186,15 @@ def derived_log_lines(answers: DataFrame) -> DataFrame:
         "attempt",
         "CASE WHEN model = 'VILA' THEN to_json(named_struct('id', video, 'truth', CAST(NULL AS INT), 'pred', response))"
         " ELSE to_json(map(video, response)) END AS line",
-        "named_struct('pass', attempt, 'seq', doc_id) AS line_order",
+        f"shiftleft(CAST(attempt AS BIGINT), {PASS_SHIFT}) + doc_id AS line_order",
     )
     cut = "CASE WHEN attempt = 2 THEN substring(line, 1, length(line) - 1) ELSE line END AS line"
     return lines.selectExpr("model", "method", cut, "line_order")
 
 
+# A log line's order: the attempt above this many bits of document number.
+PASS_SHIFT = 48
+
 FLAGSHIP_RUNS = [("model_0", "zeroshot", "result"), ("model_1", "zeroshot", "result"), ("model_2", "zeroshot", "result")]
 
 
@@ -235,8 +238,9 @@ def document_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     number of frames, so nothing has to count them."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     d = d.selectExpr("concat('vid_', CAST(doc_id AS STRING)) AS video", "text", f"CAST(ceil(length(text) / {FRAME_CHARS}) AS BIGINT) AS n_frames")
-    frames = d.where("n_frames > 0").selectExpr("video", "text", "explode(sequence(0L, n_frames - 1)) AS frame_idx")
-    frames = frames.selectExpr("video", "frame_idx", f"encode(substring(text, CAST(frame_idx * {FRAME_CHARS} + 1 AS INT), {FRAME_CHARS}), 'UTF-8') AS payload")
+    # A text is cut once, in one pass, and isn't copied into its frames.
+    cut = f"posexplode(regexp_extract_all(text, '(?s).{{1,{FRAME_CHARS}}}', 0)) AS (frame_idx, slice)"
+    frames = d.selectExpr("video", cut).selectExpr("video", "CAST(frame_idx AS BIGINT) AS frame_idx", "encode(slice, 'UTF-8') AS payload")
     return frames, d.select("video", "n_frames")
 
 
@@ -278,3 +282,45 @@ def second_pass_scorer(pdf):
     unread = pdf["prompt"].str.contains('"video_description": "NAN"', regex=False)
     given = pdf["prompt"].str.contains('"anomaly": 1}', regex=False)
     return ['{"Rule_Reasoning": "none", "updated_anomaly": %d}' % (u or g) for u, g in zip(unread, given)]
+
+
+class TimedScorer:
+    """A scorer with a clock of its own, on which a call takes 1 + length %
+    ``modulus`` ticks of the text it is shown."""
+
+    def __init__(self, modulus: int, tick: float):
+        self.modulus, self.tick, self.ticks = modulus, tick, 0
+
+    def now(self) -> float:
+        return self.ticks * self.tick
+
+    def __call__(self, pdf):
+        self.ticks += sum(1 + len(t) % self.modulus for t in pdf["prompt"])
+        return ["{}"] * len(pdf)
+
+
+def write_media_files(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """A media folder derived from ``supplier``: a file for every supplier whose
+    number isn't a multiple of five, as many bytes long as the number; right in
+    the folder for even numbers, below nation and day for odd ones. Every
+    seventh is no video. Tasks write the files."""
+
+    def write(batches):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for path, n in zip(pdf["path"], pdf["n"]):
+                fs.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as f:
+                    f.write(b"x" * n)
+            yield pdf[["n"]]
+
+    s = spread(table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0"))
+    s.selectExpr(f"{MEDIA_PATH_SQL} AS path", "s_suppkey AS n").mapInPandas(write, "n long").agg({"n": "max"}).collect()
+
+
+MEDIA_PATH_SQL = (
+    "concat(CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE concat('nation_', s_nationkey, '/day ', s_suppkey % 3, '/') END,"
+    " 'vid_', s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '.txt' ELSE '.mp4' END)"
+)

@@ -83,12 +83,43 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rename_path(spark: SparkSession, old: str, new: str) -> bool:
+    """Rename a folder; False if it can't be, as when ``new`` is there."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    # A rename onto a folder that is there would move into it.
+    return not fs.exists(b) and fs.rename(a, b)
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small new file; False if it is there. Of several writers one wins."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(p, False)
+    except Exception:
+        if fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def child_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders right below ``path``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return sorted(s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.isDirectory())
 
 
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right below ``path`` (none if it isn't there)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile()) if fs.exists(p) else []
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

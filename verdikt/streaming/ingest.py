@@ -36,8 +36,8 @@ from verdikt.functions.dialects import extract_labels
 from verdikt.operators.dedup import last_wins
 from verdikt.operators.metrics import sliced_metrics
 from verdikt.operators.scoring import attach_truth, score_rows
-from verdikt.session import child_folders, delete_path, path_exists
-from verdikt.sources.logs import parse_keyed_lines
+from verdikt.session import child_folders, delete_path, path_exists, rename_path
+from verdikt.sources.logs import commit_of, parse_keyed_lines
 
 KEYS = ["model", "method", "video"]
 VALUES = ["raw_value", "parse_status", "line_order"]
@@ -80,6 +80,7 @@ def merge_batch(batch: DataFrame, epoch: str, table_path: str, dialect: str, key
     batch = batch.select(
         "model", "method", "line",
         F.struct(
+            commit_of(F.col("file_order.path")).alias("commit"),
             F.col("file_order.mtime").alias("mtime"),
             F.col("file_order.path").alias("path"),
             F.col("file_order.block").alias("block"),
@@ -161,10 +162,18 @@ def ingest(
     return q
 
 
-def write_log_files(lines: DataFrame, folder: str, mode: str = "append") -> None:
-    """Drop log lines into ``folder`` as closed text files, laid out by run,
-    from the partitions the lines are in: no shuffle and no sort, since each
-    (run, video) occurs once in what is written by one call. Later calls write
-    later files, which win."""
-    out = lines.select("model", "method", F.col("line").alias("value"))
-    out.write.mode(mode).partitionBy("model", "method").text(folder)
+def write_log_files(lines: DataFrame, folder: str) -> str:
+    """Publish log lines as the next commit of ``folder``: closed text files below
+    ``commit=<n>``, laid out by run, from the partitions the lines are in (no
+    shuffle and no sort, since each (run, video) occurs once in what is written
+    by one call). Later commits win, whatever their files' times. Files are
+    staged under a hidden name and renamed when all are written, so readers
+    see a commit whole; a writer that finds its number taken takes the next."""
+    spark = lines.sparkSession
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    lines.select("model", "method", F.col("line").alias("value")).write.partitionBy("model", "method").text(staged)
+    while True:
+        taken = [int(n.partition("=")[2]) for n in child_folders(spark, folder) if n.startswith("commit=")]
+        commit = f"{folder}/commit={max(taken, default=-1) + 1:09d}"
+        if rename_path(spark, staged, commit):
+            return commit

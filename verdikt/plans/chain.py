@@ -6,6 +6,9 @@ written to the shared checkpoint folder (``spark.checkpoint.dir``): model
 calls are the expensive, non-repeatable part, so the lineage is cut there
 and a lost executor never re-runs a finished pass.
 
+Passes are kept in resume stores (:mod:`verdikt.plans.resume`): a rerun joins
+its requests with the stored answers where they lie, without shuffling them.
+
 A rerun of the same chain scores what has no answer yet: requests never tried,
 requests whose call failed, and second-pass requests whose prompt has changed
 because the first pass has a new answer. A request that still has no first
@@ -18,36 +21,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions.dialects import with_chain_record
 from verdikt.operators.dedup import last_wins
-from verdikt.operators.inference import Scorer, pending, score_batches
+from verdikt.operators.inference import Scorer, score_batches
 from verdikt.operators.prompts import rules_text, second_pass_prompt
-from verdikt.session import checkpoint_path, path_exists
+from verdikt.plans.resume import ResumeStore
+from verdikt.session import checkpoint_path
 from verdikt.sources.logs import parse_keyed_lines
 
 KEYS = ["model", "method", "video"]
-ANSWER = ["response", "error", "latency_s"]
-
-
-def _answers(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """One row per key of a pass table: the last answer, or the last failure
-    where there is no answer."""
-    order = F.struct(F.col("error").isNull().alias("answered"), F.col("scored_at").alias("at"))
-    stored = spark.read.parquet(path).withColumn("_order", order)
-    return last_wins(stored, keys, "_order", ANSWER).drop("n_versions")
 
 
 def _score_into(requests: DataFrame, scorer: Scorer, path: str, keys: Sequence[str], **options) -> DataFrame:
-    """Score the requests that ``path`` does not answer yet and append them;
-    one row per key."""
-    spark = requests.sparkSession
-    todo = pending(requests, _answers(spark, path, keys), keys) if path_exists(spark, path) else requests
-    scored = score_batches(todo, scorer, key_cols=keys, **options)
-    scored.drop("batch_id").write.mode("append").parquet(path)
-    return _answers(spark, path, keys)
+    """Score the requests that the store at ``path`` doesn't answer yet and add
+    them; one row per key."""
+    store = ResumeStore(requests.sparkSession, path, keys)
+    store.add(score_batches(store.pending(requests), scorer, key_cols=keys, **options), F.col("scored_at"))
+    return store.answers()
 
 
 def first_pass_from_lines(lines: DataFrame) -> DataFrame:

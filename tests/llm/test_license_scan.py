@@ -105,3 +105,36 @@ def test_awkward_rows_and_empty_table(spark):
     for r in got:
         assert [tuple(f) for f in r["finds"]] == SCAN.scan((r["text"] or "").encode())
     assert frame(spark, []).withColumn("finds", s.finds_udf()("text")).count() == 0
+
+
+@pytest.mark.parametrize(("name", "less", "copies"), [("BSD conditions", 2, 2), ("MIT permission", 4, 6), ("Apache-2.0 header", 2, 6), ("ISC permission", 5, 9), ("GPL-3.0 header", 1, 3)])
+def test_copies_side_by_side_that_lack_their_last_words(name, less, copies):
+    words = s.words_of(s.TEMPLATES[name].encode())
+    copy = words[: len(words) - less]
+    found = [f for f in s.Scanner(s.TEMPLATES).scan(b" ".join(copy * copies)) if f[0] == name]
+    assert len(found) == copies
+    for i, (_, start, end, _) in enumerate(found):  # each is its copy, but for words at the edges
+        own = min(end, (i + 1) * len(copy)) - max(start, i * len(copy))
+        assert own >= 0.85 * len(copy) and end - start - own <= less
+
+
+def test_disjoint_finds_against_every_choice():
+    import itertools
+    import random
+
+    r = random.Random(7)
+    for _ in range(300):
+        found = []
+        for i in range(r.randint(0, 7)):
+            a = r.randint(0, 20)
+            n = r.randint(1, 8)
+            found.append((f"t{i}", a, a + n, round(r.random(), 2), r.randint(1, n)))
+        got = s.disjoint(found)
+        assert all(x[2] <= y[1] for x, y in zip(got, got[1:]))
+        best = max(
+            (sum(f[4] for f in c), -sum(f[2] - f[1] for f in c))
+            for k in range(len(found) + 1)
+            for c in itertools.combinations(found, k)
+            if all(x[2] <= y[1] or y[2] <= x[1] for x, y in itertools.combinations(c, 2))
+        )
+        assert (sum(f[4] for f in got), -sum(f[2] - f[1] for f in got)) == best

@@ -10,12 +10,13 @@ Coverage is the share of the template's words that are matched.
 A text of any length is scanned in windows of 2.5 template lengths, one
 template length apart, so every place of up to 1.5 template lengths lies whole
 in some window. A window is aligned again on both sides of a find. Where it gives
-less than the whole template, it is also aligned from each of its words that the
-template has, 1.5 template lengths on, so that copies side by side, whose words
+less than the whole template, it is also aligned from each word that the coverage lets a
+find start with, 1.5 template lengths on, so that copies side by side, whose words
 are unique nowhere in the window, don't hide each other. Windows (and whole
 texts) are skipped only where too few words of the template occur to reach
-``COVERAGE``, which is exact. Of overlapping finds the one that matches the most
-words stays.
+``COVERAGE``, which is exact. An alignment may end in words of the next copy; so
+each of its stretches that reaches the coverage by itself is a find as well, and
+the disjoint finds that match the most words together stay.
 
 Templates are a parameter; the default ones are short notices and the
 customary notice paragraphs of well-known licenses.
@@ -28,8 +29,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -140,6 +142,40 @@ def densest(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
     return pairs[best[0] : best[1]]
 
 
+def stretches(pairs: list[tuple[int, int]], least: float) -> list[list[tuple[int, int]]]:
+    """The alignment, and each stretch of it between places where the text runs
+    ahead of the template, that has at least ``least`` pairs: what comes after
+    such a place may belong to the next copy."""
+    cut = [0, *(k for k in range(1, len(pairs)) if pairs[k][0] - pairs[k - 1][0] > pairs[k][1] - pairs[k - 1][1] + 1), len(pairs)]
+    return [pairs[a:b] for x, a in enumerate(cut) for b in cut[x + 1 :] if b - a >= least]
+
+
+def disjoint(found: list[tuple]) -> list[tuple]:
+    """Of (name, start, end, coverage, matches) disjoint finds that match the most
+    words together; of equals those that cover the fewest words, then the most
+    of their templates, then the first by place and name."""
+    found = sorted(found, key=lambda f: (f[2], -f[1], f[0]))
+    ends = [f[2] for f in found]
+    best: list[tuple] = [(0, 0, 0.0)]  # by the number of finds that may be used
+    taken: list[int] = [-1]
+    for k, f in enumerate(found):
+        before = bisect_right(ends, f[1], 0, k)
+        words, length, share = best[before]
+        with_f = words + f[4], length - (f[2] - f[1]), share + f[3]
+        if with_f > best[k]:
+            best.append(with_f)
+            taken.append(k)
+        else:
+            best.append(best[k])
+            taken.append(taken[k])
+    out = []
+    k = taken[-1]
+    while k >= 0:
+        out.append(found[k])
+        k = taken[bisect_right(ends, found[k][1], 0, k)]
+    return out[::-1]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
@@ -157,18 +193,13 @@ class Scanner:
         for (name, template), count in zip(self.templates, self.counts):
             if sum(n for w, n in count.items() if w in present) >= self.coverage * len(template):
                 found += [(name, *f, round(f[2] * len(template))) for f in self.finds(words, template, count)]
-        # Of overlapping finds the one that matches the most words stays, of equals the
-        # one with the most coverage, then the shortest, the first, the first by name.
-        kept: list[tuple] = []
-        for f in sorted(found, key=lambda f: (-f[4], -f[3], f[2] - f[1], f[1], f[0])):
-            if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
-                kept.append(f)
-        return sorted((f[:4] for f in kept), key=lambda f: f[1])
+        return [f[:4] for f in disjoint(found)]
 
     def finds(self, words: list[bytes], template: list[bytes], count: Counter) -> list[tuple[int, int, float]]:
         size = len(template)
         width, span, least = -(-5 * size // 2), -(-3 * size // 2), self.coverage * size
         hits = [i for i, w in enumerate(words) if w in count]
+        openers = frozenset(template[: size - math.ceil(least) + 1])
         out: set[tuple[int, int, float]] = set()
 
         def enough(start: int, end: int) -> bool:
@@ -179,7 +210,8 @@ class Scanner:
         def best(start: int, end: int) -> list[tuple[int, int]]:
             pairs = densest(align(words, start, end, template, 0, size), span)
             if pairs and len(pairs) >= least:
-                out.add((pairs[0][0], pairs[-1][0] + 1, len(pairs) / size))
+                for p in stretches(pairs, least):
+                    out.add((p[0][0], p[-1][0] + 1, len(p) / size))
                 return pairs
             return []
 
@@ -190,8 +222,9 @@ class Scanner:
                 continue
             pairs = best(start, end)
             if len(pairs) < size:
+                # A find starts with one of the words that the coverage lets it start with.
                 for h in hits[bisect_left(hits, start) : bisect_left(hits, end)]:
-                    if enough(h, min(h + span, end)):
+                    if words[h] in openers and enough(h, min(h + span, end)):
                         best(h, min(h + span, end))
             if pairs:
                 rest += [(start, pairs[0][0]), (pairs[-1][0] + 1, end)]

@@ -95,3 +95,27 @@ def test_latency_quantiles_on_the_grid(spark):
 def test_failed_calls_are_pending(spark):
     log = spark.createDataFrame([("m", "zeroshot", "v0.mp4", None, "TimeoutError"), ("m", "zeroshot", "v1.mp4", "x", None)], "model string, method string, video string, response string, error string")
     assert [r.video for r in pending(_requests(spark, 2), log).collect()] == ["v0.mp4"]
+
+
+def test_shared_rate_of_skewed_tasks(spark):
+    """One task has nearly all requests: it gets the rate of those that are done."""
+    from verdikt.operators.inference import score_batches
+
+    rows = [("hot" if i % 20 else f"cold{i}", "z", f"v{i}", "x") for i in range(240)]
+    req = spark.createDataFrame(rows, "model string, method string, video string, prompt string")
+    # Timed by the calls themselves: what Spark needs to start is no part of the rate.
+    out = score_batches(req, lambda pdf: ["y"] * len(pdf), batch_size=1, partitions=4, max_rps=20.0, deal_by=["model"]).collect()
+    at = sorted(r.scored_at for r in out)
+    assert len(out) == 240
+    # Within 20 %; a quarter of the rate, which is what the task had before, would take 46 s.
+    assert 11.95 * 0.8 <= at[-1] - at[0] <= 11.95 * 1.25
+    # No second has more than the rate allows, but for each task's first call.
+    assert all(sum(a <= t < a + 1 for t in at) <= 24 for a in at)
+
+
+def test_shared_rate_with_empty_tasks(spark):
+    from verdikt.operators.inference import score_batches
+
+    req = spark.createDataFrame([("m", "z", "v", "x")], "model string, method string, video string, prompt string")
+    assert score_batches(req, lambda pdf: ["y"] * len(pdf), partitions=5, max_rps=100.0).count() == 1
+    assert score_batches(req.limit(0), lambda pdf: ["y"] * len(pdf), partitions=3, max_rps=100.0).count() == 0

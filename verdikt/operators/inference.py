@@ -14,10 +14,13 @@ gives the resume set after a crash.
 
 from __future__ import annotations
 
+import math
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,38 @@ Scorer = Callable[[pd.DataFrame], Sequence[str | None]]
 FAILURE_POLICIES = ("null", "raise", "text")
 
 
+class SharedRate:
+    """A task's share of a rate that all tasks of a barrier stage keep to.
+
+    A thread tells the other tasks, about once a second, whether this one still
+    has requests, and sets the share from their answers; calls go on meanwhile.
+    """
+
+    def __init__(self, max_rps: float):
+        self.context, self.max_rps = BarrierTaskContext.get(), max_rps
+        self.share = max_rps / len(self.context.getTaskInfos())
+        self.last, self.sent = -math.inf, 0  # the last call, and how many requests it sent
+        self.busy = True
+        self.thread = threading.Thread(target=self._gather, daemon=True)
+        self.thread.start()
+
+    def _gather(self) -> None:
+        while n := self.context.allGather("1" if self.busy else "0").count("1"):
+            self.share = self.max_rps / n
+            time.sleep(0.05)
+
+    def wait(self, n: int) -> None:
+        """Until a call of ``n`` requests may start."""
+        while (left := self.last + self.sent / self.share - time.monotonic()) > 0:
+            time.sleep(min(left, 0.1))  # the share may have grown by then
+        self.last, self.sent = time.monotonic(), n
+
+    def leave(self) -> None:
+        """No more requests: keep the others company until they are done."""
+        self.busy = False
+        self.thread.join()
+
+
 def score_batches(
     requests: DataFrame,
     scorer: Scorer,
@@ -40,6 +75,7 @@ def score_batches(
     on_error: str = "null",
     per_request: bool = False,
     isolate: bool = False,
+    deal_by: Sequence[str] = (),
     clock: Callable[[], float] = time.perf_counter,
 ) -> DataFrame:
     """Score requests in batches on the executors.
@@ -49,9 +85,14 @@ def score_batches(
     ``batch_size`` is the number of requests handed to one scorer call
     (Arrow batches are cut to that size inside the task).
 
-    ``max_rps`` (I3) bounds the requests per second of the whole job: each of
-    the ``partitions`` tasks, which must then be given, takes its share and
-    waits before a call that would exceed it.
+    ``max_rps`` (I3) bounds the requests per second of the whole job. The
+    ``partitions`` tasks, which must then be given and have a slot each, run as
+    one barrier stage: about once a second they tell each other who still has
+    requests and share the rate among those, so what a finished task would have
+    had goes to the others.
+
+    ``deal_by`` names columns whose values stay together in a task (e.g. the
+    model); else requests are dealt evenly.
 
     ``on_error`` (I4) says what a scorer exception does to its batch: ``null``
     leaves a NULL ``response`` and the ``error``; ``text`` puts the error's
@@ -69,10 +110,9 @@ def score_batches(
         raise ValueError("max_rps is shared out over the tasks: give partitions")
     df = requests.select(*key_cols, text_col)
     if partitions:
-        df = df.repartition(partitions)
+        df = df.repartition(partitions, *deal_by)
     keys = list(key_cols)
     step = 1 if per_request else batch_size
-    task_rps = max_rps / partitions if max_rps else None
 
     def call(pdf: pd.DataFrame) -> tuple[list, str | None, float]:
         """Answers, error and time of one call; a failed call has no answers."""
@@ -85,7 +125,7 @@ def score_batches(
             return [], f"{type(e).__name__}: {e}", clock() - t0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free = 0.0  # when the next call may start
+        rate = SharedRate(max_rps) if max_rps else None
         number = 0
         for whole in batches:
             # One frame out for each that came in; calls fill its columns.
@@ -94,10 +134,8 @@ def score_batches(
             while todo:
                 a, b = todo.pop()
                 n = b - a
-                if task_rps:
-                    now = time.monotonic()
-                    time.sleep(max(0.0, free - now))
-                    free = max(free, now) + n / task_rps
+                if rate:
+                    rate.wait(n)
                 texts, err, took = call(whole.iloc[a:b])
                 if err is not None and isolate and n > 1:
                     todo += [(k, k + 1) for k in range(a, b)][::-1]
@@ -109,8 +147,10 @@ def score_batches(
                 out["scored_at"] += [time.time()] * n
                 number += 1
             yield pd.DataFrame({k: whole[k].to_numpy() for k in keys} | out)
+        if rate:
+            rate.leave()
 
-    return df.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", " + SCORED_COLS)
+    return df.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", " + SCORED_COLS, barrier=bool(max_rps))
 
 
 def pending(requests: DataFrame, log: DataFrame, keys: Sequence[str] = ("model", "method", "video")) -> DataFrame:

@@ -39,7 +39,8 @@ def requests(spark, n):
 def calls(spark, name, which, where="true"):
     """Rows that each run of a pass stored, oldest first."""
     path = checkpoint_path(spark, f"chain-{name}/{which}")
-    return [spark.read.parquet(f"{path}/raw-{run}").where(where).count() for run in ResumeStore(spark, path, KEYS).runs()]
+    rows = spark.read.schema("video string, error string")  # a run without requests has no files
+    return [rows.parquet(f"{path}/rows-{run}").where(where).count() for run in ResumeStore(spark, path, KEYS).runs()]
 
 
 def labels(out):

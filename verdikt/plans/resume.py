@@ -1,8 +1,8 @@
 """Answers of a scoring pass that survive a crash and are resumed without a
 shuffle of what is stored (I8, S9).
 
-A store is a folder of runs. A run writes its answers once, as a table bucketed
-by a digest of the keys, one row a key; failed calls go beside them. A key is
+A store is a folder of runs. A run writes its answers and failed calls once, as
+a table bucketed by a digest of the keys, one row a key. A key is
 scored again only while it has no answer, so answers of different runs never
 share a key: stored answers are their union, and nothing has to be folded.
 
@@ -50,12 +50,12 @@ class ResumeStore:
         may be constant, which Spark would take out of a partitioning.)"""
         return df.withColumn(DIGEST, F.sha2(F.to_json(F.array(*self.keys)), 256))
 
-    def _table(self, run: str, kind: str) -> DataFrame:
+    def _table(self, run: str) -> DataFrame:
         """A run's table as it lies. The catalog entry only tells Spark about the
         buckets and is dropped once the frame knows them; files stay."""
         name = f"resume_{uuid.uuid4().hex}"
         self.spark.sql(
-            f"CREATE TABLE {name} ({self._schema()}) USING parquet CLUSTERED BY ({DIGEST}) INTO {self.buckets} BUCKETS LOCATION {lit(f'{self.path}/{kind}-{run}')}"
+            f"CREATE TABLE {name} ({self._schema()}) USING parquet CLUSTERED BY ({DIGEST}) INTO {self.buckets} BUCKETS LOCATION {lit(f'{self.path}/rows-{run}')}"
         )
         df = self.spark.table(name)
         df.schema  # noqa: B018  (resolved before the entry goes)
@@ -70,7 +70,7 @@ class ResumeStore:
         """The requests that no run has answered."""
         todo = self._digested(requests)
         for run in self.runs():
-            todo = todo.join(self._table(run, "answers").select(DIGEST).hint("shuffle_hash"), DIGEST, "left_anti")
+            todo = todo.join(self._table(run).where("error IS NULL").select(DIGEST).hint("shuffle_hash"), DIGEST, "left_anti")
         return todo.drop(DIGEST)
 
     def add(self, scored: DataFrame, order: Column) -> None:
@@ -79,14 +79,10 @@ class ResumeStore:
         run = uuid.uuid4().hex
         best = F.struct(F.col("error").isNull().alias("answered"), order.alias("at"))
         rows = last_wins(scored.withColumn("_order", best), self.keys, "_order", ANSWER).select(*self.keys, *ANSWER)
-        # One pass over the scorer: both kinds are written from a table of the run.
-        rows.write.parquet(f"{self.path}/raw-{run}")
-        raw = self.spark.read.schema(rows.schema).parquet(f"{self.path}/raw-{run}")
-        for kind, kept in (("answers", F.col("error").isNull()), ("failed", F.col("error").isNotNull())):
-            name = f"resume_{uuid.uuid4().hex}"
-            dealt = self._digested(raw.where(kept)).select(DIGEST, *self.keys, *ANSWER).repartition(self.buckets, DIGEST)
-            dealt.write.bucketBy(self.buckets, DIGEST).option("path", f"{self.path}/{kind}-{run}").saveAsTable(name)
-            self.spark.sql(f"DROP TABLE {name}")
+        dealt = self._digested(rows).select(DIGEST, *self.keys, *ANSWER).repartition(self.buckets, DIGEST)
+        name = f"resume_{uuid.uuid4().hex}"
+        dealt.write.bucketBy(self.buckets, DIGEST).option("path", f"{self.path}/rows-{run}").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
         create_file(self.spark, f"{self.path}/done/{len(self.runs()):09d}-{run}", "")
 
     def answers(self) -> DataFrame:
@@ -95,7 +91,7 @@ class ResumeStore:
         runs = self.runs()
         if not runs:
             return self.spark.createDataFrame([], self._schema()).drop(DIGEST)
-        out = self._table(runs[-1], "failed")
+        out = self._table(runs[-1]).where("error IS NOT NULL")
         for run in runs:
-            out = out.unionByName(self._table(run, "answers"))
+            out = out.unionByName(self._table(run).where("error IS NULL"))
         return out.drop(DIGEST)

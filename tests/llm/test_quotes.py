@@ -19,6 +19,18 @@ def test_levels_attributions_and_wrapping():
     assert q.parse("") == ("", [], []) and q.passages("ok. no") == q.passages("OK no")
 
 
+def test_introductions_of_any_length():
+    for n in (1, 30, 300, 30000):
+        long = "On Mon, 3. May, Dr. A. Smith" + " of the north office" * n + " wrote:"
+        assert q.parse(f"{long}\n> Words that were quoted here.\nMine stand here.")[0] == "Mine stand here."
+        body, said, quoted = q.parse(f"I agree with that. {long}\n> Words that were quoted here.\n> Nobody saw this. {long}\n>> Even deeper words here.")
+        assert body == "I agree with that." and [w for _, w in said] == [4]
+        assert [(v, w) for v, _, w in quoted] == [(1, 5), (1, 3), (2, 4)]
+    # No introduction: nothing quoted follows, or the verb doesn't end the line.
+    for text in ("Ann wrote:\nnothing quoted", "Ann wrote: a lot\n> Words that were quoted here."):
+        assert q.parse(text)[0] == text.split("\n>")[0]
+
+
 def conversation(seed, n, conv):
     """Messages of random trees that quote their parent, whole or in part, at
     nested levels; (rows, parents)."""

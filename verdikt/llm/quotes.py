@@ -4,8 +4,8 @@ Lines of a message that start with ``>`` are quotes; the number of markers
 (``>>`` or ``> >``) is their level. Lines of one level that follow each
 other are unwrapped and cut into passages (sentences); a passage is normalised
 (letters and digits, lower case) and hashed. A message's own text, without
-quotes and without the attribution lines that introduce them, is cut the same
-way. Quoted passages are joined to the earliest message of the conversation
+quotes and without the sentences that introduce them ("... wrote:" at the end of
+the line before a quote, whatever their length), is cut the same way. Quoted passages are joined to the earliest message of the conversation
 that holds the passage as its own text and comes before the quoting one.
 
 A message replies to the original that its outermost found level quotes most
@@ -41,7 +41,9 @@ from verdikt.llm.common import arrow_udf, col, prepare, salted_lookup, saved, ta
 MIN_WORDS = 3
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-ATTRIBUTION = re.compile(r"[^\n]{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*", re.I)
+INTRODUCED = re.compile(r"\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*\Z", re.I)
+# The end of a sentence: four letters, none a capital, tell it from initials, titles and ordinals.
+ENDED = re.compile(r"(?<=[^\W\d_A-Z]{4})[.!?…]\s+")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -55,6 +57,16 @@ def passages(*paragraphs: str) -> list[tuple[int, int]]:
     return [(xxhash.xxh64_intdigest(" ".join(w), 7) - (1 << 63), len(w)) for w in long]
 
 
+def before_introduction(line: str) -> str | None:
+    """What stands before the introduction of a quotation that ``line`` ends
+    with (its last sentence, of any length); None if it ends with none."""
+    m = INTRODUCED.search(line)
+    if not m:
+        return None
+    end = max((s.end() for s in ENDED.finditer(line, 0, m.start())), default=0)
+    return line[:end].rstrip()
+
+
 def parse(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]:
     """(own text, own passages, quoted passages with their level)."""
     own: list[str] = []
@@ -62,9 +74,8 @@ def parse(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int, i
     for line in text.split("\n"):
         m = MARK.fullmatch(line)
         level, rest = (m[1].count(">"), m[2]) if m else (0, line)
-        if level and runs and not runs[-1][0] and ATTRIBUTION.fullmatch(runs[-1][1][-1]):
-            own.pop()
-            runs[-1][1].pop()
+        if level and runs and not runs[-1][0] and (left := before_introduction(runs[-1][1][-1])) is not None:
+            own[-1:] = runs[-1][1][-1:] = [left] if left else []
         if not level:
             own.append(line)
         if not runs or runs[-1][0] != level or not rest.strip():
@@ -73,8 +84,8 @@ def parse(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int, i
     # An attribution quoted one level up introduces a deeper quote.
     paragraphs: dict[int, list[str]] = {}
     for k, (level, lines) in enumerate(runs):
-        if level and lines and k + 1 < len(runs) and runs[k + 1][0] > level and ATTRIBUTION.fullmatch(lines[-1]):
-            lines = lines[:-1]
+        if level and lines and k + 1 < len(runs) and runs[k + 1][0] > level and (left := before_introduction(lines[-1])) is not None:
+            lines = [*lines[:-1], left]
         paragraphs.setdefault(level, []).append(" ".join(lines))
     said = passages(*paragraphs.pop(0, []))
     quoted = [(level, *p) for level, parts in paragraphs.items() for p in passages(*parts)]

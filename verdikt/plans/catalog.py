@@ -44,6 +44,7 @@ from verdikt.plans.fixtures import (
 )
 from verdikt.session import checkpoint_path
 from verdikt.sources import sinks
+from verdikt.sources.frames import PART, SEGMENT, request_parts, store_frames, stride_choice
 from verdikt.sources.media import walk_media
 from verdikt.sources.logs import parse_raw_lines, read_keyed_log, read_lines, run_from_path
 from verdikt.sources.tables import spread
@@ -640,12 +641,12 @@ _BLOCKS_SQL = (
 )
 
 
-def _packed_sql(source: str, parts: str, system: str | None = None) -> str:
+def _packed_sql(source: str, parts: str, system: str | None = None, numbers: str = "count(*) AS n_frames", by: str = "") -> str:
     return (
         "WITH " + O.truth_cte() + ",\n" + _GUIDE_ROWS_SQL + ",\n" + _FRAMES_SQL + f",\nc AS ({source}),\n"
         "m AS (SELECT *, " + _method_sql("CAST(substring(video, 5) AS BIGINT)") + " AS method FROM c),\n"
         "q AS (SELECT *, " + _prompt_sql("method", "'frames'") + " AS prompt FROM m)\n"
-        "SELECT video, method, count(*) AS n_frames, " + _request_sql(parts, system) + " AS request FROM q GROUP BY video, method, prompt"
+        f"SELECT video, method, {numbers}, " + _request_sql(parts, system) + f" AS request FROM q GROUP BY video, method, prompt{by}"
     )
 
 
@@ -667,6 +668,25 @@ def q_request_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed_requests(spark, sf_dir, frames.join(chosen, ["video", "frame_idx"]), "blocks", SYSTEM_TEXT)
 
 
+@register(
+    "request_parts",
+    _packed_sql(
+        "SELECT video, n_frames AS n, frame_idx, frame_idx // 50 AS sample_rank, payload FROM frames WHERE frame_idx % 50 = 0", _IMAGES_SQL,
+        numbers="min(sample_rank) AS first_rank, count(*) AS n_frames, CAST(ceil(max(n) / 50.0) AS BIGINT) AS n_request",
+        by=f", frame_idx // {SEGMENT}, sample_rank // {PART}",
+    ),
+)
+def q_request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 + M10 + P7 for videos of any length: frames stored by video and
+    segment, every 50th in numbered parts, without a payload in a shuffle."""
+    frames, inventory = document_frames(spark, sf_dir)
+    parts = request_parts(store_frames(frames, scratch(spark, "frames")), stride_choice(inventory))
+    parts = parts.withColumn("method", _method(_doc_number())).withColumn("modality", F.lit("frames"))
+    parts = with_prompt(parts, guide=_guide(spark, sf_dir))
+    images = F.transform("frames", MP.base64_text)
+    return parts.select("video", "method", "first_rank", "n_frames", "n_request", request_json(F.lit("vendor-model"), F.col("prompt"), images).alias("request"))
+
+
 # --- I6 latency statistics --------------------------------------------------------
 
 

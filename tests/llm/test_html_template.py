@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from verdikt.llm import html_template as h
@@ -122,3 +125,39 @@ def test_awkward_rows_and_empty_table(spark):
     got = sorted(((r["_row"]["page_id"] or 0, len(r["text"])) for r in x.collect()))
     assert got == [(0, 0), (1, 0), (1, 0), (2, 1), (3, 549_999), (4, 4)] and x.select("_row.*").columns == df.columns
     assert h.extract_text(plain(spark, [])).count() == 0
+
+
+def test_deep_nesting_takes_linear_time_and_bounded_paths():
+    n = 30_000
+    page = "<html><body>" + '<div class="story">' * n + "deep text" + "</div>" * n + "<div>after</div>" + "</ul>" * n
+    began = time.monotonic()
+    tokens = h.page_tokens(page)
+    assert h.main_text(page, "/html/body", set()) == "deep text\n\nafter"
+    assert h.main_text("<div>" * n + "<tr>a</tr></li>" * n, None, set()).count("a") == n
+    assert time.monotonic() - began < 30
+    # Containers are told apart, two pages alike name them alike, and all lie in those above.
+    assert len(tokens) == n + 5 and max(map(len, tokens)) <= h.LONG_PATH + 40
+    again = h.page_tokens(page.replace("deep text", "other words"))
+    assert len(tokens.keys() & again.keys()) == n + 4
+    top = "/html/body" + "/div.story" * 50
+    assert all(t.startswith((top, "/html/body/div")) for t in tokens if t.count("/") > 60)
+
+
+def test_long_classes_are_hashed_and_told_apart():
+    page = "".join(f"<div class='{'utility-' * 200}{i}'>text {i}</div>" for i in range(3))
+    found = [b for b in h.blocks(page) if not b.text]
+    assert len({b.path for b in found}) == 3 and max(len(b.path) for b in found) < 30
+    assert h.main_text(page, None, set()) == "text 0\n\ntext 1\n\ntext 2"
+
+
+def test_main_container_equals_brute_force():
+    r = random.Random(5)
+    for _ in range(300):
+        paths = {"/html"}
+        for _ in range(r.randrange(1, 30)):
+            paths.add(f"{r.choice(sorted(paths))}/{r.choice(['div', 'div.a', 'p'])}")
+        tokens = [(p, 1, 4, 0.0, r.randrange(5) * 10) for p in paths]
+        total = sum(t[4] for t in tokens)
+        held = {q: sum(t[4] for t in tokens if t[0] == q or t[0].startswith(q + "/")) for q in paths}
+        good = [q for q in paths if total and held[q] >= h.MAIN_SHARE * total]
+        assert h.main_container(tokens, paths) == max(good, key=lambda q: (q.count("/"), q), default=None)

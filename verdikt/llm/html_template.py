@@ -31,8 +31,9 @@ line in page order.
 
 Defined cases: a null or empty page gives an empty text. A null or odd address
 makes one host of its own. Unclosed tags end with their parents; unclosed
-comments and scripts run to the end of the page. Repeated rows give equal
-texts. An empty table gives an empty result.
+comments and scripts run to the end of the page. Any depth of nesting is read in
+linear time; containers below a path of ``LONG_PATH`` characters are told apart by
+hashes and nest in the last one above. Repeated rows give equal texts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ from pyspark.sql import functions as F
 
 from verdikt.llm.common import arrow_udf, col, prepare, salted_lookup, saved, table, utf8
 
+# Characters of a path and of a class in it; beyond, hashes stand for them.
+LONG_PATH = 2048
+LONG_CLASS = 40
+TOKEN_BATCH = 1 << 15
+
 SUPPORT = 0.5
 LEAST_PAGES = 4
 MAIN_SHARE = 0.6
@@ -118,9 +124,24 @@ class Block(NamedTuple):
     doubt: tuple[str, str] | None  # (path, suspicion) of the outermost suspect element inside the article
 
 
+def below(path: str, tag: str, classes: str) -> str:
+    """The path of a container in the one at ``path``. A path is as long as the
+    nesting is deep, so beyond ``LONG_PATH`` a hash chain takes the place of its
+    further containers: it names one path still, as a part of the last container
+    that is written out."""
+    if len(classes) > LONG_CLASS:
+        classes = xxhash.xxh64_hexdigest(classes)
+    part = f"/{tag}.{classes}" if classes else f"/{tag}"
+    folded = path[-18:-16] == "/~"
+    if not folded and len(path) + len(part) <= LONG_PATH:
+        return path + part
+    return f"{path[:-18] if folded else path}/~{xxhash.xxh64_hexdigest(path[-16:] + part if folded else part)}"
+
+
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks, in page order; containers come as blocks without text."""
     stack: list[tuple] = []  # tag, then path, out, article, doubt
+    spots: dict[str, list[int]] = defaultdict(list)  # tag -> where it is on the stack
     text: list[str] = []
     top = ("", False, None, None)
     path, out, article, doubt = top
@@ -132,6 +153,13 @@ def blocks(page: str) -> Iterator[Block]:
             if s:
                 yield Block(path, s, out, article, doubt)
 
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            spots[stack.pop()[0]].pop()
+
+    def nearest(tags: set[str]) -> int:
+        return max((spots[t][-1] for t in tags if spots[t]), default=-1)
+
     at = 0
     while True:
         m = TOKEN.search(page, at)
@@ -148,9 +176,8 @@ def blocks(page: str) -> Iterator[Block]:
         if m["end"] or m["end2"]:
             if tag in BLOCKS:
                 yield from closed()
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if spots[tag]:
+                cut(spots[tag][-1])
                 path, out, article, doubt = stack[-1][1:] if stack else top
             continue
         if tag == "br":
@@ -168,26 +195,22 @@ def blocks(page: str) -> Iterator[Block]:
             continue  # inline mark-up
         yield from closed()
         if stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SCOPE[tag]:
-                    break
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                    break
+            cut(len(stack) - 1)
+        if tag in CLOSES and nearest(CLOSES[tag]) > nearest(SCOPE[tag]):
+            cut(nearest(CLOSES[tag]))
         path, out, article, doubt = stack[-1][1:] if stack else top
         attrs = attributes(m["rest"] or m["rest2"] or "")
         verdict = left_out(tag, attrs, article is not None)
         out = out or verdict == "out"
         if tag not in LEAVES:
-            path = f"{path}/{tag}" + (f".{attrs['class']}" if attrs.get("class") else "")
+            path = below(path, tag, attrs.get("class", ""))
         if verdict in ("named", "like") and (doubt is None or doubt[1] == "like" and verdict == "named"):
             doubt = (path if tag not in LEAVES else "", verdict)
         if article is None and (tag in ("article", "main") or attrs.get("role") == "main") and not out:
             article = path
         if tag not in LEAVES:
             yield Block(path, "", out, article, doubt)
+        spots[tag].append(len(stack))
         stack.append((tag, path, out, article, doubt))
 
 
@@ -212,13 +235,17 @@ TOKENS = "host string, page long, token string, times long, place long, chars lo
 def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, page, html) -> the page's tokens."""
     names = [x.split()[0] for x in TOKENS.split(", ")]
+    batch = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("host", "token") else pa.int64()) for c, n in zip(cols, names)], names=names)
     for b in batches:
         cols: list[list] = [[] for _ in names]
         for host, page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
             for token, (times, place, chars) in page_tokens(html.decode("utf-8", "replace")).items():
                 for c, v in zip(cols, (host, page, token, times, place, chars)):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("host", "token") else pa.int64()) for c, n in zip(cols, names)], names=names)
+                if len(cols[0]) >= TOKEN_BATCH:
+                    yield batch(cols)
+                    cols = [[] for _ in names]
+        yield batch(cols)
 
 
 def deduce(tokens: list[tuple[str, int, int, float, int]]) -> tuple[str | None, list[str]]:
@@ -246,13 +273,13 @@ def valid_tokens(tokens: list[tuple[str, int, int, float, int]]) -> set[str]:
 def main_container(tokens: list[tuple[str, int, int, float, int]], valid: set[str]) -> str | None:
     containers = {t[0]: t[4] for t in tokens if t[0] in valid and "#" not in t[0]}
     # Characters below a container's path, itself included.
-    below: Counter = Counter()
+    held: Counter = Counter()
     for p, n in containers.items():
-        for q in containers:
-            if p == q or p.startswith(q + "/"):
-                below[q] += n
+        while p:
+            held[p] += n
+            p = p.rpartition("/")[0]
     total = sum(containers.values())
-    good = [p for p in containers if total and below[p] >= MAIN_SHARE * total]
+    good = [p for p in containers if total and held[p] >= MAIN_SHARE * total]
     return max(good, key=lambda p: (p.count("/"), p), default=None)
 
 

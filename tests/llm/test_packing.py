@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -70,5 +70,18 @@ def test_blocks_equal_brute_force(spark):
     assert [(d["bin"], d["start"]) for d in placed] == want
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_a_repeated_or_missing_id_is_dealt_over_blocks(spark, doc_id):
+    rows = [(doc_id, f"{prose(20, 5)} {i % 50}", "en", f"s{i % 3}", 0) for i in range(20_000)] + [(100 + i, prose(30, i), "en", "other", 0) for i in range(500)]
+    found = p.pack(frame(spark, rows), capacity=512, per_source=8, block=1000)
+    placed = found.collect()
+    check(rows, placed, 512, 8)
+    sizes = Counter(d["block"] for d in placed)
+    assert len(placed) == len(rows) and len(sizes) == 21 and max(sizes.values()) < 1300
+    # Ids that stand once are dealt by themselves, whatever is around them.
+    alone = lambda x: {d["doc_id"]: d["block"] for d in x if d["doc_id"] != doc_id}
+    assert alone(placed) == alone(p.pack(frame(spark, rows[::-1]), capacity=512, per_source=8, block=1000).collect())
+
+
 def test_empty_table(spark):
     assert p.pack(frame(spark, [])).count() == 0

@@ -14,7 +14,7 @@ Pieces come longest first.
 At scale the pieces are dealt by hash into blocks of about ``BLOCK`` pieces,
 and each block is packed by itself in one task: only lengths, ids, sources and
 cluster hashes are moved, never texts, and a block is bounded whatever a
-source or cluster holds. Bins of different blocks don't mix; with ``BLOCK``
+source, cluster or repeated id holds. Bins of different blocks don't mix; with ``BLOCK``
 far over the pieces of a bin this costs at most one badly filled tail of bins
 a block.
 
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import col, partitions, prepare, saved, table
+from verdikt.llm.common import col, partitions, prepare, salted_lookup, saved, table
 
 CAPACITY = 2048
 PER_SOURCE = 4
@@ -101,12 +101,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     are alone in it in any packing and take part like the others."""
     spark = docs.sparkSession
     prepare(spark)
-    x = saved(pieces(docs, capacity, id_col, source, text), "pieces")
+    # The row key is written with the pieces, so a task that is run again deals alike.
+    x = saved(pieces(docs, capacity, id_col, source, text).withColumn("_key", F.monotonically_increasing_id()), "pieces")
     blocks = max(1, -(-x.count() // block))
-    # Rows that repeat in every column are told apart by nothing, so a salt
-    # from the partition deals them out; which copy goes where is immaterial.
-    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
-    x = x.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", salt), F.lit(blocks)))
+    # Pieces are dealt by their id, so a packing depends on the rows alone. An id
+    # that is missing or repeats tells its rows apart no more; their keys deal
+    # them out, and which of them goes where is immaterial.
+    repeated = x.where("doc_id IS NOT NULL").groupBy("doc_id", "piece").agg(F.count("*").alias("rows")).where("rows > 1")
+    x = salted_lookup(x, repeated, ["doc_id", "piece"])
+    salt = F.when(F.col("doc_id").isNull() | F.col("rows").isNotNull(), F.col("_key")).otherwise(F.lit(0))
+    x = x.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", salt), F.lit(blocks))).drop("_key", "rows")
     return x.repartition(max(1, min(blocks, 4 * partitions(spark))), "block").groupBy("block").applyInPandas(pack_block(capacity, per_source), PLACES)
 
 

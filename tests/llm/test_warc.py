@@ -107,3 +107,15 @@ def test_empty_table(spark):
     folder = scratch(spark, "warc")
     assert w.write_warc(frame(spark, []), folder).count() == 0
     assert w.read_warc(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("id_of", [lambda i: i * 1_000_000_007, lambda i: None, lambda i: 7])
+def test_any_ids_make_shards_of_equal_size(spark, id_of):
+    """Sparse ids, none at all, and one id for all rows."""
+    rows, folder = [(id_of(i), "u", f"page {i} " + "x" * 200) for i in range(6000)], scratch(spark, "warc")
+    manifest = w.write_warc(frame(spark, rows), folder, ids_per_shard=500).collect()
+    sizes = Counter()
+    for m in manifest:
+        sizes[m["shard"]] += m["records"]
+    assert sorted(sizes) == list(range(12)) and set(sizes.values()) == {500}
+    assert Counter(r[:5] for r in read(spark, folder)) == slow(rows)

@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-A shard is a fixed range of ids (``IDS_PER_SHARD``), so what an archive holds
-depends on the rows alone, never on the cluster. Records are sorted by id
-inside a shard; a shard rolls to a next file when the compressed size would
-pass ``ROLL_BYTES``. All headers and digests are made anew from the payload;
-every record is a gzip member of its own, without a time stamp.
+Records are range-sorted by id. A shard holds ``IDS_PER_SHARD`` records or
+so, from one rank to another (``verdikt.llm.ranges``), and is a task's work, so
+what an archive holds depends on the rows alone, never on the cluster, and tasks
+grow in number with the rows, whatever the ids are. A shard rolls to a next
+file when the compressed size would pass ``ROLL_BYTES``. All headers and digests
+are made anew from the payload; every record is a gzip member of its own,
+without a time stamp.
 
 Of records with equal payloads of at least ``REVISIT_FROM`` bytes the one with
 the smallest id is the response, the others are revisits of it. Who revisits
@@ -18,9 +20,10 @@ is published last, so readers never see a half-written archive. Files are
 written with pyarrow's file systems to the shared folder, so any store they
 know works (local or mounted paths, hdfs, s3, gs).
 
-Defined cases: a null payload is empty. A null id gets a record in a shard of
-its own and is never referred to nor a revisit. Of rows that repeat an id and
-payload the first is the response. A null address has no target header. An
+Defined cases: a null payload is empty. Rows with a null id come first, ordered
+and dealt by payload; they are never referred to nor revisits. Of rows that
+repeat an id and payload, which are always in one shard, the first is the
+response. A null address has no target header. An
 empty table gives an empty manifest and no records.
 """
 
@@ -39,10 +42,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import col, partitions, prepare, salted_lookup, scratch, table, utf8
+from verdikt.llm.common import col, discard, partitions, prepare, salted_lookup, saved, scratch, table, utf8
+from verdikt.llm.ranges import shard_of, shards
 
 IDS_PER_SHARD = 4096
 ROLL_BYTES = 4 << 20
+FILES_PER_TASK = 16  # read back by a task
 REVISIT_FROM = 100
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,7 +113,7 @@ class ShardFiles:
             self.end()
         if self.out is None:
             self.seq += 1
-            self.name = f"shard-{self.shard:012d}-{self.seq:05d}.warc.gz" if self.shard >= 0 else f"shard-n{-self.shard:011d}-{self.seq:05d}.warc.gz"
+            self.name = f"shard-{self.shard:012d}-{self.seq:05d}.warc.gz"
             self.temporary = f"_temporary/{self.attempt}/{self.name}"
             self.fs.create_dir(f"{self.root}/_temporary/{self.attempt}", recursive=True)
             self.out = self.fs.open_output_stream(f"{self.root}/{self.temporary}", compression=None)
@@ -189,17 +194,23 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     text = F.coalesce(col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(col(id_col).cast("long").alias("id"), col(url_col).cast("string").alias("url"), text.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    narrow = rows.where((F.octet_length("payload") >= REVISIT_FROM) & F.col("id").isNotNull()).select("id", "digest")
+    # Who revisits whom and where shards begin are settled on keys; payloads are read again after.
+    large = F.octet_length("payload") >= REVISIT_FROM
+    keys = saved(rows.groupBy("id", "digest").agg(F.count("*").alias("n"), F.first(large).alias("large")).withColumn("h", F.xxhash64("digest")), "keys")
+    found = shards(keys, ids_per_shard)
+    narrow = keys.where("large AND id IS NOT NULL").select("id", "digest")
     first = narrow.groupBy("digest").agg(F.min("id").alias("refers_to"), F.max("id").alias("most")).where("most > refers_to").drop("most")
-    verdicts = salted_lookup(narrow, first, ["digest"]).where("refers_to < id").distinct()
-    shard = F.coalesce(F.floor(F.col("id") / F.lit(ids_per_shard)).cast("long"), F.lit(-(10**10)))
-    x = rows.select(shard.alias("shard"), "id", "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
+    verdicts = salted_lookup(narrow, first, ["digest"]).where("refers_to < id")
     none = F.lit(None).cast("string")
-    x = x.unionByName(verdicts.select(shard.alias("shard"), "id", "digest", "refers_to", none.alias("url"), none.alias("payload")))
-    x = x.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "id", "digest", F.col("payload").isNotNull(), "url")
+    x = rows.select("id", "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
+    x = x.unionByName(verdicts.select("id", "digest", "refers_to", none.alias("url"), none.alias("payload")))
+    x = x.select(shard_of(found, F.col("id"), F.xxhash64("digest")).alias("shard"), "*")
+    x = x.repartitionById(found.count, F.col("shard").cast("int"))
+    x = x.sortWithinPartitions("shard", "id", F.xxhash64("digest"), "digest", F.col("payload").isNotNull(), "url")
     made = x.mapInArrow(shard_writer(folder, roll), MANIFEST)
     listed = f"{folder}/_written"
     made.write.parquet(listed)
+    discard(keys)
     done = spark.read.schema(MANIFEST).parquet(listed).mapInArrow(committer(folder), MANIFEST)
     done.write.parquet(f"{folder}/_manifest")
     fs, root = file_system(folder)
@@ -266,7 +277,8 @@ def archive_reader(folder: str, with_payload: bool):
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """The page records of a published archive. Block and payload digests are checked."""
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name")
-    return files.repartition(partitions(spark), "name").mapInArrow(archive_reader(folder, with_payload), RECORDS)
+    tasks = max(partitions(spark), -(-files.count() // FILES_PER_TASK))
+    return files.repartition(tasks, "name").mapInArrow(archive_reader(folder, with_payload), RECORDS)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

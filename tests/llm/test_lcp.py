@@ -158,3 +158,25 @@ def test_one_row_and_empty_table(spark):
     r = lcp.fingerprints(frame(spark, [(4, "abcdef", "en", "a", 1)])).collect()
     assert len(r) == 1 and r[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and r[0]["near_next"] == 1
     assert lcp.fingerprints(frame(spark, [])).count() == 0
+
+
+def slow_any_ids(rows):
+    """As ``slow``, rows of one id ordered by their text's hash."""
+    import xxhash
+
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    nexts = [r[1] for r in rows[1:] + rows[:1]]
+    edits = [lcp.edited(t, n) for (_, t), n in zip(rows, nexts)]
+    a, b, c = (lcp.sketches(x) for x in ([t for _, t in rows], edits, nexts))
+    return [(d, len(t), hashlib.sha256(e.encode()).hexdigest(), lcp.as_text(p), lcp.as_text(q), lcp.likeness(p, q), lcp.likeness(p, r)) for (d, t), e, p, q, r in zip(rows, edits, a, b, c)]
+
+
+@pytest.mark.parametrize("id_of", [lambda i: i * 1_000_003, lambda i: None, lambda i: 7, lambda i: [None, 7, i][i % 3]])
+def test_any_ids_equal_brute_force(spark, id_of):
+    """Sparse ids, none at all, one id for all rows, and all of these."""
+    rows = [(id_of(i), None if i % 97 == 0 else prose(5 + i % 30, i % 250), "en", "a", 0) for i in range(600)]
+    found = lcp.fingerprints(frame(spark, rows), ids_per_shard=50)
+    got = [tuple(r) for r in found.collect()]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(got, key=key) == sorted(slow_any_ids([(r[0], r[1]) for r in rows]), key=key)

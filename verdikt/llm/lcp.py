@@ -21,8 +21,9 @@ Several texts are parsed together in numpy.
 
 Defined cases: a null text is empty; an empty text has the fingerprint "-"
 and likeness 1 to other empty texts, 0 to all else. Rows are ordered by id
-(null ids first), rows that repeat an id by text; a row's next document is the
-following row, the first row's after the last. An empty table gives an empty
+(null ids first), rows without an id and rows that repeat one by a hash of the
+text; a row's next document is the following row, the first row's after the
+last. An empty table gives an empty
 result.
 """
 
@@ -33,16 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import col, partitions, prepare, saved, table
+from verdikt.llm.common import col, prepare, saved, table
+from verdikt.llm.ranges import shard_of, shards
 
 LEVELS = (2, 4)
 RATES = (32, 4)
 KEEP = 16
 UPPER = 7
-IDS_PER_SHARD = 1024
+IDS_PER_SHARD = 4096
 CHUNK = 1 << 20  # code points held at once
 TOGETHER = 1 << 16  # code points parsed at once
 
@@ -333,21 +335,19 @@ def pair_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ids_per_shard: int = IDS_PER_SHARD) -> DataFrame:
     """One result row per row of ``docs``. Texts are shuffled once, into shards
-    of adjacent ids; only the texts at the shards' edges are moved again."""
-    spark = prepare(docs.sparkSession)
+    of adjacent ids, ``ids_per_shard`` rows or so each; only the texts at the
+    shards' edges are moved again."""
+    prepare(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    shard = F.coalesce(F.floor(F.col("doc_id") / F.lit(ids_per_shard)).cast("long"), F.lit(-(1 << 60)))
-    rows = rows.select(shard.alias("shard"), "doc_id", "text").repartition(partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "text")
+    hashed = F.xxhash64("text")
+    found = shards(rows.groupBy(F.col("doc_id").alias("id"), hashed.alias("h")).agg(F.count("*").alias("n")), ids_per_shard)
+    rows = rows.select(shard_of(found, F.col("doc_id"), hashed).alias("shard"), "doc_id", "text")
+    rows = rows.repartitionById(found.count, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", hashed, "text")
     x = saved(rows.mapInArrow(shard_pass, PASS_DDL), "phrases")
-    # The next shard: inside blocks of shards first, then over the blocks.
-    edges = x.where("kind = 1").select("shard", F.floor(F.col("shard") / 1024).alias("block"))
-    inside = edges.withColumn("next", F.lead("shard").over(Window.partitionBy("block").orderBy("shard")))
-    blocks = edges.groupBy("block").agg(F.min("shard").alias("low"))
-    whole = Window.partitionBy(F.lit(0))  # one row per million of ids
-    blocks = blocks.select("block", F.coalesce(F.lead("low").over(whole.orderBy("block")), F.min("low").over(whole)).alias("after"))
-    order = inside.join(blocks, "block").select("shard", F.coalesce("next", "after").alias("next"))
-    firsts = x.where("kind = 1").select(F.col("shard").alias("next"), F.col("text").alias("next_text"))
-    lasts = x.where("kind = 2").select("shard", "doc_id", "text").join(order, "shard").join(firsts, "next")
+    # No shard is empty, so the next one is the next number, round to the first.
+    before = F.pmod(F.col("shard") - 1, F.lit(found.count))
+    firsts = x.where("kind = 1").select(before.alias("shard"), F.col("text").alias("next_text"))
+    lasts = x.where("kind = 2").select("shard", "doc_id", "text").join(firsts, "shard")
     rest = lasts.select("doc_id", "text", "next_text").mapInArrow(pair_pass, RESULT_DDL)
     return x.where("kind = 0").select(*[n for n, _ in RESULT]).unionByName(rest)
 

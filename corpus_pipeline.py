@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdikt.llm import dsir, packing, quality_rules, simhash
-from verdikt.llm.common import prepare, saved, table, unpacked
+from verdikt.llm.common import discard, prepare, saved, table, unpacked
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written before the next reads it."""
+    """All stages over ``documents``; each result is written before the next reads
+    it, and deleted once the next is written."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = saved(docs, "stage")
+            if i:
+                discard(before)
     return docs

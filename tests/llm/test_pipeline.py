@@ -57,3 +57,13 @@ def test_queries_return_every_row(spark, name):
     want = Counter(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
     got = Counter(r[0] for r in df.select(key).collect())
     assert set(got) == set(want) and (got == want or name.startswith(("op5", "op11")))
+
+
+def test_only_the_last_stage_stays(spark):
+    """Of the stages' tables a run leaves the one that its result reads."""
+    from verdikt.session import child_folders, ensure_checkpoint_dir
+
+    stages = lambda: {f for f in child_folders(spark, ensure_checkpoint_dir(spark)) if f.startswith("llm-stage-")}
+    before = stages()
+    placed = c.run(spark, SF)
+    assert len(stages() - before) == 1 and placed.count() > 0

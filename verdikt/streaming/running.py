@@ -1,7 +1,8 @@
 """Running metrics of a growing log by retraction.
 
 The stream keeps the last answer of every (run, video) as keyed state, at fixed
-width: its order, slice masks, truth and prediction. A new answer that replaces
+width: its order, slice masks, truth and prediction. Python is called once for
+the videos of a run and bucket that a batch brings, each of which is a map entry. A new answer that replaces
 an old one takes the old one out of the counts and puts the new one in, so a
 micro-batch changes the histogram by (run, masks, truth, prediction) by deltas:
 what it reads and writes is in proportion to the batch, not to the log.
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from verdikt.functions.dialects import extract_labels
 from verdikt.functions.labels import answer_number
@@ -39,6 +40,17 @@ from verdikt.streaming.ingest import KEYS, MAX_BYTES, query_id, stream_lines
 ORDER = ["commit", "mtime", "path", "block", "place"]
 ORDER_DDL = "commit long, mtime long, path string, block long, place long"
 
+# Into how many groups the videos of a run are dealt: one call a group and batch.
+# Fixed, since a video has to be found where it was stored.
+BUCKETS = 256
+
+# Keyed state with map entries lives in RocksDB; a commit writes a batch's changes,
+# not the files that hold them.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def _arrivals():
     """A number that grows from row to row of a task. (Streams don't have
@@ -53,29 +65,42 @@ def _arrivals():
     return F.arrow_udf(arrival, "long").asNondeterministic()
 
 
-def _replace(masks: list[str], run_keys: list[str]):
-    """State function: the answers of one key -> its change to the histogram."""
-    cells = [*masks, "_t", "_p"]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = tuple(state.get) if state.exists else None
-        new = old
-        for f in frames:
-            for row in f[[*ORDER, *cells]].itertuples(index=False, name=None):
-                if new is None or row[: len(ORDER)] > new[: len(ORDER)]:
-                    new = row
-        if new is old or new is None:
-            return
-        state.update(new)
-        out = [(*new[len(ORDER) :], 1)]
-        if old is not None:
-            out.append((*old[len(ORDER) :], -1))
-        change = pd.DataFrame(out, columns=[*cells, "_n"])
-        for name, value in zip(run_keys, key):
-            change.insert(0, name, value)
-        yield change[[*run_keys, *cells, "_n"]]
-
-    return run
+def _replace(masks: list[str], run_keys: list[str]) -> StatefulProcessor:
+    """State processor: the answers of a run's bucket of videos -> their change
+    to the histogram. Each video's last answer is a map entry of its own, so a
+    batch reads and writes the entries of the videos it brings. (The class lies
+    in a function since Python workers needn't find this module.)"""
+    given, cells = [*ORDER, *masks, "truth", "prediction"], [*masks, "_t", "_p"]
+    width = len(ORDER)
+    value_ddl = f"{ORDER_DDL}, {_cells_ddl(masks)}"
+
+    class Replace(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getMapState("last", "video string", value_ddl)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            for f in rows:
+                new = {}
+                for video, row in zip(f["video"].tolist(), zip(*(f[c].tolist() for c in given))):
+                    if video not in new or row[:width] > new[video][:width]:
+                        new[video] = row
+                change = []
+                for video, row in new.items():
+                    old = self.last.getValue((video,))
+                    if old is not None:
+                        if row[:width] <= tuple(old[:width]):
+                            continue
+                        change.append((*key[:-1], *old[width:], -1))
+                    self.last.updateValue((video,), row)
+                    change.append((*key[:-1], *row[width:], 1))
+                if change:
+                    yield pd.DataFrame(change, columns=[*run_keys, *cells, "_n"])
+
+    return Replace()
+
+
+def _cells_ddl(masks: list[str]) -> str:
+    return ", ".join(f"{m} long" for m in masks) + ", _t int, _p int"
 
 
 def _epochs(spark: SparkSession, path: str) -> list[str]:
@@ -106,10 +131,10 @@ def ingest_running(
     rows = extract_labels(parse_keyed_lines(lines.select("model", "method", "line", *named)), dialect, key, line_col="line")
     rows = rows.where(F.col("line_status") == "ok").select(*KEYS, *ORDER[:-1], answer_number(F.col("raw_value")).alias("number"), _arrivals()(F.col("parse_status")).alias("place"))
     scored = score_rows(attach_truth(rows, truth), "wrong")
-    scored = scored.select(*KEYS, *ORDER, *masks, F.col("true_label").cast("int").alias("_t"), F.col("predicted_label").cast("int").alias("_p"))
-    cells = ", ".join(f"{m} long" for m in masks) + ", _t int, _p int"
-    changes = scored.groupBy(*KEYS).applyInPandasWithState(
-        _replace(masks, KEYS[:2]), f"model string, method string, {cells}, _n int", f"{ORDER_DDL}, {cells}", "update", GroupStateTimeout.NoTimeout
+    scored = scored.select(*KEYS, *ORDER, *masks, F.col("true_label").cast("int").alias("truth"), F.col("predicted_label").cast("int").alias("prediction"))
+    bucket = F.pmod(F.xxhash64("video"), F.lit(BUCKETS)).alias("bucket")
+    changes = scored.select("*", bucket).groupBy(*KEYS[:2], "bucket").transformWithStateInPandas(
+        _replace(masks, KEYS[:2]), f"model string, method string, {_cells_ddl(masks)}, _n int", "update", "none"
     )
     group = ["model", "method", *masks, "_t", "_p"]
 
@@ -126,7 +151,14 @@ def ingest_running(
             if name.startswith(f"epoch={own}-") and int(name.rpartition("-")[2]) < n - 1:
                 delete_path(spark, f"{table_path}/counts/{name}")
 
-    q = changes.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        q = changes.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
 
 

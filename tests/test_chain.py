@@ -81,3 +81,32 @@ def test_doubled_first_answers_ask_the_second_pass_once(spark):
 def test_first_pass_from_lines_keeps_the_last(spark):
     lines = spark.createDataFrame([("m", "chain", '{"v": "old"}', 1), ("m", "chain", '{"v": "new"}', 2), ("m", "chain", '{"v": ', 3)], "model string, method string, line string, line_order long")
     assert [(r.video, r.response) for r in first_pass_from_lines(lines).collect()] == [("v", "new")]
+
+
+def _placed(spark, path, rows):
+    """Lines in files of their own partitions, with their places."""
+    spark.createDataFrame(rows, "model string, method string, line string, line_order long").repartition(3).write.parquet(path)
+    place = [F.md5(F.col("_metadata.file_path").cast("binary")).alias("line_file"), F.col("_metadata.row_index").alias("line_at")]
+    return spark.read.parquet(path).select("*", *place)
+
+
+def test_first_pass_in_place_equals_the_shuffled_one(spark, tmp_path):
+    rows = [("m", "chain", json.dumps({f"v{i % 40}": f"answer {i}", f"w{i % 7}": f"other {i}"}), i) for i in range(200)]
+    rows += [("n", "chain", json.dumps({"v1": None}), 5), ("n", "chain", "cut", 9), ("n", "chain", '{"a": "first", "a": "second"}', 1)]
+    lines = _placed(spark, str(tmp_path / "lines"), rows)
+    want = sorted(tuple(r) for r in first_pass_from_lines(lines.drop("line_file", "line_at")).collect())
+    assert sorted(tuple(r) for r in first_pass_from_lines(lines).collect()) == want and len(want) == 49
+
+
+def test_last_in_place_keeps_one_row_a_key(spark, tmp_path):
+    from verdikt.operators.dedup import last_in_place
+
+    # Equal orders, far places, several entries at a place, small shards.
+    rows = [(f"k{i % 30}", i // 60, f"f{i % 3}", i * 1_000_003, i % 4, "x" * i) for i in range(180)]
+    df = spark.createDataFrame(rows, "k string, o long, f string, at long, e int, text string")
+    got = [tuple(r) for r in last_in_place(df, ["k"], "o", "f", "at", "e", shard_rows=1000).collect()]
+    want = {}
+    for r in rows:
+        if r[0] not in want or r[1:5] > want[r[0]][1:5]:
+            want[r[0]] = r
+    assert sorted(got) == sorted(want.values())

@@ -8,16 +8,27 @@ Only the small extracted columns go into the aggregate buffer, not the text.
 
 With values of fixed width and a 64-bit order the buffer is updated in place:
 Spark plans a hash aggregate, without the sort that strings or structs need.
+
+Where the answer texts themselves are wanted, :func:`last_in_place` finds the
+place of each key's last row first, from keys and orders alone, and then keeps
+the rows in those places where they are read: no text is sorted or shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, TimestampType
 
+from verdikt.session import checkpoint_path
+
 
 def _fixed(t: DataType) -> bool:
     return isinstance(t, (NumericType, BooleanType, DateType, TimestampType))
@@ -32,3 +43,62 @@ def last_wins(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Se
     packed = F.struct(*[F.col(c) for c in value_cols])
     agg = df.groupBy(*keys).agg(F.max_by(packed, F.col(order_col)).alias("_lw"), F.count(F.lit(1)).alias("n_versions"))
     return agg.select(*keys, *[F.col("_lw").getField(c).alias(c) for c in value_cols], "n_versions")
+
+
+# Rows of a file whose last ones are listed together; tasks hold a few such lists.
+SHARD_ROWS = 1 << 18
+HELD_SHARDS = 32
+
+
+def last_in_place(df: DataFrame, keys: Sequence[str], order_col: str, file_col: str, at_col: str, entry_col: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows of ``df`` with the greatest ``order_col`` of their ``keys``, one a
+    key (of rows that share it the one whose place is last).
+
+    ``file_col``, ``at_col`` and ``entry_col`` name each row's place: text without
+    slashes, a number in that file and a number at it. It must be the same
+    whenever ``df`` is read, which happens twice: for the places of the last rows,
+    listed by file in the shared folder, and for the rows, of which tasks keep
+    what the lists of their own files hold."""
+    spark = df.sparkSession
+    place = F.struct(F.col(file_col).alias("file"), F.col(at_col).cast("long").alias("at"), F.col(entry_col).cast("long").alias("entry"))
+    last = df.select(*keys, F.struct(F.col(order_col).alias("order"), place.alias("place")).alias("_lw")).groupBy(*keys).agg(F.max("_lw").alias("_lw"))
+    last = last.select("_lw.place.*").withColumn("shard", F.floor(F.col("at") / F.lit(shard_rows)))
+    folder = checkpoint_path(spark, f"last-{uuid.uuid4().hex}")
+    last.repartition("file", "shard").write.partitionBy("file", "shard").parquet(folder)
+    return df.where(_listed_udf(folder, shard_rows)(F.col(file_col), F.col(at_col).cast("long"), F.col(entry_col).cast("long")))
+
+
+def _listed_udf(folder: str, shard_rows: int):
+    """(file, at, entry) -> is that place listed in ``folder``?"""
+    held: dict[tuple[str, int], tuple[np.ndarray, int]] = {}
+    limit = HELD_SHARDS
+
+    def listed(file: str, shard: int) -> tuple[np.ndarray, int]:
+        """Sorted numbers of the places, and how many entries a row has in them."""
+        if (file, shard) not in held:
+            if len(held) >= limit:
+                held.clear()
+            fs, root = pafs.FileSystem.from_uri(folder)
+            at = entry = np.zeros(0, np.int64)
+            if fs.get_file_info(path := f"{root}/file={file}/shard={shard}").type == pafs.FileType.Directory:
+                t = pq.ParquetDataset(path, filesystem=fs, partitioning=None).read()
+                at, entry = (t[c].to_numpy() for c in ("at", "entry"))
+            width = int(entry.max(initial=0)) + 1
+            held[file, shard] = np.sort((at - shard * shard_rows) * width + entry), width
+        return held[file, shard]
+
+    def kept(files: pa.Array, places: pa.Array, entries: pa.Array) -> pa.Array:
+        names = files.dictionary_encode()
+        code, at, entry = (x.to_numpy(zero_copy_only=False) for x in (names.indices, places, entries))
+        shard, out = at // shard_rows, np.zeros(len(at), bool)
+        for c, k in np.unique(np.stack([code, shard], 1), axis=0).tolist():
+            numbers, width = listed(names.dictionary[c].as_py(), k)
+            own = np.flatnonzero((code == c) & (shard == k) & (entry < width))
+            wanted = (at[own] - k * shard_rows) * width + entry[own]
+            found = np.searchsorted(numbers, wanted)
+            hit = found < len(numbers)
+            out[own[hit]] = numbers[found[hit]] == wanted[hit]
+        return pa.array(out)
+
+    kept.__annotations__ = {"files": pa.Array, "places": pa.Array, "entries": pa.Array, "return": pa.Array}
+    return F.arrow_udf(kept, "boolean").asNondeterministic()

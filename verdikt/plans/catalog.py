@@ -298,7 +298,7 @@ _LAST_RECORDS_SQL = "last_records AS (SELECT * FROM records QUALIFY row_number()
 def _first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9 + J1: the derived first-pass log, read from its lines, last answers only."""
     records = derived_chain_records(spark, sf_dir, CHAIN_RUNS)
-    lines = records.selectExpr("model", "method", "to_json(map(video, response)) AS line", "named_struct('pass', attempt, 'seq', doc_id) AS line_order")
+    lines = records.selectExpr("model", "method", "to_json(map(video, response)) AS line", "named_struct('pass', attempt, 'seq', doc_id) AS line_order", "line_file", "line_at")
     return first_pass_from_lines(lines)
 
 

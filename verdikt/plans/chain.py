@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions.dialects import with_chain_record
-from verdikt.operators.dedup import last_wins
+from verdikt.operators.dedup import last_in_place, last_wins
 from verdikt.operators.inference import Scorer, score_batches
 from verdikt.operators.prompts import rules_text, second_pass_prompt
 from verdikt.plans.resume import ResumeStore
@@ -44,7 +44,16 @@ def _score_into(requests: DataFrame, scorer: Scorer, path: str, keys: Sequence[s
 
 
 def first_pass_from_lines(lines: DataFrame) -> DataFrame:
-    """S9 + J1: a first-pass log as chain input, one row per (run, video)."""
+    """S9 + J1: a first-pass log as chain input, one row per (run, video).
+
+    Lines that come with their place (``line_file``, ``line_at``, see
+    :func:`verdikt.operators.dedup.last_in_place`) are reduced where they are read,
+    others by a shuffle of the answers."""
+    if {"line_file", "line_at"} <= set(lines.columns):
+        lines = lines.withColumn("line_order", F.struct("line_order"))  # so that an entry's position comes with it
+        rows = parse_keyed_lines(lines).where(F.col("line_status") == "ok")
+        rows = rows.select(*KEYS, "response", "line_order", "line_file", "line_at", F.col("line_order.pos").alias("line_entry"))
+        return last_in_place(rows, KEYS, "line_order", "line_file", "line_at", "line_entry").select(*KEYS, "response")
     rows = parse_keyed_lines(lines).where(F.col("line_status") == "ok")
     return last_wins(rows, KEYS, "line_order", ["response"]).drop("n_versions")
 

@@ -34,7 +34,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.config import CATEGORIES
@@ -110,7 +110,7 @@ def _runs_sql(runs: Sequence[tuple[str, str, str]], run_offset: int) -> str:
     return f"array({items})"
 
 
-def _base(spark: SparkSession, sf_dir: str, doc_cols: Sequence[str]) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str, doc_cols: Sequence[str | Column]) -> DataFrame:
     """Documents (spread over the cluster) with their truth bit ``t``."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", *doc_cols))
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -204,13 +204,17 @@ def derived_chain_records(spark: SparkSession, sf_dir: str, runs: Sequence[tuple
     1 fenced, 2 without reasoning, 3 cut short (unreadable), 4 null, 5 with an
     explicit null as anomaly. Documents with ``doc_id % 4 = 0`` have a stale
     answer (attempt 0) before it, a plain record that says ``1 - p``.
+    ``line_file`` and ``line_at`` are an answer's place: its document's file and a
+    number from the document's row, the run and the attempt.
     """
     runs3 = [(m, me, "anomaly") for m, me, _ in runs]
-    x = _base(spark, sf_dir, ["text", "lang", "source"]).selectExpr(
-        "doc_id", "text", "lang", "source", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs3, run_offset)}) AS run"
+    place = [F.md5(F.col("_metadata.file_path").cast("binary")).alias("line_file"), F.col("_metadata.row_index").alias("row")]
+    x = _base(spark, sf_dir, ["text", "lang", "source", *place]).selectExpr(
+        "doc_id", "text", "lang", "source", "line_file", "row", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs3, run_offset)}) AS run"
     )
     x = x.selectExpr(
-        "run.model AS model", "run.method AS method", "doc_id", "text", "lang", "source", f"CAST({ANSWER_SQL} AS INT) AS p",
+        "run.model AS model", "run.method AS method", "doc_id", "text", "lang", "source", "line_file",
+        f"row * {len(runs)} + run.run_idx - {run_offset} AS answer", f"CAST({ANSWER_SQL} AS INT) AS p",
         "explode(CASE WHEN doc_id % 4 = 0 THEN array(0, 1) ELSE array(1) END) AS attempt",
     )
     # Each branch serialises the record it needs; only one branch runs per row.
@@ -226,7 +230,8 @@ def derived_chain_records(spark: SparkSession, sf_dir: str, runs: Sequence[tuple
         f" WHEN 3 THEN substring({plain}, 1, length({plain}) - 1)"
         f" WHEN 5 THEN {full.format(p='CAST(NULL AS INT)')} END END"
     )
-    return x.selectExpr("model", "method", "doc_id", "attempt", "concat('vid_', CAST(doc_id AS STRING), '.mp4') AS video", f"{resp} AS response")
+    return x.selectExpr("model", "method", "doc_id", "attempt", "concat('vid_', CAST(doc_id AS STRING), '.mp4') AS video", f"{resp} AS response",
+                        "line_file", "answer * 2 + attempt AS line_at")
 
 
 FRAME_CHARS = 64

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, TimestampType
 
@@ -45,27 +45,38 @@ def last_wins(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Se
     return agg.select(*keys, *[F.col("_lw").getField(c).alias(c) for c in value_cols], "n_versions")
 
 
-# Rows of a file whose last ones are listed together; tasks hold a few such lists.
+# Rows of a file whose places are listed together; tasks hold a few such lists.
 SHARD_ROWS = 1 << 18
 HELD_SHARDS = 32
 
 
+def list_places(places: DataFrame, shard_rows: int = SHARD_ROWS) -> str:
+    """Write places (``file``: text without slashes, ``at``: a number in that file,
+    ``entry``: a number at it) by file to the shared folder; the lists' folder."""
+    folder = checkpoint_path(places.sparkSession, f"places-{uuid.uuid4().hex}")
+    sharded = places.withColumn("shard", F.floor(F.col("at") / F.lit(shard_rows)))
+    sharded.repartition("file", "shard").write.partitionBy("file", "shard").parquet(folder)
+    return folder
+
+
+def is_listed(folder: str, file: Column, at: Column, entry: Column, shard_rows: int = SHARD_ROWS) -> Column:
+    """Is a row's place among those that :func:`list_places` wrote? Tasks read the
+    lists of their own files."""
+    return _listed_udf(folder, shard_rows)(file, at.cast("long"), entry.cast("long"))
+
+
 def last_in_place(df: DataFrame, keys: Sequence[str], order_col: str, file_col: str, at_col: str, entry_col: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of ``df`` with the greatest ``order_col`` of their ``keys``, one a
     key (of rows that share it the one whose place is last).
 
-    ``file_col``, ``at_col`` and ``entry_col`` name each row's place: text without
-    slashes, a number in that file and a number at it. It must be the same
-    whenever ``df`` is read, which happens twice: for the places of the last rows,
-    listed by file in the shared folder, and for the rows, of which tasks keep
+    ``file_col``, ``at_col`` and ``entry_col`` name each row's place (see
+    :func:`list_places`). It must be the same whenever ``df`` is read, which happens
+    twice: for the places of the last rows, and for the rows, of which tasks keep
     what the lists of their own files hold."""
-    spark = df.sparkSession
     place = F.struct(F.col(file_col).alias("file"), F.col(at_col).cast("long").alias("at"), F.col(entry_col).cast("long").alias("entry"))
     last = df.select(*keys, F.struct(F.col(order_col).alias("order"), place.alias("place")).alias("_lw")).groupBy(*keys).agg(F.max("_lw").alias("_lw"))
-    last = last.select("_lw.place.*").withColumn("shard", F.floor(F.col("at") / F.lit(shard_rows)))
-    folder = checkpoint_path(spark, f"last-{uuid.uuid4().hex}")
-    last.repartition("file", "shard").write.partitionBy("file", "shard").parquet(folder)
-    return df.where(_listed_udf(folder, shard_rows)(F.col(file_col), F.col(at_col).cast("long"), F.col(entry_col).cast("long")))
+    folder = list_places(last.select("_lw.place.*"), shard_rows)
+    return df.where(is_listed(folder, F.col(file_col), F.col(at_col), F.col(entry_col), shard_rows))
 
 
 def _listed_udf(folder: str, shard_rows: int):

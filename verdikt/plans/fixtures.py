@@ -34,11 +34,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.config import CATEGORIES
 from verdikt.functions.sqltext import lit
+from verdikt.operators.dedup import is_listed, list_places
 from verdikt.sources.tables import read_table, spread
 
 NL = "\n"
@@ -110,7 +111,7 @@ def _runs_sql(runs: Sequence[tuple[str, str, str]], run_offset: int) -> str:
     return f"array({items})"
 
 
-def _base(spark: SparkSession, sf_dir: str, doc_cols: Sequence[str | Column]) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str, doc_cols: Sequence[str]) -> DataFrame:
     """Documents (spread over the cluster) with their truth bit ``t``."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", *doc_cols))
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -119,6 +120,20 @@ def _base(spark: SparkSession, sf_dir: str, doc_cols: Sequence[str | Column]) ->
     return docs.join(lab, "doc_id", "left")
 
 
+def _placed_base(spark: SparkSession, sf_dir: str, doc_cols: Sequence[str]) -> DataFrame:
+    """Documents with their place (``line_file``, ``row``) and truth bit ``t``. The
+    labels are joined to ids and places; texts stay where they are read, however
+    many labels there are."""
+    place = [F.md5(F.col("_metadata.file_path").cast("binary")).alias("line_file"), F.col("_metadata.row_index").alias("row")]
+    docs = table(spark, sf_dir, "documents").select("doc_id", *doc_cols, *place)
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    truth = docs.select("doc_id", "line_file", "row").join(lab, "doc_id").selectExpr("line_file AS file", "row AS at", f"CAST({TRUTH_SQL} AS LONG) AS entry")
+    folder = list_places(truth.groupBy("file", "at").agg(F.max("entry").alias("entry")))
+    is_truth = lambda t: is_listed(folder, F.col("line_file"), F.col("row"), F.lit(t))
+    docs = spread(docs).select("*", is_truth(1).alias("is_1"), is_truth(0).alias("is_0"))
+    return docs.selectExpr("doc_id", *doc_cols, "line_file", "row", "CASE WHEN is_1 THEN 1 WHEN is_0 THEN 0 ELSE CAST(doc_id % 2 AS INT) END AS t")
+
+
 def derived_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth (title, category, label, true_label) from ``labels``."""
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -208,9 +223,8 @@ def derived_chain_records(spark: SparkSession, sf_dir: str, runs: Sequence[tuple
     number from the document's row, the run and the attempt.
     """
     runs3 = [(m, me, "anomaly") for m, me, _ in runs]
-    place = [F.md5(F.col("_metadata.file_path").cast("binary")).alias("line_file"), F.col("_metadata.row_index").alias("row")]
-    x = _base(spark, sf_dir, ["text", "lang", "source", *place]).selectExpr(
-        "doc_id", "text", "lang", "source", "line_file", "row", f"{TRUTH_SQL} AS t", f"explode({_runs_sql(runs3, run_offset)}) AS run"
+    x = _placed_base(spark, sf_dir, ["text", "lang", "source"]).selectExpr(
+        "doc_id", "text", "lang", "source", "line_file", "row", "t", f"explode({_runs_sql(runs3, run_offset)}) AS run"
     )
     x = x.selectExpr(
         "run.model AS model", "run.method AS method", "doc_id", "text", "lang", "source", "line_file",
